@@ -1,6 +1,6 @@
-"""Named queries and their SQL twins, gathered from the modules of this folder."""
+"""All named queries of the library, gathered from the modules of this folder."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomline.plans import chats, corpora, curation, evaluation, relational, retrieval, scalars, streams, texts  # noqa: F401
+from loomline.plans.registry import ORACLES, QUERIES  # noqa: F401
