@@ -194,6 +194,4 @@ def body_of(c: Column) -> Column:
 
 def byte_tokens(c: Column) -> Column:
     """UTF-8 bytes as integers."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    n = (F.length(h) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))

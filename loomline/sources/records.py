@@ -56,9 +56,16 @@ def read_questions(spark: SparkSession, path: str, default: str = "chat") -> Dat
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """Lines KEY=value, without quotes around values; comments and lines without = are left out."""
+    """Lines KEY=value of one small file, without quotes around values; comments and lines without = are left out. Spark's
+    file sources skip names that begin with a dot, so the file system is asked for the text."""
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    text = jvm.org.apache.commons.io.IOUtils.toString(stream, jvm.java.nio.charset.StandardCharsets.UTF_8)
+    stream.close()
+    df = spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
     parts = F.split(F.trim("value"), "=", 2)
-    df = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.size(parts) == 2))
+    df = df.where(~F.trim("value").startswith("#") & (F.size(parts) == 2))
     return df.select(F.trim(parts[0]).alias("key"), F.regexp_replace(F.trim(parts[1]), r"^[\"']|[\"']$", "").alias("value"))
 
 
