@@ -1,12 +1,14 @@
 """Quality rules and robust multivariate outliers: minimum covariance determinant (MCD) by language and source.
 
-Statistics of a text are transformed to a vector: log of the words, mean word length, and the square roots of the shares of
-symbols, of repeated lines and of repeated words. For each language and source the MCD is found by concentration steps:
+Statistics of a text are transformed to a vector: log of the words, mean word length (with PRIOR_WORDS words of PRIOR_LENGTH
+characters added, as the mean of a few words says little), and the square roots of the shares of symbols, of repeated lines
+and of repeated words. For each language and source the MCD is found by concentration steps:
 distances to the current centre and scatter, then centre and scatter of the H share of rows that are nearest. Distances are
 dealt to fine logarithmic bins and the subset is the least number of whole bins that hold the share, so a step needs only
 sums by group and bin, added up before the shuffle: a group of any size is a few hundred rows of sums. The scatter of the
 subset gets a floor for each coordinate, so that coordinates without spread (no symbols at all) do not make it singular.
-A row is kept if its squared Mahalanobis distance is at most CUTOFF.
+A row is kept if its squared Mahalanobis distance is at most the chi-square quantile that one normal row in a million
+exceeds.
 
 Groups with fewer than LEAST rows use their language's estimate, and languages with fewer that of all rows; with fewer than
 LEAST rows in all, no row is an outlier. Rows that fail the base rules are not used in the estimates.
@@ -32,8 +34,10 @@ WINDOW = 5
 #: Share of a group's rows in the subset, concentration steps, least rows of a group, bins for a factor of 2.
 H, STEPS, LEAST, BINS = 0.75, 4, 50, 8
 #: Coordinates, with the least standard deviation of each.
-FLOORS = {"x_words": 1.0, "x_length": 0.35, "x_symbols": 0.05, "x_lines": 0.12, "x_repeats": 0.12}
-CUTOFF = 60.0
+FLOORS = {"x_words": 1.0, "x_length": 0.35, "x_symbols": 0.05, "x_lines": 0.15, "x_repeats": 0.15}
+PRIOR_WORDS, PRIOR_LENGTH = 30, 5.0
+#: Share of normal rows beyond the cut.
+BEYOND = 1e-6
 #: Estimates of so many groups at most are broadcast (a few hundred bytes each).
 BROADCAST_GROUPS = 100_000
 
@@ -67,7 +71,7 @@ def base_failed():
 def vector():
     """The transformed coordinates of a row of statistics."""
     share = lambda a, b: F.sqrt(F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0)))
-    made = [F.log1p("n_words"), F.coalesce(F.col("word_chars") / F.when(F.col("n_words") > 0, F.col("n_words")), F.lit(0.0)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
+    made = [F.log1p("n_words"), (F.col("word_chars") + PRIOR_WORDS * PRIOR_LENGTH) / (F.col("n_words") + PRIOR_WORDS), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
     return [x.alias(n) for x, n in zip(made, FLOORS)]
 
 
@@ -163,22 +167,31 @@ def mcd_distances(rows: DataFrame, xs: list[str], group: list[str]) -> DataFrame
     return own.join(small(est), by, "left").select(*rows.columns, F.coalesce(_distance(xs), F.lit(0.0)).alias("d2"))
 
 
-def consistency(d: int) -> float:
-    """Factor that makes the scatter of the nearest H share of normal rows that of all: H / P(chi2(d + 2) <= q_H(d))."""
+def chi2_cdf(x: float, k: int) -> float:
     import math
 
-    def cdf(x, k):
-        if k == 1:
-            return math.erf(math.sqrt(x / 2))
-        if k == 2:
-            return 1 - math.exp(-x / 2)
-        return cdf(x, k - 2) - (x / 2) ** (k / 2 - 1) * math.exp(-x / 2) / math.gamma(k / 2)
+    if k == 1:
+        return math.erf(math.sqrt(x / 2))
+    if k == 2:
+        return 1 - math.exp(-x / 2)
+    return chi2_cdf(x, k - 2) - (x / 2) ** (k / 2 - 1) * math.exp(-x / 2) / math.gamma(k / 2)
+
 
+def chi2_quantile(p: float, k: int) -> float:
     lo, hi = 0.0, 1000.0
     for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid, d) < H else (lo, mid)
-    return H / cdf(lo, d + 2)
+        lo, hi = (mid, hi) if chi2_cdf(mid, k) < p else (lo, mid)
+    return lo
+
+
+def consistency(d: int) -> float:
+    """Factor that makes the scatter of the nearest H share of normal rows that of all: H / P(chi2(d + 2) <= q_H(d))."""
+    return H / chi2_cdf(chi2_quantile(H, d), d + 2)
+
+
+#: Largest squared distance of a row that is kept.
+CUTOFF = chi2_quantile(1 - BEYOND, len(FLOORS))
 
 
 def rate(docs: DataFrame) -> DataFrame:
