@@ -36,7 +36,8 @@ def _accents() -> tuple[str, str]:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}+", "")
+    """Text of one-byte characters has none and is passed through."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}+", ""))
 
 
 def collapse(c: Column) -> Column:

@@ -75,6 +75,13 @@ def stream_user_state(spark, sf_dir):
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
+@stream("stream_reminders", "SELECT user_id, event_id AS id FROM events WHERE value < 10")
+def stream_reminders(spark, sf_dir):
+    s = st.event_stream(spark, sf_dir)
+    polls = s.union(s).select("user_id", F.col("event_id").alias("id"), F.col("value").alias("due"), F.lit(9.9999999).alias("now"))  # polled twice
+    return st.drain(st.fire_once(polls)).select("user_id", "id")
+
+
 @query("due_reminders", "SELECT event_id FROM events WHERE ts + to_seconds(value::BIGINT) <= TIMESTAMP '2024-01-10 00:00:00' AND event_type <> 'error'")
 def due_reminders(t):
     deadline = F.timestamp_micros(F.unix_micros("ts") + F.bround("value").cast("long") * 1_000_000)

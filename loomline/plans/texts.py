@@ -62,12 +62,13 @@ def text_slug(t):
 
 
 def _hits(lang):
-    return F.size(F.filter(tx.tokens(F.col("text"), tx.WORD), lambda w: w.isin(*tx.STOPWORDS[lang])))
+    return F.size(F.filter("w", lambda w: w.isin(*tx.STOPWORDS[lang])))
 
 
 @query("text_script_guess", "WITH k AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), h AS (SELECT doc_id, lang, len(w) AS n, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in ws)}))) AS {k}" for k, ws in tx.STOPWORDS.items()) + ") FROM k), g AS (SELECT lang, CASE WHEN n < 4 THEN 'short' WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr' WHEN de >= es THEN 'de' ELSE 'es' END AS guess FROM h) SELECT lang, guess, count(*)::BIGINT AS n FROM g GROUP BY lang, guess".replace(") FROM k)", " FROM k)"))
 def text_script_guess(t):
-    d = t("documents").select("lang", F.size(tx.tokens(F.col("text"), tx.WORD)).alias("n"), *[_hits(k).alias(k) for k in tx.STOPWORDS])
+    d = t("documents").select("lang", tx.tokens(F.col("text"), tx.WORD).alias("w"))
+    d = d.select("lang", F.size("w").alias("n"), *[_hits(k).alias(k) for k in tx.STOPWORDS])
     guess = F.when(F.col("n") < 4, "short").when(F.col("en") >= F.greatest("fr", "de", "es"), "en").when(F.col("fr") >= F.greatest("de", "es"), "fr").when(F.col("de") >= F.col("es"), "de").otherwise("es")
     return d.groupBy("lang", guess.alias("guess")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -140,3 +141,13 @@ def text_preview(t):
 def symbol_spans(t):
     found = F.regexp_extract_all(tx.strip_accents(F.lower("text")), F.lit(r"[a-z0-9_]+(?:\(\))?|[#%*+/=<>-]+"), F.lit(0))
     return t("documents").select("doc_id", F.size(F.array_distinct(found)).cast("long").alias("n"))
+
+
+@query("bpe_tokens")
+def bpe_tokens(t):
+    from loomline.functions import tokenizers as tk
+
+    import public_tokenizers
+
+    ids = tk.encode(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return t("benchmark").select("item_id", ids.alias("ids")).select("item_id", F.size("ids").cast("long").alias("n"), F.array_max("ids").alias("top"))

@@ -78,6 +78,29 @@ def user_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(fold, TOTALS, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+FIRED = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("id", T.LongType())])
+
+
+def fire_once(stream: DataFrame) -> DataFrame:
+    """Reminders (user_id, id, due, now) that are due, each once for ever: the ids that have fired are kept in the state
+    store by user, so a restart or a repeated poll does not fire them again."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def poll(key, frames, state):
+        import pandas as pd
+
+        fired = set(state.get[0]) if state.exists else set()
+        new = []
+        for f in frames:
+            ids = f.loc[f["due"] <= f["now"], "id"]
+            new += [i for i in dict.fromkeys(ids.tolist()) if i not in fired]
+            fired |= set(new)
+        state.update((sorted(fired),))
+        yield pd.DataFrame({"user_id": [key[0]] * len(new), "id": new}, dtype="int64")
+
+    return stream.groupBy("user_id").applyInPandasWithState(poll, FIRED, "fired array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def ttl_hits(log: DataFrame, key: str, seconds: int) -> DataFrame:
     """hit: the entry before of the same key is at most so old."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")

@@ -171,3 +171,39 @@ def test_running_sums_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         got.append([tuple(r) for r in corpus.running(df, F.col("v"), "id", "s").orderBy("id").select("id", "s").collect()])
     assert got[0] == got[1] and got[0][-1][1] == sum(i % 7 for i in range(500))
+
+
+def test_dataset_versions(spark, tmp_path):
+    from loomline.sources import datasets
+
+    msg = [("user", "q"), ("assistant", "a")]
+    rows = [(f"{i:016x}", "teacher-x" if i % 3 else None, msg) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, origin string, messages array<struct<role:string,content:string>>")
+    path = "file://" + str(tmp_path)
+    m = datasets.build_dataset(df, path)
+    assert (m["version"], m["train_examples"], m["val_examples"], m["by_origin"]) == (1, 36, 4, {"curated": 14, "teacher": 26})
+    (tmp_path / "v0002").mkdir()  # a run that died
+    assert datasets.build_dataset(df, path)["version"] == 2
+    assert datasets.read_dataset(spark, path, 2, "val").count() == 4
+    only_val = df.where("id = '0000000000000000'")
+    assert datasets.build_dataset(only_val, path)["train_examples"] == 1
+
+
+def test_token_parts_resume(spark, tmp_path):
+    from loomline.sources import datasets
+
+    path = "file://" + str(tmp_path)
+    df = spark.createDataFrame([(1, [1, 2], "train"), (2, [3], "val")], "doc_id long, ids array<int>, split string")
+    assert datasets.write_part(df, path, "web", 0.3) and not datasets.write_part(df, path, "web")
+    assert [tuple(r) for r in datasets.parts(spark, path).collect()] == [("web", 2, 2, 1, 0.3)]
+
+
+def test_tokenizer_round_trip(spark):
+    import public_tokenizers
+
+    from loomline.functions import tokenizers as tk
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    df = col(spark, "string", ["Hello, wörld", "", None])
+    ids = df.select("i", tk.encode(F.col("c"), file).alias("c"))
+    assert out(ids, tk.decode(F.col("c"), file)) == ["Hello, wörld", "", None]
