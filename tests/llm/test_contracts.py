@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import docs_of
+from edge import docs_of
 
 from loomline.llm import decontaminate, langid, lmscore, packing, privacy, registry, sharding, simhash
 
