@@ -207,3 +207,19 @@ def test_tokenizer_round_trip(spark):
     df = col(spark, "string", ["Hello, wörld", "", None])
     ids = df.select("i", tk.encode(F.col("c"), file).alias("c"))
     assert out(ids, tk.decode(F.col("c"), file)) == ["Hello, wörld", "", None]
+
+
+def test_search_modes(spark):
+    docs = spark.createDataFrame([(1, "lathe turning tools and inserts"), (2, "milling tools for steel"), (3, "capital of France is Paris"), (4, "steelworks")], "doc_id int, text string")
+    ids = lambda mode: [r.doc_id for r in retrieval.search(docs, "milling steel", 3, mode).collect()]
+    assert ids("semantic") == [2] and ids("keyword") == [2, 4] and ids("hybrid") == [2, 4]
+    with pytest.raises(ValueError, match="no such mode"):
+        retrieval.search(docs, "x", 1, "other")
+
+
+def test_command_line(spark, capsys):
+    from loomline.__main__ import main
+
+    assert main(["list"]) == 0 and "curation_manifest" in capsys.readouterr().out
+    assert main(["run", "setops_union", "/root/testdata/sf0.001"]) == 0
+    assert main(["sql", "setops_union"]) == 0 and "UNION" in capsys.readouterr().out
