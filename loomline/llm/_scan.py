@@ -95,7 +95,14 @@ def runs(cls, kinds):
     return at[keep], ends[keep], kind[keep]
 
 
-def groups(raws: list[bytes], limit: int = 1 << 21):
+def slices(batches, rows: int = 1024):
+    """Arrow batches in parts of a bounded number of rows, so that a worker holds few texts as Python objects."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
+def groups(raws: list[bytes], limit: int = 1 << 19):
     """Indices of consecutive texts of together about `limit` bytes; a longer text comes alone."""
     at, size = [], 0
     for i, r in enumerate(raws):

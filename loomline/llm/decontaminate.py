@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             import pyarrow as pa
 
             m = Matcher(bench.value)
-            for b in batches:
+            for b in _scan.slices(batches):
                 out = []
                 for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                     if raw:
@@ -212,7 +212,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             import pyarrow as pa
 
             m = Matcher(bench.value)
-            for b in batches:
+            for b in _scan.slices(batches):
                 yield b.filter(pa.array([not (r and m.match(r)) for r in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

@@ -172,7 +172,7 @@ def identify(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
         import pyarrow as pa
 
         scorer = Scorer(model.value) if model.value else None
-        for b in batches:
+        for b in _scan.slices(batches):
             names, scores = predictions(b.column(2).cast(pa.binary()).to_pylist(), scorer)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -193,7 +193,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         scorer = Scorer(model.value) if model.value else None
-        for b in batches:
+        for b in _scan.slices(batches):
             names, _ = predictions(b.column(at).cast(pa.binary()).to_pylist(), scorer)
             yield b.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 

@@ -109,9 +109,8 @@ class WordTokenizer:
         self.first = np.concatenate([self.first, len(self.flat) + np.concatenate([[0], stops[:-1]])])
         self.lens = np.concatenate([self.lens, np.diff(stops, prepend=0)])
         self.flat = np.concatenate([self.flat, *ids])
-        keys, at = np.concatenate([self.keys, hashes]), np.concatenate([self.at, np.arange(n, n + len(words))])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], at[order]
+        spot = np.searchsorted(self.keys, hashes)  # both are sorted
+        self.keys, self.at = np.insert(self.keys, spot, hashes), np.insert(self.at, spot, np.arange(n, n + len(words)))
 
     def _plain(self, raws: list[bytes]):
         """Ids of plain lower-case texts: flat, and their bounds by text."""
@@ -256,7 +255,7 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
 
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         tok, packer = WordTokenizer(file), Packer(max_tokens, max_segments, max_tokens, cut=True)
-        rows, n_seq, tokens = [], 0, {}
+        rows, parts, n_seq, tokens = [], [], 0, {}
 
         def close(seq):
             nonlocal n_seq
@@ -264,8 +263,9 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
             for tag, start, n in seq:
                 doc_id, arr, left = tokens[tag]
                 part = arr[start : start + n]
-                row = (doc_id, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(arr), base + n_seq, at, n - (start == 0))
-                rows.append(row + (part.tolist(),) if ids else row)
+                rows.append((doc_id, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(arr), base + n_seq, at, n - (start == 0)))
+                if ids:
+                    parts.append(part.astype(np.int32))
                 at += n
                 if left == n:
                     del tokens[tag]
@@ -276,28 +276,28 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"] + ["ids"] * ids
 
         def flush():
-            cols = list(zip(*rows))
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            if ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate(parts))))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if i == 8 else pa.int64()) for i, c in enumerate(cols)], names=names)
+            parts.clear()
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         tag = 0
-        for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1)
-            for s in range(0, len(doc_ids), 1024):
-                part = [t or "" for t in texts.slice(s, 1024).to_pylist()]
-                for doc_id, arr in zip(doc_ids[s : s + 1024], tok.encode(part)):
-                    arr = np.append(arr, np.uint32(END))
-                    tokens[tag] = [doc_id, arr, len(arr)]
-                    whole = len(arr) // max_tokens * max_tokens
-                    for at in range(0, whole, max_tokens):
-                        close([(tag, at, max_tokens)])
-                    if whole < len(arr):
-                        n = len(arr) - whole
-                        if (seq := packer.add(n, n - (whole == 0), tag, whole)) is not None:
-                            close(seq)
-                    tag += 1
-                if len(rows) > 4096:
-                    yield flush()
+        for b in _scan.slices(batches, 512):
+            for doc_id, arr in zip(b.column(0).to_pylist(), tok.encode([t or "" for t in b.column(1).to_pylist()])):
+                arr = np.append(arr, np.uint32(END))
+                tokens[tag] = [doc_id, arr, len(arr)]
+                whole = len(arr) // max_tokens * max_tokens
+                for at in range(0, whole, max_tokens):
+                    close([(tag, at, max_tokens)])
+                if whole < len(arr):
+                    n = len(arr) - whole
+                    if (seq := packer.add(n, n - (whole == 0), tag, whole)) is not None:
+                        close(seq)
+                tag += 1
+            if len(rows) > 512:
+                yield flush()
         for seq in packer.rest():
             if packer.items:
                 close(seq)

@@ -96,7 +96,7 @@ def _base_batches(batches):
     import xxhash
 
     find, near_type = Finder(), pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("thash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())]))
-    for b in batches:
+    for b in _scan.slices(batches):
         cols = [[] for _ in range(6)]
         for t in b.column(2).to_pylist():
             spans = find.spans(t) if t else []
@@ -118,7 +118,7 @@ def _frequency_batches(batches):
         keys, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(inv, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    for b in batches:
+    for b in _scan.slices(batches):
         raws = [r for r in b.column(0).cast(pa.binary()).to_pylist() if r]
         for at in _scan.groups(raws):
             buf = np.frombuffer(b"\n".join(raws[i] for i in at), np.uint8)
@@ -202,7 +202,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         find = Finder()
-        for b in batches:
+        for b in _scan.slices(batches):
             texts = []
             for t, further in zip(b.column(at).to_pylist(), b.column(n).to_pylist()):
                 base = joined(find.spans(t)) if t else ""

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline import cluster
+from loomline.llm import _scan
 
 cluster.ship_by_value(__name__)
 
@@ -56,7 +57,7 @@ def _fingerprint_batches(batches):
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _scan.slices(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         found = np.fromiter((fingerprint(t) if t else 0 for t in texts), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
