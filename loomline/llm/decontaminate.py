@@ -68,14 +68,16 @@ class Template:
         gap = np.empty(len(starts), bool)  # a sentence ends between the token before and this one
         gap[0] = True
         gap[1:] = stop[starts[1:]] > stop[ends[:-1]]
-        b0 = buf[starts]
-        b1 = buf[np.minimum(starts + 1, len(buf) - 1)]
-        upper = (b0 >= 65) & (b0 <= 90) | (b0 == 0xC3) & (b1 >= 0x80) & (b1 <= 0x9E)
-        second = np.where(b0 == 0xC3, np.minimum(starts + 2, len(buf) - 1), np.minimum(starts + 1, len(buf) - 1))
-        shout = (ends - starts > 1) & (buf[second] >= 65) & (buf[second] <= 90)
+        padded = np.concatenate([buf, np.zeros(4, np.uint8)])
+
+        def upper(i):
+            return (padded[i] >= 65) & (padded[i] <= 90) | (padded[i] == 0xC3) & (padded[i + 1] >= 0x80) & (padded[i + 1] <= 0x9E)
+
+        second = starts + np.where(buf[starts] >= 0xC0, 2, 1)
+        name = upper(starts) & (second < ends) & ~upper(second)  # not single letters, nor words in capitals
         slot = np.zeros(len(starts), np.uint8)
         slot[kind == _scan.DIGIT] = 1
-        slot[(kind == _scan.LETTER) & upper & ~gap & ~shout] = 2
+        slot[(kind == _scan.LETTER) & name & ~gap] = 2
         after = np.concatenate([[False], kind[:-1] == _scan.DIGIT]) & ~gap
         slot[after & (kind == _scan.LETTER) & np.isin(h, self.units)] = 3
         return h, slot, starts, ends
