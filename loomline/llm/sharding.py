@@ -1,8 +1,9 @@
 """Longest-processing-time sharding: groups that must stay together, largest first, each to the least loaded shard.
 
 Only sizes matter to the heap, so it runs over the distinct group sizes and their counts, not over the groups: sizes that
-differ and sum to B bytes are at most sqrt(2 B) many (14 million for 100 TB), which is what the driver holds. All groups
-of one size are placed in one step: where there are more of them than shards, the heap's outcome for equal items is
+differ and sum to B bytes are at most sqrt(2 B) many (14 million for 100 TB). They come to the driver as a sorted stream
+and their places are written in blocks of BLOCK sizes, so it holds one block and the loads. All groups of one size are
+placed in one step: where there are more of them than shards, the heap's outcome for equal items is
 computed by filling the shards to a level. Which group gets which place is its gapless rank within its size.
 
 Law: `bytes`. Groups are equal texts (a null text is a group of its own, apart from the empty text).
@@ -24,6 +25,8 @@ SHARDS = 40
 OVERHEAD = 16
 #: Groups of one size, or rows of one shard, that are ranked in one task on average.
 RANKED = 20_000
+#: Sizes whose places the driver holds at a time, and runs (about 40 bytes each) up to which the places are broadcast.
+BLOCK, BROADCAST_RUNS = 50_000, 500_000
 
 
 def place_equal(loads: list[int], size: int, count: int) -> list[int]:
@@ -46,36 +49,53 @@ def place_equal(loads: list[int], size: int, count: int) -> list[int]:
     return given
 
 
-def plan(sizes: list[tuple[int, int]], shards: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], list[int]]:
-    """For (size, groups of that size): by size, (shard, rank below which groups go there) in order; and the loads."""
-    loads, out = [0] * shards, []
-    for size, count in sorted(sizes, reverse=True):
+def plan(sizes, shards: int):
+    """For (size, groups of that size) in falling order of size: (size, runs), where runs are (shard, rank below which
+    groups go there) in order."""
+    loads = [0] * shards
+    for size, count in sizes:
         upto, runs = 0, []
         for j, n in enumerate(place_equal(loads, size, count)):
             if n:
                 upto += n
                 runs.append((j, upto))
                 loads[j] += n * size
-        out.append((size, runs))
-    return out, loads
+        yield size, runs
+
+
+def places(counted: DataFrame, shards: int) -> DataFrame:
+    """bytes and runs, from one row a size with bytes and n."""
+    spark, schema = counted.sparkSession, "bytes long, runs array<struct<shard:int,upto:long>>"
+    path, block, n_runs, blocks = None, [], 0, 0
+
+    def put():
+        nonlocal path, blocks
+        path = path or cluster.scratch_path(spark, "places")
+        spark.createDataFrame(block, schema).write.mode("append").parquet(path)
+        block.clear()
+        blocks += 1
+
+    for size, runs in plan(((r.bytes, r.n) for r in counted.orderBy(F.desc("bytes")).toLocalIterator()), shards):
+        block.append((size, runs))
+        n_runs += len(runs)
+        if len(block) >= BLOCK:
+            put()
+    if blocks:
+        put()
+    table = spark.read.schema(schema).parquet(path) if blocks else spark.createDataFrame(block, schema)
+    return F.broadcast(table) if n_runs <= BROADCAST_RUNS else table
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row."""
-    spark = docs.sparkSession
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + OVERHEAD).alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.coalesce(F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256)), F.unhex(F.lit(""))).alias("key"))
     own = cluster.materialize(own, "rows")
     groups = cluster.materialize(own.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "groups")
-    counted = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).collect()
-    total = sum(r.rows for r in counted)
-    where, _ = plan([(r.bytes, r.n) for r in counted], shards)
-    table = spark.createDataFrame([(s, runs) for s, runs in where], "bytes long, runs array<struct<shard:int,upto:long>>")
-    buckets = max(1, -(-max((r.n for r in counted), default=1) // RANKED))
-    ranked = cluster.gapless_rank(groups, ["bytes"], [F.col("key")], "rank", buckets)
-    # at most min(groups, shards) runs a size, of 12 bytes: broadcast while that is known to be small
-    runs = sum(len(r) for _, r in where)
-    table = F.broadcast(table) if runs <= 1_000_000 else table
+    counted = cluster.materialize(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")), "sizes")
+    total, most = counted.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    table = places(counted, shards)
+    ranked = cluster.gapless_rank(groups, ["bytes"], [F.col("key")], "rank", max(1, -(-most // RANKED)))
     placed = ranked.join(table, "bytes").select("key", "copies", F.filter("runs", lambda r: r["upto"] > F.col("rank"))[0]["shard"].alias("shard"))
     rows = cluster.lookup(own, placed, "key", "copies", total, F.struct("doc_id", "text_crc32"))
     rows = cluster.materialize(rows.select("doc_id", "size", "text_crc32", "shard"), "placed")

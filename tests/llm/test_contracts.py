@@ -442,3 +442,12 @@ def test_ledger_is_idempotent_and_additive(spark, tmp_path):
     assert not ledger.commit("2", load)
     got = sorted(map(tuple, rollup.Ledger(spark, "file://" + str(tmp_path)).totals().collect()))
     assert got == [("a", "en", "v1", 1, 5), ("a", "en", "v2", 1, 12)]
+
+
+def test_op6_places_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(s, s % 5 + 1) for s in range(1, 101)], "bytes long, n long")
+    rows = lambda d: sorted((r.bytes, [tuple(x) for x in r.runs]) for r in d.collect())
+    whole = rows(sharding.places(df, 7))
+    monkeypatch.setattr(sharding, "BLOCK", 9)
+    monkeypatch.setattr(sharding, "BROADCAST_RUNS", 1)
+    assert rows(sharding.places(df, 7)) == whole and len(whole) == 100
