@@ -9,7 +9,12 @@ A grid cell with more than CELL fingerprints is not expanded into pairs. Its mem
 each fingerprint names the 65 values within one bit of it, and two fingerprints share such a value if and only if they
 differ in 2 bits or fewer. A value has at most 65 fingerprints, so the work stays proportional to the fingerprints.
 
-Defined cases: null or empty text and text without a word have fingerprint 0, which links like any other; repeated rows
+The pipeline stage looks wider: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more differ in
+about 10 of 64 bits, too many for a grid of fingerprints. Its candidates share a band of minima of the shingle hashes, and
+the similarity of each candidate pair is counted from the sets.
+
+Defined cases: null or empty text and text without a word have fingerprint 0, which links like any other, and
+are copies of each other in the stage; repeated rows
 stay repeated; a null doc_id is kept and never is a component_id unless a component has no other; an empty table gives an
 empty result; columns other than doc_id and text are not read.
 """
@@ -20,6 +25,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomline import cluster
 from loomline.llm import _scan
@@ -31,6 +37,10 @@ RADIUS = 2
 CELL = 32
 SHINGLE = 3
 SEED = 42
+#: Near copies of the pipeline stage: words of a shingle, least Jaccard similarity of the sets of shingles, bands of minima.
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Keys of a cell that all others are compared with in the first round; candidates are broadcast up to this number.
+LEADERS, BROADCAST_KEYS = 8, 1_000_000
 
 
 def fingerprint(raw: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
@@ -131,29 +141,142 @@ def components(edges: DataFrame, total: int) -> DataFrame:
         state = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long) and component_id of each row of docs."""
-    own = cluster.materialize(fingerprints(docs), "fingerprints")
-    distinct = cluster.materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "distinct")
-    n, total = distinct.count(), own.count()
-    labels = components(links(distinct, n), n)
-    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "rep", "rows", F.coalesce("label", "fp").alias("label"), F.col("label").isNotNull().alias("linked"))
+def _named(own: DataFrame, distinct: DataFrame, labels: DataFrame, n: int, key: str) -> DataFrame:
+    """own with component_id, the least doc_id of the component of its key. distinct: key, rep and rows; labels: node, label."""
+    named = distinct.join(labels, distinct[key] == labels.node, "left").select(key, "rep", "rows", F.coalesce("label", key).alias("label"), F.col("label").isNotNull().alias("linked"))
     named = cluster.materialize(named, "named")
     least = named.where("linked").groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("fps"))
-    linked = cluster.lookup(named.where("linked"), least, "label", "fps", n, F.col("fp")).select("fp", "rows", "component_id")
-    alone = named.where("not linked").select("fp", "rows", F.col("rep").alias("component_id"))
-    return cluster.lookup(own, linked.unionByName(alone), "fp", "rows", total, F.col("doc_id"))
+    linked = cluster.lookup(named.where("linked"), least, "label", "fps", n, F.col(key)).select(key, "rows", "component_id")
+    alone = named.where("not linked").select(key, "rows", F.col("rep").alias("component_id"))
+    return cluster.lookup(own, linked.unionByName(alone), key, "rows", own.count(), F.col("doc_id"))
+
+
+def close_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed long) and component_id, by fingerprints within RADIUS, of each row of docs."""
+    own = cluster.materialize(fingerprints(docs), "fingerprints")
+    distinct = cluster.materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "distinct")
+    n = distinct.count()
+    return _named(own, distinct, components(links(distinct, n), n), n, "fp")
+
+
+def shingle_set(raw: bytes, k: int = WORDS, seed: int = SEED):
+    """XXH64 of the words (a key that texts with the same words share) and the sorted distinct XXH64 of their k-word shingles."""
+    import numpy as np
+    import xxhash
+
+    words = raw.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
+    text, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if not words:
+        return digest(text, seed), np.zeros(0, np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(k, len(words))
+    return digest(text, seed), np.unique(np.fromiter((digest(text[s:e], seed) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1))
+
+
+def band_keys(shingles):
+    """One hash a band of ROWS minima of a set of shingle hashes; sets of similarity 0.8 share none with probability 7e-5."""
+    import numpy as np
+
+    r = np.random.Generator(np.random.PCG64(SEED))
+    mul, add = r.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
+    weights = r.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 4096):
+            least = np.minimum(least, (shingles[at : at + 4096, None] * (mul | np.uint64(1)) + add).min(axis=0))
+        return _scan.mix((least.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def _sketch_batches(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in _scan.slices(batches):
+        made = [shingle_set(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        keys = np.array([k for k, _ in made], np.uint64).view(np.int64)
+        bands = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for _, s in made]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(s) for _, s in made], pa.int64()), _lists(bands)], names=["doc_id", "key", "n", "bands"])
+
+
+def _set_batches(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in _scan.slices(batches):
+        made = [shingle_set(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        keys = np.array([k for k, _ in made], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), _lists([s.view(np.int64) for _, s in made])], names=["key", "shingles"])
+
+
+def _lists(arrays):
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs u, v of keys whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    total = pairs.count()
+    for side in ("u", "v"):
+        uses = pairs.groupBy(F.col(side).alias("key")).agg(F.count(F.lit(1)).alias("uses"))
+        dim = sets.join(uses, "key").select(F.col("key").alias(side), "uses", F.col("shingles").alias(f"s{side}"))
+        pairs = cluster.lookup(pairs, dim, side, "uses", total, F.col("v" if side == "u" else "u"))
+    both = F.size(F.array_intersect("su", "sv"))
+    return pairs.where(both >= SIMILARITY * (F.size("su") + F.size("sv") - both)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, key and component_id of each row of docs, by Jaccard similarity of WORDS-word shingles.
+
+    Keys that share a band are candidates. In each round the LEADERS first keys of a band's cell (by least doc_id) are
+    compared with all others in it; of each component only the first key goes on, with twice as many leaders. When no
+    cell has more keys than leaders, all pairs of the first keys were compared, so no two of them are similar."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketches = cluster.materialize(texts.mapInArrow(_sketch_batches, "doc_id long, key long, n long, bands array<long>"), "sketches")
+    own = sketches.select("doc_id", "key")
+    distinct = cluster.materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+    n_keys = distinct.count()
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "key").alias("o")
+    cells = distinct.select("key", "n", order, F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    cells = cluster.materialize(cells.join(shared.select("cell"), "cell", "left_semi"), "cells")
+    wanted = cells.select("key").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    sets = cluster.materialize(texts.select("text").mapInArrow(_set_batches, "key long, shingles array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    edges, labels, leaders = None, None, LEADERS
+    while True:
+        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        top = sizes.agg(F.max("size")).first()[0] or 0
+        if top:
+            first = cells.select("cell", "o", "n", F.row_number().over(Window.partitionBy("cell").orderBy("o")).alias("r")).where(F.col("r") <= leaders)
+            first = first.groupBy("cell").agg(F.collect_list(F.struct("o", "n")).alias("first")).join(sizes, "cell")
+            found = cluster.lookup(cells, first, "cell", "size", cells.count(), F.col("key")).select("o", "n", F.explode("first").alias("l"))
+            fit = (F.col("l.o") < F.col("o")) & (F.least("n", "l.n") >= SIMILARITY * F.greatest("n", "l.n"))
+            pairs = cluster.materialize(found.where(fit).select(F.col("l.o.key").alias("u"), F.col("o.key").alias("v")).distinct(), "pairs")
+            new = cluster.materialize(similar(pairs, sets), "similar")
+            edges = new if edges is None else edges.unionByName(new)
+            labels = cluster.materialize(components(edges, n_keys), "components")
+        if top <= leaders + 1:
+            break
+        heads = labels.join(distinct, labels.node == distinct.key).select("label", order).groupBy("label").agg(F.min("o").alias("o"))
+        gone = labels.select(F.col("node").alias("key")).join(heads.select(F.col("o.key").alias("key")), "key", "left_anti")
+        cells = cluster.materialize(cells.join(gone, "key", "left_anti"), "cells")
+        leaders *= 2
+    if labels is None:
+        labels = own.sparkSession.createDataFrame([], "node long, label long")
+    return _named(own, distinct.select("key", "rep", "rows"), labels, n_keys, "key")
 
 
 def query(spark, sf_dir):
-    found = near_duplicates(cluster.table(spark, sf_dir, "documents"))
+    found = close_fingerprints(cluster.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id stays; of rows that share it, one."""
-    from pyspark.sql.window import Window
-
     own = near_duplicates(docs)
     keep = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")

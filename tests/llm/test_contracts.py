@@ -451,3 +451,35 @@ def test_op6_places_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK", 9)
     monkeypatch.setattr(sharding, "BROADCAST_RUNS", 1)
     assert rows(sharding.places(df, 7)) == whole and len(whole) == 100
+
+
+def test_near_dedup_removes_near_copies(spark):
+    """Planted copies with 1, 3 and 5 of 300 words changed, a large group of them, and boilerplate that is no copy."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(4))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    jaccard = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+    def changed(text, n):
+        w = text.split()
+        for i in r.sample(range(5, 295), n):
+            w[i] = word()
+        return " ".join(w)
+
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, copies, i = [], set(), 0
+    for n in (1, 3, 5) * 20:
+        text = prose(300)
+        copy = changed(text, n)
+        rows += [(i, text), (i + 1, copy)]
+        copies |= {i + 1} if jaccard(text, copy) >= 0.8 else set()
+        i += 2
+    text, shared = prose(300), prose(150)
+    group = [(1000 + k, changed(text, 2) if k else text) for k in range(60)]
+    boiler = [(2000 + k, f"{prose(75)} {shared} {prose(75)}") for k in range(60)]
+    df = spark.createDataFrame(rows + group + boiler + [(3000, ""), (3001, None), (3002, "two words"), (3003, "Two  words")], "doc_id long, text string")
+    left = {x.doc_id for x in simhash.stage(spark, df, "").select("doc_id").collect()}
+    want = {d for d, _ in rows + boiler} - copies | {1000, 3000, 3002}
+    assert len(copies) > 50 and left == want
