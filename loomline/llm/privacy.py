@@ -3,12 +3,12 @@
 Spans of e-mail addresses, IP addresses, card and phone numbers are found by pattern. Their values are the protected
 entities. For each entity e and each term t within NEAR words of it, the corpus gives document frequencies: p(e), p(t) and
 p(e, t). What t tells of e is the pointwise mutual information ln p(e, t) / (p(e) p(t)); what there is to tell is the
-information content -ln p(e). A term whose share PMI / IC is REMOVE or more is removed near e; from GENERALISE on it is
-generalised to a placeholder of its kind. A pair counts only if it was seen in SUPPORT different surroundings, so a copied
+information content -ln p(e). A term whose share PMI / IC is REMOVE or more is removed wherever it stands in a text with e; from
+GENERALISE on it is generalised to a placeholder of its kind. A pair counts only if it was seen in SUPPORT different surroundings, so a copied
 passage or a single rare word is no evidence.
 
-Pairs and frequencies are counted in Spark over all documents; occurrences are joined with the flagged pairs, and only
-documents with flagged terms get further spans.
+Pairs and frequencies are counted in Spark over all documents; the entities of each document are joined with the flagged
+pairs, and documents with flagged terms are searched for them as a whole.
 
 Defined cases: null and empty texts have no spans; repeated rows get equal results (and count each in the frequencies);
 a null doc_id is kept; an empty table gives an empty result; texts of any length are read whole.
@@ -84,11 +84,26 @@ class Finder:
                     yield f"{kind}:{t[s:e].lower()}", m[0].lower(), m.start(), m.end(), around
 
 
+    def places(self, t: str, spans, actions: dict[str, str]):
+        """(action, start, end) of all terms in actions that stand outside all spans."""
+        taken, at = [], 0
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if taken and s < taken[-1][1]:
+                taken[-1] = taken[-1][0], max(e, taken[-1][1])
+            else:
+                taken.append((s, e))
+        for m in self.term.finditer(t):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if m[0].lower() in actions and not (at < len(taken) and taken[at][0] < m.end()):
+                yield actions[m[0].lower()], *m.span()
+
+
 def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-BASE = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,thash:long,start:int,end:int,around:long>>"
+BASE = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, near array<struct<entity:string,term:string,thash:long,start:int,end:int,around:long>>"
 
 
 def _base_batches(batches):
@@ -97,29 +112,46 @@ def _base_batches(batches):
 
     find, near_type = Finder(), pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("thash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())]))
     for b in _scan.slices(batches):
-        cols = [[] for _ in range(6)]
+        cols = [[] for _ in range(7)]
         for t in b.column(2).to_pylist():
             spans = find.spans(t) if t else []
             for c, k in zip(cols, KINDS):
                 c.append(sum(x[0] == k for x in spans))
             cols[4].append(joined(spans))
-            cols[5].append([{"entity": e, "term": w, "thash": _scan.word_hash(w.encode()), "start": s, "end": z, "around": xxhash.xxh64_intdigest(around) >> 1} for e, w, s, z, around in find.near(t, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], near_type)], names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+            cols[5].append(sorted({f"{k}:{t[s:e].lower()}" for k, s, e in spans}))
+            cols[6].append([{"entity": e, "term": w, "thash": _scan.word_hash(w.encode()), "start": s, "end": z, "around": xxhash.xxh64_intdigest(around) >> 1} for e, w, s, z, around in find.near(t, spans)] if spans else [])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(pa.string())), pa.array(cols[6], near_type)], names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near"])
 
 
 def _frequency_batches(batches):
-    """Partial document frequencies of all terms of a partition, by hash."""
+    """Partial document frequencies of all terms of a partition, by hash. ASCII texts are scanned as bytes, where runs of
+    letters are the terms; others by the pattern of Finder.near and with its lower case."""
+    from collections import Counter
+
     import numpy as np
     import pyarrow as pa
 
-    hasher, cls, own = _scan.Hasher(), _scan.byte_classes(), []
+    hasher, cls, own, term, words = _scan.Hasher(), _scan.byte_classes(), [], Finder().term, Counter()
 
     def merged(parts):
         keys, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(inv, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
+    def counted():
+        raws = [w.encode() for w in words]
+        ends = np.cumsum([len(r) + 1 for r in raws]) - 1
+        h = hasher.spans(np.frombuffer(b"\n".join(raws), np.uint8), np.concatenate([[0], ends[:-1] + 1]), ends)
+        return merged([(h, np.fromiter(words.values(), np.int64, len(words)))])
+
     for b in _scan.slices(batches):
         raws = [r for r in b.column(0).cast(pa.binary()).to_pylist() if r]
+        for r in raws:
+            if not r.isascii():
+                words.update({w.lower() for w in set(term.findall(r.decode("utf-8", "replace")))})
+            if len(words) >= 100_000:
+                own.append(counted())
+                words.clear()
+        raws = [r for r in raws if r.isascii()]
         for at in _scan.groups(raws):
             buf = np.frombuffer(b"\n".join(raws[i] for i in at), np.uint8)
             starts, ends, _ = _scan.runs(cls[buf], [_scan.LETTER])
@@ -133,6 +165,8 @@ def _frequency_batches(batches):
             own.append(np.unique(h[first], return_counts=True))
             if len(own) >= 8:
                 own = [merged(own)]
+    if words:
+        own.append(counted())
     if own:
         keys, n = merged(own)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["thash", "df"])
@@ -152,6 +186,15 @@ def disclosing(near: DataFrame, frequencies: DataFrame, total: int) -> DataFrame
     return own.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
+def _place_batches(batches):
+    import pyarrow as pa
+
+    find = Finder()
+    for b in _scan.slices(batches):
+        more = [joined(find.places(t, find.spans(t), {x["term"]: x["action"] for x in terms})) for t, terms in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, pa.string())], names=["__d", "__k", "more"])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), counts by kind, base and more: base spans and further spans, each as text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
@@ -159,10 +202,13 @@ def find(docs: DataFrame) -> DataFrame:
     near = base.where(F.size("near") > 0).select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
     frequencies = cluster.materialize(docs.select(F.col("text").cast("string")).mapInArrow(_frequency_batches, "thash long, df long").groupBy("thash").agg(F.sum("df").alias("df")), "frequencies")
     flagged = disclosing(near, frequencies, base.count())
-    spans = near.join(flagged, ["entity", "term"]).select("doc_id", "key", F.struct("start", F.negative(F.ascii("action")).alias("o"), "end", "action").alias("s")).distinct()
-    # a place near two entities has its strongest action: 'remove' sorts first
-    one = spans.groupBy("doc_id", "key", F.col("s.start").alias("start")).agg(F.min("s").alias("s"))
-    more = one.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("s")).alias("more")).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.array_join(F.transform("more", lambda s: F.concat(s["action"], F.lit(":"), s["start"], F.lit(":"), s["end"])), ",").alias("more"))
+    # a term of two entities has its strongest action
+    held = base.where(F.size("entities") > 0).select("doc_id", "key", F.explode("entities").alias("entity")).join(flagged, "entity")
+    terms = held.groupBy("doc_id", "key", "term").agg(F.max("action").alias("action")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("term", "action")).alias("terms"))
+    terms = cluster.materialize(terms.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "terms"), "terms")
+    few = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    texts = rows.join(few, (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("__d", "__k", "text", "terms")
+    more = texts.mapInArrow(_place_batches, "__d long, __k long, more string").where("more <> ''").distinct()
     more = cluster.materialize(more, "more")
     more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
     found = base.join(more, (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")

@@ -483,3 +483,22 @@ def test_near_dedup_removes_near_copies(spark):
     left = {x.doc_id for x in simhash.stage(spark, df, "").select("doc_id").collect()}
     want = {d for d, _ in rows + boiler} - copies | {1000, 3000, 3002}
     assert len(copies) > 50 and left == want
+
+
+def test_op5_terms_far_from_the_entity_and_beyond_latin1(spark):
+    """A flagged name goes wherever it stands in a text with its address, also if no place in that text is near; names that
+    are always capitalised beyond Latin-1 or in typographic quotes are flagged."""
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(3))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    names = ["Quagmire", "Łukasz", "Анна", "“Marlowe”"]
+    rows = [(i, prose(30)) for i in range(2000)]
+    for k, name in enumerate(names):
+        rows += [(5000 + 100 * k + i, f"{prose(3)} {name} wrote from box{k}@host.example.com about {prose(40)} {name} {prose(2)}") for i in range(12)]
+        rows.append((5050 + 100 * k, f"box{k}@host.example.com {prose(60)} {name}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {x.doc_id: x.text for x in privacy.stage(spark, df, "").select("doc_id", "text").collect()}
+    assert not [d for d, t in clean.items() if any(n.strip("“”") in t for n in names)]
+    assert all(clean[d] == t for d, t in rows if d < 5000)
