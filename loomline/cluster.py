@@ -50,7 +50,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete the folders of materialized tables that nothing reads any more."""
+    for t in tables:
+        if (path := getattr(t, "_scratch", None)) if t is not None else None:
+            jvm = t.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, marked for broadcast if it was counted and has no more than so many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Column names like `names` that none of `columns` has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str, count: str, total: int, spread: Column) -> DataFrame:
