@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from loomline import cluster
+import sys
 
-cluster.ship_by_value(__name__)
+from pyspark import cloudpickle
+
+# Workers need not be able to import this module, nor anything of this package: no name of it may stay here.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -95,11 +98,23 @@ def runs(cls, kinds):
     return at[keep], ends[keep], kind[keep]
 
 
-def slices(batches, rows: int = 1024):
-    """Arrow batches in parts of a bounded number of rows, so that a worker holds few texts as Python objects."""
+def slices(batches, rows: int = 1024, size: int = 4 << 20):
+    """Arrow batches in parts of at most `rows` rows and about `size` bytes of strings (or one row), so that a worker
+    holds few texts as Python objects."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     for b in batches:
-        for s in range(0, b.num_rows, rows):
-            yield b.slice(s, rows)
+        lens = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+                lens += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, s = np.concatenate([[0], np.cumsum(lens)]), 0
+        while s < b.num_rows:
+            e = min(s + rows, max(s + 1, int(np.searchsorted(upto, upto[s] + size, "right")) - 1))
+            yield b.slice(s, e - s)
+            s = e
 
 
 def groups(raws: list[bytes], limit: int = 1 << 19):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from loomline.llm import decontaminate, hostrep, langid, lmscore, outliers, packing, privacy, rollup, sharding, simhash
 
 QUERIES = {
@@ -16,6 +15,5 @@ QUERIES = {
     "op8_popcount_simhash": simhash.query,
     "op9_ppm_language": langid.query,
     "op10_template_leaks": decontaminate.query,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_token_rollup": rollup.SQL, "op7_host_reputation": hostrep.SQL}

@@ -39,8 +39,8 @@ SHINGLE = 3
 SEED = 42
 #: Near copies of the pipeline stage: words of a shingle, least Jaccard similarity of the sets of shingles, bands of minima.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
-#: Keys of a cell that all others are compared with in the first round; candidates are broadcast up to this number.
-LEADERS, BROADCAST_KEYS = 8, 1_000_000
+#: Cells, candidates or decisions (under 50 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 300_000
 
 
 def fingerprint(raw: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
@@ -159,62 +159,126 @@ def close_fingerprints(docs: DataFrame) -> DataFrame:
     return _named(own, distinct, components(links(distinct, n), n), n, "fp")
 
 
-def shingle_set(raw: bytes, k: int = WORDS, seed: int = SEED):
-    """XXH64 of the words (a key that texts with the same words share) and the sorted distinct XXH64 of their k-word shingles."""
-    import numpy as np
-    import xxhash
-
-    words = raw.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
-    text, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if not words:
-        return digest(text, seed), np.zeros(0, np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(k, len(words))
-    return digest(text, seed), np.unique(np.fromiter((digest(text[s:e], seed) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1))
-
-
-def band_keys(shingles):
-    """One hash a band of ROWS minima of a set of shingle hashes; sets of similarity 0.8 share none with probability 7e-5."""
+class Shingler:
+    """64-bit hashes of k-word shingles of many texts at once, by prefix sums (see _scan)."""
+
+    def __init__(self, k: int = WORDS):
+        self.k, self.hasher, self.space = k, _scan.Hasher(), _scan.byte_classes() == _scan.SPACE
+
+    def words(self, raws: list[bytes]):
+        """Hashes of the words of all texts, A-Z lower-cased, and the bounds of each text's words."""
+        import numpy as np
+
+        hashes, counts, at, buffer = [], np.zeros(len(raws), np.int64), 0, []
+
+        def flush():
+            nonlocal buffer
+            if buffer:
+                buf = np.frombuffer(b"\n".join(r for _, r in buffer), np.uint8)
+                buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+                starts, ends, _ = _scan.runs(self.space[buf], [False])
+                hashes.append(self.hasher.spans(buf, starts, ends))
+                edges = np.cumsum([0] + [len(r) + 1 for _, r in buffer])
+                np.add.at(counts, [i for i, _ in buffer], np.diff(np.searchsorted(starts, edges)))
+                buffer = []
+
+        size = 0
+        for i, raw in enumerate(raws):
+            at = 0
+            while at < len(raw):  # very long texts in pieces that end at white space
+                end = min(len(raw), at + (1 << 20))
+                while end < len(raw) and not self.space[raw[end]]:
+                    end += 1
+                buffer.append((i, raw[at:end]))
+                size, at = size + end - at, end
+                if size > 1 << 19:
+                    flush()
+                    size = 0
+        flush()
+        return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([[0], np.cumsum(counts)])
+
+    def __call__(self, raws: list[bytes]):
+        """(key of the word sequence, shingle hashes, bounds of each text's shingles). Fewer than k words are one shingle."""
+        import numpy as np
+
+        h, bounds = self.words(raws)
+        counts, k = np.diff(bounds), self.k
+        base, add = np.uint64(_scan.BASE), np.uint64(0x9FB21C651E98DF25)
+        with np.errstate(over="ignore"):
+            self.hasher.grow(len(h) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((h + add) * self.hasher.powers[: len(h)])])
+            keys = _scan.mix((sums[bounds[1:]] - sums[bounds[:-1]]) * self.hasher.inverse[np.minimum(bounds[:-1], len(h))] + counts.astype(np.uint64))
+            windows = np.zeros(max(len(h) - k + 1, 0), np.uint64)
+            for j in range(k):
+                windows = windows * base + h[j : j + len(windows)]
+            n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+            to = np.concatenate([[0], np.cumsum(n)])
+            out = np.empty(to[-1], np.uint64)
+            full = np.flatnonzero(counts >= k)
+            spot = np.repeat(bounds[full] - to[full], n[full])
+            mine = np.repeat(counts >= k, n)
+            out[mine] = windows[np.flatnonzero(mine) + spot]
+            for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+                acc = np.uint64(counts[i])
+                for x in h[bounds[i] : bounds[i + 1]]:
+                    acc = acc * base + x
+                out[to[i]] = acc
+            return keys, _scan.mix(out), to
+
+
+def band_keys(shingles, bounds):
+    """One hash a band of ROWS minima of each set of shingle hashes, for texts with shingles (the other rows are 0). Sets of
+    similarity 0.8 share none of BANDS with probability 7e-5."""
     import numpy as np
 
     r = np.random.Generator(np.random.PCG64(SEED))
-    mul, add = r.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
-    weights = r.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    mul, add = (r.integers(0, 1 << 32, BANDS * ROWS, np.uint32) for _ in range(2))
+    weights = r.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
+    out, full = np.zeros((len(bounds) - 1, BANDS), np.uint64), np.flatnonzero(np.diff(bounds))
+    if not len(full):
+        return out
+    least = np.full((BANDS * ROWS, len(full)), ~np.uint32(0))
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            least = np.minimum(least, (shingles[at : at + 4096, None] * (mul | np.uint64(1)) + add).min(axis=0))
-        return _scan.mix((least.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        # parts of at most about 2**17 shingles; a text that is longer is a minimum over several parts
+        step = 1 << 17
+        high = (shingles >> np.uint64(32)).astype(np.uint32)
+        for s in range(0, len(high), step):
+            part, e = high[s : s + step], min(s + step, len(high))
+            first, last = np.searchsorted(bounds[full + 1], s, "right"), np.searchsorted(bounds[full], e, "left")
+            edges = np.maximum(bounds[full[first:last]] - s, 0)
+            for i in range(BANDS * ROWS):
+                least[i, first:last] = np.minimum(least[i, first:last], np.minimum.reduceat(part * (mul[i] | np.uint32(1)) + add[i], edges))
+        low = least.reshape(BANDS, ROWS, -1).astype(np.uint64)
+        acc = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * np.uint64(_scan.BASE)
+        for j in range(ROWS):
+            acc = _scan.mix(acc + (low[:, j] + np.uint64(1)) * weights[j])
+        out[full] = acc.T
+    return out
 
 
 def _sketch_batches(batches):
     import numpy as np
     import pyarrow as pa
 
-    for batch in _scan.slices(batches):
-        made = [shingle_set(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        keys = np.array([k for k, _ in made], np.uint64).view(np.int64)
-        bands = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for _, s in made]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(s) for _, s in made], pa.int64()), _lists(bands)], names=["doc_id", "key", "n", "bands"])
+    shingler, names = Shingler(), ["doc_id", "tk", "key", "full", *[f"b{i}" for i in range(BANDS)]]
+    for b in _scan.slices(batches):
+        keys, shingles, bounds = shingler([r or b"" for r in b.column(2).cast(pa.binary()).to_pylist()])
+        bands = band_keys(shingles, bounds).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), pa.array(np.diff(bounds) > 0), *[pa.array(bands[:, i]) for i in range(BANDS)]], names=names)
 
 
 def _set_batches(batches):
+    """The distinct shingle hashes of each text, in order."""
     import numpy as np
     import pyarrow as pa
 
-    for batch in _scan.slices(batches):
-        made = [shingle_set(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-        keys = np.array([k for k, _ in made], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), _lists([s.view(np.int64) for _, s in made])], names=["key", "shingles"])
-
-
-def _lists(arrays):
-    import numpy as np
-    import pyarrow as pa
-
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+    shingler = Shingler()
+    for b in _scan.slices(batches):
+        keys, shingles, bounds = shingler([r or b"" for r in b.column(0).cast(pa.binary()).to_pylist()])
+        sets = [np.unique(shingles[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "shingles"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -225,49 +289,62 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         dim = sets.join(uses, "key").select(F.col("key").alias(side), "uses", F.col("shingles").alias(f"s{side}"))
         pairs = cluster.lookup(pairs, dim, side, "uses", total, F.col("v" if side == "u" else "u"))
     both = F.size(F.array_intersect("su", "sv"))
-    return pairs.where(both >= SIMILARITY * (F.size("su") + F.size("sv") - both)).select("u", "v")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key and component_id of each row of docs, by Jaccard similarity of WORDS-word shingles.
-
-    Keys that share a band are candidates. In each round the LEADERS first keys of a band's cell (by least doc_id) are
-    compared with all others in it; of each component only the first key goes on, with twice as many leaders. When no
-    cell has more keys than leaders, all pairs of the first keys were compared, so no two of them are similar."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cluster.materialize(texts.mapInArrow(_sketch_batches, "doc_id long, key long, n long, bands array<long>"), "sketches")
-    own = sketches.select("doc_id", "key")
-    distinct = cluster.materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+    most, least = F.greatest(F.size("su"), F.size("sv")), F.least(F.size("su"), F.size("sv"))
+    close = pairs.where(least >= SIMILARITY * most)
+    return close.where(both >= SIMILARITY * (most + least - both)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and groups by Jaccard similarity of WORDS-word shingles. rows: doc_id, tk (hash of the text), key (hash of the
+    words) and copies, one for each distinct (doc_id, tk). groups: key and label, the group's first key, for the keys that
+    are similar to another one.
+
+    Keys that share a band are candidates, and each pair is checked by its sets. In each round the first keys of a band's
+    cell (by least doc_id) are compared with all others in it; of each group only the first key goes on, with eight times
+    as many leaders. Rounds end when no cell has more keys than leaders: then all pairs of the groups' first keys that
+    share a band were compared, so no two of them are similar."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
+    bands = [f"b{i}" for i in range(BANDS)]
+    sketches = cluster.materialize(texts.mapInArrow(_sketch_batches, "doc_id long, tk long, key long, full boolean, " + ", ".join(f"{b} long" for b in bands)), "sketches")
+    rows = cluster.materialize(sketches.groupBy("doc_id", "tk", "key").agg(F.count(F.lit(1)).alias("copies")), "identities")
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    distinct = cluster.materialize(sketches.where("full").groupBy("key").agg(F.min(order).alias("rep"), *[F.min(b).alias(b) for b in bands]), "distinct")
     n_keys = distinct.count()
-    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "key").alias("o")
-    cells = distinct.select("key", "n", order, F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    cells = cluster.materialize(cells.join(shared.select("cell"), "cell", "left_semi"), "cells")
-    wanted = cells.select("key").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    sets = cluster.materialize(texts.select("text").mapInArrow(_set_batches, "key long, shingles array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
-    edges, labels, leaders = None, None, LEADERS
+    cells = distinct.select("key", F.explode(F.array(*bands)).alias("cell"))
+    shared = cluster.materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("cell"), "shared")
+    full = distinct.select("key", "rep", F.explode(F.array(*bands)).alias("cell"))
+    cells = cluster.materialize(full.join(cluster.small(shared, BROADCAST_KEYS), "cell", "left_semi"), "cells")
+    # one text of each key in a shared cell
+    wanted = cells.select("key").distinct().join(rows, "key").groupBy("key").agg(F.min(F.struct("tk", "doc_id")).alias("one"))
+    wanted = cluster.materialize(wanted.select(F.col("one.tk").alias("wtk"), F.col("one.doc_id").alias("wid")), "wanted")
+    chosen = texts.join(cluster.small(wanted, BROADCAST_KEYS), (F.col("tk") == F.col("wtk")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
+    sets = cluster.materialize(chosen.select("text").mapInArrow(_set_batches, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
+    cluster.drop(sketches, shared, wanted)
+    edges, labels, leaders = None, None, 1
     while True:
         sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         top = sizes.agg(F.max("size")).first()[0] or 0
         if top:
-            first = cells.select("cell", "o", "n", F.row_number().over(Window.partitionBy("cell").orderBy("o")).alias("r")).where(F.col("r") <= leaders)
-            first = first.groupBy("cell").agg(F.collect_list(F.struct("o", "n")).alias("first")).join(sizes, "cell")
-            found = cluster.lookup(cells, first, "cell", "size", cells.count(), F.col("key")).select("o", "n", F.explode("first").alias("l"))
-            fit = (F.col("l.o") < F.col("o")) & (F.least("n", "l.n") >= SIMILARITY * F.greatest("n", "l.n"))
-            pairs = cluster.materialize(found.where(fit).select(F.col("l.o.key").alias("u"), F.col("o.key").alias("v")).distinct(), "pairs")
+            first = cells.select("cell", "key", "rep", F.row_number().over(Window.partitionBy("cell").orderBy("rep", "key")).alias("r")).where(F.col("r") <= leaders)
+            first = first.groupBy("cell").agg(F.collect_list(F.struct("rep", "key")).alias("first")).join(sizes, "cell")
+            found = cluster.lookup(cells, first, "cell", "size", cells.count(), F.col("key")).select(F.struct("rep", "key").alias("o"), F.explode("first").alias("l"))
+            pairs = cluster.materialize(found.where("l < o").select(F.col("l.key").alias("u"), F.col("o.key").alias("v")).distinct(), "pairs")
             new = cluster.materialize(similar(pairs, sets), "similar")
             edges = new if edges is None else edges.unionByName(new)
-            labels = cluster.materialize(components(edges, n_keys), "components")
+            cluster.drop(pairs, labels)
+            labels = components(edges, n_keys)
         if top <= leaders + 1:
             break
-        heads = labels.join(distinct, labels.node == distinct.key).select("label", order).groupBy("label").agg(F.min("o").alias("o"))
+        reps = labels.join(distinct.select("key", "rep"), labels.node == F.col("key")).select("label", "rep", "key")
+        heads = reps.groupBy("label").agg(F.min(F.struct("rep", "key")).alias("o"))
         gone = labels.select(F.col("node").alias("key")).join(heads.select(F.col("o.key").alias("key")), "key", "left_anti")
-        cells = cluster.materialize(cells.join(gone, "key", "left_anti"), "cells")
-        leaders *= 2
+        left = cluster.materialize(cells.join(gone, "key", "left_anti"), "cells")
+        cluster.drop(cells)
+        cells, leaders = left, leaders * 8
+    cluster.drop(cells, sets)
     if labels is None:
-        labels = own.sparkSession.createDataFrame([], "node long, label long")
-    return _named(own, distinct.select("key", "rep", "rows"), labels, n_keys, "key")
+        labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    return rows, labels.select(F.col("node").alias("key"), "label")
 
 
 def query(spark, sf_dir):
@@ -276,9 +353,26 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays; of rows that share it, one."""
-    own = near_duplicates(docs)
-    keep = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    return rows.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
+    """Pipeline stage: of each group the row with the smallest doc_id stays (then the least hash of its text); of rows equal
+    in both, one. Decided on narrow rows; texts move only if more rows go than can be broadcast, and then once."""
+    rows, groups = near_duplicates(docs)
+    n = rows.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    uses = rows.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    label = cluster.lookup(rows, groups.join(uses, "key"), "key", "uses", n, F.col("tk")).select("doc_id", "tk", "copies", F.coalesce("label", "key").alias("label"))
+    label = cluster.materialize(label, "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    heads = label.groupBy("label").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("uses"))
+    alike = cluster.materialize(heads.where("uses > 1"), "heads")
+    marked = cluster.lookup(label, alike, "label", "uses", n, F.col("tk"))
+    gone = F.coalesce(order != F.col("head"), F.lit(False))
+    di, tk, state = cluster.fresh(docs.columns, "doc", "text_hash", "state")
+    marked = marked.select(F.col("doc_id").alias(di), F.col("tk").alias(tk), F.when(gone, 1).when(F.col("copies") > 1, 2).alias(state)).where(F.col(state).isNotNull())
+    marked = cluster.materialize(marked, "decisions")
+    repeated = marked.where(F.col(state) == 2).limit(1).count()
+    same = (F.xxhash64(docs["text"].cast("string")) == F.col(tk)) & docs["doc_id"].cast("long").eqNullSafe(F.col(di))
+    joined = docs.join(cluster.small(marked, BROADCAST_KEYS), same, "left")
+    out = joined.where(F.col(state).isNull()).select(*docs.columns)
+    if repeated:
+        twice = joined.where(F.col(state) == 2).groupBy(di, tk).agg(F.first(F.struct(*docs.columns)).alias(state))
+        out = out.unionByName(twice.select(f"{state}.*"))
+    return out
