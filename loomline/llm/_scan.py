@@ -98,6 +98,42 @@ def runs(cls, kinds):
     return at[keep], ends[keep], kind[keep]
 
 
+#: Largest Arrow batch that Spark hands to a worker; a smaller setting of the session stays.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def over(rows, run, schema):
+    """rows.mapInArrow(run, schema) with small batches and workers that give their memory back when a task ends."""
+    conf, jvm = rows.sparkSession.conf, rows.sparkSession.sparkContext._jvm
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key)
+        if now.startswith("-") or not 0 < jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= most:
+            conf.set(key, str(most))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return rows.mapInArrow(task, schema)
+
+
+def release():
+    """Give freed memory back to the machine: workers are used again by later tasks, which need it themselves."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, rows: int = 1024, size: int = 4 << 20):
     """Arrow batches in parts of at most `rows` rows and about `size` bytes of strings (or one row), so that a worker
     holds few texts as Python objects."""

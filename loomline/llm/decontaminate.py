@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "n_found", "n_windows", "coverage", "slots_changed"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, n_found long, n_windows long, coverage double, slots_changed long")
+        part = _scan.over(rows, run, "doc_id long, item_id long, n_found long, n_windows long, coverage double, slots_changed long")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -217,5 +217,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             for b in _scan.slices(batches):
                 yield b.filter(pa.array([not (r and m.match(r)) for r in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = _scan.over(docs, run, schema)
     return docs

@@ -177,7 +177,7 @@ def identify(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return _scan.over(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark, sf_dir):
@@ -197,4 +197,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             names, _ = predictions(b.column(at).cast(pa.binary()).to_pylist(), scorer)
             yield b.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _scan.over(docs, run, docs.schema)

@@ -308,7 +308,7 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA + ", ids array<int>" * ids)
+    return _scan.over(rows, run, SCHEMA + ", ids array<int>" * ids)
 
 
 def pack_examples(examples: DataFrame, id: str, tokens: str, loss: str, max_tokens: int, max_segments: int, max_loss: int, pool: int = POOL) -> DataFrame:
@@ -339,7 +339,7 @@ def pack_examples(examples: DataFrame, id: str, tokens: str, loss: str, max_toke
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["example_id", "sequence_id", "offset"])
 
     rows = examples.select(F.col(id).cast("long"), F.col(tokens).cast("long"), F.col(loss).cast("long"))
-    return rows.mapInArrow(run, "example_id long, sequence_id long, offset long")
+    return _scan.over(rows, run, "example_id long, sequence_id long, offset long")
 
 
 def query(spark, sf_dir):

@@ -1,17 +1,22 @@
 """Personal data, and terms that give it away.
 
-Spans of e-mail addresses, IP addresses, card and phone numbers are found by pattern. Their values are the protected
-entities. For each entity e and each term t within NEAR words of it, the corpus gives document frequencies: p(e), p(t) and
-p(e, t). What t tells of e is the pointwise mutual information ln p(e, t) / (p(e) p(t)); what there is to tell is the
-information content -ln p(e). A term whose share PMI / IC is REMOVE or more is removed wherever it stands in a text with e; from
-GENERALISE on it is generalised to a placeholder of its kind. A pair counts only if it was seen in SUPPORT different surroundings, so a copied
-passage or a single rare word is no evidence.
+Spans of e-mail addresses, IP addresses, card and phone numbers are found by pattern. So are assigned secrets (token = "..."),
+by what they tell: a value of SECRET_BITS bits or more, its length times the entropy of its characters. The values of all
+these spans, and the hosts of e-mail addresses, are the protected entities.
 
-Pairs and frequencies are counted in Spark over all documents; the entities of each document are joined with the flagged
-pairs, and documents with flagged terms are searched for them as a whole.
+For each entity e and each term t within NEAR words of it, the corpus gives document frequencies: p(e), p(t) and p(e, t).
+What t tells of e is the pointwise mutual information ln p(e, t) / (p(e) p(t)); what there is to tell is the information
+content -ln p(e). A term whose share PMI / IC is REMOVE or more is removed wherever it stands in a text with e; from
+GENERALISE on it is generalised to a placeholder of its kind. A pair counts only if it was seen in SUPPORT documents and in
+SUPPORT different surroundings, so a copied passage or a single rare word is no evidence.
+
+A term is a run of TERM or more letters of any script, in lower case, on both sides. Pairs and frequencies are counted over
+all documents; frequencies are needed of the terms of frequent pairs only, so without such a pair they are not counted. The
+entities of each document are joined with the flagged pairs, and documents with flagged terms are searched as a whole.
 
 Defined cases: null and empty texts have no spans; repeated rows get equal results (and count each in the frequencies);
-a null doc_id is kept; an empty table gives an empty result; texts of any length are read whole.
+a null doc_id is kept; an empty table gives an empty result; texts of any length are read whole; extra columns are not read
+by the query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +33,12 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Words on each side of an entity, and the least length of a term.
 NEAR, TERM = 8, 4
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
-#: Documents with flagged terms are broadcast up to this number.
-BROADCAST_ROWS = 50_000
+#: Least characters and bits of an assigned secret.
+SECRET_LENGTH, SECRET_BITS = 16, 60
+#: Documents with flagged terms are broadcast up to this number, and terms whose frequencies are counted up to that one.
+BROADCAST_ROWS, BROADCAST_TERMS = 50_000, 500_000
+#: Entities or pairs of a document in one row of the table between.
+PART = 4096
 
 
 class Finder:
@@ -44,6 +53,7 @@ class Finder:
         self.phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
         self.term = re.compile(r"[^\W\d_]{%d,}" % TERM)
         self.word = re.compile(r"[^\x20\x09-\x0D]+")
+        self.secret = re.compile(r"[=:]\s*[\"']?([A-Za-z0-9+_-][A-Za-z0-9+/_=-]{%d,})" % (SECRET_LENGTH - 1))
 
     def emails(self, t: str):
         """As the pattern finds them, from each @ outwards: its runs before and after do not hold another."""
@@ -70,22 +80,27 @@ class Finder:
             out += [("phone", *m.span()) for m in self.phone.finditer(t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
         return out
 
-    def near(self, t: str, spans):
-        """(entity, start of the entity, term, start, end, surroundings) for the terms near each span, outside all spans."""
-        taken = [(s, e) for _, s, e in spans]
-        for kind, s, e in spans:
-            # a few hundred characters hold NEAR words unless they are very long
-            left = [m.span() for m in self.word.finditer(t, max(0, s - 400), s)][-NEAR:]
-            right = [m.span() for m in self.word.finditer(t, e, min(len(t), e + 400))][:NEAR]
-            lo, hi = left[0][0] if left else s, right[-1][1] if right else e
-            around = t[lo:s] + "\0" + t[e:hi]
-            for m in self.term.finditer(t, lo, hi):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
-                    yield f"{kind}:{t[s:e].lower()}", m[0].lower(), m.start(), m.end(), around
+    def secrets(self, t: str) -> list[tuple[str, int, int]]:
+        """Assigned values that have letters, digits and SECRET_BITS bits at least."""
+        import math
+        from collections import Counter
+
+        out = []
+        for m in self.secret.finditer(t) if "=" in t or ":" in t else ():
+            v = m[1]
+            bits = -sum(n * math.log2(n / len(v)) for n in Counter(v).values())
+            before = t[max(0, m.start() - 100) : m.start()].rstrip()[-1:]
+            if bits >= SECRET_BITS and before.isalnum() and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
+                out.append(("secret", *m.span(1)))
+        return out
 
+    def entities(self, t: str, span) -> list[str]:
+        kind, s, e = span
+        v = t[s:e].lower()
+        return [f"{kind}:{v}", f"host:{v.rsplit('@', 1)[1]}"] if kind == "email" else [f"{kind}:{v}"]
 
-    def places(self, t: str, spans, actions: dict[str, str]):
-        """(action, start, end) of all terms in actions that stand outside all spans."""
+    def terms(self, t: str, spans):
+        """Matches of all terms that stand outside all spans."""
         taken, at = [], 0
         for s, e in sorted((s, e) for _, s, e in spans):
             if taken and s < taken[-1][1]:
@@ -95,7 +110,30 @@ class Finder:
         for m in self.term.finditer(t):
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            if m[0].lower() in actions and not (at < len(taken) and taken[at][0] < m.end()):
+            if not (at < len(taken) and taken[at][0] < m.end()):
+                yield m
+
+    def near(self, t: str, spans):
+        """For each span: the span, the terms within NEAR words on each side, and these words. Words are cut at the span."""
+        from bisect import bisect_left, bisect_right
+
+        words = [m.span() for m in self.word.finditer(t)]
+        starts, ends = [s for s, _ in words], [e for _, e in words]
+        terms = [(m.start(), m.end(), m[0].lower()) for m in self.terms(t, spans)]
+        at = [s for s, _, _ in terms]
+        for span in spans:
+            _, s, e = span
+            left, right = bisect_left(starts, s), bisect_right(ends, e)
+            lo = starts[max(0, left - NEAR)] if left else s
+            hi = ends[min(len(ends), right + NEAR) - 1] if right < len(ends) else e
+            lo, hi = min(lo, s), max(hi, e)
+            own = {w for _, z, w in terms[bisect_left(at, lo) : bisect_left(at, hi)] if z <= hi}
+            yield span, own, t[lo:s] + "\0" + t[e:hi]
+
+    def places(self, t: str, spans, actions: dict[str, str]):
+        """(action, start, end) of all terms in actions that stand outside all spans."""
+        for m in self.terms(t, spans):
+            if m[0].lower() in actions:
                 yield actions[m[0].lower()], *m.span()
 
 
@@ -103,29 +141,44 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-BASE = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, near array<struct<entity:string,term:string,thash:long,start:int,end:int,around:long>>"
+BASE = "doc_id long, key long, part int, n_email long, n_ip long, n_card long, n_phone long, base string, secrets string, entities array<string>, near array<struct<entity:string,term:string,thash:long,around:long,lead:int>>"
 
 
 def _base_batches(batches):
+    """A row for each text (part 0), and more where it has many entities or pairs."""
     import pyarrow as pa
     import xxhash
 
-    find, near_type = Finder(), pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("thash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())]))
+    find, near_type = Finder(), pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("thash", pa.int64()), ("around", pa.int64()), ("lead", pa.int32())]))
+    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.string()), near_type]
+    names = ["doc_id", "key", "part", "n_email", "n_ip", "n_card", "n_phone", "base", "secrets", "entities", "near"]
     for b in _scan.slices(batches):
-        cols = [[] for _ in range(7)]
-        for t in b.column(2).to_pylist():
-            spans = find.spans(t) if t else []
-            for c, k in zip(cols, KINDS):
-                c.append(sum(x[0] == k for x in spans))
-            cols[4].append(joined(spans))
-            cols[5].append(sorted({f"{k}:{t[s:e].lower()}" for k, s, e in spans}))
-            cols[6].append([{"entity": e, "term": w, "thash": _scan.word_hash(w.encode()), "start": s, "end": z, "around": xxhash.xxh64_intdigest(around) >> 1} for e, w, s, z, around in find.near(t, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(pa.string())), pa.array(cols[6], near_type)], names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near"])
-
-
-def _frequency_batches(batches):
-    """Partial document frequencies of all terms of a partition, by hash. ASCII texts are scanned as bytes, where runs of
-    letters are the terms; others by the pattern of Finder.near and with its lower case."""
+        rows = []
+        for doc_id, key, t in zip(*(c.to_pylist() for c in b.columns)):
+            spans, secrets = (find.spans(t), find.secrets(t)) if t else ([], [])
+            every, entities, near, led = spans + secrets, set(), set(), set()
+            if every:
+                for span, terms, words in find.near(t, every):
+                    around = xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass")) >> 1
+                    for e in find.entities(t, span):
+                        entities.add(e)
+                        near |= {(e, w, around) for w in terms}
+            pairs = []
+            for e, w, around in sorted(near):
+                pairs.append({"entity": e, "term": w, "thash": _scan.word_hash(w.encode()), "around": around, "lead": int((e, w) not in led)})
+                led.add((e, w))
+            entities = sorted(entities)
+            counts = [sum(x[0] == k for x in spans) for k in KINDS]
+            rows.append((doc_id, key, 0, *counts, joined(spans), joined(secrets), entities[:PART], pairs[:PART]))
+            for i in range(1, -(-max(len(entities), len(pairs)) // PART)):
+                rows.append((doc_id, key, i, 0, 0, 0, 0, "", "", entities[i * PART : (i + 1) * PART], pairs[i * PART : (i + 1) * PART]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
+
+
+def _frequency_batches(batches, wanted=None):
+    """Partial document frequencies of the terms of a partition, by hash: of those in wanted (sorted hashes), or of all.
+    ASCII texts are scanned as bytes, where runs of letters are the terms; others by the pattern of Finder and its lower
+    case."""
     from collections import Counter
 
     import numpy as np
@@ -133,6 +186,9 @@ def _frequency_batches(batches):
 
     hasher, cls, own, term, words = _scan.Hasher(), _scan.byte_classes(), [], Finder().term, Counter()
 
+    def only(h):
+        return h if wanted is None or not len(h) else h[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h]
+
     def merged(parts):
         keys, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(inv, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
@@ -162,28 +218,37 @@ def _frequency_batches(batches):
             doc = np.searchsorted(np.cumsum([len(raws[i]) + 1 for i in at]), starts, "right").astype(np.uint64)
             with np.errstate(over="ignore"):
                 _, first = np.unique(h * np.uint64(0x9E3779B97F4A7C15) + doc * np.uint64(0xD1342543DE82EF95), return_index=True)
-            own.append(np.unique(h[first], return_counts=True))
+            own.append(np.unique(only(h[first]), return_counts=True))
             if len(own) >= 8:
                 own = [merged(own)]
     if words:
         own.append(counted())
     if own:
         keys, n = merged(own)
+        if wanted is not None:
+            n, keys = n[np.isin(keys, wanted)], keys[np.isin(keys, wanted)]
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["thash", "df"])
 
 
-def disclosing(near: DataFrame, frequencies: DataFrame, total: int) -> DataFrame:
-    """entity, term and action ('generalise' or 'remove') of the pairs over the thresholds. near: a row for each
-    occurrence, with key and around; frequencies: thash and df."""
-    places = near.groupBy("entity", "term", "thash", "around").agg(F.count_distinct("key", "doc_id").alias("n"))
-    pairs = places.groupBy("entity", "term", "thash").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= SUPPORT)
-    entities = near.groupBy("entity").agg(F.count_distinct("key", "doc_id").alias("ce"))
-    df = frequencies.join(pairs.select("thash").distinct(), "thash", "left_semi").groupBy("thash").agg(F.sum("df").alias("ct"))
-    own = pairs.join(df, "thash").join(entities, "entity")
+def frequent_pairs(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the table of BASE: entities (entity, ce) in SUPPORT documents or more, and their pairs (entity, term, thash, both)
+    with SUPPORT documents and surroundings or more."""
+    entities = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("ce")).where(F.col("ce") >= SUPPORT)
+    entities = cluster.materialize(entities, "entities")
+    near = base.select(F.explode("near").alias("x")).select("x.*").join(cluster.small(entities.select("entity"), BROADCAST_ROWS), "entity", "left_semi")
+    places = near.groupBy("entity", "term", "thash", "around").agg(F.sum("lead").alias("n"))
+    pairs = places.groupBy("entity", "term", "thash").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("seen"))
+    return entities, cluster.materialize(pairs.where(F.least("both", "seen") >= SUPPORT).drop("seen"), "pairs")
+
+
+def disclosing(entities: DataFrame, pairs: DataFrame, frequencies: DataFrame, total: int) -> DataFrame:
+    """entity, ce, term and action ('generalise' or 'remove') of the pairs over the thresholds. frequencies: thash and df."""
+    ct = frequencies.join(pairs.select("thash").distinct(), "thash", "left_semi").groupBy("thash").agg(F.sum("df").alias("ct"))
+    own = pairs.join(ct, "thash").join(entities, "entity")
     n = F.lit(float(max(total, 2)))
     share = F.log(n * F.col("both") / (F.col("ce") * F.greatest("ct", "both"))) / F.log(n / F.least(F.col("ce").cast("double"), n - 1))
-    own = own.withColumn("share", share)
-    return own.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    own = own.withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return own.select("entity", "ce", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
 def _place_batches(batches):
@@ -191,42 +256,69 @@ def _place_batches(batches):
 
     find = Finder()
     for b in _scan.slices(batches):
-        more = [joined(find.places(t, find.spans(t), {x["term"]: x["action"] for x in terms})) for t, terms in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        more = [joined(find.places(t, find.spans(t) + find.secrets(t), {x["term"]: x["action"] for x in terms})) for t, terms in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, pa.string())], names=["__d", "__k", "more"])
 
 
+def flagged_terms(docs: DataFrame, base: DataFrame) -> DataFrame | None:
+    """doc_id, key and terms (term, action) of the rows that hold entities with disclosing terms; None if no pair is
+    frequent."""
+    spark = docs.sparkSession
+    entities, pairs = frequent_pairs(base)
+    hashes = pairs.select("thash").distinct()
+    n = hashes.count()
+    if not n:
+        return None
+    wanted = None
+    if n <= BROADCAST_TERMS:
+        import numpy as np
+
+        wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)))
+
+    def run(batches):
+        return _frequency_batches(batches, wanted.value if wanted else None)
+
+    counted = _scan.over(docs.select(F.col("text").cast("string")), run, "thash long, df long").groupBy("thash").agg(F.sum("df").alias("df"))
+    flagged = disclosing(entities, pairs, counted, base.where("part = 0").count())
+    flagged = cluster.materialize(flagged.groupBy("entity", "ce").agg(F.collect_list(F.struct("term", "action")).alias("terms")), "flagged")
+    held = base.select("doc_id", "key", F.explode("entities").alias("entity"))
+    found = cluster.lookup(held, flagged, "entity", "ce", held.count(), F.struct("doc_id", "key")).where("terms is not null")
+    # a term of two entities has its strongest action
+    terms = found.select("doc_id", "key", F.explode("terms").alias("x")).groupBy("doc_id", "key", "x.term").agg(F.max("x.action").alias("action"))
+    return terms.groupBy("doc_id", "key").agg(F.collect_list(F.struct("term", "action")).alias("terms"))
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), counts by kind, base and more: base spans and further spans, each as text."""
+    """doc_id, key (hash of the text), counts by kind, base, secrets and more: base spans, secrets and flagged terms, each
+    as text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    base = cluster.materialize(rows.mapInArrow(_base_batches, BASE), "base")
-    near = base.where(F.size("near") > 0).select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
-    frequencies = cluster.materialize(docs.select(F.col("text").cast("string")).mapInArrow(_frequency_batches, "thash long, df long").groupBy("thash").agg(F.sum("df").alias("df")), "frequencies")
-    flagged = disclosing(near, frequencies, base.count())
-    # a term of two entities has its strongest action
-    held = base.where(F.size("entities") > 0).select("doc_id", "key", F.explode("entities").alias("entity")).join(flagged, "entity")
-    terms = held.groupBy("doc_id", "key", "term").agg(F.max("action").alias("action")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("term", "action")).alias("terms"))
+    base = cluster.materialize(_scan.over(rows, _base_batches, BASE), "base")
+    texts, columns = base.where("part = 0"), ["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "secrets"]
+    terms = flagged_terms(docs, base)
+    if terms is None:
+        return texts.select(*columns, F.lit("").alias("more"))
     terms = cluster.materialize(terms.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "terms"), "terms")
-    few = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    texts = rows.join(few, (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("__d", "__k", "text", "terms")
-    more = texts.mapInArrow(_place_batches, "__d long, __k long, more string").where("more <> ''").distinct()
-    more = cluster.materialize(more, "more")
-    more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
-    found = base.join(more, (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    return found.select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("more", F.lit("")).alias("more"))
+    on = (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+    held = rows.join(cluster.small(terms, BROADCAST_ROWS), on).select("__d", "__k", "text", "terms")
+    more = cluster.materialize(_scan.over(held, _place_batches, "__d long, __k long, more string").where("more <> ''").distinct(), "more")
+    return texts.join(cluster.small(more, BROADCAST_ROWS), on, "left").select(*columns, F.coalesce("more", F.lit("")).alias("more"))
 
 
 def query(spark, sf_dir):
     found = find(cluster.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more") != "", F.col("more"))).alias("spans"))
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ","))).cast("long")
+    own = found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", filled("base"), filled("secrets"), filled("more")).alias("spans"), count("secrets").alias("n_secret"), count("more").alias("n_term"))
+    return own.withColumn("n_spans", count("spans"))
 
 
 def redact(text: str, spans: str) -> str:
-    """Replace spans by [EMAIL], [IP], [CARD], [PHONE], [NAME] or [TERM]; removed terms leave nothing."""
+    """Replace spans by [EMAIL], [IP], [CARD], [PHONE], [SECRET], [NAME] or [TERM]; removed terms leave nothing."""
     cut = sorted((int(s), -int(e), k) for k, s, e in (x.split(":") for x in spans.split(",") if x))
     out, at = [], 0
     for s, e, kind in cut:
         if s >= at:
-            new = "" if kind == "remove" else f"[{kind.upper()}]" if kind in KINDS else "[NAME]" if text[s].isupper() else "[TERM]"
+            new = "" if kind == "remove" else f"[{kind.upper()}]" if kind in (*KINDS, "secret") else "[NAME]" if text[s].isupper() else "[TERM]"
             out += [text[at:s], new]
             at = -e
         elif -e > at:  # the end of an overlapping span goes too
@@ -235,14 +327,15 @@ def redact(text: str, spans: str) -> str:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without personal data and the terms that disclose it; every document stays. Base spans are
-    found again in the scan that replaces them; the few documents with further spans are joined."""
-    more = find(docs).where("more <> ''").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "more").distinct()
-    more = cluster.materialize(more.withColumnRenamed("more", "__more"), "flagged")
-    more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
-    rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(more, (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left").select(*docs.columns, "__more")
-    at, n = docs.columns.index("text"), len(docs.columns)
+    """Pipeline stage: texts without personal data, secrets and the terms that disclose them; every document stays. Spans are
+    found again in the scan that replaces them; the few documents with flagged terms are joined."""
+    di, tk, extra = cluster.fresh(docs.columns, "doc", "text_hash", "more")
+    more = find(docs).where("more <> ''").select(F.col("doc_id").alias(di), F.col("key").alias(tk), F.col("more").alias(extra)).distinct()
+    more = cluster.materialize(more, "flagged")
+    same = (F.xxhash64(docs["text"].cast("string")) == F.col(tk)) & docs["doc_id"].cast("long").eqNullSafe(F.col(di))
+    rows = docs.join(cluster.small(more, BROADCAST_ROWS), same, "left").select(*docs.columns, extra)
+    names, n = list(docs.columns), len(docs.columns)
+    at = names.index("text")
 
     def run(batches):
         import pyarrow as pa
@@ -251,10 +344,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in _scan.slices(batches):
             texts = []
             for t, further in zip(b.column(at).to_pylist(), b.column(n).to_pylist()):
-                base = joined(find.spans(t)) if t else ""
-                texts.append(redact(t, f"{base},{further or ''}") if base or further else t)
+                own = joined(find.spans(t) + find.secrets(t)) if t else ""
+                texts.append(redact(t, f"{own},{further or ''}") if own or further else t)
             cols = [pa.array(texts, b.column(i).type) if i == at else b.column(i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays(cols, names=docs_names)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    docs_names = list(docs.columns)
-    return rows.mapInArrow(run, docs.schema)
+    return _scan.over(rows, run, docs.schema)

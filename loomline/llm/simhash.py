@@ -75,7 +75,7 @@ def _fingerprint_batches(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, a fingerprint as a signed long, for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return _scan.over(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _fingerprint_batches, "doc_id long, fp long")
 
 
 def embed(fp):
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     share a band were compared, so no two of them are similar."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
     bands = [f"b{i}" for i in range(BANDS)]
-    sketches = cluster.materialize(texts.mapInArrow(_sketch_batches, "doc_id long, tk long, key long, full boolean, " + ", ".join(f"{b} long" for b in bands)), "sketches")
+    sketches = cluster.materialize(_scan.over(texts, _sketch_batches, "doc_id long, tk long, key long, full boolean, " + ", ".join(f"{b} long" for b in bands)), "sketches")
     rows = cluster.materialize(sketches.groupBy("doc_id", "tk", "key").agg(F.count(F.lit(1)).alias("copies")), "identities")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     distinct = cluster.materialize(sketches.where("full").groupBy("key").agg(F.min(order).alias("rep"), *[F.min(b).alias(b) for b in bands]), "distinct")
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = cells.select("key").distinct().join(rows, "key").groupBy("key").agg(F.min(F.struct("tk", "doc_id")).alias("one"))
     wanted = cluster.materialize(wanted.select(F.col("one.tk").alias("wtk"), F.col("one.doc_id").alias("wid")), "wanted")
     chosen = texts.join(cluster.small(wanted, BROADCAST_KEYS), (F.col("tk") == F.col("wtk")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
-    sets = cluster.materialize(chosen.select("text").mapInArrow(_set_batches, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
+    sets = cluster.materialize(_scan.over(chosen.select("text"), _set_batches, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
     cluster.drop(sketches, shared, wanted)
     edges, labels, leaders = None, None, 1
     while True:

@@ -196,6 +196,7 @@ def test_op5(spark, where):
     want = collections.Counter((d, hashlib.sha256(line(t).encode()).hexdigest()) for d, t in docs)
     assert collections.Counter((r.doc_id, r.base_sha256) for r in rows) == want
     assert all(r.n_email == r.spans.count("email:") and r.n_card == r.spans.count("card:") for r in rows)
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_secret + r.n_term for r in rows)
 
 
 def test_op5_spans_equal_the_patterns():
@@ -230,6 +231,84 @@ def test_op5_terms(spark):
     assert any("Singular" in x.text for x in clean)
 
 
+def test_op5_pairs_equal_brute_force(spark):
+    """Flagged pairs of a corpus in several scripts, by counting in plain Python."""
+    import math
+    import random
+
+    r = random.Random(9)
+    stock = ["Κώστας", "Квагмир", "Quagmire", "Straße", "naïve", "wording", "there", "about", "“Marlowe”", "Orwell—", "日本の人々", "tail_end", "x9y8words"]
+    docs = []
+    for i in range(400):
+        w = [r.choice(stock[4:]) if r.random() < 0.5 else stock[r.randint(0, 3)] if r.random() < 0.003 else "".join(r.choice("abcdeé") for _ in range(5)) for _ in range(r.randint(5, 40))]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            k = r.randint(0, 3)
+            at = r.randint(0, len(w))
+            w[at:at] = [stock[k], f"box{k}@h{k % 2}.example.com" if r.random() < 0.9 else "10.0.0.7,"]
+        docs.append((i, " ".join(w)))
+    pattern, taken, near, df = re.compile(r"[^\W\d_]{4,}"), [], collections.defaultdict(set), collections.Counter()
+    ce, both = collections.Counter(), collections.defaultdict(set)
+    for d, t in docs:
+        spans = spans_of(t)
+        free = [m for m in pattern.finditer(t) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+        df.update({m[0].lower() for m in pattern.finditer(t)})
+        words = [m.span() for m in WORD.finditer(t)]
+        names = set()
+        for kind, s, e in spans:
+            v = t[s:e].lower()
+            own = [f"{kind}:{v}"] + ([f"host:{v.split('@')[1]}"] if kind == "email" else [])
+            names |= set(own)
+            left, right = [x for x in words if x[0] < s][-privacy.NEAR :], [x for x in words if x[1] > e][: privacy.NEAR]
+            lo, hi = left[0][0] if left else s, right[-1][1] if right else e
+            for m in free:
+                if lo <= m.start() and m.end() <= hi:
+                    for x in own:
+                        near[x, m[0].lower()].add((t[lo:s], t[e:hi]))
+                        both[x, m[0].lower()].add(d)
+        ce.update(names)
+    want = set()
+    for (x, w), places in near.items():
+        if min(len(places), len(both[x, w])) >= privacy.SUPPORT:
+            share = math.log(len(docs) * len(both[x, w]) / (ce[x] * max(df[w], len(both[x, w])))) / math.log(len(docs) / ce[x])
+            if share >= privacy.GENERALISE:
+                want.add((x, w, "remove" if share >= privacy.REMOVE else "generalise"))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    terms = {(r.doc_id, x.term): x.action for r in privacy.flagged_terms(table, _base(spark, table)).collect() for x in r.terms}
+    text = dict(docs)
+    held = collections.defaultdict(set)
+    for d, t in docs:
+        for kind, s, e in spans_of(t):
+            held[d] |= {f"{kind}:{t[s:e].lower()}"} | ({"host:" + t[s:e].split("@")[1].lower()} if kind == "email" else set())
+    expected = {}
+    for d in held:
+        for x, w, action in want:
+            if x in held[d]:
+                expected[d, w] = max(action, expected.get((d, w), ""))
+    assert terms == expected and len({w for _, w in terms}) >= 3
+
+
+def _base(spark, table):
+    from pyspark.sql import functions as F
+
+    from loomline.llm import _scan
+
+    return _scan.over(table.select("doc_id", F.xxhash64("text").alias("key"), "text"), privacy._base_batches, privacy.BASE)
+
+
+def test_op5_secrets_and_many_entities():
+    import time
+
+    find = privacy.Finder()
+    found = lambda t: [t[s:e] for _, s, e in find.secrets(t)]
+    assert found('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and') == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    assert found("API_KEY: sk-a8B3kd92LmQ0zz7Tq1") == ["sk-a8B3kd92LmQ0zz7Tq1"]
+    assert not found("see https://example.com/2024/a-long-page-name-12 = aaaaaaaaaaaaaaaaaaaaaaaa1, x = internationalisation")
+    text = " ".join(f"word{i} a{i}@x{i}.example.com" for i in range(20_000))
+    start = time.time()
+    assert sum(len(w) for _, w, _ in find.near(text, find.spans(text))) >= 20_000
+    assert time.time() - start < 10
+
+
 def test_op6(spark, where):
     docs = docs_of(spark, where)
     rows = registry.QUERIES["op6_lpt_shards"](spark, where).collect()
