@@ -1,21 +1,28 @@
 """Benchmark decontamination by template canonicalisation.
 
-Tokens are words and numbers. Numbers become <number>, words with a capital inside a sentence <name>, and units after a
-number <unit>; all other words stay, in lower case. Each window of WINDOW tokens of a benchmark item's template is hashed;
-document windows with such a hash are matched with the item's windows. Matches of an item in one stretch of a document are
-judged together: the share of the item's windows that are found, and whether the slots are consistent, that is whether each
-value in the item's slots stands for one value in the document's throughout. A document is contaminated by an item if at
-least SHARE of its windows are found with consistent slots; so a question with other numbers and names is caught, and a
-passage that shares only its frame with conflicting values is not.
-
-Windows with fewer than LITERALS literal words are not used, nor are items without any window. Items shorter than WINDOW
-tokens are one window of their own length.
+Tokens are words and numbers, and single characters of scripts without spaces. A number with its separators is one token, and
+so is a number in words. In a template, numbers become <number>, units after a number <unit>, and names <name>; all other
+words stay, in lower case. What is a name cannot be told for sure, so a window of WINDOW tokens has up to three templates:
+words with a capital inside a sentence are names (1), no word is a name (2), and words that begin a sentence with a capital
+are names too (3). A window with fewer than LITERALS literal words in its second template is also kept as it is, numbers and
+all (4). Windows of documents are looked up in all four forms; so a copy is found whatever its names, numbers and case, and an
+item of numbers only is found where it stands as it is.
+
+Matches of an item in one stretch of a document are judged together. Each value in the item's slots stands for one value in
+the document's, the one that it meets most often, and the other way round; windows with other values do not count. A
+document is contaminated by an item if at least SHARE of the item's windows, or RUN of them, are found with consistent slots;
+so a question with other numbers and names is caught, and a passage that shares only its frame with conflicting values is not.
+
+Items shorter than WINDOW tokens are one window of their own length; items of one or two tokens contaminate only documents of
+just these tokens. A copy in lower case whose names were changed as well is found only by its windows without names.
 
 The benchmark's windows are sent to all executors; they come in blocks of BLOCK bytes of text, one scan of the documents a
-block, so a benchmark of any size is handled.
+block, so a benchmark of any size is handled. Documents are matched many at a time, and an item's matches are judged only
+where there are enough of them, so a window that many items share costs a few array operations for each.
 
-Defined cases: null and empty texts match nothing; items with equal text match alike; repeated rows are judged each; empty
-tables give empty results; texts are read whole.
+Defined cases: null and empty texts and texts without tokens match nothing, nor do such items; items with equal text match
+alike; repeated rows are judged each; empty tables give empty results; texts are read whole; extra columns are not read by
+the query and kept by the stage.
 """
 
 from __future__ import annotations
@@ -28,143 +35,220 @@ from loomline.llm import _scan
 
 cluster.ship_by_value(__name__)
 
-WINDOW, LITERALS, SHARE = 8, 4, 0.5
+WINDOW, LITERALS, SHARE, RUN = 8, 4, 0.5, 40
 BLOCK = 16 << 20
 UNITS = ["kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "miles", "ft", "feet", "inch", "inches", "l", "ml", "liters", "litres",
          "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent",
          "km/h", "mph", "kw", "w", "v", "hz", "gb", "mb", "degrees"]
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
+                "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred",
+                "thousand", "million", "billion", "dozen"]
+LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
 
-class Template:
-    """Token arrays of UTF-8 texts: hash of the canonical form, slot type (0 literal, 1 number, 2 name, 3 unit), bounds."""
+class Tokens:
+    """Token arrays of many texts: text number, hash in lower case, slot type, whether a sentence begins there."""
 
     def __init__(self):
         import numpy as np
 
-        self.hasher, self.cls = _scan.Hasher(), _scan.byte_classes()
-        self.units = np.sort(np.array([_scan.word_hash(u.encode()) for u in UNITS], np.int64).view(np.uint64))
+        own = lambda words: np.sort(np.array([_scan.word_hash(w.encode()) for w in words], np.int64).view(np.uint64))
+        self.hasher, self.cls, self.units, self.numbers = _scan.Hasher(), _scan.byte_classes(), own(UNITS), own(NUMBER_WORDS)
         self.stops = np.zeros(256, bool)
         self.stops[list(b".!?\n:;|\"")] = True
 
-    def tokens(self, raw: bytes):
+    def __call__(self, raws: list[bytes]):
+        import numpy as np
+
+        made = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, bool))]
+        for group in _scan.groups(raws):
+            if len(group) == 1 and len(raws[group[0]]) > 1 << 21:
+                raw, at = raws[group[0]], 0
+                while at < len(raw):  # very long texts in pieces that end at white space
+                    end = min(len(raw), at + (1 << 20))
+                    while end < len(raw) and self.cls[raw[end]] != _scan.SPACE:
+                        end += 1
+                    made.append(self._of([raw[at:end]], group))
+                    at = end
+            else:
+                made.append(self._of([raws[i] for i in group], group))
+        return [np.concatenate(x) for x in zip(*made)]
+
+    def _of(self, raws, numbers):
         import numpy as np
 
-        parts, at = [], 0
-        while at < len(raw):  # very long texts in pieces that end at white space
-            end = min(len(raw), at + (1 << 21))
-            while end < len(raw) and self.cls[raw[end]] != _scan.SPACE:
-                end += 1
-            buf = np.frombuffer(raw[at:end], np.uint8)
-            starts, ends, kind = _scan.runs(self.cls[buf], [_scan.LETTER, _scan.DIGIT])
-            if len(starts):
-                parts.append((self.hasher.spans(_scan.lower(buf), starts, ends), kind, starts + at, ends + at))
-            at = end
-        if not parts:
-            z = np.zeros(0, np.int64)
-            return z.view(np.uint64), z.astype(np.uint8), z, z
-        h, kind, starts, ends = (np.concatenate(x) for x in zip(*parts))
-        buf = np.frombuffer(raw, np.uint8)
+        buf = np.frombuffer(b"\n".join(raws), np.uint8)
+        cls = self.cls[buf]
+        if len(buf) > 2:  # separators inside a number
+            cls[1:-1][((buf[1:-1] == 46) | (buf[1:-1] == 44)) & (cls[:-2] == _scan.DIGIT) & (cls[2:] == _scan.DIGIT)] = _scan.DIGIT
+        begins = np.zeros(len(buf), bool)
+        if len(buf) and buf.max() >= 0xE0:  # characters that are tokens of their own: Han, kana, Thai and Lao
+            following = np.append(buf[1:], 0)
+            lead = np.flatnonzero((buf >= 0xE3) & (buf <= 0xE9) | (buf == 0xE0) & (following >= 0xB8) & (following <= 0xBB))
+            mark = (buf[lead] == 0xE3) & (following[lead] == 0x80)
+            for k in range(3):
+                at = np.minimum(lead + k, len(buf) - 1)
+                cls[at] = np.where(mark, _scan.OTHER, 9)
+            begins[lead] = True
+        if not len(buf):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, bool)
+        at = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | begins[1:]]))
+        ends, kind = np.append(at[1:], len(buf)), cls[at]
+        keep = (kind == _scan.LETTER) | (kind == _scan.DIGIT) | (kind == 9)
+        starts, ends, kind = at[keep], ends[keep], kind[keep]
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, bool)
+        h = self.hasher.spans(_scan.lower(buf), starts, ends)
         stop = np.concatenate([[0], np.cumsum(self.stops[buf])])
-        gap = np.empty(len(starts), bool)  # a sentence ends between the token before and this one
-        gap[0] = True
-        gap[1:] = stop[starts[1:]] > stop[ends[:-1]]
+        first = np.ones(len(starts), bool)  # a sentence ends between the token before and this one
+        first[1:] = stop[starts[1:]] > stop[ends[:-1]]
         padded = np.concatenate([buf, np.zeros(4, np.uint8)])
 
         def upper(i):
             return (padded[i] >= 65) & (padded[i] <= 90) | (padded[i] == 0xC3) & (padded[i + 1] >= 0x80) & (padded[i + 1] <= 0x9E)
 
         second = starts + np.where(buf[starts] >= 0xC0, 2, 1)
-        name = upper(starts) & (second < ends) & ~upper(second)  # not single letters, nor words in capitals
-        slot = np.zeros(len(starts), np.uint8)
-        slot[kind == _scan.DIGIT] = 1
-        slot[(kind == _scan.LETTER) & name & ~gap] = 2
-        after = np.concatenate([[False], kind[:-1] == _scan.DIGIT]) & ~gap
-        slot[after & (kind == _scan.LETTER) & np.isin(h, self.units)] = 3
-        return h, slot, starts, ends
-
-    def windows(self, h, slot, w: int):
-        """Hash of each window of w tokens and whether it has literals enough."""
+        name = (kind == _scan.LETTER) & upper(starts) & (second < ends) & ~upper(second)  # not single letters, nor words in capitals
+        word = np.isin(h, self.numbers)
+        number = (kind == _scan.DIGIT) | word
+        slot = np.where(number, NUMBER, np.where(name, NAME, LITERAL)).astype(np.uint8)
+        after = np.concatenate([[False], number[:-1]]) & ~first
+        slot[after & np.isin(h, self.units)] = UNIT
+        # number words in a row are one number
+        gap = buf[np.minimum(ends[:-1], len(buf) - 1)]
+        more = np.concatenate([[False], word[1:] & word[:-1] & (starts[1:] - ends[:-1] == 1) & ((gap == 32) | (gap == 45))])
+        heads = np.flatnonzero(~more)
+        with np.errstate(over="ignore"):
+            h = np.add.reduceat(h, heads)
+        edges = np.cumsum([len(r) + 1 for r in raws])
+        return np.array(numbers, np.int64)[np.searchsorted(edges, starts[heads], "right")], h, slot[heads], first[heads]
+
+
+class Windows:
+    """Hashes of all windows of w tokens in the four forms."""
+
+    def __init__(self, text, h, slot, first):
+        import numpy as np
+
+        self.text, self.h, self.slot, self.n = text, h, slot, len(h)
+        marks = np.array([0, 11, 22, 33], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F % (1 << 58))
+        name = slot == NAME
+        slotted = np.where((slot == NUMBER) | (slot == UNIT), marks[slot], h)
+        self.forms = [np.where(name & ~first, marks[NAME], slotted), slotted, np.where(name, marks[NAME], slotted), h]
+        self.sums = None
+
+    def of(self, w: int, hasher):
+        """(starts of the windows within one text, [hashes by form])."""
         import numpy as np
 
-        n = len(h) - w + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        hasher.grow(self.n + 1)
         with np.errstate(over="ignore"):
-            x = np.where(slot > 0, np.array([0, 11, 22, 33], np.uint64)[slot] * np.uint64(0xC2B2AE3D27D4EB4F), h)
-            acc = np.full(n, np.uint64(w))
-            for k in range(w):
-                acc = acc * np.uint64(_scan.BASE) + x[k : k + n]
-            lit = np.concatenate([[0], np.cumsum(slot == 0)])
-            return _scan.mix(acc), lit[w:] - lit[:-w] >= min(LITERALS, w - 1)
+            if self.sums is None:
+                self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * hasher.powers[: self.n])]) for x in self.forms]
+            n = max(self.n - w + 1, 0)
+            at = np.flatnonzero(self.text[:n] == self.text[w - 1 : w - 1 + n])
+            return at, [_scan.mix((s[at + w] - s[at]) * hasher.inverse[at] + np.uint64(w)) for s in self.sums]
 
 
 def index(items: list[tuple[int, bytes]]) -> dict:
-    """Windows of benchmark items: sorted hashes, and for each its (item, position); tokens and slot values by item."""
+    """Windows of benchmark items by width: sorted hashes, and for each its (item, position); tokens by item."""
     import numpy as np
 
-    t, hashes, owner, pos, width, meta = Template(), [], [], [], [], []
+    tokens, meta, found = Tokens(), [], {}
     for i, (item_id, raw) in enumerate(items):
-        h, slot, starts, ends = t.tokens(raw)
+        text, h, slot, first = tokens([raw])
         w = min(WINDOW, len(h))
-        got, ok = t.windows(h, slot, w) if w >= 3 else (np.zeros(0, np.uint64), np.zeros(0, bool))
-        at = np.flatnonzero(ok)
-        hashes.append(got[at])
-        owner.append(np.full(len(at), i, np.int32))
-        pos.append(at.astype(np.int32))
-        width.append(np.full(len(at), w, np.int32))
-        meta.append((item_id, len(at), len(h), slot, h))
-    cat = lambda x, d: np.concatenate(x) if x else np.zeros(0, d)
-    hashes = cat(hashes, np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    return {"hash": hashes[order], "item": cat(owner, np.int32)[order], "pos": cat(pos, np.int32)[order], "width": cat(width, np.int32)[order], "meta": meta}
+        n = max(len(h) - w + 1, 0) if w else 0
+        meta.append((item_id, n, len(h), slot, h, w))
+        if not n:
+            continue
+        at, forms = Windows(text, h, slot, first).of(w, tokens.hasher)
+        enough = min(LITERALS, w - 1)
+        literal = lambda named: np.diff(np.concatenate([[0], np.cumsum((slot == LITERAL) | (slot == NAME) & ~named)])[np.stack([at, at + w])], axis=0)[0]
+        plain = literal(np.zeros(len(h), bool))
+        for form, some in zip(forms, (literal(~first), plain, literal(np.ones(len(h), bool)), None)):
+            ok = np.flatnonzero((plain < enough) if some is None else (some >= enough)) if w > 2 else at if some is None else at[:0]
+            found.setdefault(w, []).append((form[ok], np.full(len(ok), i), ok))
+    tables = {}
+    for w, parts in found.items():
+        rows = np.stack([np.concatenate([p[k].astype(np.uint64) for p in parts]) for k in range(3)], axis=1)
+        rows = np.unique(rows, axis=0)  # by hash, item and position
+        tables[w] = rows[:, 0].copy(), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64)
+    need = [max(1, int(np.ceil(min(SHARE * m[1], RUN)))) if m[1] else 1 << 60 for m in meta]
+    return {"tables": tables, "meta": meta, "need": np.array(need, np.int64)}
 
 
 class Matcher:
     def __init__(self, bench: dict):
         import numpy as np
 
-        self.t, self.b = Template(), bench
-        self.widths = sorted(set(bench["width"].tolist()))
-        self.filter = np.zeros(1 << 22, bool)  # most windows miss here
-        self.filter[(bench["hash"] >> np.uint64(42)).astype(np.int64)] = True
+        self.tokens, self.b = Tokens(), bench
+        self.filters = {}
+        for w, (hashes, _, _) in bench["tables"].items():  # most windows miss here
+            self.filters[w] = np.zeros(1 << 20, bool)
+            self.filters[w][(hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def match(self, raw: bytes):
-        """(item index, windows found, item's windows, slots with another value) of each item that contaminates."""
+    def match(self, raws: list[bytes]):
+        """For each text, (item index, windows found, item's windows, slots with another value) of each item that
+        contaminates it."""
         import numpy as np
 
-        b, out = self.b, {}
-        h, slot, _, _ = self.t.tokens(raw)
+        out = [[] for _ in raws]
+        n_items = len(self.b["meta"])
+        text, h, slot, first = self.tokens(raws)
+        windows = Windows(text, h, slot, first)
+        sizes = np.bincount(text, minlength=len(raws)) if len(text) else np.zeros(len(raws), np.int64)
         hits = []
-        for w in self.widths:
-            got, ok = self.t.windows(h, slot, w)
-            at = np.flatnonzero(ok & self.filter[(got >> np.uint64(42)).astype(np.int64)])
-            lo, hi = np.searchsorted(b["hash"], got[at], "left"), np.searchsorted(b["hash"], got[at], "right")
-            for p, s, e in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                hits += [(int(b["item"][k]), p, int(b["pos"][k]), w) for k in range(s, e) if b["width"][k] == w]
-        hits.sort()
-        start = 0
-        for i in range(1, len(hits) + 1):
-            # a stretch ends with the item, or where the next hit is further on than the item is long
-            if i == len(hits) or hits[i][0] != hits[start][0] or hits[i][1] - hits[i - 1][1] > b["meta"][hits[start][0]][2]:
-                found = self.stretch(hits[start:i], h, slot)
-                if found and found[1] > out.get(found[0], (0, 0))[1]:
-                    out[found[0]] = found
-                start = i
-        return list(out.values())
-
-    def stretch(self, hits, h, slot):
-        """Take windows in order along the text while the slots stay consistent."""
-        item = hits[0][0]
-        item_id, n_windows, _, islot, ih = self.b["meta"][item]
-        values, back, used, changed, conflict = {}, {}, set(), 0, 0
-        for _, p, q, w in hits:
-            pairs = {(int(islot[q + k]), int(ih[q + k])): int(h[p + k]) for k in range(w) if islot[q + k]}
-            if all(values.get(a, v) == v and back.get((a[0], v), a) == a for a, v in pairs.items()):
-                values |= pairs
-                back |= {(a[0], v): a for a, v in pairs.items()}
-                used.add(q)
-        changed = sum(a[1] != v for a, v in values.items())
-        return (item, len(used), n_windows, changed) if len(used) >= SHARE * n_windows else None
+        for w, (hashes, item, pos) in self.b["tables"].items():
+            at, forms = windows.of(w, self.tokens.hasher)
+            for got in forms:
+                some = np.flatnonzero(self.filters[w][(got >> np.uint64(44)).astype(np.int64)])
+                if w < 3:  # only a text of just these tokens
+                    some = some[sizes[text[at[some]]] == w]
+                lo, hi = np.searchsorted(hashes, got[some], "left"), np.searchsorted(hashes, got[some], "right")
+                n = hi - lo
+                k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                p = np.repeat(at[some], n)
+                hits.append(np.stack([text[p] * n_items + item[k], p, pos[k]], axis=1))
+        hits = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 3), np.int64)
+        if not len(hits):
+            return out
+        owners, starts, n = np.unique(hits[:, 0], return_index=True, return_counts=True)
+        for owner, s, k in zip(owners.tolist(), starts.tolist(), n.tolist()):
+            i = owner % n_items
+            if k >= self.b["need"][i] and (found := self.judge(i, hits[s : s + k, 1], hits[s : s + k, 2], h)):
+                out[owner // n_items].append(found)
+        return out
+
+    def judge(self, item: int, p, q, h):
+        """The best stretch of matches (document position p, item position q, sorted by p), or None."""
+        import numpy as np
+
+        cuts = np.flatnonzero(np.diff(p) > self.b["meta"][item][2]) + 1
+        best = None
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
+            found = self.stretch(item, p[a:b].tolist(), q[a:b].tolist(), h)
+            if found and (best is None or found[1] > best[1]):
+                best = found
+        return best
+
+    def stretch(self, item: int, p, q, h):
+        from collections import Counter
+
+        _, n_windows, _, slot, own, w = self.b["meta"][item]
+        met = {(x + k, y + k) for x, y in zip(p, q) for k in range(w) if slot[y + k]}
+        votes = Counter((int(slot[y]), int(own[y]), int(h[x])) for x, y in met)
+        there, back = {}, {}
+        for (kind, v, d), _ in sorted(votes.items(), key=lambda e: (-e[1], e[0])):
+            there.setdefault((kind, v), d)
+            back.setdefault((kind, d), v)
+        fits = {(x, y): there[int(slot[y]), int(own[y])] == int(h[x]) and back[int(slot[y]), int(h[x])] == int(own[y]) for x, y in met}
+        used = {y for x, y in zip(p, q) if all(fits.get((x + k, y + k), True) for k in range(w))}
+        if len(used) < self.b["need"][item]:
+            return None
+        seen = {y + k for y in used for k in range(w) if slot[y + k]}
+        changed = {(int(slot[y]), int(own[y])) for y in seen}
+        return item, len(used), n_windows, sum(there[x] != x[1] for x in changed)
 
 
 def blocks(benchmark: DataFrame):
@@ -188,10 +272,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             m = Matcher(bench.value)
             for b in _scan.slices(batches):
-                out = []
-                for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                    if raw:
-                        out += [(doc_id, m.b["meta"][i][0], k, n, k / n, c) for i, k, n, c in m.match(raw)]
+                found = m.match([r or b"" for r in b.column(1).cast(pa.binary()).to_pylist()])
+                out = [(doc_id, m.b["meta"][i][0], k, n, k / n, c) for doc_id, items in zip(b.column(0).to_pylist(), found) for i, k, n, c in items]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "n_found", "n_windows", "coverage", "slots_changed"])
 
@@ -215,7 +297,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
             m = Matcher(bench.value)
             for b in _scan.slices(batches):
-                yield b.filter(pa.array([not (r and m.match(r)) for r in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+                found = m.match([r or b"" for r in b.column(at).cast(pa.binary()).to_pylist()])
+                yield b.filter(pa.array([not items for items in found], pa.bool_()))
 
         docs = _scan.over(docs, run, schema)
     return docs

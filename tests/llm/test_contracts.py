@@ -460,7 +460,7 @@ def test_op10_exact_and_changed(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contaminated(df, bench).collect()}
-    assert set(got) == {1, 2} or set(got) == {1, 2, 4}
+    assert set(got) == {1, 2}
     assert got[1].slots_changed == 0 and got[2].slots_changed == 4
 
 
@@ -480,8 +480,111 @@ def test_op10_finds_every_contained_item(spark, sf):
     assert want <= got
 
 
-def test_op10_edge(spark, edge_dir):
-    registry.QUERIES["op10_template_leaks"](spark, edge_dir).collect()
+def plain_tokens(t):
+    """(token in lower case, slot type, begins a sentence) by regular expressions; ASCII and Latin-1 case only."""
+    low = lambda x: "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in x)
+    out, last = [], 0
+    for m in re.finditer(r"[0-9]+(?:[.,]+[0-9]+)*|[\u3000-\u303f]|[\u3040-\u9fff\u0e00-\u0eff]|(?:(?![\u3000-\u9fff\u0e00-\u0eff])[A-Za-z\u0080-\U0010ffff])+", t):
+        x = m[0]
+        if "\u3000" <= x <= "\u303f":
+            continue
+        first = not out or any(c in ".!?\n:;|\"" for c in t[last : m.start()])
+        up = lambda c: "A" <= c <= "Z" or "À" <= c <= "Þ"
+        number = x[0] in "0123456789" or low(x) in decontaminate.NUMBER_WORDS
+        kind = 1 if number else 3 if out and not first and out[-1][1] == 1 and low(x) in decontaminate.UNITS else 2 if len(x) > 1 and up(x[0]) and not up(x[1]) else 0
+        if out and low(x) in decontaminate.NUMBER_WORDS and out[-1][3] and t[last : m.start()] in (" ", "-"):
+            out[-1] = (out[-1][0] + " " + low(x), 1, out[-1][2], True)
+        else:
+            out.append((low(x), kind, first, number and x[0] not in "0123456789"))
+        last = m.end()
+    return [x[:3] for x in out]
+
+
+def plain_forms(tokens, i, w):
+    named = lambda k, first, form: k == 2 and (form == 2 or form == 0 and not first)
+    return [tuple((k,) if form < 3 and k in (1, 3) else (2,) if form < 3 and named(k, first, form) else x for x, k, first in tokens[i : i + w]) for form in range(4)]
+
+
+def plain_leaks(docs, items):
+    """All (document row, item row, windows found) by comparing windows as tuples."""
+    out = collections.Counter()
+    read = [(d, plain_tokens(t or "")) for d, t in docs]
+    for item_id, text in items:
+        own = plain_tokens(text or "")
+        w = min(decontaminate.WINDOW, len(own))
+        if not w:
+            continue
+        wanted, n = collections.defaultdict(set), len(own) - w + 1
+        for q in range(n):
+            forms = plain_forms(own, q, w)
+            few = sum(k in (0, 2) for _, k, _ in own[q : q + w]) < min(4, w - 1)
+            for form, x in enumerate(forms):
+                literal = sum(not isinstance(y, tuple) for y in x)
+                if (w < 3 and form == 3) or w > 2 and (few if form == 3 else literal >= min(4, w - 1)):
+                    wanted[x].add(q)
+        for d, tokens in read:
+            hits = sorted({(p, q) for p in range(len(tokens) - w + 1) if w > 2 or len(tokens) == w for x in plain_forms(tokens, p, w) for q in wanted.get(x, ())})
+            best, start = 0, 0
+            for i in range(1, len(hits) + 1):
+                if i == len(hits) or hits[i][0] - hits[i - 1][0] > len(own):
+                    part = hits[start:i]
+                    met = {(p + k, q + k) for p, q in part for k in range(w) if own[q + k][1]}
+                    votes = collections.Counter((own[y][1], own[y][0], tokens[x][0]) for x, y in met)
+                    there, back = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+                    for (k, v, x), c in votes.items():
+                        there[k, v][x] += c
+                        back[k, x][v] += c
+                    tie = any(len(c) > 1 and c.most_common(2)[0][1] == c.most_common(2)[1][1] for c in [*there.values(), *back.values()])
+                    good = lambda x, y: there[own[y][1], own[y][0]].most_common(1)[0][0] == tokens[x][0] and back[own[y][1], tokens[x][0]].most_common(1)[0][0] == own[y][0]  # noqa: B023, E731
+                    used = {q for p, q in part if all(good(p + k, q + k) for k in range(w) if own[q + k][1])}
+                    need = max(1, -(-min(n, 2 * decontaminate.RUN) // 2))
+                    if tie and len({q for _, q in part}) >= need:
+                        best = None  # which value wins a tie is not defined
+                        break
+                    best = max(best, len(used)) if len(used) >= need else best
+                    start = i
+            if best is None or best:
+                out[d, item_id, best] += 1
+    return out
+
+
+def test_op10_equals_brute_force(spark, where):
+    docs = docs_of(spark, where)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{where}/benchmark.parquet").collect()]
+    want = plain_leaks(docs, items)
+    got = collections.Counter((r.doc_id, r.item_id, r.n_found) for r in registry.QUERIES["op10_template_leaks"](spark, where).collect())
+    open_cases = {k[:2] for k in want if k[2] is None}
+    strip = lambda c: {k: v for k, v in c.items() if k[:2] not in open_cases}
+    assert strip(got) == strip(want) and len(open_cases) <= 0.1 * len(want)
+
+
+ANNA = "Each week Anna sells 14 baskets of red apples for 3 dollars each while Peter sells 20 boxes of pears at the same market stall"
+SALE = "Anna sells 14 baskets a day. Anna pays 3 dollars each. Anna keeps the rest."
+
+
+@pytest.mark.parametrize("item, text, found", [
+    (ANNA, ANNA.lower(), True),
+    (ANNA, ANNA.replace("14", "fourteen").replace("20", "twenty-five"), True),
+    (ANNA, ANNA.replace("14", "1,400").replace("3 ", "3.5 "), True),
+    (SALE, SALE.replace("Anna", "Maria").replace("14", "99"), True),
+    ("What is 12 + 7?", "so What is 12 + 7? indeed", True),
+    ("What is 12 + 7?", "What is 13 + 7?", False),
+    ("What is 12 times 7?", "x What is 12 times 7? y", True),
+    ("这个问题有几个苹果和梨子在桌子上面", "前面有。这个问题有几个苹果和梨子在桌子上面。后面", True),
+    ("这个问题有几个苹果和梨子在桌子上面", "别的文字完全不同的内容在这里没有关系", False),
+    ("x", "x", True), ("x", "x y", False), ("?!", "?!", False), ("", "", False),
+    (ANNA, "Each week Maria buys bread and 14 rolls at the corner shop for the whole family of red cats", False),
+])
+def test_op10_cases(item, text, found):
+    m = decontaminate.Matcher(decontaminate.index([(1, item.encode())]))
+    assert bool(m.match([b"other text", text.encode(), b""])[1]) == found
+
+
+def test_op10_long_texts_in_pieces():
+    text = (b"filler words of no interest " * 90_000) + ANNA.encode() + b" more" * 10
+    m = decontaminate.Matcher(decontaminate.index([(1, ANNA.encode())]))
+    got = m.match([b"short", text, ANNA.encode()])
+    assert not got[0] and got[1][0][1] == got[2][0][1] == got[2][0][2]
 
 
 def staying(rows):
