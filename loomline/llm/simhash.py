@@ -10,8 +10,8 @@ each fingerprint names the 65 values within one bit of it, and two fingerprints
 differ in 2 bits or fewer. A value has at most 65 fingerprints, so the work stays proportional to the fingerprints.
 
 The pipeline stage looks wider: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more differ in
-about 10 of 64 bits, too many for a grid of fingerprints. Its candidates share a band of minima of the shingle hashes, and
-the similarity of each candidate pair is counted from the sets.
+9.7 bits of 64 on average, in up to 18 (one in 200), and no grid of fingerprints is selective at such a radius. Its
+candidates share a band of minima of the shingle hashes instead, and the similarity of each pair is counted from the sets.
 
 Defined cases: null or empty text and text without a word have fingerprint 0, which links like any other, and
 are copies of each other in the stage; repeated rows
@@ -296,13 +296,15 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and groups by Jaccard similarity of WORDS-word shingles. rows: doc_id, tk (hash of the text), key (hash of the
-    words) and copies, one for each distinct (doc_id, tk). groups: key and label, the group's first key, for the keys that
+    words) and copies, one for each distinct (doc_id, tk). groups: key and label, one key of the group, for the keys that
     are similar to another one.
 
     Keys that share a band are candidates, and each pair is checked by its sets. In each round the first keys of a band's
-    cell (by least doc_id) are compared with all others in it; of each group only the first key goes on, with eight times
-    as many leaders. Rounds end when no cell has more keys than leaders: then all pairs of the groups' first keys that
-    share a band were compared, so no two of them are similar."""
+    cell (by least doc_id) are compared with all others in it and then leave the cell; of each group only the first key
+    goes on, with four times as many leaders. Before each further round the keys that have too few shingles in common with
+    all others together go, and pairs that could not have enough are not formed. Rounds end when no pair is left: then all
+    pairs of the groups' first keys that share a band were compared or cannot be similar. So no two texts that stay are
+    similar, and each that goes is similar to another one; a group that only later keys hold together may stay as several."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
     bands = [f"b{i}" for i in range(BANDS)]
     sketches = cluster.materialize(_scan.over(texts, _sketch_batches, "doc_id long, tk long, key long, full boolean, " + ", ".join(f"{b} long" for b in bands)), "sketches")
@@ -315,38 +317,63 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = distinct.select("key", "rep", F.explode(F.array(*bands)).alias("cell"))
     cells = cluster.materialize(full.join(cluster.small(shared, BROADCAST_KEYS), "cell", "left_semi"), "cells")
     # one text of each key in a shared cell
-    wanted = cells.select("key").distinct().join(rows, "key").groupBy("key").agg(F.min(F.struct("tk", "doc_id")).alias("one"))
+    wanted = rows.groupBy("key").agg(F.min(F.struct("tk", "doc_id")).alias("one")).join(cells.select("key").distinct(), "key", "left_semi")
     wanted = cluster.materialize(wanted.select(F.col("one.tk").alias("wtk"), F.col("one.doc_id").alias("wid")), "wanted")
     chosen = texts.join(cluster.small(wanted, BROADCAST_KEYS), (F.col("tk") == F.col("wtk")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
     sets = cluster.materialize(_scan.over(chosen.select("text"), _set_batches, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
     cluster.drop(sketches, shared, wanted)
     edges, labels, leaders = None, None, 1
+    cells = cells.select("cell", "key", F.struct("rep", "key").alias("o"), F.lit(0).alias("n"), F.lit(0).alias("m"))
     while True:
-        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        top = sizes.agg(F.max("size")).first()[0] or 0
-        if top:
-            first = cells.select("cell", "key", "rep", F.row_number().over(Window.partitionBy("cell").orderBy("rep", "key")).alias("r")).where(F.col("r") <= leaders)
-            first = first.groupBy("cell").agg(F.collect_list(F.struct("rep", "key")).alias("first")).join(sizes, "cell")
-            found = cluster.lookup(cells, first, "cell", "size", cells.count(), F.col("key")).select(F.struct("rep", "key").alias("o"), F.explode("first").alias("l"))
-            pairs = cluster.materialize(found.where("l < o").select(F.col("l.key").alias("u"), F.col("o.key").alias("v")).distinct(), "pairs")
-            new = cluster.materialize(similar(pairs, sets), "similar")
+        sizes = cluster.materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        total, top = sizes.agg(F.sum("size"), F.max("size")).first()
+        if not total:
+            break
+        first = cells.select("cell", "o", "n", "m", F.row_number().over(Window.partitionBy("cell").orderBy("o")).alias("r")).where(F.col("r") <= leaders)
+        first = cluster.materialize(first.groupBy("cell").agg(F.collect_list(F.struct("o", "n", "m")).alias("first")).join(sizes, "cell"), "leaders")
+        found = cluster.lookup(cells, first, "cell", "size", total, F.col("key"))
+        fit = F.filter("first", lambda x: (x["o"] < F.col("o")) & ((F.col("n") == 0) | (F.least(F.col("m"), x["m"]) * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + x["n"]))))
+        found = found.select("key", F.explode(fit).alias("l"))
+        pairs = cluster.materialize(found.select(F.col("l.o.key").alias("u"), F.col("key").alias("v")).distinct(), "pairs")
+        new = cluster.materialize(similar(pairs, sets), "similar")
+        found = new.limit(1).count() > 0
+        if found:
             edges = new if edges is None else edges.unionByName(new)
-            cluster.drop(pairs, labels)
+            cluster.drop(labels)
             labels = components(edges, n_keys)
+        cluster.drop(pairs)
         if top <= leaders + 1:
             break
-        reps = labels.join(distinct.select("key", "rep"), labels.node == F.col("key")).select("label", "rep", "key")
-        heads = reps.groupBy("label").agg(F.min(F.struct("rep", "key")).alias("o"))
-        gone = labels.select(F.col("node").alias("key")).join(heads.select(F.col("o.key").alias("key")), "key", "left_anti")
-        left = cluster.materialize(cells.join(gone, "key", "left_anti"), "cells")
-        cluster.drop(cells)
-        cells, leaders = left, leaders * 8
+        # what goes on: the first key of each group, in the cells where it has led no comparison
+        left = cells.select("cell", "key", "o")
+        if found:
+            reps = labels.join(distinct.select("key", "rep"), labels.node == F.col("key")).select("label", F.struct("rep", "key").alias("o"))
+            heads = reps.groupBy("label").agg(F.min("o").alias("o"))
+            gone = labels.select(F.col("node").alias("key")).join(heads.select(F.col("o.key").alias("key")), "key", "left_anti")
+            left = left.join(gone, "key", "left_anti")
+        led = first.select("cell", F.explode("first.o.key").alias("key"))
+        left = left.join(led, ["cell", "key"], "left_anti")
+        left = cluster.materialize(left, "left")
+        again = left.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("cell")
+        left = left.join(again, "cell", "left_semi")
+        left = cluster.materialize(left.join(shared_parts(left.select("key").distinct(), sets), "key").select("cell", "key", "o", "n", "m"), "cells")
+        cluster.drop(cells, sizes, first)
+        cells, leaders = left, leaders * 4
     cluster.drop(cells, sets)
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, label long")
     return rows, labels.select(F.col("node").alias("key"), "label")
 
 
+def shared_parts(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, n (its shingles) and m (those that another of the keys has too), for the keys that can be similar to another
+    one: two sets share at least SIMILARITY of the larger, so m is SIMILARITY * n at least."""
+    own = cluster.materialize(sets.join(keys, "key", "left_semi").select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    df = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle", "df", F.lit(1).alias("met"))
+    met = cluster.lookup(own, df, "shingle", "df", own.count(), F.col("key")).groupBy("key", "n").agg(F.count("met").cast("int").alias("m"))
+    return met.where(F.col("m") >= SIMILARITY * F.col("n"))
+
+
 def query(spark, sf_dir):
     found = close_fingerprints(cluster.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

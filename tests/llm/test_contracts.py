@@ -614,6 +614,27 @@ def staying(rows):
     return collections.Counter(best.values())
 
 
+def test_near_dedup_of_a_family_of_texts_in_between(spark):
+    """A large family whose pairs are of every similarity from 0.3 to 0.95, as brute force says."""
+    import random
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(4))
+    base, rows = [word() for _ in range(100)], []
+    for i in range(250):
+        w = list(base)
+        for k in r.sample(range(100), r.randint(0, 9)):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    left = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    kept, want = {x.doc_id for x in left}, {d for d, _ in staying(rows)}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(96)} for d, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert want <= kept and len(kept) < 200
+    assert not any(alike(a, b) for a in kept for b in kept if a < b)
+    assert all(any(alike(a, b) for b in sets if b != a) for a in set(sets) - kept)
+
+
 def test_near_dedup_keeps_texts_that_share_or_lack_an_id(spark):
     texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in ("x", "y", "z", "n", "m", "o")}
     rows = [(3, texts["x"]), (5, texts["x"]), (5, texts["y"]), (8, texts["z"]), (None, texts["n"]), (None, texts["m"]), (None, texts["o"]), (8, texts["z"])]
