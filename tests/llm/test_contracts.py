@@ -88,29 +88,51 @@ def test_op3(spark, where):
     assert all(not r.kept for r in rows if r.base_failed) and any(r.kept for r in rows)
 
 
-def test_op3_distances_equal_numpy(spark):
-    """The same concentration steps in numpy, one group."""
+def mcd_in_numpy(x):
+    """The same starts, steps and reweighting, one group; the log-determinants of the starts after their first steps."""
+    from loomline.llm import outliers as o
+
+    floors, k = np.diag(np.array(list(o.FLOORS.values())) ** 2), x.shape[1]
+    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def step(m, c):
+        bins = np.floor(np.log2(np.maximum(dist(m, c), 1e-6)) * o.BINS)
+        sub = x[np.array([(bins < b).sum() for b in bins]) < o.H * len(x)]
+        return sub.mean(0), np.cov(sub.T, bias=True) * o.consistency(k, o.H) + floors
+
+    logdet = lambda e: np.linalg.slogdet(e[1])[1]
+    p = np.sort(x, axis=0)[[max(int(np.ceil(q * len(x))) - 1, 0) for q in (0.25, 0.5, 0.75)]]
+    wide = np.diag(((p[2] - p[0]) / 1.349) ** 2) + floors
+    starts = [(x.mean(0), np.cov(x.T, bias=True) + floors), (p[1], wide), (p[0], wide)]
+    for _ in range(o.FIRST_STEPS):
+        starts = [step(*e) for e in starts]
+    best = min(starts, key=logdet)
+    for _ in range(o.STEPS):
+        new = step(*best)
+        if logdet(new) >= logdet(best) - 1e-6:
+            break
+        best = new
+    sub = x[dist(*best) <= o.chi2_quantile(o.WITHIN, k)]
+    return dist(sub.mean(0), np.cov(sub.T, bias=True) * o.consistency(k, o.WITHIN) + floors), [logdet(e) for e in starts]
+
+
+@pytest.mark.parametrize("junk, spread", [(20, 1.0), (133, 0.05), (133, 0.5)])
+def test_op3_distances_equal_numpy(spark, junk, spread):
+    """Few outliers, and a third of the rows in a far cluster, tight or wide: all of them lie beyond the cut."""
     from pyspark.sql import functions as F
 
     from loomline.llm import outliers
 
     r = np.random.default_rng(2)
     x = r.normal(0, 1, (400, 5)) @ np.diag([1, 0.3, 0.1, 0.2, 0.2])
-    x[:20] += 8
+    x[:junk] = x[:junk] * spread + (8 if junk == 20 else np.array([1.0, 2.0, 1.5, 0.2, 2.5]))
     names = list(outliers.FLOORS)
     df = spark.createDataFrame([(i, "en", "s", True, *map(float, v)) for i, v in enumerate(x)], "i int, lang string, source string, used boolean, " + ", ".join(f"{n} double" for n in names))
     got = {v.i: v.d2 for v in outliers.mcd_distances(df, names, ["lang", "source"]).select("i", F.col("d2")).collect()}
-    floors = np.diag(np.array(list(outliers.FLOORS.values())) ** 2)
-    m, c = x.mean(0), np.cov(x.T, bias=True) + floors
-    dist = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    for _ in range(outliers.STEPS):
-        bins = np.floor(np.log2(np.maximum(dist(), 1e-6)) * outliers.BINS)
-        before = np.array([(bins < b).sum() for b in bins])
-        sub = x[before < outliers.H * len(x)]
-        m, c = sub.mean(0), np.cov(sub.T, bias=True) * outliers.consistency(5) + floors
-    want = dist()
+    want, dets = mcd_in_numpy(x)
     assert np.allclose([got[i] for i in range(400)], want, rtol=1e-6)
-    assert want[:20].min() > outliers.CUTOFF > np.quantile(want[20:], 0.99)
+    assert want[:junk].min() > outliers.CUTOFF > np.quantile(want[junk:], 0.99)
+    assert junk == 20 or dets[0] > min(dets) - 1e-9
 
 
 def ids_of(tok, text):
