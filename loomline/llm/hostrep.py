@@ -12,7 +12,7 @@ the suffix and one label more; suffixes are the last label or, if listed in SUFF
 
 Defined cases: null urls and urls without :// have an empty host and path, which is a host like any other; a null label
 counts as bad only if toxic is 1; repeated page rows are judged each, labels of a page count once a label row; hosts
-without labels take the prior; an empty table gives an empty result.
+without labels take the prior; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -76,9 +76,14 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     mean = lambda s: (s * F.col("m") + F.col("good")) / (s + F.col("n"))
     top = sums("suffix").withColumn("m", F.lit(((good or 0) + 1) / ((n or 0) + 2)))
     suffixes = top.select("suffix", mean(strength(top)).alias("m"))
-    middle = sums("suffix", "domain").join(suffixes, "suffix")
+    # a suffix may have most of the domains, and a domain most of the hosts, so they are looked up
+    pairs = sums("suffix", "domain")
+    uses, n_pairs = pairs.groupBy("suffix").agg(F.count(F.lit(1)).alias("uses")), pairs.count()
+    middle = cluster.materialize(cluster.lookup(pairs, suffixes.join(uses, "suffix"), "suffix", "uses", n_pairs, F.col("domain")), "domains")
     domains = middle.select("domain", mean(strength(middle)).alias("m"))
-    full = hosts.select("host", "domain", "n", "good").join(domains, "domain")
+    uses, n_hosts = hosts.groupBy("domain").agg(F.count(F.lit(1)).alias("uses")), hosts.count()
+    full = cluster.lookup(hosts.select("host", "domain", "n", "good"), domains.join(uses, "domain"), "domain", "uses", n_hosts, F.col("host"))
+    full = cluster.materialize(full, "means")
     s = strength(full)
     own = full.select("host", "n", mean(s).alias("mean"))
     return own.select("host", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (s + F.col("n") + 1)).alias("sd"))

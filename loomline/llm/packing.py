@@ -9,6 +9,9 @@ Documents may be cut: whole windows of max_tokens become sequences of their own,
 waiting piece fits, one is cut to fill the sequence. What remains at the end of a partition is laid out in sequences whose
 lengths are powers of two, which need no padding. With cuts, only the limit on segments or loss can leave padding.
 
+Plain documents bear loss on all tokens but a document's first, so in the query and the stage the limits on tokens and
+segments decide; pack_examples has all three.
+
 Packing needs no shuffle: each partition packs its own rows, and sequence ids start with the partition's number.
 
 Defined cases: null and empty texts are one id (the end mark); repeated rows are packed each; an empty table gives an
@@ -26,6 +29,8 @@ from loomline.llm import _scan
 cluster.ship_by_value(__name__)
 
 MAX_TOKENS, MAX_SEGMENTS, POOL = 2048, 128, 512
+#: A sequence that lacks no more than so many tokens is padded rather than cut at powers of two.
+FILLED = 32
 END = 1
 #: Texts of these characters only are split by _scan; others go through the tokenizer's own code.
 PLAIN = "[^\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]"
@@ -294,14 +299,15 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
                 if whole < len(arr):
                     n = len(arr) - whole
                     if (seq := packer.add(n, n - (whole == 0), tag, whole)) is not None:
-                        close(seq)
+                        for own in [seq] if sum(p[2] for p in seq) > max_tokens - FILLED else powers(seq, max_tokens):
+                            close(own)
                 tag += 1
             if len(rows) > 512:
                 yield flush()
         for seq in packer.rest():
-            if packer.items:
+            if packer.items and sum(p[2] for p in seq) > max_tokens - FILLED:
                 close(seq)
-            else:
+            else:  # the last sequence, and those that the limit on segments left open
                 for own in powers(seq, max_tokens):
                     close(own)
         if rows:
@@ -312,13 +318,14 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
 
 
 def pack_examples(examples: DataFrame, id: str, tokens: str, loss: str, max_tokens: int, max_segments: int, max_loss: int, pool: int = POOL) -> DataFrame:
-    """Instruction data: whole examples under all three limits. Returns example_id, sequence_id, offset."""
+    """Instruction data: whole examples under all three limits. Returns example_id, sequence_id, offset; an example that is
+    over a limit by itself is in no sequence and has nulls there. Null counts are 0."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        base, n_seq = TaskContext.get().partitionId() << 36, 0
+        base, n_seq = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, 0
         packer, rows = Packer(max_tokens, max_segments, max_loss, pool), []
 
         def close(seq):
@@ -329,14 +336,24 @@ def pack_examples(examples: DataFrame, id: str, tokens: str, loss: str, max_toke
                 at += n
             n_seq += 1
 
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["example_id", "sequence_id", "offset"])
+            rows.clear()
+            return out
+
         for b in batches:
             for x, n, k in zip(*(c.to_pylist() for c in b.columns)):
-                if (seq := packer.add(n or 0, k or 0, x)) is not None:
+                n, k = max(n or 0, 0), max(k or 0, 0)
+                if n > max_tokens or k > max_loss:
+                    rows.append((x, None, None))
+                elif (seq := packer.add(n, k, x)) is not None:
                     close(seq)
+                if len(rows) > 1024:
+                    yield flush()
         for seq in packer.rest():
             close(seq)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["example_id", "sequence_id", "offset"])
+            yield flush()
 
     rows = examples.select(F.col(id).cast("long"), F.col(tokens).cast("long"), F.col(loss).cast("long"))
     return _scan.over(rows, run, "example_id long, sequence_id long, offset long")

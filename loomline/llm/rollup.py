@@ -5,12 +5,18 @@ revision both. A batch of changes is folded to signed sums by source, language a
 are all that is stored. Totals are the sum over the committed batches; no document is read again.
 
 A batch is committed once, whatever is retried: its delta is written under a new name, and the commit is the creation of
-one small file that names it, which the file system lets only one writer do. A batch whose commit file exists is skipped,
-and deltas that no commit names are never read.
+one empty file whose name holds the batch and the delta, so there is no state in which a commit exists without its content.
+Of two writers of one batch that create such files at the same time the first one counts, for writers and readers alike (by
+time, then name). Deltas that no commit names are never read. The file system must create a file at once or not at all and
+list what was created, as HDFS, local file systems and the large object stores do.
+
+compact() folds the deltas that are committed into one base, whose folder holds the names of its batches too; the base
+counts from the creation of one empty file on. Totals are the newest base and the deltas of batches that it does not hold,
+so reading takes two listings and the deltas since then.
 
 Defined cases: null source, language and tokenizer are groups of their own; null counts are 0; a null text has 0 tokens;
 repeated change rows in a batch count each time (deduplicate the feed by its own key before); groups that come down to no
-documents and no tokens are left out; an empty batch commits nothing but its name.
+documents and no tokens are left out; an empty batch commits nothing but its name; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -44,51 +50,72 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._charset = jvm.java.nio.charset.StandardCharsets.UTF_8
 
-    def _commit_file(self, batch: str):
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
-            raise ValueError(f"not a batch name: {batch!r}")
-        return self._path(f"{self.path}/commits/{batch}")
+    def _marks(self, kind: str) -> list[tuple[int, str]]:
+        """Time and name of the empty files of a kind ('commits' or 'bases'), first ones first."""
+        root = self._path(f"{self.path}/{kind}")
+        if not self._fs.exists(root):
+            return []
+        files = [(f.getModificationTime(), f.getPath().getName()) for f in self._fs.listStatus(root)]
+        return sorted(f for f in files if not f[1].startswith("."))
+
+    def _mark(self, kind: str, name: str):
+        self._fs.create(self._path(f"{self.path}/{kind}/{name}"), False).close()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch; False if it had been applied before, by this or another writer."""
-        if self._fs.exists(self._commit_file(batch)):
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch.startswith("."):
+            raise ValueError(f"not a batch name: {batch!r}")
+        if batch in self.batches():
             return False
-        attempt = f"{batch}-{uuid.uuid4().hex}"
-        fold(changes).coalesce(1).write.parquet(f"{self.path}/deltas/{attempt}")
-        try:
-            out = self._fs.create(self._commit_file(batch), False)
-        except Exception as e:  # another writer was first
-            if "exist" in str(e).lower():
-                return False
-            raise
-        out.write(attempt.encode())
-        out.close()
-        return True
+        attempt = uuid.uuid4().hex
+        fold(changes).coalesce(1).write.parquet(f"{self.path}/deltas/{batch}={attempt}")
+        self._mark("commits", f"{batch}={attempt}")
+        return self.batches()[batch] == f"{batch}={attempt}"
 
     def batches(self) -> dict[str, str]:
-        """Committed batches and the deltas that their commits name."""
-        root = self._path(f"{self.path}/commits")
-        if not self._fs.exists(root):
-            return {}
-        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
-        read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
-        found = {}
-        for n in sorted(n for n in names if not n.startswith(".")):
-            stream = self._fs.open(self._commit_file(n))
-            found[n] = read(stream, self._charset)
-            stream.close()
+        """Committed batches and their deltas."""
+        found: dict[str, str] = {}
+        for _, name in self._marks("commits"):
+            if "=" in name:
+                found.setdefault(name.split("=", 1)[0], name)
         return found
 
+    def _base(self) -> tuple[DataFrame | None, set[str]]:
+        """Rows of the newest base and the batches in it."""
+        marks = self._marks("bases")
+        if not marks:
+            return None, set()
+        at = f"{self.path}/folded/{marks[-1][1]}"
+        held = self.spark.read.schema("batch string").parquet(f"{at}/batches")
+        return self.spark.read.schema(DELTA).parquet(f"{at}/sums"), {r[0] for r in held.collect()}
+
+    def _rows(self) -> tuple[DataFrame, list[str]]:
+        base, held = self._base()
+        batches = self.batches()
+        paths = [f"{self.path}/deltas/{d}" for b, d in batches.items() if b not in held]
+        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        return rows if base is None else rows.unionByName(base), sorted(held | set(batches))
+
     def totals(self) -> DataFrame:
         """n_docs and n_tokens by source, lang and tokenizer, over all committed batches."""
-        paths = [f"{self.path}/deltas/{a}" for a in self.batches().values()]
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        return _totals(self._rows()[0])
+
+    def compact(self) -> int:
+        """Fold all that is committed into a new base; the number of its batches. Deltas and older bases stay, for readers
+        that have begun, until the folder's owner removes them."""
+        rows, batches = self._rows()
+        name = f"{len(batches):09d}-{uuid.uuid4().hex}"
+        _totals(rows).coalesce(1).write.parquet(f"{self.path}/folded/{name}/sums")
+        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.parquet(f"{self.path}/folded/{name}/batches")
+        self._mark("bases", name)
+        return len(batches)
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
 #: Tokenizer versions of the query: runs of non-space, and runs of letters or digits or single other characters.
@@ -113,6 +140,7 @@ def query(spark, sf_dir):
     ledger.commit("recount", revised)
     ledger.commit("recount", revised)
     ledger.commit("takedown", counts.join(toxic, "doc_id", "left_semi").select(F.coalesce(second, first).alias("before"), none.alias("after")))
+    ledger.compact()
     return ledger.totals().select(*KEYS, "n_docs", "n_tokens")
 
 

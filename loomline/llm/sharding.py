@@ -26,7 +26,7 @@ OVERHEAD = 16
 #: Groups of one size, or rows of one shard, that are ranked in one task on average.
 RANKED = 20_000
 #: Sizes whose places the driver holds at a time, and runs (about 40 bytes each) up to which the places are broadcast.
-BLOCK, BROADCAST_RUNS = 50_000, 500_000
+BLOCK, BROADCAST_RUNS = 50_000, 100_000
 
 
 def place_equal(loads: list[int], size: int, count: int) -> list[int]:
@@ -63,8 +63,8 @@ def plan(sizes, shards: int):
         yield size, runs
 
 
-def places(counted: DataFrame, shards: int) -> DataFrame:
-    """bytes and runs, from one row a size with bytes and n."""
+def places(counted: DataFrame, shards: int) -> tuple[DataFrame, bool]:
+    """bytes and runs, from one row a size with bytes and n; and whether they are few enough to be broadcast."""
     spark, schema = counted.sparkSession, "bytes long, runs array<struct<shard:int,upto:long>>"
     path, block, n_runs, blocks = None, [], 0, 0
 
@@ -83,7 +83,7 @@ def places(counted: DataFrame, shards: int) -> DataFrame:
     if blocks:
         put()
     table = spark.read.schema(schema).parquet(path) if blocks else spark.createDataFrame(block, schema)
-    return F.broadcast(table) if n_runs <= BROADCAST_RUNS else table
+    return table, n_runs <= BROADCAST_RUNS
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -94,9 +94,14 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = cluster.materialize(own.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "groups")
     counted = cluster.materialize(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")), "sizes")
     total, most = counted.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
-    table = places(counted, shards)
+    table, few = places(counted, shards)
     ranked = cluster.gapless_rank(groups, ["bytes"], [F.col("key")], "rank", max(1, -(-most // RANKED)))
-    placed = ranked.join(table, "bytes").select("key", "copies", F.filter("runs", lambda r: r["upto"] > F.col("rank"))[0]["shard"].alias("shard"))
+    # one size may have most of the groups
+    if few:
+        ranked = ranked.join(F.broadcast(table), "bytes")
+    else:
+        ranked = cluster.lookup(ranked, table.join(counted.select("bytes", "n"), "bytes"), "bytes", "n", groups.count(), F.col("key"))
+    placed = ranked.select("key", "copies", F.filter("runs", lambda r: r["upto"] > F.col("rank"))[0]["shard"].alias("shard"))
     rows = cluster.lookup(own, placed, "key", "copies", total, F.struct("doc_id", "text_crc32"))
     rows = cluster.materialize(rows.select("doc_id", "size", "text_crc32", "shard"), "placed")
     slots = cluster.gapless_rank(rows, ["shard"], [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "slot", max(4, -(-total // (shards * RANKED))))

@@ -177,6 +177,21 @@ def test_op4(spark, where, tok):
     assert total == sum(len(ids_of(tok, t)) * n for (_, t), n in docs.items())
 
 
+def test_op4_very_short_texts_need_no_padding(spark):
+    df = spark.createDataFrame([(i, "a b") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    seqs = collections.defaultdict(int)
+    for r in packing.pack_documents(df).collect():
+        seqs[r.sequence_id] += r.length
+    pad = sum(0 if n & (n - 1) == 0 else 2048 - n for n in seqs.values())
+    assert sum(seqs.values()) == 9000 and pad <= 0.02 * 9000
+
+
+def test_op6_without_broadcast(spark, sf, monkeypatch):
+    want = sorted(map(tuple, registry.QUERIES["op6_lpt_shards"](spark, sf).select("doc_id", "shard", "slot").collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_RUNS", 0)
+    assert sorted(map(tuple, registry.QUERIES["op6_lpt_shards"](spark, sf).select("doc_id", "shard", "slot").collect())) == want
+
+
 def test_tokenizer_pieces(tok):
     texts = ["it's 'tis x'then we'll I'd they'reé 're' ''s 'l 'v !'s a'", "a1b22c³ ½", "", "  ", "word_word", "é'sé", "日本 don't", "A\u00a0b", "x" * 5000, "'", "'s", "d'", "\x1c a", "don't " * 9]
     own = packing.WordTokenizer(packing.tokenizer_file())
@@ -189,8 +204,10 @@ def test_packing_of_examples_keeps_all_limits(spark):
 
     r = random.Random(4)
     rows = [(i, n := r.randint(1, 1000), r.randint(0, n // 2)) for i in range(2000)]
-    df = spark.createDataFrame(rows, "id long, n int, loss int").repartition(3)
+    df = spark.createDataFrame(rows + [(9001, 3000, 1), (9002, 700, 601), (9003, None, None)], "id long, n int, loss int").repartition(3)
     got = packing.pack_examples(df, "id", "n", "loss", 2048, 6, 600).collect()
+    assert {x.example_id for x in got if x.sequence_id is None} == {9001, 9002} and any(x.example_id == 9003 and x.sequence_id is not None for x in got)
+    got = [x for x in got if x.example_id < 9000]
     w = {i: (n, 1, k) for i, n, k in rows}
     seqs = collections.defaultdict(list)
     for x in got:
@@ -700,15 +717,62 @@ def test_ledger_is_idempotent_and_additive(spark, tmp_path):
     load = rows((None, ("a", "en", "v1", 10)), (None, ("a", "en", "v1", 5)), (None, ("b", None, "v1", None)))
     assert ledger.commit("1", load) and not ledger.commit("1", load)
     assert ledger.commit("2", rows((("a", "en", "v1", 10), ("a", "en", "v2", 12)), (("b", None, "v1", 0), None)))
-    load.select(F.lit(1)).coalesce(1).write.parquet(f"file://{tmp_path}/deltas/stray")  # a writer that died before its commit
+    load.select(F.lit(1)).coalesce(1).write.parquet(f"file://{tmp_path}/deltas/stray=1")  # a writer that died before its commit
     assert not ledger.commit("2", load)
-    got = sorted(map(tuple, rollup.Ledger(spark, "file://" + str(tmp_path)).totals().collect()))
-    assert got == [("a", "en", "v1", 1, 5), ("a", "en", "v2", 1, 12)]
+    totals = lambda: sorted(map(tuple, rollup.Ledger(spark, "file://" + str(tmp_path)).totals().collect()))
+    want = [("a", "en", "v1", 1, 5), ("a", "en", "v2", 1, 12)]
+    assert totals() == want
+    assert ledger.compact() == 2 and totals() == want
+    assert not ledger.commit("1", load) and totals() == want
+    # a base that was not marked, and a second writer whose mark came later, change nothing
+    load.select(F.lit(1)).coalesce(1).write.parquet(f"file://{tmp_path}/folded/000000009-x/sums")
+    ledger._mark("commits", "2=later")
+    assert totals() == want and not ledger.commit("2", load)
+    assert ledger.commit("3", rows((None, ("a", "en", "v2", 3)))) and totals() == [want[0], ("a", "en", "v2", 2, 15)]
+    assert ledger.compact() == 3 and totals() == [want[0], ("a", "en", "v2", 2, 15)]
+
+
+def test_op7_blocks_bad_hosts_and_spares_the_rest(spark, tmp_path):
+    """Planted hosts: a bad one, a bad domain with an unlabelled host, a good one, few bad labels; equal to the SQL twin."""
+    import random
+
+    import duckdb
+    import harness
+
+    from loomline.llm import hostrep
+
+    r, pages, labels = random.Random(5), [], []
+
+    def put(host, n, good, marked=True):
+        for _ in range(n):
+            i = len(pages)
+            pages.append((i, f"https://{host}/en/2{i}", "x"))
+            if marked:
+                labels.append((i, int(r.random() < good), 0))
+
+    for k in range(40):
+        put(f"site{k}.fine{k % 8}.net", 20, 0.9)
+    put("spam.lone.net", 40, 0.05)
+    for k in range(5):
+        put(f"h{k}.junkfarm.net", 30, 0.03)
+    put("new.junkfarm.net", 3, 0, marked=False)
+    put("once.fine1.net", 1, 0.0)
+    put("fresh.other.net", 2, 0, marked=False)
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.QUERIES["op7_host_reputation"](spark, str(tmp_path))
+    verdicts = {x.host: x.verdict for x in got.collect()}
+    bad = {"spam.lone.net", "new.junkfarm.net", *(f"h{k}.junkfarm.net" for k in range(5))}
+    assert {h for h, v in verdicts.items() if v == "block"} == bad
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert harness.compare(got, con, hostrep.SQL) == ""
 
 
 def test_op6_places_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(s, s % 5 + 1) for s in range(1, 101)], "bytes long, n long")
-    rows = lambda d: sorted((r.bytes, [tuple(x) for x in r.runs]) for r in d.collect())
+    rows = lambda d: sorted((r.bytes, [tuple(x) for x in r.runs]) for r in d[0].collect())
     whole = rows(sharding.places(df, 7))
     monkeypatch.setattr(sharding, "BLOCK", 9)
     monkeypatch.setattr(sharding, "BROADCAST_RUNS", 1)
