@@ -43,19 +43,76 @@ def test_op1(spark, where):
     assert all((r.pll == 0 and r.pll_per_token is None) if r.n_tokens == 0 else r.pll < 0 for r in rows)
 
 
+def cells_of(text):
+    """(window, word) of the words with a word on each side, by splitting at white space."""
+    low = bytes(np.asarray(_lower(text.encode())))
+    w = low.split()
+    return [((w[i - 2] if i > 1 else None, w[i - 1], w[i + 1], w[i + 2] if i + 2 < len(w) else None), w[i]) for i in range(1, len(w) - 1)]
+
+
+def _lower(raw):
+    from loomline.llm import _scan
+
+    return _scan.lower(np.frombuffer(raw, np.uint8))
+
+
+def test_op1_memory_equals_brute_force(spark, monkeypatch):
+    """Every window a cell: gains and recall from counts of all windows without the own occurrence."""
+    import math
+
+    monkeypatch.setattr(lmscore, "MEMORY_SHARE", 1)
+    stock = "the cat sat on a mat and the dog ate it".split()
+    import random
+
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice(stock) for _ in range(r.randint(0, 30)))) for i in range(200)] + [(900, "naïve über text twice of all"), (901, "naïve über text twice of all"), (902, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scored = lmscore.by_network(df).collect()
+    cells = {d: cells_of(t) for d, t in docs}
+    both, windows = collections.Counter(c for v in cells.values() for c in v), collections.Counter(c[0] for v in cells.values() for c in v)
+    lps = {x.doc_id: x.lps for x in scored}
+    rid = {x.doc_id: x.rid for x in scored}
+    gains = {x.rid: x for x in lmscore.recalled(spark.createDataFrame([tuple(x) for x in scored], lmscore.SCORED)).collect()}
+    for d, own in cells.items():
+        assert len(lps[d]) == len(own)
+        want, known = 0.0, 0
+        for (win, word), lp in zip(own, lps[d]):
+            n, total = both[win, word], windows[win]
+            want += math.log(n - 1 + lmscore.PRIOR * math.exp(lp)) - math.log(total - 1 + lmscore.PRIOR) - lp if total > 1 else 0
+            known += n > 1
+        got = gains.get(rid[d])
+        assert abs((got.gain if got else 0) - want) < 1e-3 * max(1, abs(want)) and (got.known if got else 0) == known
+
+
+def test_op1_scores_documents_that_occur_twice_apart(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    texts = [" ".join(word() for _ in range(r.randint(60, 200))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(60)], "doc_id long, text string")
+    got = {x.doc_id: x for x in lmscore.score(df).collect()}
+    twice = [got[i] for i in range(60)]
+    once = [got[i] for i in range(60, 300)]
+    cut = np.quantile([x.pll_per_token for x in once], 0.95)
+    assert np.mean([x.pll_per_token > cut for x in twice]) > 0.9
+    assert all(x.recall == 1 for x in twice if x.recall is not None) and np.mean([x.recall or 0 for x in once]) < 0.05
+
+
 def test_op1_scores_are_sums_of_the_network(spark):
     r = np.random.default_rng(0)
     weights = [w + r.normal(0, 0.1, w.shape).astype(np.float32) for w in lmscore.start_weights()]
-    ids = [1] * 256
+    ids, within = [1] * 256, [-2.0] * 256
     for i, b in enumerate(b"abcdefgh "):
-        ids[b] = i + 2
-    texts = [b"abc def", b"h", b"ab" * 700_000, b"xyz"]
-    got = lmscore.Scorer(ids, weights).sums(texts)
+        ids[b], within[b] = i + 2, 0.0
+    texts = [b"abc def", b"h", b"ab" * 700_000, b"xyz", b"", b"hhg " * 400_000]
+    got, (number, win, word, lp) = lmscore.Scorer(ids, within, weights).score(texts)
     for k in (0, 1, 3):
         x = [0, 0, *[ids[b] for b in texts[k]], 0, 0]
         ctx = np.array([((x[i - 2] * lmscore.TOKENS + x[i - 1]) * lmscore.TOKENS + x[i + 1]) * lmscore.TOKENS + x[i + 2] for i in range(2, len(x) - 2)])
-        want = lmscore.log_probs(weights, ctx)[np.arange(len(ctx)), x[2:-2]].sum()
+        want = lmscore.log_probs(weights, ctx)[np.arange(len(ctx)), x[2:-2]].sum() + sum(within[b] for b in texts[k])
         assert abs(got[k] - want) < 1e-3
+    assert got[4] == 0 and (np.diff(number) >= 0).all() and set(number.tolist()) <= {5}
 
 
 def test_op1_training_lowers_the_loss():
