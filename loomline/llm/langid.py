@@ -98,8 +98,12 @@ class Scorer:
         import numpy as np
 
         self.m = model
-        self.slot = np.full(SYMBOLS**4, -1, np.int32)
-        self.slot[model["codes"]] = np.arange(len(model["codes"]), dtype=np.int32)
+        # two levels, as most contexts of three symbols never occur: a number of the context, then a row for each symbol
+        seen, number = np.unique(model["codes"] // SYMBOLS, return_inverse=True)
+        self.context = np.zeros(SYMBOLS**3, np.int32)
+        self.context[seen] = np.arange(1, len(seen) + 1, dtype=np.int32)
+        self.slot = np.full((len(seen) + 1) * SYMBOLS, -1, np.int32)
+        self.slot[(number + 1) * SYMBOLS + model["codes"] % SYMBOLS] = np.arange(len(model["codes"]), dtype=np.int32)
 
     def bits(self, raws: list[bytes]):
         """Code length of each text under each language."""
@@ -107,12 +111,12 @@ class Scorer:
 
         m, a = self.m, SYMBOLS
         out = np.zeros((len(raws), len(m["langs"])))
-        for at in _scan.groups(raws, 1 << 20):
-            if sum(len(raws[i]) for i in at) > 1 << 22:  # one very long text, in overlapping pieces
+        for at in _scan.groups(raws, 1 << 18):
+            if sum(len(raws[i]) for i in at) > 1 << 20:  # one very long text, in overlapping pieces
                 raw = raws[at[0]]
-                for s in range(0, len(raw), 1 << 21):
+                for s in range(0, len(raw), 1 << 19):
                     lead = raw[max(0, s - 3) : s].rjust(3, b"\n")
-                    out[at[0]] += self._sum(lead + raw[s : s + (1 << 21)], np.array([3]))[0]
+                    out[at[0]] += self._sum(lead + raw[s : s + (1 << 19)], np.array([3]))[0]
                 continue
             full = [i for i in at if raws[i]]
             if full:
@@ -127,8 +131,8 @@ class Scorer:
 
         m, a = self.m, SYMBOLS
         x = m["fold"][_scan.lower(np.frombuffer(raw, np.uint8))].astype(np.int32)
-        code = ((x[:-3] * a + x[1:-2]) * a + x[2:-1]) * a + x[3:]
-        slot = self.slot[code]
+        before = (x[:-3] * a + x[1:-2]) * a + x[2:-1]
+        code, slot = before * a + x[3:], self.slot[self.context[before] * a + x[3:]]
         cost = m["rows"][np.maximum(slot, 0)] if len(m["rows"]) else np.zeros((len(code), len(m["langs"])), np.float32)
         miss = np.flatnonzero(slot < 0)
         cost[miss] = m["esc"][code[miss] // a] + m["low"][code[miss] % a**3]

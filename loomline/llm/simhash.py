@@ -368,9 +368,11 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def shared_parts(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """key, n (its shingles) and m (those that another of the keys has too), for the keys that can be similar to another
     one: two sets share at least SIMILARITY of the larger, so m is SIMILARITY * n at least."""
-    own = cluster.materialize(sets.join(keys, "key", "left_semi").select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
-    df = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle", "df", F.lit(1).alias("met"))
-    met = cluster.lookup(own, df, "shingle", "df", own.count(), F.col("key")).groupBy("key", "n").agg(F.count("met").cast("int").alias("m"))
+    own = sets.join(keys, "key", "left_semi").select("key", F.size("shingles").alias("n"), "shingles")
+    # shingles of one key only, counted by key
+    alone = own.select("key", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("key"))
+    alone = alone.where("df = 1").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    met = own.select("key", "n").join(alone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
     return met.where(F.col("m") >= SIMILARITY * F.col("n"))
 
 
