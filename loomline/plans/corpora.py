@@ -23,9 +23,9 @@ def corpus_batch_budget(t):
     return co.batch_budget(t("documents").select("doc_id", "n_chars"), F.col("n_chars"), "doc_id", 100_000, 20)
 
 
-@query("corpus_interleave", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS round FROM documents WHERE source IN ('src1', 'src2')")
+@query("corpus_interleave", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS round FROM documents")
 def corpus_interleave(t):
-    return co.interleave(t("documents").where(F.col("source").isin("src1", "src2")).select("source", "doc_id"), "source", "doc_id").orderBy("round", "source")
+    return co.interleave(t("documents").select("source", "doc_id"), "source", "doc_id").orderBy("round", "source")
 
 
 @query("corpus_mixture", "WITH s AS (SELECT lang, sum(n_chars)::BIGINT AS size FROM documents GROUP BY lang), f AS (SELECT *, CASE WHEN lang = 'en' THEN 0.3::DOUBLE END AS f FROM s), w AS (SELECT lang, size, coalesce(f, (1 - 0.3::DOUBLE) * size / sum(CASE WHEN f IS NULL THEN size ELSE 0 END) OVER ()) AS w FROM f) SELECT lang, size, round(w / sum(w) OVER (), 6) AS weight FROM w")
@@ -50,10 +50,11 @@ def shard_prune(t):
     return t("documents").where(F.pmod("doc_id", F.lit(8)) == 3).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("corpus_concat", "SELECT lang, md5(string_agg(left(text, 40), chr(10) || chr(10) ORDER BY doc_id)) AS h FROM documents WHERE n_chars < 300 GROUP BY lang")
+@query("corpus_concat", "SELECT doc_id // 50 AS block, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1")
 def corpus_concat(t):
-    d = t("documents").where("n_chars < 300").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("x")))).alias("v"))
-    return d.select("lang", F.md5(F.array_join(F.transform("v", lambda v: v["x"]), "\n\n").cast("binary")).alias("h"))
+    # blocks of 50 documents, so no row grows with the corpus
+    d = t("documents").groupBy(F.floor(F.col("doc_id") / 50).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("text").alias("x")))).alias("v"))
+    return d.select("block", F.md5(F.array_join(F.transform("v", lambda v: v["x"]), "\n\n").cast("binary")).alias("h"))
 
 
 @query("file_parts", "SELECT item_id::VARCHAR AS path, i::INT AS part, sha256(substr(text, i * 64 + 1, 64)) AS sha FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text, unnest(range(0, greatest((length(text) + 63) // 64, 1))) AS i FROM benchmark)")

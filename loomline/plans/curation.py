@@ -104,13 +104,13 @@ def decontaminate_exact(t):
     return si.containment_pairs(t("documents"), t("benchmark"))
 
 
-HEADS = r"SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(left(text, 400)), '[\p{L}\p{N}_]+')) AS toks FROM documents"
+HEADS = r"SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS toks FROM documents"
 ITEMS = r"SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS toks FROM benchmark"
 
 
 @query("decontaminate_jaccard", f"SELECT l, r, round(jaccard, 4) AS jaccard FROM (SELECT a.id AS l, b.id AS r, len(list_intersect(a.toks, b.toks))::DOUBLE / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) AS jaccard FROM ({HEADS}) a, ({ITEMS}) b WHERE len(a.toks) > 0) WHERE jaccard >= 0.4")
 def decontaminate_jaccard(t):
-    a = t("documents").select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.substring("text", 1, 400), tx.WORD)).alias("toks")).where(F.size("toks") > 0)
+    a = t("documents").select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"), tx.WORD)).alias("toks")).where(F.size("toks") > 0)
     b = t("benchmark").select(F.col("item_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"), tx.WORD)).alias("toks"))
     return si.jaccard_pairs(a, b, 0.4).select("l", "r", F.round("jaccard", 4).alias("jaccard"))
 
@@ -121,9 +121,9 @@ def arithmetic_match(t):
     return d.select("doc_id", "m.op", "m.a", "m.b")
 
 
-@query("exclude_known", f"SELECT doc_id FROM documents WHERE {NORM.format('left(text, 30)')} NOT IN (SELECT {NORM.format('left(text, 30)')} FROM benchmark) AND length(trim(text)) >= 6")
+@query("exclude_known", f"SELECT doc_id FROM documents WHERE {NORM.format('text')} NOT IN (SELECT {NORM.format('text')} FROM benchmark) AND length(trim(text)) >= 6")
 def exclude_known(t):
-    head = lambda: tx.normalize(F.substring("text", 1, 30))
+    head = lambda: tx.normalize(F.col("text"))
     known = t("benchmark").select(head().alias("k")).distinct()
     return t("documents").where(F.length(F.trim("text")) >= 6).select("doc_id", head().alias("k")).join(known, "k", "left_anti").select("doc_id")
 

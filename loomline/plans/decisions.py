@@ -33,12 +33,12 @@ def ledger_backfill(t):
     return own.select("version", F.col("probe.value").alias("value"), F.col("probe_v1.value").alias("old_value"))
 
 
-HEAD = r"trim(regexp_replace(strip_accents(lower(left(text, 25))), '\s+', ' ', 'g'))"
+HEAD = r"trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'))"
 
 
 @query("route_candidates", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {HEAD} ORDER BY doc_id) AS r FROM documents WHERE {HEAD} NOT IN (SELECT {HEAD} FROM benchmark)) WHERE r = 1")
 def route_candidates(t):
-    head = tx.normalize(F.substring("text", 1, 25))
+    head = tx.normalize(F.col("text"))
     return de.route(t("documents").select("doc_id", "text"), head, "doc_id", t("benchmark").select(head.alias("q"))).select("doc_id")
 
 
@@ -61,10 +61,9 @@ def phase_machine(t):
     return rows.withColumn("following", de.next_phase(F.col("phase"), F.col("ok")))
 
 
-@query("call_arguments", """SELECT page_id, regexp_extract(html, '\\w+="([^"]*)"', 1) AS first_value, len(list_distinct(regexp_extract_all(left(html, 2000), '(\\w+)="([^"]*)"', 1)))::BIGINT AS keys FROM pages""")
+@query("call_arguments", """SELECT page_id, regexp_extract(html, '\\w+="([^"]*)"', 1) AS first_value, len(list_distinct(regexp_extract_all(html, '(\\w+)="([^"]*)"', 1)))::BIGINT AS keys FROM pages""")
 def call_arguments(t):
-    html = F.substring("html", 1, 2000)
-    pairs = F.regexp_extract_all(html, F.lit(r'(\w+)="([^"]*)"'), F.lit(1))
+    pairs = F.regexp_extract_all("html", F.lit(r'(\w+)="([^"]*)"'), F.lit(1))
     return t("pages").select("page_id", F.regexp_extract("html", r'\w+="([^"]*)"', 1).alias("first_value"), F.size(F.array_distinct(pairs)).cast("long").alias("keys"))
 
 
@@ -91,9 +90,9 @@ def growth_plan(t):
     return t("region").sparkSession.createDataFrame(list(enumerate(de.growth_plan(7, 12))), "layer int, source int")
 
 
-@query("soft_loss", "WITH x AS (SELECT l_orderkey, l_tax AS p, l_discount * 10 / 2.0::DOUBLE AS l FROM lineitem WHERE l_orderkey % 10 = 0), z AS (SELECT *, max(l) OVER (PARTITION BY l_orderkey) + ln(sum(exp(l - m)) OVER (PARTITION BY l_orderkey)) AS z FROM (SELECT *, max(l) OVER (PARTITION BY l_orderkey) AS m FROM x)) SELECT l_orderkey, round(-sum(p * (l - z)) * 4, 6) AS loss FROM z GROUP BY l_orderkey")
+@query("soft_loss", "WITH x AS (SELECT l_orderkey, l_tax AS p, l_discount * 10 / 2.0::DOUBLE AS l FROM lineitem), z AS (SELECT *, max(l) OVER (PARTITION BY l_orderkey) + ln(sum(exp(l - m)) OVER (PARTITION BY l_orderkey)) AS z FROM (SELECT *, max(l) OVER (PARTITION BY l_orderkey) AS m FROM x)) SELECT l_orderkey, round(-sum(p * (l - z)) * 4, 6) AS loss FROM z GROUP BY l_orderkey")
 def soft_loss(t):
-    own = de.soft_cross_entropy(t("lineitem").where("l_orderkey % 10 = 0"), ["l_orderkey"], F.col("l_tax"), F.col("l_discount") * 10, 2.0)
+    own = de.soft_cross_entropy(t("lineitem"), ["l_orderkey"], F.col("l_tax"), F.col("l_discount") * 10, 2.0)
     return own.select("l_orderkey", F.round("loss", 6).alias("loss"))
 
 
@@ -141,11 +140,11 @@ def note_search(t):
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("conv_id"), F.desc("turn")))).where("r <= 10").select("conv_id", "turn")
 
 
-@query("vocab_map", "WITH v AS (SELECT tok, (row_number() OVER (ORDER BY tok) - 1)::BIGINT AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM benchmark)), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents WHERE doc_id < 100) SELECT w.tok, coalesce(v.id, -1) AS id FROM w LEFT JOIN v USING (tok)")
+@query("vocab_map", "WITH v AS (SELECT tok, (row_number() OVER (ORDER BY tok) - 1)::BIGINT AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM benchmark)), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents) SELECT w.tok, coalesce(v.id, -1) AS id FROM w LEFT JOIN v USING (tok)")
 def vocab_map(t):
     from loomline.plans.corpora import vocabulary
 
-    words = t("documents").where("doc_id < 100").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("tok")).distinct()
+    words = t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("tok")).distinct()
     return words.join(vocabulary(t), "tok", "left").select("tok", F.coalesce("id", F.lit(-1)).alias("id"))
 
 

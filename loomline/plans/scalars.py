@@ -7,10 +7,10 @@ from loomline.operators import similarity as si
 from loomline.plans.registry import query
 
 
-@query("date_functions", "SELECT o_orderkey, ['monday','tuesday','wednesday','thursday','friday','saturday','sunday'][isodow(o_orderdate)::INT] AS weekday, date_diff('day', o_orderdate::DATE, DATE '2000-01-01')::INT AS days_until, strftime(o_orderdate::DATE + INTERVAL 14 DAY, '%Y-%m-%d') AS in_two_weeks, lower(strftime(o_orderdate, '%B')) AS month, strftime(o_orderdate::DATE + INTERVAL 1 YEAR, '%Y-%m-%d') AS next_year FROM orders WHERE o_orderkey % 10 = 0")
+@query("date_functions", "SELECT o_orderkey, ['monday','tuesday','wednesday','thursday','friday','saturday','sunday'][isodow(o_orderdate)::INT] AS weekday, date_diff('day', o_orderdate::DATE, DATE '2000-01-01')::INT AS days_until, strftime(o_orderdate::DATE + INTERVAL 14 DAY, '%Y-%m-%d') AS in_two_weeks, lower(strftime(o_orderdate, '%B')) AS month, strftime(o_orderdate::DATE + INTERVAL 1 YEAR, '%Y-%m-%d') AS next_year FROM orders")
 def date_functions(t):
     d = F.col("o_orderdate").cast("date")
-    return t("orders").where("o_orderkey % 10 = 0").select("o_orderkey", sc.weekday_name(d).alias("weekday"), F.datediff(F.lit("2000-01-01").cast("date"), d).alias("days_until"), F.date_format(F.date_add(d, 14), "yyyy-MM-dd").alias("in_two_weeks"), sc.month_name(d).alias("month"), F.date_format(F.add_months(d, 12), "yyyy-MM-dd").alias("next_year"))
+    return t("orders").select("o_orderkey", sc.weekday_name(d).alias("weekday"), F.datediff(F.lit("2000-01-01").cast("date"), d).alias("days_until"), F.date_format(F.date_add(d, 14), "yyyy-MM-dd").alias("in_two_weeks"), sc.month_name(d).alias("month"), F.date_format(F.add_months(d, 12), "yyyy-MM-dd").alias("next_year"))
 
 
 DAYTEXT = [("24/12", "2026-12-24"), ("1/2", "2027-02-01"), ("31/02/2026", None), ("7 march 2025", "2025-03-07"), ("15/08/27", "2027-08-15"), ("3 of june", "2027-06-03"), ("soon", None)]
@@ -22,22 +22,22 @@ def date_parse(t):
     return d.select("text", F.date_format(sc.parse_day(F.col("text"), F.lit("2026-09-27").cast("date")), "yyyy-MM-dd").alias("day"))
 
 
-@query("tz_convert", "SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Sao_Paulo', '%Y-%m-%d %H:%M') AS sp, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d %H:%M') AS tokyo, CASE WHEN hour(ts) >= 5 AND hour(ts) < 12 THEN 'morning' WHEN hour(ts) >= 12 AND hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS part FROM events WHERE event_id % 20 = 0")
+@query("tz_convert", "SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Sao_Paulo', '%Y-%m-%d %H:%M') AS sp, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d %H:%M') AS tokyo, CASE WHEN hour(ts) >= 5 AND hour(ts) < 12 THEN 'morning' WHEN hour(ts) >= 12 AND hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS part FROM events")
 def tz_convert(t):
     local = lambda z: F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(z), F.col("ts")), "yyyy-MM-dd HH:mm")
-    return t("events").where("event_id % 20 = 0").select("event_id", local("America/Sao_Paulo").alias("sp"), local("Asia/Tokyo").alias("tokyo"), sc.greeting(F.hour("ts")).alias("part"))
+    return t("events").select("event_id", local("America/Sao_Paulo").alias("sp"), local("Asia/Tokyo").alias("tokyo"), sc.greeting(F.hour("ts")).alias("part"))
 
 
-@query("number_format_br", r"SELECT o_orderkey, regexp_replace(translate(printf('%,.4f', o_totalprice), ',.', '.,'), ',?0+$', '') AS shown, round(o_totalprice, 4) AS parsed FROM orders WHERE o_orderkey % 10 = 0")
+@query("number_format_br", r"SELECT o_orderkey, regexp_replace(translate(printf('%,.4f', o_totalprice), ',.', '.,'), ',?0+$', '') AS shown, round(o_totalprice, 4) AS parsed FROM orders")
 def number_format_br(t):
     shown = sc.format_decimal_comma(F.col("o_totalprice"))
-    return t("orders").where("o_orderkey % 10 = 0").select("o_orderkey", shown.alias("shown"), F.round(sc.parse_decimal_comma(shown), 4).alias("parsed"))
+    return t("orders").select("o_orderkey", shown.alias("shown"), F.round(sc.parse_decimal_comma(shown), 4).alias("parsed"))
 
 
-@query("unit_convert", "SELECT l_orderkey, l_linenumber, round(l_quantity * 0.001::DOUBLE / 0.0254::DOUBLE, 6) AS inches, round(l_quantity * 0.45359237::DOUBLE / 1.0::DOUBLE, 6) AS kilos, round((l_quantity - 32) * 5 / 9, 6) AS celsius, NULL::DOUBLE AS nothing FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("unit_convert", "SELECT l_orderkey, l_linenumber, round(l_quantity * 0.001::DOUBLE / 0.0254::DOUBLE, 6) AS inches, round(l_quantity * 0.45359237::DOUBLE / 1.0::DOUBLE, 6) AS kilos, round((l_quantity - 32) * 5 / 9, 6) AS celsius, NULL::DOUBLE AS nothing FROM lineitem")
 def unit_convert(t):
     q = F.col("l_quantity")
-    return t("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", F.round(sc.convert(q, "mm", "in"), 6).alias("inches"), F.round(sc.convert(q, "lb", "kg"), 6).alias("kilos"), F.round(sc.convert(q, "f", "c"), 6).alias("celsius"), sc.convert(q, "kg", "m").alias("nothing"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(sc.convert(q, "mm", "in"), 6).alias("inches"), F.round(sc.convert(q, "lb", "kg"), 6).alias("kilos"), F.round(sc.convert(q, "f", "c"), 6).alias("celsius"), sc.convert(q, "kg", "m").alias("nothing"))
 
 
 @query("intent_classify", r"WITH c AS (SELECT conv_id, turn, lower(text) AS x FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(x, '^\s*(hi|hello|hey|good (morning|evening))\b') THEN 'greeting' WHEN regexp_matches(x, '\b(thanks|thank you)\b') THEN 'thanks' WHEN regexp_matches(x, '\bwho are you\b') THEN 'identity' WHEN regexp_matches(x, '\b(help|how do i)\b') THEN 'help' WHEN regexp_matches(x, '\?\s*$') THEN 'question' WHEN length(trim(x)) < 15 THEN 'short' ELSE 'statement' END AS intent, CASE WHEN (contains(x,'find') OR contains(x,'search') OR contains(x,'source') OR contains(x,'compare')) AND (contains(x,'function') OR contains(x,'code') OR contains(x,'class') OR contains(x,'bug')) AND (contains(x,'test') OR contains(x,'check') OR contains(x,'verify')) THEN 'pipeline' WHEN (contains(x,'find') OR contains(x,'search') OR contains(x,'source') OR contains(x,'compare')) AND (contains(x,'function') OR contains(x,'code') OR contains(x,'class') OR contains(x,'bug')) THEN 'research_code' WHEN (contains(x,'find') OR contains(x,'search') OR contains(x,'source') OR contains(x,'compare')) THEN 'research' WHEN (contains(x,'test') OR contains(x,'check') OR contains(x,'verify')) THEN 'test' WHEN (contains(x,'function') OR contains(x,'code') OR contains(x,'class') OR contains(x,'bug')) THEN 'code' ELSE 'general' END AS route FROM c")
@@ -80,7 +80,7 @@ def ruler_gate(t):
     return d.select("before", "after", sc.gate(F.col("before"), F.col("after")).alias("g")).select("before", "after", "g.ok", F.round("g.change", 4).alias("change"))
 
 
-@query("string_tasks", "SELECT p_partkey, reverse(p_name) AS backwards, array_to_string(list_sort(regexp_split_to_array(lower(p_name), '')), '') AS letters, len(regexp_extract_all(p_name, '[aeiou]'))::INT AS vowels, array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), '') AS initials FROM part WHERE p_partkey % 5 = 0")
+@query("string_tasks", "SELECT p_partkey, reverse(p_name) AS backwards, array_to_string(list_sort(regexp_split_to_array(lower(p_name), '')), '') AS letters, len(regexp_extract_all(p_name, '[aeiou]'))::INT AS vowels, array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), '') AS initials FROM part")
 def string_tasks(t):
     n = F.col("p_name")
-    return t("part").where("p_partkey % 5 = 0").select("p_partkey", F.reverse(n).alias("backwards"), F.array_join(F.array_sort(F.filter(F.split(F.lower(n), ""), lambda c: c != "")), "").alias("letters"), F.regexp_count(n, F.lit("[aeiou]")).alias("vowels"), F.array_join(F.transform(F.split(n, " "), lambda w: F.substring(w, 1, 1)), "").alias("initials"))
+    return t("part").select("p_partkey", F.reverse(n).alias("backwards"), F.array_join(F.array_sort(F.filter(F.split(F.lower(n), ""), lambda c: c != "")), "").alias("letters"), F.regexp_count(n, F.lit("[aeiou]")).alias("vowels"), F.array_join(F.transform(F.split(n, " "), lambda w: F.substring(w, 1, 1)), "").alias("initials"))

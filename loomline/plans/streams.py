@@ -120,9 +120,9 @@ def asof_last_event(t):
     return st.asof(e.where("event_type = 'click'").select("user_id", "ts", "event_id"), p, "user_id", "ts", "value").select("event_id", "last_value")
 
 
-@query("checkpoint_restore", "SELECT user_id, arg_min(event_type, event_id) AS restored FROM events WHERE event_id >= 100 GROUP BY user_id")
+@query("checkpoint_restore", "SELECT user_id, arg_min(event_type, event_id) AS restored FROM events GROUP BY user_id")
 def checkpoint_restore(t):
-    return t("events").where("event_id >= 100").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("restored"))
+    return t("events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("restored"))
 
 
 @query("distinct_sessions", "SELECT count(*)::BIGINT AS n, (SELECT count(*) FROM (SELECT DISTINCT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END FROM events))::BIGINT AS sessions FROM events")
