@@ -39,9 +39,10 @@ def convert(value: Column, unit: str, to: str) -> Column:
 
 def arithmetic(c: Column) -> Column:
     """Struct (op, a, b) of the first 'a op b' of a text; a <= b where the order does not matter. Null if there is none."""
-    p = r"(\d{1,9})\s*([+*x/-])\s*(\d{1,9})"
+    p = r"(?i)(\d{1,9})\s*(x|\*|vezes|mais|\+|menos|-|dividido por|/)\s*(\d{1,9})"
     a, op, b = F.regexp_extract(c, p, 1).try_cast("long"), F.regexp_extract(c, p, 2), F.regexp_extract(c, p, 3).try_cast("long")
-    op = F.when(op == "x", "*").otherwise(op)
+    op = F.lower(op)
+    op = F.when(op.isin("x", "vezes"), "*").when(op == "mais", "+").when(op == "menos", "-").when(op == "dividido por", "/").otherwise(op)
     free = op.isin("+", "*")
     return F.when(a.isNotNull(), F.struct(op.alias("op"), F.when(free, F.least(a, b)).otherwise(a).alias("a"), F.when(free, F.greatest(a, b)).otherwise(b).alias("b")))
 

@@ -115,7 +115,7 @@ def decontaminate_jaccard(t):
     return si.jaccard_pairs(a, b, 0.4).select("l", "r", F.round("jaccard", 4).alias("jaccard"))
 
 
-@query("arithmetic_match", r"WITH x AS (SELECT doc_id, regexp_extract(text, '(\d{1,9})\s*([+*x/-])\s*(\d{1,9})', ['a', 'op', 'b']) AS m FROM documents), y AS (SELECT doc_id, CASE WHEN m.op = 'x' THEN '*' ELSE m.op END AS op, m.a::BIGINT AS a, m.b::BIGINT AS b FROM x WHERE m.op <> '') SELECT doc_id, op, CASE WHEN op IN ('+', '*') THEN least(a, b) ELSE a END AS a, CASE WHEN op IN ('+', '*') THEN greatest(a, b) ELSE b END AS b FROM y")
+@query("arithmetic_match", r"WITH x AS (SELECT doc_id, regexp_extract(text, '(?i)(\d{1,9})\s*(x|\*|vezes|mais|\+|menos|-|dividido por|/)\s*(\d{1,9})', ['a', 'op', 'b']) AS m FROM documents), y AS (SELECT doc_id, CASE lower(m.op) WHEN 'x' THEN '*' WHEN 'vezes' THEN '*' WHEN 'mais' THEN '+' WHEN 'menos' THEN '-' WHEN 'dividido por' THEN '/' ELSE m.op END AS op, m.a::BIGINT AS a, m.b::BIGINT AS b FROM x WHERE m.op <> '') SELECT doc_id, op, CASE WHEN op IN ('+', '*') THEN least(a, b) ELSE a END AS a, CASE WHEN op IN ('+', '*') THEN greatest(a, b) ELSE b END AS b FROM y")
 def arithmetic_match(t):
     d = t("documents").select("doc_id", sc.arithmetic(F.col("text")).alias("m")).where("m is not null")
     return d.select("doc_id", "m.op", "m.a", "m.b")

@@ -117,12 +117,15 @@ def json_props(t):
     return t("events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("total"))
 
 
-@query("loss_ema")
+@query("loss_ema", "SELECT event_type, round(list_reduce(list(value ORDER BY event_id), lambda a, x: 0.98::DOUBLE * a + (1 - 0.98::DOUBLE) * x), 6) AS smoothed FROM events GROUP BY event_type")
 def loss_ema(t):
     return ev.smoothed(t("events"), ["event_type"], "event_id", "value")
 
 
-@query("loss_early_stop")
+@query("loss_early_stop", """WITH s AS (SELECT user_id, list({'best': value, 'at': event_id, 'bad': 0, 'stop': NULL::BIGINT, 'v': value, 'o': event_id} ORDER BY event_id) AS l FROM events GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(l, lambda a, x: CASE WHEN a.stop IS NOT NULL THEN a WHEN x.v < a.best - 0.0001::DOUBLE THEN {'best': x.v, 'at': x.o, 'bad': 0, 'stop': NULL::BIGINT, 'v': x.v, 'o': x.o}
+  ELSE {'best': a.best, 'at': a.at, 'bad': a.bad + 1, 'stop': CASE WHEN a.bad + 1 >= 3 THEN x.o END, 'v': x.v, 'o': x.o} END) AS d FROM s)
+SELECT user_id, d.at AS best_step, d.stop AS stop_step FROM r""")
 def loss_early_stop(t):
     return ev.early_stop(t("events"), ["user_id"], "event_id", "value", 3)
 

@@ -59,11 +59,11 @@ def exercise_gen(t):
     return e.select("id", F.concat_ws(" ", F.col("a").cast("string"), "op", F.col("b").cast("string")).alias("question"), F.round(sc.result_of(F.col("op"), F.col("a"), F.col("b")), 6).alias("answer"))
 
 
-QUESTIONS = [(1, "what is 7x9?"), (2, "11 x 13"), (3, "Name the capital of France!"), (4, "How many days are in a leap year, please?"), (5, "colour of the sky")]
+QUESTIONS = [(1, "what is 7x9?"), (2, "11 x 13"), (3, "Name the capital of France!"), (4, "How many days are in a leap year, please?"), (5, "colour of the sky"), (6, "quanto e 7 vezes 9")]
 FROZEN = [(1, "9 * 7"), (2, "name the capital of france"), (3, "how many days are in a leap year")]
 
 
-@query("question_contamination", "SELECT * FROM (VALUES (1), (3), (4)) AS v(id)")
+@query("question_contamination", "SELECT * FROM (VALUES (1), (3), (4), (6)) AS v(id)")
 def question_contamination(t):
     s = t("region").sparkSession
     return si.contaminated(s.createDataFrame(QUESTIONS, "id int, text string"), s.createDataFrame(FROZEN, "id int, text string"), 0.6)

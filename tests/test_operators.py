@@ -223,3 +223,21 @@ def test_command_line(spark, capsys):
     assert main(["list"]) == 0 and "curation_manifest" in capsys.readouterr().out
     assert main(["run", "setops_union", "/root/testdata/sf0.001"]) == 0
     assert main(["sql", "setops_union"]) == 0 and "UNION" in capsys.readouterr().out
+
+
+def test_safety_predicates(spark):
+    from loomline.functions import safety
+
+    rows = [("src/app.py", True), ("/work/a/b", True), ("/work", True), ("/worker/x", False), ("../x", False), ("foo/System32/bar", False), ("C:\\Windows\\x", False), ("D:\\x", False), ("/etc/passwd", False)]
+    df = spark.createDataFrame(rows, "p string, ok boolean")
+    assert all(r.ok == r.got for r in df.withColumn("got", safety.is_safe_path(F.col("p"), "/work")).collect())
+    commands = [("rm -rf build", True), ("RM  -RF x", True), ("dd if=a of=b", True), ("ls > /dev/null", True), ("chmod 777 x", True), ("git status", False), ("information", False)]
+    df = spark.createDataFrame(commands, "c string, bad boolean")
+    assert all(r.bad == r.got for r in df.withColumn("got", safety.is_critical(F.col("c"))).collect())
+
+
+def test_arithmetic_in_words(spark):
+    from loomline.functions import scalars
+
+    df = spark.createDataFrame([("quanto e 9 vezes 7", "*", 7, 9), ("12 Dividido por 4", "/", 12, 4), ("3 menos 5", "-", 3, 5), ("5 mais 3", "+", 3, 5)], "q string, op string, a long, b long")
+    assert all(tuple(r.m) == (r.op, r.a, r.b) for r in df.withColumn("m", scalars.arithmetic(F.col("q"))).collect())
