@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomline.functions import text as tx
+
 #: Factors to the base unit of each dimension.
 UNITS = {
     "mm": ("length", 0.001), "cm": ("length", 0.01), "m": ("length", 1.0), "km": ("length", 1000.0), "in": ("length", 0.0254), "ft": ("length", 0.3048), "mi": ("length", 1609.344),
-    "g": ("mass", 0.001), "kg": ("mass", 1.0), "lb": ("mass", 0.45359237), "s": ("time", 1.0), "min": ("time", 60.0), "h": ("time", 3600.0),
-    "l": ("volume", 1.0), "ml": ("volume", 0.001), "b": ("data", 1.0), "kb": ("data", 1024.0), "mb": ("data", 1048576.0),
+    "g": ("mass", 0.001), "kg": ("mass", 1.0), "t": ("mass", 1000.0), "lb": ("mass", 0.45359237),
+    "s": ("time", 1.0), "min": ("time", 60.0), "h": ("time", 3600.0), "day": ("time", 86400.0), "week": ("time", 604800.0),
+    "l": ("volume", 1.0), "ml": ("volume", 0.001), "gal": ("volume", 3.785411784), "m/s": ("speed", 1.0), "km/h": ("speed", 1 / 3.6), "mph": ("speed", 0.44704), "b": ("data", 1.0), "kb": ("data", 1024.0), "mb": ("data", 1048576.0),
+}
+#: Other names of units, without accents.
+UNIT_NAMES = {
+    "mm": ["milimetro", "milimetros"], "cm": ["centimetro", "centimetros"], "m": ["metro", "metros"], "km": ["quilometro", "quilometros"],
+    "in": ["pol", "polegada", "polegadas"], "ft": ["pe", "pes"], "mi": ["milha", "milhas"], "g": ["grama", "gramas"], "kg": ["quilo", "quilos"],
+    "t": ["tonelada", "toneladas"], "lb": ["libra", "libras"], "ml": ["mililitro", "mililitros"], "l": ["litro", "litros"], "gal": ["galao", "galoes"],
+    "s": ["seg", "segundo", "segundos"], "min": ["minuto", "minutos"], "h": ["hora", "horas"], "day": ["dia", "dias"], "week": ["semana", "semanas"],
 }
+#: Named days as (month, day).
+HOLIDAYS = {"natal": (12, 25), "ano novo": (1, 1), "reveillon": (12, 31), "dia das criancas": (10, 12)}
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
@@ -37,6 +49,21 @@ def convert(value: Column, unit: str, to: str) -> Column:
     return value * UNITS[unit][1] / UNITS[to][1]
 
 
+def unit_of(name: Column) -> Column:
+    """Code of a unit by its code or one of its names, whatever case and accents; null if unknown."""
+    known = {n: u for u in UNITS for n in [u, *UNIT_NAMES.get(u, [])]}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.try_element_at(table, tx.normalize(name))
+
+
+def convert_named(value: Column, unit: Column, to: Column) -> Column:
+    """As convert, for columns of unit names; temperatures apart. Null for unknown units and across dimensions."""
+    of = lambda i: F.create_map(*[F.lit(x) for u, v in UNITS.items() for x in (u, v[i])])
+    a, b = unit_of(unit), unit_of(to)
+    at = lambda i, u: F.try_element_at(of(i), u)
+    return F.when(at(0, a) == at(0, b), value * at(1, a) / at(1, b))
+
+
 def arithmetic(c: Column) -> Column:
     """Struct (op, a, b) of the first 'a op b' of a text; a <= b where the order does not matter. Null if there is none."""
     p = r"(?i)(\d{1,9})\s*(x|\*|vezes|mais|\+|menos|-|dividido por|/)\s*(\d{1,9})"
@@ -71,7 +98,12 @@ def parse_day(c: Column, today: Column) -> Column:
     year = F.when(year < 100, year + 2000).otherwise(year)
     made = lambda yy: F.try_to_date(F.format_string("%04d-%02d-%02d", yy, month, day))
     this = made(F.year(today))
-    return F.when(day.isNull() | month.isNull(), None).when(year.isNotNull(), made(year)).when(this < today, made(F.year(today) + 1)).otherwise(this)
+    named_days = F.lit(None).cast("date")
+    for name, (mm, dd) in reversed(HOLIDAYS.items()):
+        next_one = F.make_date(F.year(today), F.lit(mm), F.lit(dd))
+        next_one = F.when(next_one >= today, next_one).otherwise(F.make_date(F.year(today) + 1, F.lit(mm), F.lit(dd)))
+        named_days = F.when(tx.normalize(c).contains(name), next_one).otherwise(named_days)
+    return F.when(day.isNull() | month.isNull(), named_days).when(year.isNotNull(), made(year)).when(this < today, made(F.year(today) + 1)).otherwise(this)
 
 
 def greeting(hour: Column) -> Column:

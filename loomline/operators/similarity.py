@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline import cluster
 from loomline.functions import scalars as sc
 from loomline.functions import text as tx
 
@@ -21,16 +22,22 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     a document with the item has the anchor among its words, so an equi-join finds all candidates."""
     inner = F.slice(tx.words(F.col("text")), 2, F.greatest(F.size(tx.words(F.col("text"))) - 2, F.lit(0)))
     anchored = items.select("item_id", F.col("text").alias("item"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("anchor"))
-    tokens = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor"))
-    long = tokens.join(_small(anchored.where("anchor is not null")), "anchor").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    # anchors meet words without the texts; these come back for the few candidates
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor"))
+    found = words.join(_small(anchored.where("anchor is not null").select("item_id", "item", "anchor")), "anchor").select(F.col("doc_id").alias("_id"), "item_id", "item").distinct()
+    long = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
     # items of one or two words have no inner word
     short = docs.select("doc_id", "text").join(_small(anchored.where("anchor is null and length(item) > 0")), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
     return long.unionByName(short).distinct()
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(l, r, jaccard) with at least `least`, from rows (id, toks: distinct tokens). The rarest tokens of a set (its prefix)
-    are indexed: sets that similar share one of them."""
+    """(l, r, jaccard) with at least `least`, from rows (id, toks: distinct tokens). Sets that are too large or too small for
+    all of the other side leave first. The rarest tokens of a set (its prefix) are indexed: sets that similar share one."""
+    size = F.size("toks")
+    for _ in range(2):  # each side by the sizes of the other; tokens are made once
+        lo, hi = right.agg(F.min(size), F.max(size)).first()
+        left, right = right, cluster.materialize(left.where((size >= (lo or 0) * least - 1e-9) & (size * least - 1e-9 <= (hi or 0))), "tokens")
     both = left.select("id", F.lit(0).alias("side"), "toks").unionByName(right.select("id", F.lit(1).alias("side"), "toks"))
     df = both.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = both.select("side", "id", F.explode("toks").alias("t")).join(df, "t").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))

@@ -13,7 +13,7 @@ def date_functions(t):
     return t("orders").select("o_orderkey", sc.weekday_name(d).alias("weekday"), F.datediff(F.lit("2000-01-01").cast("date"), d).alias("days_until"), F.date_format(F.date_add(d, 14), "yyyy-MM-dd").alias("in_two_weeks"), sc.month_name(d).alias("month"), F.date_format(F.add_months(d, 12), "yyyy-MM-dd").alias("next_year"))
 
 
-DAYTEXT = [("24/12", "2026-12-24"), ("1/2", "2027-02-01"), ("31/02/2026", None), ("7 march 2025", "2025-03-07"), ("15/08/27", "2027-08-15"), ("3 of june", "2027-06-03"), ("soon", None)]
+DAYTEXT = [("24/12", "2026-12-24"), ("1/2", "2027-02-01"), ("31/02/2026", None), ("7 march 2025", "2025-03-07"), ("15/08/27", "2027-08-15"), ("3 of june", "2027-06-03"), ("soon", None), ("no Natal", "2026-12-25"), ("Ano novo", "2027-01-01"), ("Réveillon", "2026-12-31"), ("dia das crianças", "2026-10-12")]
 
 
 @query("date_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in DAYTEXT) + ") AS v(text, day)")
@@ -40,6 +40,13 @@ def unit_convert(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.round(sc.convert(q, "mm", "in"), 6).alias("inches"), F.round(sc.convert(q, "lb", "kg"), 6).alias("kilos"), F.round(sc.convert(q, "f", "c"), 6).alias("celsius"), sc.convert(q, "kg", "m").alias("nothing"))
 
 
+@query("unit_names", "SELECT p_partkey, round(p_size * CASE p_partkey % 5 WHEN 0 THEN 1000.0::DOUBLE WHEN 1 THEN 3.785411784::DOUBLE WHEN 2 THEN 24.0::DOUBLE WHEN 3 THEN (1 / 3.6::DOUBLE) END, 6) AS converted FROM part")
+def unit_names(t):
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    made = sc.convert_named(F.col("p_size"), pick("Toneladas", "galão", "dias", "km/h", "kg"), pick("kg", "litros", "horas", "m/s", "metros"))
+    return t("part").select("p_partkey", F.round(made, 6).alias("converted"))
+
+
 @query("intent_classify", r"WITH c AS (SELECT conv_id, turn, lower(text) AS x FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(x, '^\s*(hi|hello|hey|good (morning|evening))\b') THEN 'greeting' WHEN regexp_matches(x, '\b(thanks|thank you)\b') THEN 'thanks' WHEN regexp_matches(x, '\bwho are you\b') THEN 'identity' WHEN regexp_matches(x, '\b(help|how do i)\b') THEN 'help' WHEN regexp_matches(x, '\?\s*$') THEN 'question' WHEN length(trim(x)) < 15 THEN 'short' ELSE 'statement' END AS intent, CASE WHEN (contains(x,'find') OR contains(x,'search') OR contains(x,'source') OR contains(x,'compare')) AND (contains(x,'function') OR contains(x,'code') OR contains(x,'class') OR contains(x,'bug')) AND (contains(x,'test') OR contains(x,'check') OR contains(x,'verify')) THEN 'pipeline' WHEN (contains(x,'find') OR contains(x,'search') OR contains(x,'source') OR contains(x,'compare')) AND (contains(x,'function') OR contains(x,'code') OR contains(x,'class') OR contains(x,'bug')) THEN 'research_code' WHEN (contains(x,'find') OR contains(x,'search') OR contains(x,'source') OR contains(x,'compare')) THEN 'research' WHEN (contains(x,'test') OR contains(x,'check') OR contains(x,'verify')) THEN 'test' WHEN (contains(x,'function') OR contains(x,'code') OR contains(x,'class') OR contains(x,'bug')) THEN 'code' ELSE 'general' END AS route FROM c")
 def intent_classify(t):
     return t("conversations").select("conv_id", "turn", sc.intent(F.col("text")).alias("intent"), sc.route(F.col("text")).alias("route"))
