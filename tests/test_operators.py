@@ -241,3 +241,43 @@ def test_arithmetic_in_words(spark):
 
     df = spark.createDataFrame([("quanto e 9 vezes 7", "*", 7, 9), ("12 Dividido por 4", "/", 12, 4), ("3 menos 5", "-", 3, 5), ("5 mais 3", "+", 3, 5)], "q string, op string, a long, b long")
     assert all(tuple(r.m) == (r.op, r.a, r.b) for r in df.withColumn("m", scalars.arithmetic(F.col("q"))).collect())
+
+
+def test_lsa_equals_numpy(spark):
+    """Similarities in the space of the leading right singular vectors, by a dense decomposition."""
+    import numpy as np
+
+    docs = cluster.table(spark, "/root/testdata/sf0.001", "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    weights = retrieval.term_weights(docs).collect()
+    toks, ids = sorted({r.tok for r in weights}), sorted({r.doc_id for r in weights})
+    at, row = {t: i for i, t in enumerate(toks)}, {d: i for i, d in enumerate(ids)}
+    m = np.zeros((len(ids), len(toks)))
+    for r in weights:
+        m[row[r.doc_id], at[r.tok]] = r.w
+    x = m @ np.linalg.svd(m, full_matrices=False)[2][:8].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+    got = {r.doc_id: np.array(r.vector) for r in retrieval.lsa(docs, 8).collect()}
+    own = np.stack([got[d] for d in ids])
+    assert np.allclose(own @ own.T, x @ x.T, atol=1e-5)
+
+
+def test_sparse_topk_equals_plain_cosines(spark):
+    import collections
+    import math
+
+    texts = {1: "red apples and green apples", 2: "green tea and red tea leaves", 3: "steel milling tools", 4: "apples steel"}
+    asked = {7: "red apples", 8: "milling steel tools tools"}
+    split = lambda t: [w for w in t.split() if len(w) > 1]
+    df = collections.Counter(w for t in texts.values() for w in set(split(t)))
+    idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
+
+    def vector(t):
+        c = collections.Counter(w for w in split(t))
+        v = {w: (0.5 + 0.5 * n / max(c.values())) * idf[w] for w, n in c.items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()) + 1e-12)
+        return {w: x / norm for w, x in v.items()}
+
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id int, text string")
+    got = {(r.q, r.doc_id): r.score for r in retrieval.sparse_topk(frame(asked), frame(texts), 9).collect()}
+    want = {(q, d): sum(x * vector(t).get(w, 0) for w, x in vector(a).items()) for q, a in asked.items() for d, t in texts.items()}
+    assert {k: v for k, v in got.items()} == pytest.approx({k: round(v, 4) for k, v in want.items() if v > 0}, abs=2e-4)
