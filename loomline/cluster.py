@@ -69,6 +69,15 @@ def small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def blocks(table: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """The table in parts by the hash of `key`, each of about `rows` rows at most, so that each may be broadcast. What meets a
+    part is scanned once a part; with more than one part, the caller should materialize the results."""
+    n = -(-table.count() // rows)
+    if n <= 1:
+        return [table]
+    return [table.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Column names like `names` that none of `columns` has, whatever the case of its letters."""
     taken, out = {c.lower() for c in columns}, []

@@ -147,6 +147,31 @@ def intent(c: Column) -> Column:
     return out.when(F.length(F.trim(own)) < 15, "short").otherwise("statement")
 
 
+#: Classes of small talk in order, by a pattern over lower case without accents.
+SMALL_TALK = {
+    "farewell": r"\b(tchau|ate mais|ate logo|falou|fui|ate amanha|boa noite fui dormir|encerrar por hoje)\b",
+    "gratitude": r"\b(obrigado|obrigada|valeu|muito obrigado|valeu demais|agradeco|agradecido|show de bola|top demais|voce me ajudou muito|mandou bem)\b",
+    "compliment": r"\b(voce e (muito |demais )?(inteligente|boa|bom|legal|foda|fera|incrivel|rapida|eficiente)|adorei voce|gostei de voce)\b",
+    "user_feeling": r"\b((estou|to) (muito |bem |tao |super )?(cansado|cansada|feliz|triste|animado|animada|estressado|estressada|com sono|exausto|exausta)|hoje o dia foi (puxado|dificil|longo)|muito trabalho)\b",
+    "wellbeing": r"\b(como vai|como ce ta|tudo bem|tudo bom|como\s+(?:(?:voce|vc|ce)\s+)?(?:esta|ta|vai)|como vao as coisas|tudo joia|tudo certo|beleza)\b",
+    "identity": r"\b(quem e (voce|vc)|qual (o )?seu nome|quem te (criou|fez|desenvolveu)|qual (e )?(o )?seu proposito|qual sua missao|sua historia)\b",
+    "capabilities": r"\b(o que (voce|vc) (faz|sabe fazer|pode fazer)|quais (sao )?(as )?suas habilidades|como (voce|vc) pode me ajudar|suas funcoes|suas capacidades)\b",
+    "greeting": r"\b(oi|ola|opa|e ai|salve|hey|hello|hi|fala ai|bom dia|boa tarde|boa noite)\b",
+    "casual_chat": r"\b(vamos conversar|bater um papo|trocar uma ideia|me conta algo|o que (voce|vc) acha|conversa comigo|conta uma piada)\b",
+}
+SHORT_GREETINGS = ["oi", "ola", "opa", "eai", "salve", "hey", "hi"]
+
+
+def small_talk(c: Column) -> Column:
+    """First fitting class of SMALL_TALK, else greeting for one or two words with a short greeting, else null."""
+    own = tx.strip_accents(F.lower(F.trim(c)))
+    out = F.when(F.lit(False), "")
+    for name, p in SMALL_TALK.items():
+        out = out.when(own.rlike(p), name)
+    ws = F.regexp_extract_all(own, F.lit(tx.WORD), F.lit(0))
+    return out.when((F.size(ws) <= 2) & F.exists(ws, lambda w: w.isin(*SHORT_GREETINGS)), "greeting")
+
+
 def route(c: Column) -> Column:
     """Task by keywords; pairs of kinds before single kinds."""
     own = F.lower(c)

@@ -26,9 +26,12 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor"))
     found = words.join(_small(anchored.where("anchor is not null").select("item_id", "item", "anchor")), "anchor").select(F.col("doc_id").alias("_id"), "item_id", "item").distinct()
     long = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
-    # items of one or two words have no inner word
-    short = docs.select("doc_id", "text").join(_small(anchored.where("anchor is null and length(item) > 0")), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
-    return long.unionByName(short).distinct()
+    # items of one or two words have no inner word: sent to all tasks, in blocks
+    found = long
+    for part in cluster.blocks(anchored.where("anchor is null and length(item) > 0").select("item_id", "item"), "item", BROADCAST_ROWS):
+        short = docs.select("doc_id", "text").join(F.broadcast(part), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+        found = found.unionByName(short)
+    return found.distinct()
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:

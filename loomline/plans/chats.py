@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomline.functions import text as tx
-from loomline.operators import corpus, curation
+from loomline.operators import corpus, curation, pairs
 from loomline.plans.registry import query
 
 
@@ -43,6 +43,44 @@ def chat_validate(t):
     return e.select(F.explode(F.when(F.size("bad") == 0, F.array(F.lit("ok"))).otherwise(F.col("bad"))).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _said(side):
+    return f"(SELECT conv_id, turn, trim(text) AS x FROM conversations WHERE role = '{side}')"
+
+
+NX = r"trim(regexp_replace(strip_accents(lower({})), '\s+', ' ', 'g'))"
+COUNT = "len(list_filter(regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({})))"
+FR, EN = (", ".join(f"'{w}'" for w in tx.STOPWORDS[k]) for k in ("fr", "en"))
+GATE = [
+    ("empty", "q <> '' AND a <> ''"), ("long_question", "length(q) <= 400"), ("long_answer", "length(a) <= 900"), ("short_answer", "length(a) >= 2"),
+    ("script", r"NOT regexp_matches(q || a, '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]')"),
+    ("language", f"len(regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}_]+')) < 4 OR {COUNT.format(FR)} >= {COUNT.format(EN)}"),
+    ("identity", f"NOT regexp_matches(na, '{pairs.IDENTITIES}')"), ("artefact", "NOT contains(a, '<|') AND NOT contains(a, chr(65533))"), ("echo", "nq <> na"),
+    ("repetitive", "NOT (len(w) >= 12 AND len(list_distinct(w)) < 0.35::DOUBLE * len(w))"), ("contaminated", "NOT leak"), ("duplicate", "again = 1"),
+]
+STYLE = ["length(a) <= 160", r"regexp_matches(a, '^[\p{Lu}\d]')", r"regexp_matches(a, '[.!?)\"]$') OR contains(a, chr(10))"]
+
+
+@query("pair_status", rf"""WITH p AS (SELECT u.conv_id, u.turn, u.x AS q, s.x AS a FROM {_said('user')} u JOIN {_said('assistant')} s ON u.conv_id = s.conv_id AND s.turn = u.turn + 1),
+n AS (SELECT *, {NX.format('q')} AS nq, {NX.format('a')} AS na, count(*) OVER (PARTITION BY {NX.format('q')}) AS again,
+  list_distinct(regexp_extract_all({NX.format('q')}, '[\p{{L}}\p{{N}}_]+')) AS toks, trim({NX.format('q')}, ' ?!.') AS bare FROM p),
+b AS (SELECT trim({NX.format('text')}, ' ?!.') AS bare, list_distinct(regexp_extract_all({NX.format('text')}, '[\p{{L}}\p{{N}}_]+')) AS bt FROM benchmark),
+l AS (SELECT n.*, EXISTS (SELECT 1 FROM b WHERE b.bare = n.bare OR (len(n.toks) > 0 AND len(list_intersect(bt, n.toks)) >= 0.85::DOUBLE * (len(bt) + len(n.toks) - len(list_intersect(bt, n.toks))))) AS leak, list_filter(string_split(na, ' '), lambda y: y <> '') AS w FROM n),
+g AS (SELECT conv_id, turn, {' + '.join(f'({x})::INT' for _, x in GATE)} AS good, {' + '.join(f'({x})::INT' for x in STYLE)} AS style, list_filter([{', '.join(f"CASE WHEN NOT ({x}) THEN '{k}' END" for k, x in GATE)}], lambda y: y IS NOT NULL) AS bad FROM l)
+SELECT conv_id, turn, array_to_string(bad, ' ') AS problems, round(0.7::DOUBLE * (good::DOUBLE / 12) + 0.3::DOUBLE * (style::DOUBLE / 3), 3) AS quality,
+CASE WHEN len(bad) > 0 THEN 'rejected' WHEN conv_id % 2 = 0 OR 0.7::DOUBLE + 0.1::DOUBLE * style < 0.75 THEN 'review' ELSE 'approved' END AS status FROM g""")
+def pair_status(t):
+    """Each question with the answer after it; a question that is asked twice or more is a known one. The texts hold neither
+    calculations nor code, so the twin leaves these checks out."""
+    c = t("conversations")
+    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    own = q.join(a, ["conv_id", "turn"]).withColumns({"id": F.struct("conv_id", "turn"), "factual": F.col("conv_id") % 2 == 0})
+    known = own.groupBy(tx.normalize(F.trim("question")).alias("n")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    language = pairs.seems(pairs.prose(F.trim("answer")), tx.STOPWORDS["fr"], tx.STOPWORDS["en"])
+    done = pairs.gate(own, t("benchmark").select(F.col("item_id").alias("id"), "text"), known, language, max_question=400, max_answer=900)
+    return done.select("conv_id", "turn", F.array_join("problems", " ").alias("problems"), "quality", "status")
+
+
 @query("chat_context_window", "SELECT conv_id, turn, coalesce(len(list(text) OVER w), 0)::BIGINT AS n, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)")
 def chat_context_window(t):
     c = curation.session_context(t("conversations"), "conv_id", "turn", ["role", "text"], 8)

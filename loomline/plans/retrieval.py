@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomline import cluster
 from loomline.functions import text as tx
 from loomline.operators import retrieval as rt
 from loomline.plans.registry import query
@@ -121,10 +122,19 @@ def fuse_sources(t):
 @query("lsa_similarity")
 def lsa_similarity(t):
     vectors = rt.lsa(t("benchmark").select(F.col("item_id").alias("doc_id"), "text"), 8)
-    v = vectors.select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    v = cluster.materialize(vectors.select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding")), "vectors")
     return rt.dense_topk(v.where("vec_id % 50 = 0"), v, 3)
 
 
+@query("backend_search")
+def backend_search(t):
+    from loomline.operators import backends
+
+    own = backends.resolve([backends.Hashed(128)])
+    items = t("benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return backends.search(own, items, docs(t), 3)
+
+
 @query("numbered_citations", "SELECT lang, n::BIGINT AS n, head FROM (SELECT lang, head, row_number() OVER (PARTITION BY lang ORDER BY first_id) AS n FROM (SELECT lang, text AS head, min(doc_id) AS first_id FROM documents GROUP BY 1, 2)) WHERE n <= 12")
 def numbered_citations(t):
     from pyspark.sql.window import Window

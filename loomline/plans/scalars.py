@@ -52,6 +52,18 @@ def intent_classify(t):
     return t("conversations").select("conv_id", "turn", sc.intent(F.col("text")).alias("intent"), sc.route(F.col("text")).alias("route"))
 
 
+PHRASES = ["Até amanhã", "muito obrigado", "Você é muito legal", "Estou tão cansado", "Como você está", "quem te criou", "suas funções", "Olá", "vamos conversar", "eai", "nada"]
+TALK = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in sc.SMALL_TALK.items())
+SAID = "CASE conv_id % 11 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END"
+
+
+@query("small_talk", rf"WITH c AS (SELECT conv_id, turn, strip_accents(lower(trim({SAID} || CASE WHEN turn > 0 THEN ' ' || text ELSE '' END))) AS x FROM conversations), d AS (SELECT *, regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+') AS ws FROM c) SELECT conv_id, turn, CASE {TALK} WHEN len(ws) <= 2 AND list_has_any(ws, {sc.SHORT_GREETINGS}) THEN 'greeting' END AS intent FROM d")
+def small_talk(t):
+    said = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % 11 + 1).cast("int"))
+    said = F.concat(said, F.when(F.col("turn") > 0, F.concat(F.lit(" "), "text")).otherwise(""))
+    return t("conversations").select("conv_id", "turn", sc.small_talk(said).alias("intent"))
+
+
 @query("lr_schedule", "SELECT s::BIGINT AS step, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 ELSE 0.001::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(3.141592653589793::DOUBLE * least(1.0::DOUBLE, (s - 100) / 900.0::DOUBLE)))) END, 9) AS cosine, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 WHEN s < 800 THEN 0.001::DOUBLE ELSE 0.001::DOUBLE * greatest(0::DOUBLE, (1000 - s) / 200.0::DOUBLE) END, 9) AS stable, CASE WHEN s / 1000.0::DOUBLE < 1.0::DOUBLE / 3 THEN 0 WHEN s / 1000.0::DOUBLE < 2.0::DOUBLE / 3 THEN 1 ELSE 2 END AS third FROM range(0, 1000) r(s)")
 def lr_schedule(t):
     r = t("region").sparkSession.range(1000).withColumnRenamed("id", "step")

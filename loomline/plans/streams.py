@@ -125,6 +125,22 @@ def checkpoint_restore(t):
     return t("events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("restored"))
 
 
+@query("checkpoint_rollback", """WITH e AS (SELECT user_id AS path, event_id, event_id // 1000 AS cp, event_type AS content, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+last AS (SELECT max(cp) AS cp FROM e), snap AS (SELECT path, arg_min({'b': before}, event_id).b AS before FROM e WHERE cp = (SELECT cp FROM last) GROUP BY path),
+state AS (SELECT path, arg_max(content, event_id) AS content FROM e GROUP BY path)
+SELECT path, coalesce(s.before, state.content) AS content, CASE WHEN s.path IS NULL THEN 'kept' WHEN s.before IS NULL THEN 'deleted' ELSE 'restored' END AS action FROM state LEFT JOIN snap s USING (path)""".replace("coalesce(s.before, state.content)", "CASE WHEN s.path IS NULL THEN state.content ELSE s.before END"))
+def checkpoint_rollback(t):
+    """Events as edits of a path by user, a thousand a checkpoint; the last checkpoint is undone."""
+    from loomline.sources import checkpoints
+
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    edits = t("events").select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 1000).alias("checkpoint"), before.alias("before")).withColumn("existed", F.col("before").isNotNull())
+    state = t("events").groupBy(F.col("user_id").alias("path")).agg(F.max_by("event_type", "event_id").alias("content"))
+    after, actions = checkpoints.rollback(state, checkpoints.snapshots(edits))
+    both = after.join(actions, "path", "full")
+    return both.select("path", "content", F.coalesce("action", F.lit("kept")).alias("action"))
+
+
 @query("distinct_sessions", "SELECT count(*)::BIGINT AS n, (SELECT count(*) FROM (SELECT DISTINCT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END FROM events))::BIGINT AS sessions FROM events")
 def distinct_sessions(t):
     key = F.when(F.col("user_id") % 10 != 0, F.col("user_id"))  # a null counts once

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomline import cluster
+from loomline.sources import datasets
 
 
 def events(df: DataFrame) -> DataFrame:
@@ -36,6 +37,25 @@ def drain(stream: DataFrame, mode: str = "append", watermark: bool = True) -> Da
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def ingest(stream: DataFrame, path: str, size, most: int) -> DataFrame:
+    """Append micro-batches to path until the sum of the column `size` reaches `most`; the batch that reaches it is whole and
+    the last, later ones are not read. A batch is a folder of its own, so one that is run again replaces itself, and what was
+    written before a restart counts. How many files are a batch is the reader's option maxFilesPerTrigger."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def written(but: str | None = None):
+        own = [b for b in datasets.children(spark, path) if b.startswith("batch-") and b != but and "_SUCCESS" in datasets.children(spark, f"{path}/{b}")]
+        return spark.read.schema(schema).parquet(*[f"{path}/{b}" for b in own]) if own else spark.createDataFrame([], schema)
+
+    def batch(df, n):
+        name = f"batch-{n:09d}"
+        if (written(name).agg(F.sum(size)).first()[0] or 0) < most:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    return written()
+
+
 def tumbling(df: DataFrame, width: str) -> DataFrame:
     return df.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -81,24 +101,32 @@ def user_totals(stream: DataFrame) -> DataFrame:
 FIRED = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("id", T.LongType())])
 
 
-def fire_once(stream: DataFrame) -> DataFrame:
-    """Reminders (user_id, id, due, now) that are due, each once for ever: the ids that have fired are kept in the state
-    store by user, so a restart or a repeated poll does not fire them again."""
+def fire_once(stream: DataFrame, keep: float | None = None) -> DataFrame:
+    """Reminders (user_id, id, due, now) that are due, each once: the ids that have fired are kept in the state store by
+    user, so a restart or a repeated poll does not fire them again. With `keep`, a reminder that is overdue by more than
+    that does not fire any more, and its id is forgotten, so a user's state does not grow for ever."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def poll(key, frames, state):
         import pandas as pd
 
-        fired = set(state.get[0]) if state.exists else set()
-        new = []
+        ids, dues, latest = state.get if state.exists else ([], [], float("-inf"))
+        fired, new = dict(zip(ids, dues)), []
         for f in frames:
-            ids = f.loc[f["due"] <= f["now"], "id"]
-            new += [i for i in dict.fromkeys(ids.tolist()) if i not in fired]
-            fired |= set(new)
-        state.update((sorted(fired),))
+            latest = max(latest, float(f["now"].max()))
+            ready = f["due"] <= f["now"]
+            if keep is not None:
+                ready &= f["due"] >= f["now"] - keep
+            for i, d in zip(f.loc[ready, "id"].tolist(), f.loc[ready, "due"].tolist()):
+                if i not in fired:
+                    fired[i] = d
+                    new.append(i)
+        if keep is not None:
+            fired = {i: d for i, d in fired.items() if d >= latest - keep}
+        state.update((list(fired), list(fired.values()), latest))
         yield pd.DataFrame({"user_id": [key[0]] * len(new), "id": new}, dtype="int64")
 
-    return stream.groupBy("user_id").applyInPandasWithState(poll, FIRED, "fired array<long>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(poll, FIRED, "fired array<long>, dues array<double>, latest double", "append", GroupStateTimeout.NoTimeout)
 
 
 def ttl_hits(log: DataFrame, key: str, seconds: int) -> DataFrame:
