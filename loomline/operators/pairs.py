@@ -38,10 +38,9 @@ def seems(c: Column, own: list[str], other: list[str]) -> Column:
     return (F.size(ws) < 4) | (count(own) >= count(other))
 
 
-def calculation_right(question: Column, answer: Column) -> Column:
-    """Whether the answer has the result of the question's calculation among its whole numbers. Null if the question asks for
-    none, divides by zero, or has no whole result."""
-    m = sc.arithmetic(tx.normalize(question))
+def calculation_right(m: Column, answer: Column) -> Column:
+    """Whether the answer has the result of a calculation (scalars.arithmetic of the question) among its whole numbers. Null if
+    there is none, it divides by zero, or has no whole result."""
     a, b = m["a"], m["b"]
     whole = F.when(m["op"] == "/", F.when((b != 0) & (F.try_mod(a, b) == 0), F.try_divide(a, b).cast("long"))).when(m["op"] == "*", a * b).when(m["op"] == "+", a + b).when(m["op"] == "-", a - b)
     numbers = F.regexp_extract_all(F.replace(answer, F.lit("."), F.lit("")), F.lit(r"-?\d+"), F.lit(0))
@@ -64,7 +63,10 @@ def gate(pairs: DataFrame, frozen: DataFrame, known: DataFrame, language: Column
     seen = known.select(F.col("n").alias("_n")).distinct().withColumn("_seen", F.lit(True))
     own = own.withColumn("_n", tx.normalize(F.col("_q"))).join(seen, "_n", "left").join(leaks, "_id", "left")
     own = own.withColumn("_code", evaluation.python_compiles(code_block(F.col("_a"))))
-    q, a, n = F.col("_q"), F.col("_a"), tx.normalize(F.col("_a"))
+    # one step after the other, so that the plan computes each once
+    own = own.withColumns({"_na": tx.normalize(F.col("_a")), "_m": sc.arithmetic(F.col("_n")), "_fact": F.lit(None).cast("boolean") if fact is None or not check_facts else fact})
+    own = own.withColumns({"_w": tx.words(F.col("_na")), "_sums": calculation_right(F.col("_m"), F.col("_a")) if check_facts else F.lit(None).cast("boolean")})
+    q, a, n = F.col("_q"), F.col("_a"), F.col("_na")
     mandatory = [
         ("empty", (q != "") & (a != "")),
         ("long_question", F.length(q) <= max_question),
@@ -75,17 +77,17 @@ def gate(pairs: DataFrame, frozen: DataFrame, known: DataFrame, language: Column
         *([("identity", ~n.rlike(IDENTITIES))] if check_facts else []),
         ("artefact", ~a.contains("<|") & ~a.contains("�")),
         ("echo", F.col("_n") != n),
-        ("repetitive", ~tx.repetitive(tx.words(n), 0.35)),
+        ("repetitive", ~tx.repetitive(F.col("_w"), 0.35)),
         ("contaminated", F.col("_leak").isNull()),
         ("duplicate", F.col("_seen").isNull()),
     ]
-    nothing = F.lit(None).cast("boolean")
-    sums, fact = (calculation_right(q, a), nothing if fact is None else fact) if check_facts else (nothing, nothing)
-    conditional = [("calculation", sums), ("fact", fact), ("code", F.col("_code"))]
+    conditional = [("calculation", F.col("_sums")), ("fact", F.col("_fact")), ("code", F.col("_code"))]
+    own = own.withColumns({f"_c{i}": x for i, (_, x) in enumerate(mandatory)})
+    checks = [(k, F.col(f"_c{i}")) for i, (k, _) in enumerate(mandatory)] + conditional
     style = [F.length(a) <= 160, a.rlike(r"^[\p{Lu}\d]"), a.rlike(r"[.!?)\"]$") | a.contains("\n")]
-    passed = sum((F.coalesce(x, F.lit(False)).cast("int") for _, x in mandatory + conditional), F.lit(0))
+    passed = sum((F.coalesce(x, F.lit(False)).cast("int") for _, x in checks), F.lit(0))
     total = sum((x.isNotNull().cast("int") for _, x in conditional), F.lit(len(mandatory)))
-    problems = F.array_compact(F.array(*[F.when(~x, name) for name, x in mandatory + conditional]))
-    own = own.select(*pairs.columns, problems.alias("problems"), F.coalesce(fact, sums).alias("verified"), F.round(0.7 * (passed / total) + 0.3 * (sum((x.cast("int") for x in style), F.lit(0)) / 3), 3).alias("quality"))
+    problems = F.array_compact(F.array(*[F.when(~x, name) for name, x in checks]))
+    own = own.select(*pairs.columns, problems.alias("problems"), F.coalesce("_fact", "_sums").alias("verified"), F.round(0.7 * (passed / total) + 0.3 * (sum((x.cast("int") for x in style), F.lit(0)) / 3), 3).alias("quality"))
     unsure = (F.coalesce(F.col("factual"), F.lit(False)) & F.col("verified").isNull()) | (F.col("quality") < APPROVED)
     return own.withColumn("status", F.when(F.size("problems") > 0, "rejected").when(unsure, "review").otherwise("approved"))

@@ -137,3 +137,34 @@ def test_reminders_forget(spark, tmp_path):
     read = lambda: spark.readStream.schema("user_id long, id long, due double, now double").parquet(str(tmp_path / "polls"))
     assert sorted(r.id for r in streams.drain(streams.fire_once(read())).collect()) == [1, 2]
     assert sorted(r.id for r in streams.drain(streams.fire_once(read(), 50.0)).collect()) == [1, 2]
+
+
+def test_backend_query_equals_brute_force(spark):
+    import re
+
+    import harness
+    import xxhash
+
+    from loomline.plans import catalog
+
+    con = harness.connection(f"{harness.DATA}/sf0.001")
+
+    def vectors(sql):
+        ids, rows = [], []
+        for i, text in con.execute(sql).fetchall():
+            v = np.zeros(128)
+            for w in re.findall("[a-zà-ÿ_][a-zà-ÿ0-9_]+", (text or "").lower()):
+                h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+                h = h - (1 << 64) if h >= 1 << 63 else h
+                v[h % 128] += 1 if h >= 0 else -1
+            if v.any():
+                ids.append(i)
+                rows.append(v / np.linalg.norm(v))
+        return ids, np.array(rows)
+
+    (qs, a), (ds, b) = vectors("SELECT item_id, text FROM benchmark"), vectors("SELECT doc_id, text FROM documents")
+    scores = np.round(a @ b.T, 4)
+    want = {(q, r + 1): s for q, row in zip(qs, scores) for r, s in enumerate(sorted(row, reverse=True)[:3])}
+    got = catalog.QUERIES["backend_search"](spark, f"{harness.DATA}/sf0.001").collect()
+    assert {(r.q, r["rank"]) for r in got} == set(want)
+    assert all(abs(r.score - want[r.q, r["rank"]]) < 2e-4 and abs(r.score - scores[qs.index(r.q), ds.index(r.doc_id)]) < 2e-4 for r in got)
