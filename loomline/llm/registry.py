@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import decontaminate, hostrep, langid, lmscore, outliers, packing, privacy, rollup, sharding, simhash
+from loomline.llm import curves, decontaminate, hostrep, langid, lexical, lloyd, lmscore, outliers, packing, privacy, rollup, sharding, simhash
 
 QUERIES = {
     "op1_pseudo_likelihood": lmscore.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_popcount_simhash": simhash.query,
     "op9_ppm_language": langid.query,
     "op10_template_leaks": decontaminate.query,
+    "op11_impact_search": lexical.query,
+    "op12_hilbert_neighbours": curves.query,
+    "op13_delta_lloyd": lloyd.query,
 }
-ORACLES = {"op2_token_rollup": rollup.SQL, "op7_host_reputation": hostrep.SQL}
+ORACLES = {"op2_token_rollup": rollup.SQL, "op7_host_reputation": hostrep.SQL, "op11_impact_search": lexical.SQL, "op13_delta_lloyd": lloyd.SQL}

@@ -26,6 +26,16 @@ def edge_rows():
     return rows + [(100 + i, prose(r, r.randint(20, 200)), r.choice(["en", "de"]), "s0", 0) for i in range(120)]
 
 
+def vectors(n=300, width=64):
+    """Rows without a vector, or one that is zero, has nulls or is not finite; equal vectors, repeated rows and ids, null ids."""
+    r = random.Random(2)
+    own = [[r.gauss(0, 1) for _ in range(width)] for _ in range(n)]
+    rows = [(i, v, r.choice([0, 1, None])) for i, v in enumerate(own)]
+    rows += [(1000 + i, own[7], 1) for i in range(60)] + [rows[20], rows[20], (None, own[3], None), (40, own[5], 2)]
+    odd = [None, [0.0] * width, [None] + own[0][1:], [float("nan")] + own[0][1:], [float("inf")] + own[0][1:], [-0.0] + own[0][1:]]
+    return rows + [(2000 + 20 * i, v, 0) for i, v in enumerate(odd)]
+
+
 def write(spark, path, docs, clash=False):
     from pyspark.sql import functions as F
 
@@ -39,6 +49,7 @@ def write(spark, path, docs, clash=False):
     put("documents", some, DOCS)
     put("labels", [(1, 1, 0), (None, None, None), (3, 0, 1), (3, 0, 1), (5, None, 1)] if some else [], "doc_id long, quality int, toxic int")
     put("benchmark", [(1, "how many apples does Bob have after buying 12 more apples at 3 dollars each"), (2, None), (None, "short one here"), (4, ""), (5, "x")] if some else [], "item_id long, text string", False)
+    put("embeddings", vectors() if some else [], "vec_id long, embedding array<float>, label int")
     put("pages", [(1, "http://A.example.org/es/x?q#f", ""), (2, None, None), (3, "nohost", ""), (3, "nohost", ""), (5, "https://b.c.example.com:80/fr/1", ""), (None, "x://", "")] if some else [], "page_id long, url string, html string")
     return str(path)
 

@@ -30,7 +30,9 @@ def test_sql_twin(spark, where, name):
     import harness
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    if name == "op13_delta_lloyd" and not where.endswith("sf0.001"):
+        pytest.skip("the twin needs unique vec_ids; tests/llm/test_vectors.py has these cases")
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         files = f"{where}/{t}.parquet" + ("" if where.endswith("sf0.001") else "/*.parquet")
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{files}'")
     assert harness.compare(registry.QUERIES[name](spark, where), con, registry.ORACLES[name]) == ""
