@@ -46,6 +46,7 @@ FIT, KEYS, PROBES, TARGET = 8192, 262_144, 128, 0.95
 PER_RANGE = 16
 #: Queries that are compared at a time.
 BLOCK = 256
+LISTS = "qn long, ids array<long>, scores array<double>"
 
 
 def hilbert(cells, bits: int):
@@ -261,7 +262,7 @@ def window_of(vectors: DataFrame, asked: DataFrame, width: int, ranges: int, k:
 
 
 def compared(vectors: DataFrame, asked: DataFrame, width: int, ranges: int, window: int, parts: int, k: int) -> DataFrame:
-    """qn, vec_id and score: of each query and range in its window, the k best rows that no earlier curve has."""
+    """LISTS: of each query and range in its window, the k best rows that no earlier curve has, as one list."""
     curve = F.explode(F.array(*[F.lit(t) for t in range(CURVES)])).alias("curve")
     none = lambda kind: F.lit(None).cast(kind)
     part = F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")
@@ -292,8 +293,10 @@ def compared(vectors: DataFrame, asked: DataFrame, width: int, ranges: int, wind
             order = np.lexsort((names, nulls, -score, i))
             sorted_i = i[order]
             order = order[np.arange(len(order)) - np.searchsorted(sorted_i, sorted_i, "left") < k]
-            qn = np.array([n for n, _, _ in queries], np.int64)[i[order]]
-            yield pa.RecordBatch.from_arrays([pa.array(qn), pa.array(names[order], mask=nulls[order]), pa.array(score[order])], names=["qn", "vec_id", "score"])
+            some, begin = np.unique(i[order], return_index=True)
+            cut = pa.array(np.append(begin, len(order)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(names[order], mask=nulls[order]), pa.array(score[order]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([n for n, _, _ in queries], np.int64)[some]), *lists], names=["qn", "ids", "scores"])
 
         group, held, rows, queries = None, [], None, []
         for b in batches:
@@ -314,7 +317,40 @@ def compared(vectors: DataFrame, asked: DataFrame, width: int, ranges: int, wind
         if queries:
             yield from answers(group[0], rows, queries)
 
-    return _scan.over(dealt, run, "qn long, vec_id long, score double")
+    return _scan.over(dealt, run, LISTS)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """qn and list (vec_id, score): the k best of all lists of a query. Lists come in order of queries, so a task holds a few
+    lists of one query, however many ranges it has."""
+
+    def run(batches):
+        def best(own):
+            return sorted(own, key=lambda e: (-e[1], e[0] is None, e[0] or 0))[:k]
+
+        query, own = None, []
+        for b in batches:
+            out = []
+            for qn, ids, scores in zip(*(c.to_pylist() for c in b.columns)):
+                if qn != query:
+                    if own:
+                        out.append((query, best(own)))
+                    query, own = qn, []
+                elif len(own) > 50 * k:
+                    own = best(own)
+                own += zip(ids, scores)
+            if out:
+                yield batch(out)
+        if own:
+            yield batch([(query, best(own))])
+
+    def batch(out):
+        import pyarrow as pa
+
+        rows = [[{"vec_id": i, "score": s} for i, s in own] for _, own in out]
+        return pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array(rows, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))], names=["qn", "list"])
+
+    return _scan.over(found.repartition("qn").sortWithinPartitions("qn"), run, "qn long, list array<struct<vec_id:long,score:double>>")
 
 
 def search(table: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
@@ -349,9 +385,7 @@ def search(table: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     window, recall = window_of(vectors, asked, width, ranges, k) if ranges > 1 else (0, 1.0)
 
     found = compared(vectors, asked, width, ranges, window, -(-n // (ranges * 4 * size)) or 1, k + 1)
-    rank = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
-    ranked = found.withColumn("r", rank).where(F.col("r") <= k + 1)
-    lists = ranked.groupBy("qn").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
+    lists = merged(found, k + 1)
     answers = cluster.materialize(asked.select("qn", "v", "n").join(lists, "qn"), "answers").drop("qn")
     joined = cluster.lookup(queries.select("vec_id", "v", "own"), answers, "v", "n", queries.count(), F.struct("vec_id", "v"))
     # the k + 1 best less the query's own row, or less the last
