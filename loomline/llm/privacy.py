@@ -32,6 +32,8 @@ cluster.ship_by_value(__name__)
 KINDS = ["email", "ip", "card", "phone"]
 #: Words on each side of an entity, and the least length of a term.
 NEAR, TERM = 8, 4
+#: Characters without white space that are one word.
+LONG = 64
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 #: Least characters and bits of an assigned secret.
 SECRET_LENGTH, SECRET_BITS = 16, 60
@@ -53,6 +55,7 @@ class Finder:
         self.phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
         self.term = re.compile(r"[^\W\d_]{%d,}" % TERM)
         self.word = re.compile(r"[^\x20\x09-\x0D]+")
+        self.run = re.compile(r"[^\W_]+")
         self.secret = re.compile(r"[=:]\s*[\"']?([A-Za-z0-9+_-][A-Za-z0-9+/_=-]{%d,})" % (SECRET_LENGTH - 1))
 
     def emails(self, t: str):
@@ -70,7 +73,7 @@ class Finder:
     def spans(self, t: str) -> list[tuple[str, int, int]]:
         out = [("email", *x) for x in self.emails(t)]
         if "." in t:
-            out += [("ip", *m.span()) for m in self.ip.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [("ip", *m.span()) for m in self.ip.finditer(t) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in self.card.finditer(t):
             if m.end() - m.start() >= 16:
                 d = [int(c) for c in m[0] if c.isdigit()]
@@ -114,10 +117,17 @@ class Finder:
                 yield m
 
     def near(self, t: str, spans):
-        """For each span: the span, the terms within NEAR words on each side, and these words. Words are cut at the span."""
+        """For each span: the span, the terms within NEAR words on each side, and these words. Words are cut at the span. What
+        stands without white space for more than LONG characters is as many words as it has runs of letters and digits, so
+        that no word, and no span's surroundings, is a whole text of lists or tables."""
         from bisect import bisect_left, bisect_right
 
-        words = [m.span() for m in self.word.finditer(t)]
+        words = []
+        for s, e in (m.span() for m in self.word.finditer(t)):
+            if e - s <= LONG:
+                words.append((s, e))
+            else:
+                words += [m.span() for m in self.run.finditer(t, s, e)]
         starts, ends = [s for s, _ in words], [e for _, e in words]
         terms = [(m.start(), m.end(), m[0].lower()) for m in self.terms(t, spans)]
         at = [s for s, _, _ in terms]
@@ -149,11 +159,12 @@ def _base_batches(batches):
     import pyarrow as pa
     import xxhash
 
-    find, near_type = Finder(), pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("thash", pa.int64()), ("around", pa.int64()), ("lead", pa.int32())]))
+    find, hashes, near_type = Finder(), {}, pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("thash", pa.int64()), ("around", pa.int64()), ("lead", pa.int32())]))
     types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.string()), near_type]
     names = ["doc_id", "key", "part", "n_email", "n_ip", "n_card", "n_phone", "base", "secrets", "entities", "near"]
     for b in _scan.slices(batches):
         rows = []
+        hashes.clear()
         for doc_id, key, t in zip(*(c.to_pylist() for c in b.columns)):
             spans, secrets = (find.spans(t), find.secrets(t)) if t else ([], [])
             every, entities, near, led = spans + secrets, set(), set(), set()
@@ -165,7 +176,9 @@ def _base_batches(batches):
                         near |= {(e, w, around) for w in terms}
             pairs = []
             for e, w, around in sorted(near):
-                pairs.append({"entity": e, "term": w, "thash": _scan.word_hash(w.encode()), "around": around, "lead": int((e, w) not in led)})
+                if w not in hashes:
+                    hashes[w] = _scan.word_hash(w.encode())
+                pairs.append({"entity": e, "term": w, "thash": hashes[w], "around": around, "lead": int((e, w) not in led)})
                 led.add((e, w))
             entities = sorted(entities)
             counts = [sum(x[0] == k for x in spans) for k in KINDS]
