@@ -9,20 +9,23 @@ all (4). Windows of documents are looked up in all four forms; so a copy is foun
 item of numbers only is found where it stands as it is.
 
 Matches of an item in one stretch of a document are judged together. Each value in the item's slots stands for one value in
-the document's, the one that it meets most often, and the other way round; windows with other values do not count. A
-document is contaminated by an item if at least SHARE of the item's windows, or RUN of them, are found with consistent slots;
+the document's, the one that it meets most often, and the other way round; windows with other values do not count. Of
+values that meet equally often, the one that stands first in the item's matched part counts, then the one that the document
+has first; of stretches with equally many windows, the first. A document is contaminated by an item if at least SHARE of the item's windows, or RUN of them, are found with consistent slots;
 so a question with other numbers and names is caught, and a passage that shares only its frame with conflicting values is not.
 
 Items shorter than WINDOW tokens are one window of their own length; items of one or two tokens contaminate only documents of
 just these tokens. A copy in lower case whose names were changed as well is found only by its windows without names.
 
 The benchmark's windows are sent to all executors; they come in blocks of BLOCK bytes of text, one scan of the documents a
-block, so a benchmark of any size is handled. Documents are matched many at a time, and an item's matches are judged only
-where there are enough of them, so a window that many items share costs a few array operations for each.
+block, so a benchmark of any size is handled. Documents are matched many at a time. Windows that many items share are a
+group: a document counts a group's rows once, however often it has the window, and only items with as many rows as they need
+windows are looked at; of these, items whose matched parts have the same slots, with the same ones equal, are judged once. So
+a benchmark made from one template costs a few array operations an item.
 
 Defined cases: null and empty texts and texts without tokens match nothing, nor do such items; items with equal text match
-alike; repeated rows are judged each; empty tables give empty results; texts are read whole; extra columns are not read by
-the query and kept by the stage.
+alike; repeated rows are judged each; empty tables give empty results; texts of any length are read whole (over 2 MiB in pieces
+that end at white space); extra columns are not read by the query and kept by the stage. The stage keeps null and empty texts.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ cluster.ship_by_value(__name__)
 
 WINDOW, LITERALS, SHARE, RUN = 8, 4, 0.5, 40
 BLOCK = 16 << 20
+#: Rows of windows and items that are laid out at a time.
+EXPAND = 1 << 20
 UNITS = ["kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "miles", "ft", "feet", "inch", "inches", "l", "ml", "liters", "litres",
          "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent",
          "km/h", "mph", "kw", "w", "v", "hz", "gb", "mb", "degrees"]
@@ -151,7 +156,8 @@ class Windows:
 
 
 def index(items: list[tuple[int, bytes]]) -> dict:
-    """Windows of benchmark items by width: sorted hashes, and for each its (item, position); tokens by item."""
+    """Windows of benchmark items. Windows with the same hash are a group; a group has a range of (item, position) rows.
+    tables: by width, the sorted hashes and the number of the first one's group."""
     import numpy as np
 
     tokens, meta, found = Tokens(), [], {}
@@ -169,13 +175,26 @@ def index(items: list[tuple[int, bytes]]) -> dict:
         for form, some in zip(forms, (literal(~first), plain, literal(np.ones(len(h), bool)), None)):
             ok = np.flatnonzero((plain < enough) if some is None else (some >= enough)) if w > 2 else at if some is None else at[:0]
             found.setdefault(w, []).append((form[ok], np.full(len(ok), i), ok))
-    tables = {}
+    tables, starts, item, pos = {}, [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    n_groups = n_rows = 0
     for w, parts in found.items():
         rows = np.stack([np.concatenate([p[k].astype(np.uint64) for p in parts]) for k in range(3)], axis=1)
         rows = np.unique(rows, axis=0)  # by hash, item and position
-        tables[w] = rows[:, 0].copy(), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64)
+        hashes, at = np.unique(rows[:, 0], return_index=True)
+        tables[w] = hashes, n_groups
+        starts.append(at + n_rows)
+        item.append(rows[:, 1].astype(np.int64))
+        pos.append(rows[:, 2].astype(np.int64))
+        n_groups, n_rows = n_groups + len(hashes), n_rows + len(rows)
     need = [max(1, int(np.ceil(min(SHARE * m[1], RUN)))) if m[1] else 1 << 60 for m in meta]
-    return {"tables": tables, "meta": meta, "need": np.array(need, np.int64)}
+    return {"tables": tables, "starts": np.concatenate([*starts, [n_rows]]).astype(np.int64), "item": np.concatenate(item), "pos": np.concatenate(pos), "meta": meta, "need": np.array(need, np.int64)}
+
+
+def spread(starts, n):
+    """Indices starts[i], starts[i] + 1, ... of n[i] each, one after the other."""
+    import numpy as np
+
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Matcher:
@@ -184,71 +203,141 @@ class Matcher:
 
         self.tokens, self.b = Tokens(), bench
         self.filters = {}
-        for w, (hashes, _, _) in bench["tables"].items():  # most windows miss here
+        for w, (hashes, _) in bench["tables"].items():  # most windows miss here
             self.filters[w] = np.zeros(1 << 20, bool)
             self.filters[w][(hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.sizes = np.diff(bench["starts"])
 
     def match(self, raws: list[bytes]):
         """For each text, (item index, windows found, item's windows, slots with another value) of each item that
-        contaminates it."""
+        contaminates it, by item."""
         import numpy as np
 
         out = [[] for _ in raws]
-        n_items = len(self.b["meta"])
         text, h, slot, first = self.tokens(raws)
         windows = Windows(text, h, slot, first)
         sizes = np.bincount(text, minlength=len(raws)) if len(text) else np.zeros(len(raws), np.int64)
         hits = []
-        for w, (hashes, item, pos) in self.b["tables"].items():
+        for w, (hashes, base) in self.b["tables"].items():
             at, forms = windows.of(w, self.tokens.hasher)
             for got in forms:
                 some = np.flatnonzero(self.filters[w][(got >> np.uint64(44)).astype(np.int64)])
                 if w < 3:  # only a text of just these tokens
                     some = some[sizes[text[at[some]]] == w]
-                lo, hi = np.searchsorted(hashes, got[some], "left"), np.searchsorted(hashes, got[some], "right")
-                n = hi - lo
-                k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                p = np.repeat(at[some], n)
-                hits.append(np.stack([text[p] * n_items + item[k], p, pos[k]], axis=1))
-        hits = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 3), np.int64)
+                g = np.minimum(np.searchsorted(hashes, got[some]), len(hashes) - 1)
+                same = hashes[g] == got[some]
+                hits.append(np.stack([at[some[same]], g[same] + base], axis=1))
+        hits = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 2), np.int64)
         if not len(hits):
             return out
-        owners, starts, n = np.unique(hits[:, 0], return_index=True, return_counts=True)
-        for owner, s, k in zip(owners.tolist(), starts.tolist(), n.tolist()):
-            i = owner % n_items
-            if k >= self.b["need"][i] and (found := self.judge(i, hits[s : s + k, 1], hits[s : s + k, 2], h)):
-                out[owner // n_items].append(found)
+        of = text[hits[:, 0]]  # rising
+        for t, items in self.possible(of, hits[:, 1]):
+            a, b = np.searchsorted(of, [t, t + 1])
+            out[t] = self.contained(hits[a:b, 0], hits[a:b, 1], items, h)
         return out
 
-    def judge(self, item: int, p, q, h):
-        """The best stretch of matches (document position p, item position q, sorted by p), or None."""
+    def possible(self, text, group):
+        """(text, items) of the items with as many rows in the groups that a text hits as they need windows, so that the
+        others cannot be found. A group counts once a text, however often the text has its window."""
         import numpy as np
 
-        cuts = np.flatnonzero(np.diff(p) > self.b["meta"][item][2]) + 1
-        best = None
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
-            found = self.stretch(item, p[a:b].tolist(), q[a:b].tolist(), h)
-            if found and (best is None or found[1] > best[1]):
-                best = found
-        return best
+        n_items, pairs = len(self.b["meta"]), np.unique(np.stack([text, group], axis=1), axis=0)
+        text, group = pairs[:, 0], pairs[:, 1]
+        n, ends = self.sizes[group], np.append(np.flatnonzero(np.diff(text)) + 1, len(text))
+        upto, s = np.cumsum(n), 0
+        while s < len(text):
+            # as many texts as have EXPAND rows, or one
+            e = int(ends[max(np.searchsorted(ends, s, "right"), np.searchsorted(upto[ends - 1], upto[s] - n[s] + EXPAND, "right") - 1)])
+            if n[s:e].sum() <= EXPAND:
+                item = self.b["item"][spread(self.b["starts"][group[s:e]], n[s:e])]
+                owner, count = np.unique(np.repeat(text[s:e], n[s:e]) * n_items + item, return_counts=True)
+                owner = owner[count >= self.b["need"][owner % n_items]]
+                yield from ((int(t), owner[owner // n_items == t] % n_items) for t in np.unique(owner // n_items))
+            else:
+                count, k = np.zeros(n_items, np.int64), s
+                while k < e:
+                    z = min(e, max(k + 1, int(np.searchsorted(upto, upto[k] - n[k] + EXPAND, "right"))))
+                    count += np.bincount(self.b["item"][spread(self.b["starts"][group[k:z]], n[k:z])], minlength=n_items)
+                    k = z
+                if len(items := np.flatnonzero(count >= self.b["need"])):
+                    yield int(text[s]), items
+            s = e
+
+    def contained(self, p, g, items, h):
+        """The items, of those that are possible, that a text contaminates. p, g: its windows' places and groups."""
+        import numpy as np
 
-    def stretch(self, item: int, p, q, h):
+        wanted = np.zeros(len(self.b["meta"]), bool)
+        wanted[items] = True
+        order = np.argsort(g, kind="stable")
+        p, groups, begin, n_at = p[order], *np.unique(g[order], return_index=True, return_counts=True)
+        rows = []
+        for k in range(0, len(groups), 256):  # rows of possible items only
+            own = groups[k : k + 256]
+            at = spread(self.b["starts"][own], self.sizes[own])
+            of = np.repeat(np.arange(k, k + len(own)), self.sizes[own])
+            keep = wanted[self.b["item"][at]]
+            rows.append(np.stack([self.b["item"][at[keep]], self.b["pos"][at[keep]], of[keep]], axis=1))
+        rows = np.concatenate(rows)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        n, ends = n_at[rows[:, 2]], np.append(np.flatnonzero(np.diff(rows[:, 0])) + 1, len(rows))
+        upto, s, found, memo = np.cumsum(n), 0, [], {}
+        while s < len(rows):
+            e = int(ends[max(np.searchsorted(ends, s, "right"), np.searchsorted(upto[ends - 1], upto[s] - n[s] + EXPAND, "right") - 1)])
+            own = rows[s:e]
+            pairs = np.stack([np.repeat(own[:, 0], n[s:e]), p[spread(begin[own[:, 2]], n[s:e])], np.repeat(own[:, 1], n[s:e])], axis=1)
+            pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
+            for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+                if got := self.judge(int(part[0, 0]), part[:, 1], part[:, 2], h, memo):
+                    found.append(got)
+            s = e
+        return found
+
+    def judge(self, item: int, p, q, h, memo: dict):
+        """The best stretch of matches (document position p, item position q, sorted by p), or None. Items whose matched
+        tokens have the same slots, equal where theirs are equal, are judged once."""
+        import numpy as np
+
+        _, n_windows, length, slot, own, w = self.b["meta"][item]
+        need, a, b = int(self.b["need"][item]), int(q.min()), int(q.max()) + w
+        _, at, which = np.unique(np.stack([slot[a:b].astype(np.uint64), own[a:b]]), axis=1, return_index=True, return_inverse=True)
+        symbol = np.where(slot[a:b] > 0, at[which.reshape(-1)], -1)
+        key = need, length, w, p.tobytes(), (q - a).tobytes(), slot[a:b].tobytes(), symbol.tobytes()
+        if key not in memo:
+            cuts, best = np.flatnonzero(np.diff(p) > length) + 1, None
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
+                got = self.stretch(need, w, slot[a:b], symbol, p[x:y].tolist(), (q[x:y] - a).tolist(), h)
+                if got and (best is None or got[0] > best[0]):
+                    best = got
+            memo[key] = best
+        if (best := memo[key]) is None:
+            return None
+        used, values = best
+        return item, used, n_windows, sum(int(own[a + v]) != d for v, d in values)
+
+    def stretch(self, need: int, w: int, slot, symbol, p, q, h):
+        """(windows found, (slot, the document's value) of each value in them) with consistent slots, or None if too few."""
         from collections import Counter
 
-        _, n_windows, _, slot, own, w = self.b["meta"][item]
-        met = {(x + k, y + k) for x, y in zip(p, q) for k in range(w) if slot[y + k]}
-        votes = Counter((int(slot[y]), int(own[y]), int(h[x])) for x, y in met)
+        if len(set(q)) < need:
+            return None
+        met = sorted({(y + k, x + k) for x, y in zip(p, q) for k in range(w) if slot[y + k]})
+        votes, seen = Counter(), {}
+        for y, x in met:
+            votes[int(slot[y]), int(symbol[y]), int(h[x])] += 1
+            seen[int(slot[y]), int(h[x])] = min(x, seen.get((int(slot[y]), int(h[x])), x))
         there, back = {}, {}
-        for (kind, v, d), _ in sorted(votes.items(), key=lambda e: (-e[1], e[0])):
+        # a symbol is the first slot that has its value
+        for (kind, v, d), _ in sorted(votes.items(), key=lambda e: (-e[1], e[0][1], seen[e[0][0], e[0][2]])):
             there.setdefault((kind, v), d)
             back.setdefault((kind, d), v)
-        fits = {(x, y): there[int(slot[y]), int(own[y])] == int(h[x]) and back[int(slot[y]), int(h[x])] == int(own[y]) for x, y in met}
+        fits = {(x, y): there[int(slot[y]), int(symbol[y])] == int(h[x]) and back[int(slot[y]), int(h[x])] == int(symbol[y]) for y, x in met}
         used = {y for x, y in zip(p, q) if all(fits.get((x + k, y + k), True) for k in range(w))}
-        if len(used) < self.b["need"][item]:
+        if len(used) < need:
             return None
-        seen = {y + k for y in used for k in range(w) if slot[y + k]}
-        changed = {(int(slot[y]), int(own[y])) for y in seen}
-        return item, len(used), n_windows, sum(there[x] != x[1] for x in changed)
+        values = {(int(slot[y + k]), int(symbol[y + k])) for y in used for k in range(w) if slot[y + k]}
+        return len(used), [(v, there[kind, v]) for kind, v in sorted(values)]
 
 
 def blocks(benchmark: DataFrame):

@@ -281,7 +281,7 @@ def spans_of(t):
     luhn = lambda d: sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
     digits = lambda s: [int(c) for c in s if c.isdigit()]
     out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(p.lstrip("0")) <= 3 and p.lstrip("0").rjust(3, "0") <= "255" for p in m[0].split("."))]
     out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
     return [(k, *m.span()) for k, m in out]
@@ -393,6 +393,29 @@ def _base(spark, table):
     return _scan.over(table.select("doc_id", F.xxhash64("text").alias("key"), "text"), privacy._base_batches, privacy.BASE)
 
 
+def test_op5_long_runs_of_digits_and_texts_without_white_space():
+    import random
+    import time
+
+    find, r = privacy.Finder(), random.Random(13)
+    for t in ("0" * 5000 + ".1.1.1", "1." + "0" * 6000 + "255.0.0", "9" * 5000 + ".1.1.1", "4" * 20_000, "+" + "1" * 9000):
+        assert find.spans(t) == spans_of(t)
+    for _ in range(300):
+        t = "".join(r.choice(["0" * r.randint(1, 4500), "7" * r.randint(1, 4), ".", "1.1.1", "-", " ", "+1"]) for _ in range(r.randint(1, 9)))
+        assert find.spans(t) == spans_of(t), t
+    text = ",".join(f"name{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]},a{i}@x{i}.example.com" for i in range(100_000))
+    start = time.time()
+    (batch,) = privacy._base_batches([_batch([(1, 2, text)])])
+    assert time.time() - start < 20 and batch.num_rows > 10
+    assert sum(len(x) for x in batch.column("entities").to_pylist()) == 200_000
+
+
+def _batch(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "key", "text"])
+
+
 def test_op5_secrets_and_many_entities():
     import time
 
@@ -628,20 +651,19 @@ def plain_leaks(docs, items):
                     part = hits[start:i]
                     met = {(p + k, q + k) for p, q in part for k in range(w) if own[q + k][1]}
                     votes = collections.Counter((own[y][1], own[y][0], tokens[x][0]) for x, y in met)
-                    there, back = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
-                    for (k, v, x), c in votes.items():
-                        there[k, v][x] += c
-                        back[k, x][v] += c
-                    tie = any(len(c) > 1 and c.most_common(2)[0][1] == c.most_common(2)[1][1] for c in [*there.values(), *back.values()])
-                    good = lambda x, y: there[own[y][1], own[y][0]].most_common(1)[0][0] == tokens[x][0] and back[own[y][1], tokens[x][0]].most_common(1)[0][0] == own[y][0]  # noqa: B023, E731
+                    head = min(q for _, q in hits)  # ties: first in the item's matched part, then first met in the document
+                    stands = lambda k, v: next(y for y in range(head, len(own)) if own[y][1] == k and own[y][0] == v)  # noqa: B023, E731
+                    comes = lambda k, d: min(x for x, y in met if own[y][1] == k and tokens[x][0] == d)  # noqa: B023, E731
+                    there, back = {}, {}
+                    for k, v, x in sorted(votes, key=lambda e: (-votes[e], stands(e[0], e[1]), comes(e[0], e[2]))):  # noqa: B023
+                        there.setdefault((k, v), x)
+                        back.setdefault((k, x), v)
+                    good = lambda x, y: there[own[y][1], own[y][0]] == tokens[x][0] and back[own[y][1], tokens[x][0]] == own[y][0]  # noqa: B023, E731
                     used = {q for p, q in part if all(good(p + k, q + k) for k in range(w) if own[q + k][1])}
                     need = max(1, -(-min(n, 2 * decontaminate.RUN) // 2))
-                    if tie and len({q for _, q in part}) >= need:
-                        best = None  # which value wins a tie is not defined
-                        break
                     best = max(best, len(used)) if len(used) >= need else best
                     start = i
-            if best is None or best:
+            if best:
                 out[d, item_id, best] += 1
     return out
 
@@ -651,9 +673,50 @@ def test_op10_equals_brute_force(spark, where):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{where}/benchmark.parquet").collect()]
     want = plain_leaks(docs, items)
     got = collections.Counter((r.doc_id, r.item_id, r.n_found) for r in registry.QUERIES["op10_template_leaks"](spark, where).collect())
-    open_cases = {k[:2] for k in want if k[2] is None}
-    strip = lambda c: {k: v for k, v in c.items() if k[:2] not in open_cases}
-    assert strip(got) == strip(want) and len(open_cases) <= 0.1 * len(want)
+    assert got == want
+
+
+def test_op10_templates_and_ties_equal_brute_force(spark):
+    """Items made from a few templates, texts that repeat them with equal, changed and conflicting values."""
+    import random
+
+    r = random.Random(11)
+    names, number = ["Anna", "Peter", "Maria", "Oskar", "Ines"], lambda: str(r.randint(1, 6))
+    frames = ["each week {a} sells {x} baskets of red apples while {b} sells {y} boxes of the pears and {a} keeps {x}",
+              "if {a} has {x} pens and gives {y} pens to {b} then how many pens has {a} after that",
+              "{a} pays {x} dollars and {b} pays {x} dollars so they pay {y} dollars in all for the same old thing"]
+    fill = lambda f: f.format(a=r.choice(names), b=r.choice(names), x=number(), y=number())
+    items = [(i, fill(r.choice(frames)) + r.choice(["", " and nothing else at all on that day", " " + number()])) for i in range(60)]
+    docs = [(i, " ".join(r.choice([fill(f), f.split("{y}")[0].format(a="Anna", b="Peter", x=number()), "some other words here"]) + r.choice([".", ""]) for f in r.choices(frames, k=r.randint(1, 4)))) for i in range(80)]
+    want = plain_leaks(docs, items)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert collections.Counter((x.doc_id, x.item_id, x.n_found) for x in got) == want and len(want) > 300
+
+
+def test_op10_frames_that_many_items_share_in_little_time(monkeypatch):
+    import random
+    import time
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4))
+    frame = "consider the following statement about numbers and their"
+    items = [(i, f"{frame} {' '.join(word() for _ in range(12))}".encode()) for i in range(10_000)]
+    template = [(i, f"each week Anna sells {r.randint(1, 10**6)} baskets of apples and {r.randint(1, 10**6)} boxes of pears at the market".encode()) for i in range(10_000)]
+    asked = b"x each week Maria sells 5 baskets of apples and 7 boxes of pears at the market. "
+    for own, text, n in ((items, frame.encode() + b" ", 0), (template, asked, 10_000)):
+        m = decontaminate.Matcher(decontaminate.index(own))
+        full = text * (20_000 // len(text)) if n == 0 else text
+        start = time.time()
+        found = m.match([full, b"", full])
+        took = time.time() - start
+        assert [len(x) for x in found] == [n, 0, n] and took < (4 if n == 0 else 20)
+        some = decontaminate.Matcher(decontaminate.index(own[:50]))
+        want = [x for x in found[0] if x[0] < 50]
+        assert some.match([full])[0] == want
+        for limit in (1, 1000):  # the same, a few rows at a time
+            monkeypatch.setattr(decontaminate, "EXPAND", limit)
+            assert some.match([full, full]) == [want, want]
+        monkeypatch.undo()
 
 
 ANNA = "Each week Anna sells 14 baskets of red apples for 3 dollars each while Peter sells 20 boxes of pears at the same market stall"
@@ -743,6 +806,27 @@ def test_near_dedup_keeps_texts_that_share_or_lack_an_id(spark):
     assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
 
 
+def test_pipeline_on_an_empty_table(spark, empty_dir):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_pipeline_on_very_long_and_odd_texts(spark, empty_dir, tmp_path):
+    """Texts over 1 MiB, without white space, of digits only; every stage runs and keeps what is clean."""
+    import shutil
+
+    import corpus_pipeline
+
+    for name in ("benchmark", "labels", "pages", "embeddings"):
+        shutil.copytree(f"{empty_dir}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    texts = ["0" * 5000 + ".1.1.1 is an address", "x" * (2 << 20), "word and number " * 100_000, ",".join(f"a{i}@x.example.com" for i in range(30_000)), None, "", "日本語" * 300_000]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert {0, 1, 2, 3, 6} <= left
+
+
 def test_pipeline(spark, where):
     import corpus_pipeline
     from loomline import cluster
