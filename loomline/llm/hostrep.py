@@ -24,7 +24,7 @@ from loomline import cluster
 
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Public suffixes of two labels that are told apart.
+#: Public suffixes of two labels that are told apart, unless a caller names its own list.
 SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za"]
 LEAST, Z = 0.6, 1.645
 #: Bounds of a level's prior strength.
@@ -47,10 +47,10 @@ def ruled(host, path):
     return found
 
 
-def levels(host):
+def levels(host, suffixes=SUFFIXES):
     """Public suffix and registered domain of a host."""
     last2 = F.substring_index(host, ".", -2)
-    two = last2.isin(SUFFIXES)
+    two = last2.isin(list(suffixes))
     suffix = F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
     return suffix, F.when(two, F.substring_index(host, ".", -3)).otherwise(last2)
 
@@ -67,9 +67,9 @@ def strength(members: DataFrame) -> float:
     return min(max(scale / excess - 1, WEAK), STRONG)
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, two_label=SUFFIXES) -> DataFrame:
     """host, mean and sd of the posterior from outcomes: one row a host with n and good (0 where unlabelled)."""
-    suffix, domain = levels(F.col("host"))
+    suffix, domain = levels(F.col("host"), two_label)
     hosts = outcomes.select("host", suffix.alias("suffix"), domain.alias("domain"), F.col("n").cast("double").alias("n"), F.col("good").cast("double").alias("good"))
     good, n = hosts.agg(F.sum("good"), F.sum("n")).first()
     sums = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -89,8 +89,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return own.select("host", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (s + F.col("n") + 1)).alias("sd"))
 
 
-def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, mean and upper (posterior mean and bound of the host) of each page."""
+def judge(pages: DataFrame, labels: DataFrame, two_label=SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, mean and upper (posterior mean and bound of the host) of each page. two_label: the
+    public suffixes of two labels, such as a list of hosting domains whose tenants must not share a reputation."""
     host, path = parts(F.col("url").cast("string"))
     own = pages.select("page_id", host.alias("host"), path.alias("path"))
     marks = labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when((F.col("quality") == 0) | (F.col("toxic") == 1), 0).alias("good")).where("good is not null")
@@ -98,7 +99,7 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     counted = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     outcomes = counted.join(marked, "host", "left").select("host", "pages", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
     outcomes = cluster.materialize(outcomes, "hosts")
-    known = outcomes.select("host", "pages").join(reputation(outcomes), "host")
+    known = outcomes.select("host", "pages").join(reputation(outcomes, two_label), "host")
     total = outcomes.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     upper = F.least(F.lit(1.0), F.col("mean") + Z * F.col("sd"))
     known = known.select("host", "pages", "mean", upper.alias("upper"))

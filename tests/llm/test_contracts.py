@@ -971,3 +971,16 @@ def test_op5_terms_far_from_the_entity_and_beyond_latin1(spark):
     clean = {x.doc_id: x.text for x in privacy.stage(spark, df, "").select("doc_id", "text").collect()}
     assert not [d for d, t in clean.items() if any(n.strip("“”") in t for n in names)]
     assert all(clean[d] == t for d, t in rows if d < 5000)
+
+
+def test_op7_tenants_of_a_listed_suffix_do_not_share_a_reputation(spark):
+    """One bad tenant of a hosting domain pulls the others down only while that domain is not listed as a suffix."""
+    from loomline.llm import hostrep
+
+    bad, good = "bad.hosting.example", "good.hosting.example"
+    pages = [(i, f"https://{bad}/{i}", "") for i in range(400)] + [(1000 + i, f"https://{good}/{i}", "") for i in range(3)] + [(2000 + i, f"https://site{i}.net/", "") for i in range(400)]
+    labels = [(i, 0, 1) for i in range(400)] + [(2000 + i, 1, 0) for i in range(400)]
+    p, m = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    upper = lambda **k: {x.host: x.upper for x in hostrep.judge(p, m, **k).where(f"host in ('{bad}', '{good}')").distinct().collect()}
+    shared, apart = upper(), upper(two_label=["hosting.example"])
+    assert shared[bad] < hostrep.LEAST and apart[bad] < hostrep.LEAST and apart[good] > shared[good]
