@@ -178,3 +178,39 @@ def route(c: Column) -> Column:
     kinds = {"research": ["find", "search", "source", "compare"], "code": ["function", "code", "class", "bug"], "test": ["test", "check", "verify"]}
     has = {k: F.exists(F.array(*map(F.lit, ws)), lambda w: own.contains(w)) for k, ws in kinds.items()}
     return F.when(has["research"] & has["code"] & has["test"], "pipeline").when(has["research"] & has["code"], "research_code").when(has["research"], "research").when(has["test"], "test").when(has["code"], "code").otherwise("general")
+
+
+def short_number(c: Column) -> Column:
+    """Two decimals at most, without trailing zeros; points between thousands, a comma before decimals."""
+    return F.regexp_replace(F.translate(F.format_number(c.cast("double"), 2), ",.", ".,"), r",?0+$", "")
+
+
+def exercise(kind: Column, a: Column, b: Column, c: Column) -> Column:
+    """Struct (text, answer, divisor): a solved exercise of one of twelve kinds, from three whole numbers not below 0. The text
+    ends with its answer."""
+    n, most = short_number, F.greatest
+    x, y, two, three = a % 998 + 2, b % 998 + 2, (a % 98 + 2, b % 98 + 2), (a % 10 + 1, b % 10 + 1)
+    by, times, rest = b % 29 + 2, c % 99 + 1, a % (b % 29 + 2)
+    share, hours, minutes = x % 20 * 5, x % 23 + 1, y % 60
+    root, factor, k, plus = x % 30 + 2, x % 50 + 1, y % 11 + 2, c % 100
+    price, count = x % 89 + 2, y % 11 + 2
+    paid = (F.floor(price * count / 10) + 1) * 10
+    made = [
+        (F.concat(n(x), F.lit(" + "), n(y), F.lit(" = "), n(x + y)), x + y, None),
+        (F.concat(n(most(x, y)), F.lit(" - "), n(F.least(x, y)), F.lit(" = "), n(F.abs(x - y))), F.abs(x - y), None),
+        (F.concat(n(two[0]), F.lit(" × "), n(two[1]), F.lit(" = "), n(two[0] * two[1])), two[0] * two[1], None),
+        (F.concat(n(three[0]), F.lit(" × "), n(three[1]), F.lit(" = "), n(three[0] * three[1])), three[0] * three[1], None),
+        (F.concat(n(by * times + rest), F.lit(" ÷ "), n(by), F.lit(", resto "), n(rest), F.lit(": "), n(times)), times, by),
+        (F.concat(n(share), F.lit("% de "), n(y), F.lit(" = "), n(share * y / 100.0)), share * y / 100.0, None),
+        (F.concat(n(x), F.lit(" mm em polegadas: "), n(F.round(x / 25.4, 2))), F.round(x / 25.4, 2), None),
+        (F.concat(n(hours), F.lit(" h e "), n(minutes), F.lit(" min em minutos: "), n(hours * 60 + minutes)), hours * 60 + minutes, None),
+        (F.concat(n(x), F.lit(" km em metros: "), n(x * 1000)), x * 1000, None),
+        (F.concat(n(k), F.lit("x + "), n(plus), F.lit(" = "), n(k * factor + plus), F.lit(": x = "), n(factor)), factor, k),
+        (F.concat(F.lit("raiz de "), n(root * root), F.lit(" = "), n(root)), root, None),
+        (F.concat(n(count), F.lit(" itens de "), n(price), F.lit(", pago "), n(paid), F.lit(", troco "), n(paid - price * count)), paid - price * count, None),
+    ]
+    out = F.lit(None)
+    for i, (text, answer, divisor) in reversed(list(enumerate(made))):
+        one = F.struct(text.alias("text"), answer.cast("double").alias("answer"), (F.lit(None) if divisor is None else divisor).cast("long").alias("divisor"))
+        out = F.when(kind == i, one).otherwise(out)
+    return out

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline import cluster
+
+cluster.ship_by_value(__name__)
+
 
 def encode(c: Column, file: str) -> Column:
     """Ids of a text; null for null. The file is read once a task."""
@@ -40,6 +44,56 @@ def decode(c: Column, file: str) -> Column:
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(c)
 
 
+TOKENS = "struct<ids:array<int>,ends:array<int>>"
+
+
+def segmented(c: Column, file: str) -> Column:
+    """ids of a text, and the character after each token's last; null for null. A token that holds part of a character ends
+    where that character does."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(file)
+        t.encode_special_tokens = True
+        kind = pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+        for s in batches:
+            texts = s.to_pylist()
+            made = t.encode_batch([x or "" for x in texts], add_special_tokens=False)
+            yield pa.array([None if x is None else {"ids": e.ids, "ends": [z for _, z in e.offsets]} for x, e in zip(texts, made)], kind)
+
+    return F.arrow_udf(run, TOKENS, F.ArrowUDFType.SCALAR_ITER)(c)
+
+
 def cut_at_token(c: Column, ends: Column, n: int) -> Column:
     """The text up to the character at which its n-th token ends."""
     return F.when(F.size(ends) >= n, F.substring(c, F.lit(1), F.element_at(ends, n))).otherwise(c)
+
+
+def met(left: Column, right: Column) -> Column:
+    """Pairs (i, j) of tokens, counted from 0, that end at the same character (the first on the right), of two rising lists of
+    ends. The last token of a list has no next one and takes no part, nor does an end of 0."""
+    inner = lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
+    # a token's place by its end, so that a pair is found by a look into a map
+    own = lambda x: F.filter(F.transform(inner(x), lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda s: s["e"] > 0)
+    first = lambda x: F.filter(own(x), lambda s: (s["i"] == 0) | (F.element_at(x, F.greatest(s["i"], F.lit(1))) != s["e"]))
+    place = F.map_from_entries(first(right))
+    pairs = F.transform(own(left), lambda s: F.struct(s["i"].alias("left"), F.try_element_at(place, s["e"]).alias("right")))
+    return F.filter(pairs, lambda p: p["right"].isNotNull())
+
+
+def aligned(df: DataFrame, text: str, left: str, right: str, most: int) -> DataFrame:
+    """df with left_ids, right_ids and pairs (left, right) of a text under two vocabularies. A text of more than `most` - 1
+    left tokens is cut where the (most - 1)-th ends; the right tokens are cut at `most`. The left has one token in front of
+    the text, so its tokens count from 1."""
+    cut, a, b, ends = cluster.fresh(df.columns, "cut", "a", "b", "ends")
+    own = df.withColumn(a, segmented(F.col(text), left))
+    long = F.size(F.col(a)["ids"]) > most - 1
+    own = own.withColumn(cut, F.when(long, F.substring(F.col(text), F.lit(1), F.element_at(F.col(a)["ends"], most - 1))).otherwise(F.col(text)))
+    own = own.withColumn(a, segmented(F.col(cut), left)).withColumn(b, segmented(F.col(cut), right))
+    own = own.withColumn(ends, F.slice(F.col(b)["ends"], 1, most))
+    pairs = F.transform(met(F.col(a)["ends"], F.col(ends)), lambda p: F.struct((p["left"] + 1).alias("left"), p["right"].alias("right")))
+    return own.select(*df.columns, F.col(a)["ids"].alias("left_ids"), F.slice(F.col(b)["ids"], 1, most).alias("right_ids"), pairs.alias("pairs"))

@@ -31,7 +31,7 @@ class Backend:
 
 
 class Latent(Backend):
-    """Latent semantic vectors of term weights; fit on a corpus of bounded vocabulary."""
+    """Latent semantic vectors of term weights."""
 
     name = "lsa"
 

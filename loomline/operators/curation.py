@@ -91,7 +91,7 @@ def manifest(docs: DataFrame, benchmark: DataFrame, labels: DataFrame) -> DataFr
     ided = docs.select("doc_id", "lang", "n_chars", "text", hashing.content_id(tx.strip_accents(F.col("text"))).alias("cid"))
     first = ided.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     own = ided.join(first, "doc_id", "left_semi").where((F.length(F.trim("text")) >= 300) & ~tx.repetitive(tx.words(F.col("text")), 0.3))
-    leaks = similarity.containment_pairs(docs, benchmark).select("doc_id").distinct()
+    leaks = similarity.containment_pairs(docs.where(F.length(F.trim("text")) >= 300), benchmark).select("doc_id").distinct()
     clean = own.join(leaks, "doc_id", "left_anti").join(labels.select("doc_id", "quality"), "doc_id", "left")
     split = F.when(hashing.is_validation(F.col("cid")), "val").otherwise("train")
     return clean.groupBy("lang", split.alias("split")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.round(F.avg("quality"), 4).alias("quality"))

@@ -42,11 +42,12 @@ def failover(*answers: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(a), F.lit("")) for a in answers])
 
 
-def task_outcome(steps: Column) -> Column:
-    """From steps (action, ok): verified if a test or command passed, failed if one failed and none passed, open if there was
-    none; null without steps."""
-    checks = F.filter(steps, lambda s: s["action"].isin("test", "command"))
-    return F.when(F.size(steps) == 0, None).when(F.exists(checks, lambda s: s["ok"]), "verified").when(F.size(checks) > 0, "failed").otherwise("open")
+def task_outcomes(steps: DataFrame, by: str) -> DataFrame:
+    """From steps (by, action, ok): verified if a test or command passed, failed if one failed and none passed, open if there
+    was none."""
+    check = F.col("action").isin("test", "command")
+    own = steps.groupBy(by).agg(F.bool_or(check & F.col("ok")).alias("_ok"), F.bool_or(check).alias("_any"))
+    return own.select(by, F.when(F.col("_ok"), "verified").when(F.col("_any"), "failed").otherwise("open").alias("outcome"))
 
 
 def next_phase(phase: Column, ok: Column) -> Column:
@@ -57,9 +58,11 @@ def next_phase(phase: Column, ok: Column) -> Column:
 
 
 def arguments(call: Column) -> Column:
-    """Map of the key="value" pairs of a call."""
+    """Map of the key="value" pairs of a call; of a key that is named more than once, the last value counts."""
     p = F.lit(r'(\w+)="([^"]*)"')
-    return F.map_from_entries(F.arrays_zip(F.regexp_extract_all(call, p, F.lit(1)), F.regexp_extract_all(call, p, F.lit(2))))
+    keys, values = F.regexp_extract_all(call, p, F.lit(1)), F.regexp_extract_all(call, p, F.lit(2))
+    last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["k"]))
+    return F.map_from_entries(last)
 
 
 def progress(log: DataFrame, by: str, order: str, step: Column, seconds: Column, total: int) -> DataFrame:
@@ -74,9 +77,36 @@ def evict(cache: DataFrame, by: str, order: str, keep: int) -> DataFrame:
     return cache.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_r") <= keep).drop("_r")
 
 
-def growth_plan(old: int, new: int) -> list[int]:
+def growth(old: Column, new: Column) -> Column:
     """Which old layer each of `new` layers starts from, evenly spaced."""
-    return [i * old // new for i in range(new)]
+    return F.transform(F.sequence(F.lit(0), new - 1), lambda i: F.floor(i * old / new).cast("int"))
+
+
+#: Words of a problem that are tags, and tags of file extensions.
+TAG_WORDS = ["discount", "desconto", "sketch", "pytest", "async", "rag", "permission"]
+TAG_FILES = {".py": "python", ".cs": "csharp"}
+MOST_TAGS = 12
+
+
+def tags(problem: Column, files: Column) -> Column:
+    """Tags of an entry by words of its problem and by its files' extensions, each once, in this order."""
+    low = F.lower(F.coalesce(problem, F.lit("")))
+    words = F.filter(F.array(*map(F.lit, TAG_WORDS)), lambda w: low.contains(w))
+
+    def kind(name):
+        out = F.lit(None).cast("string")
+        for end, tag in TAG_FILES.items():
+            out = F.when(name.endswith(end), tag).otherwise(out)
+        return out
+
+    named = F.filter(F.transform(F.coalesce(files, F.array().cast("array<string>")), kind), lambda x: x.isNotNull())
+    return F.slice(F.array_distinct(F.concat(words, named)), 1, MOST_TAGS)
+
+
+def usage(used: DataFrame, version: str, id: str, block: int) -> DataFrame:
+    """Which ids a version was made of: arrays of the ids of each block of whole numbers, so that no row has them all."""
+    own = used.groupBy(version, F.floor(F.col(id) / block).alias("block")).agg(F.array_sort(F.collect_list(id)).alias("ids"))
+    return own.select(version, "block", "ids")
 
 
 def soft_cross_entropy(rows: DataFrame, by: list[str], target: Column, logit: Column, temperature: float) -> DataFrame:

@@ -44,12 +44,18 @@ def word_f1(answers: DataFrame, references: DataFrame, id: str) -> DataFrame:
     return sizes.join(shared, id, "left").select(id, F.round(F.coalesce(F.try_divide(2 * F.coalesce("s", F.lit(0)), F.col("na") + F.col("nb")), F.lit(0.0)), 4).alias("f1"))
 
 
-def smoothed(rows: DataFrame, by: list[str], order: str, value: str, keep: float = 0.98) -> DataFrame:
-    """Exponential moving average at the end of each group's series, as an ordered fold. A series is one run's log, which
-    fits in a row."""
-    own = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value)))).alias("s"))
-    fold = F.aggregate("s", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x[value]).otherwise(keep * a + (1 - keep) * x[value]))
-    return own.select(*by, F.round(fold, 6).alias("smoothed"))
+def smoothed(rows: DataFrame, by: list[str], order: str, value: str, keep: float = 0.98, chunk: int = 10_000) -> DataFrame:
+    """Exponential moving average at the end of each group's series, begun by its first value. It is a sum of values weighted
+    by powers of their distance from the end; distances are counted in chunks of the order (a whole number), plus the rows of
+    the chunks after, so a long series is many tasks."""
+    own = rows.select(*by, F.col(order).alias("_o"), F.col(value).alias("_v"), F.floor(F.col(order) / chunk).alias("_c"))
+    counts = own.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(*by).orderBy(F.desc("_c"))
+    after = counts.select(*by, "_c", F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_after"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_c").orderBy(F.desc("_o"))) - 1
+    placed = own.withColumn("_r", inside).join(after, [*by, "_c"]).withColumn("_r", F.col("_r") + F.col("_after"))
+    weight = F.pow(F.lit(keep), F.col("_r")) * F.when(F.col("_r") == F.col("_all") - 1, 1.0).otherwise(1 - keep)
+    return placed.groupBy(*by).agg(F.round(F.sum(weight * F.col("_v")), 6).alias("smoothed"))
 
 
 def early_stop(rows: DataFrame, by: list[str], order: str, value: str, patience: int, tolerance: float = 1e-4) -> DataFrame:

@@ -9,12 +9,17 @@ from loomline import cluster
 from loomline.functions import scalars as sc
 from loomline.functions import text as tx
 
-#: Reference sets up to this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 20_000
+cluster.ship_by_value(__name__)
+
+#: Reference sets up to this many rows and bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
+#: The most frequent tokens whose counts order the tokens of a set; longer tokens are taken for rare.
+FREQUENT, TOKEN_BYTES = 50_000, 64
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -34,23 +39,49 @@ def containment_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def prefixes(sets: DataFrame, frequent: dict, least: float) -> DataFrame:
+    """sets with p: of each set of n tokens its n - ceil(n * least) + 1 rarest, by their counts and then by themselves. Sets
+    whose similarity is `least` or more have a token of their prefixes in common."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    @F.arrow_udf("array<string>")
+    def rarest(batch):
+        import math
+
+        import pyarrow as pa
+
+        df = shared.value
+        return pa.array([sorted(x, key=lambda t: (df.get(t, 0), t))[: len(x) - math.ceil(len(x) * least - 1e-9) + 1] for x in batch.to_pylist()], pa.list_(pa.string()))
+
+    return sets.withColumn("p", rarest("toks"))
+
+
 def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(l, r, jaccard) with at least `least`, from rows (id, toks: distinct tokens). Sets that are too large or too small for
-    all of the other side leave first. The rarest tokens of a set (its prefix) are indexed: sets that similar share one."""
+    all of the other side leave first. Of each set only its rarest tokens go into the index, with the set's number and size
+    and the token's place: a pair whose sizes and places leave no room for enough common tokens is no candidate. Sets
+    themselves meet only as candidates."""
     size = F.size("toks")
+    left, right = (d.where(size > 0).withColumn("n", F.monotonically_increasing_id()) for d in (left, right))
     for _ in range(2):  # each side by the sizes of the other; tokens are made once
         lo, hi = right.agg(F.min(size), F.max(size)).first()
         left, right = right, cluster.materialize(left.where((size >= (lo or 0) * least - 1e-9) & (size * least - 1e-9 <= (hi or 0))), "tokens")
-    both = left.select("id", F.lit(0).alias("side"), "toks").unionByName(right.select("id", F.lit(1).alias("side"), "toks"))
-    df = both.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = both.select("side", "id", F.explode("toks").alias("t")).join(df, "t").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-    keep = F.size("o") - F.ceil(F.size("o") * least - 1e-9).cast("int") + 1
-    prefixes = ranked.select("side", "id", F.transform("o", lambda x: x["t"]).alias("toks"), F.slice(F.transform("o", lambda x: x["t"]), 1, keep).alias("p"))
-    a = prefixes.where("side = 0").select(F.col("id").alias("l"), F.col("toks").alias("lt"), F.explode("p").alias("t"))
-    b = prefixes.where("side = 1").select(F.col("id").alias("r"), F.col("toks").alias("rt"), F.explode("p").alias("t"))
-    lengths = (F.size("lt") >= F.size("rt") * least - 1e-9) & (F.size("rt") >= F.size("lt") * least - 1e-9)
-    found = a.join(b, "t").where(lengths).select("l", "r", tx.jaccard(F.col("lt"), F.col("rt")).alias("jaccard"))
-    return found.where(F.col("jaccard") >= least).distinct()
+    tokens = left.select(F.explode("toks").alias("t")).unionAll(right.select(F.explode("toks").alias("t"))).where(F.octet_length("t") <= TOKEN_BYTES)
+    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").orderBy(F.desc("df"), "t").limit(FREQUENT)
+    frequent = {r.t: r.df for r in counts.collect()}
+
+    def index(d, number, length, place):
+        own = prefixes(d, frequent, least).select(F.col("n").alias(number), size.alias(length), F.posexplode("p").alias(place, "t"))
+        return own.select(number, length, place, F.xxhash64("t").alias("h"))
+
+    room = F.least(F.col("ln") - F.col("li"), F.col("rn") - F.col("ri"))
+    enough = room >= (F.col("ln") + F.col("rn")) * F.lit(least / (1 + least)) - 1e-9
+    lengths = (F.col("ln") >= F.col("rn") * least - 1e-9) & (F.col("rn") >= F.col("ln") * least - 1e-9)
+    found = index(left, "l", "ln", "li").join(index(right, "r", "rn", "ri"), "h").where(lengths & enough).select("l", "r").distinct()
+    met = found.join(left.select(F.col("n").alias("l"), F.col("id").alias("lid"), F.col("toks").alias("lt")), "l")
+    met = met.join(_small(right.select(F.col("n").alias("r"), F.col("id").alias("rid"), F.col("toks").alias("rt"))), "r")
+    met = met.select(F.col("lid").alias("l"), F.col("rid").alias("r"), tx.jaccard(F.col("lt"), F.col("rt")).alias("jaccard"))
+    return met.where(F.col("jaccard") >= least).distinct()
 
 
 def arithmetic_key(c) -> F.Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from loomline.plans import chats, corpora, curation, decisions, evaluation, relational, retrieval, scalars, storage, streams, texts  # noqa: F401
+from loomline.plans import calculations, chats, corpora, curation, decisions, evaluation, relational, retrieval, scalars, storage, streams, texts  # noqa: F401
 from loomline.plans.registry import ORACLES, QUERIES  # noqa: F401

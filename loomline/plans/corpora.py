@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as tx
 from loomline.operators import corpus as co
+from loomline.operators import ordering
 from loomline.plans.registry import query
 
 
@@ -87,3 +88,40 @@ def offset_alignment(t):
     ends = lambda k: t("benchmark").select(F.col("item_id").alias("doc"), F.posexplode(F.transform(F.sequence(F.lit(1), F.floor(F.length("text") / k).cast("int")), lambda x: x * k)).alias("i", "end"))
     j = offsets_join(ends(3), ends(5))
     return j.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum("left").alias("l"), F.sum("right").alias("r"))
+
+
+PIECES = """SELECT 'chat:' || r || ':' || conv_id || ':' || turn AS id, '<' || role || '>' || text || '</s>' AS piece FROM conversations, (SELECT unnest(range(2)) AS r) WHERE role <> 'system'
+UNION ALL SELECT 'doc:' || doc_id, '<doc>' || trim(text, ' ') || '</s>' FROM documents WHERE length(trim(text, ' ')) > 20"""
+
+
+def pieces(t):
+    """Chat turns, twice each, and documents of more than 20 characters, as (id, piece)."""
+    c = t("conversations").where("role <> 'system'").withColumn("r", F.explode(F.array(F.lit(0), F.lit(1))))
+    chats = c.select(F.concat_ws(":", F.lit("chat"), "r", "conv_id", "turn").alias("id"), F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("</s>")).alias("piece"))
+    docs = t("documents").withColumn("x", F.trim("text")).where(F.length("x") > 20)
+    return chats.unionByName(docs.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.concat(F.lit("<doc>"), "x", F.lit("</s>")).alias("piece")))
+
+
+@query("corpus_shuffled", f"SELECT id, (row_number() OVER (ORDER BY sha256('7:' || id)) - 1)::BIGINT AS position, (sum(octet_length(encode(piece))) OVER (ORDER BY sha256('7:' || id)) - octet_length(encode(piece)))::BIGINT AS \"offset\" FROM ({PIECES})")
+def corpus_shuffled(t):
+    own = pieces(t)
+    return ordering.shuffled(own, ["id"], 7, F.octet_length("piece")).select("id", "position", "offset")
+
+
+@query("corpus_blocks", f"""WITH w AS (SELECT string_agg(hex(encode(piece)), '' ORDER BY sha256('7:' || id)) AS x FROM ({PIECES}))
+SELECT b::BIGINT AS block, least(65536, length(x) // 2 - b * 65536)::BIGINT AS bytes, sha256(substr(x, b * 131072 + 1, 131072)) AS sha FROM w, (SELECT unnest(range((length(x) + 131071) // 131072)) AS b FROM w)""")
+def corpus_blocks(t):
+    own = ordering.shuffled(pieces(t).withColumn("raw", F.col("piece").cast("binary")).drop("piece"), ["id"], 7, F.octet_length("raw"))
+    return ordering.concatenated(own, 65536).select("block", F.octet_length("content").cast("long").alias("bytes"), F.sha2(F.hex("content").cast("binary"), 256).alias("sha"))
+
+
+@query("token_alignment")
+def token_alignment(t):
+    """Documents cut to 256 tokens of one public vocabulary, beside the tokens of another that end at the same characters."""
+    import public_tokenizers
+
+    from loomline.functions import tokenizers
+
+    a, b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    d = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return tokenizers.aligned(d, "text", a, b, 256).select("doc_id", F.size("left_ids").alias("left_tokens"), F.size("right_ids").alias("right_tokens"), F.size("pairs").alias("pairs"))

@@ -121,6 +121,26 @@ def arithmetic_match(t):
     return d.select("doc_id", "m.op", "m.a", "m.b")
 
 
+ASKED = """SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT 1000000000 + item_id, CASE WHEN item_id % 2 = 0 THEN upper(text) || ' ?!' ELSE 'please tell ' || text END FROM benchmark UNION ALL SELECT 2000000000 + p_partkey, (p_partkey % 50) || ' vezes ' || p_size FROM part"""
+FROZEN = "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT 2000000000 + n_nationkey, n_nationkey || ' x ' || (n_regionkey + 10) FROM nation"
+KEYED = r"""(SELECT *, trim(n, ' ?!.') AS bare, list_distinct(regexp_extract_all(n, '[\p{L}\p{N}_]+')) AS toks, CASE WHEN op IN ('+', '*') THEN concat_ws(' ', least(a, b), op, greatest(a, b)) ELSE concat_ws(' ', a, op, b) END AS key FROM (
+SELECT id, n, CASE lower(m.op) WHEN 'x' THEN '*' WHEN 'vezes' THEN '*' WHEN 'mais' THEN '+' WHEN 'menos' THEN '-' WHEN 'dividido por' THEN '/' ELSE m.op END AS op, try_cast(m.a AS BIGINT) AS a, try_cast(m.b AS BIGINT) AS b FROM (
+SELECT id, {0} AS n, regexp_extract(text, '(?i)(\d{{1,9}})\s*(x|\*|vezes|mais|\+|menos|-|dividido por|/)\s*(\d{{1,9}})', ['a', 'op', 'b']) AS m FROM ({1}))))"""
+
+
+@query("question_contamination", f"""WITH q AS {KEYED.replace('{{', '{').replace('}}', '}').replace('{0}', NORM.format('text')).replace('{1}', ASKED)}, f AS {KEYED.replace('{{', '{').replace('}}', '}').replace('{0}', NORM.format('text')).replace('{1}', FROZEN)}
+SELECT DISTINCT q.id FROM q, f WHERE q.bare = f.bare OR (q.a IS NOT NULL AND f.a IS NOT NULL AND q.key = f.key) OR (len(q.toks) > 0 AND len(f.toks) > 0 AND len(list_intersect(q.toks, f.toks))::DOUBLE / (len(q.toks) + len(f.toks) - len(list_intersect(q.toks, f.toks))) >= 0.6)""")
+def question_contamination(t):
+    """What users ask, items asked anew, and calculations, against items and frozen calculations."""
+    i = F.col("item_id")
+    again = F.when(i % 2 == 0, F.concat(F.upper("text"), F.lit(" ?!"))).otherwise(F.concat(F.lit("please tell "), "text"))
+    asked = t("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    asked = asked.unionByName(t("benchmark").select((i + 1_000_000_000).alias("id"), again.alias("text")))
+    asked = asked.unionByName(t("part").select((F.col("p_partkey") + 2_000_000_000).alias("id"), F.concat(F.col("p_partkey") % 50, F.lit(" vezes "), "p_size").alias("text")))
+    frozen = t("benchmark").select(i.alias("id"), "text").unionByName(t("nation").select((F.col("n_nationkey").cast("long") + 2_000_000_000).alias("id"), F.concat("n_nationkey", F.lit(" x "), F.col("n_regionkey") + 10).alias("text")))
+    return si.contaminated(asked, frozen, 0.6)
+
+
 @query("exclude_known", f"SELECT doc_id FROM documents WHERE {NORM.format('text')} NOT IN (SELECT {NORM.format('text')} FROM benchmark) AND length(trim(text)) >= 6")
 def exclude_known(t):
     head = lambda: tx.normalize(F.col("text"))

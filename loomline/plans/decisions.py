@@ -14,17 +14,20 @@ def review_decisions(t):
     return de.review(t("documents").select("doc_id", "text"), d, "doc_id").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count("edited_from").alias("edited"))
 
 
-LEDGER = "(VALUES ('v1', 'previous', 0.5::DOUBLE, 'r1'), ('v2', 'active', 0.6::DOUBLE, 'r2'), ('v3', 'candidate', 0.7::DOUBLE, 'r1')) AS l(version, status, value, ruler)"
+LEDGER = "(SELECT c_custkey AS version, CASE c_custkey % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'previous' ELSE 'candidate' END AS status, c_acctbal AS value, 'r' || (c_custkey % 2 + 1) AS ruler FROM customer) AS l"
 
 
 def ledger(t):
-    rows = [("v1", "previous", (0.5, "r1")), ("v2", "active", (0.6, "r2")), ("v3", "candidate", (0.7, "r1"))]
-    return t("region").sparkSession.createDataFrame(rows, "version string, status string, probe struct<value:double,ruler:string>")
+    """Customers as versions with a nested measure."""
+    k = F.col("c_custkey")
+    status = F.when(k % 5 == 0, "active").when(k % 5 == 1, "previous").otherwise("candidate")
+    return t("customer").select(k.alias("version"), status.alias("status"), F.struct(F.col("c_acctbal").alias("value"), F.concat(F.lit("r"), (k % 2 + 1).cast("string")).alias("ruler")).alias("probe"))
 
 
-@query("ledger_activate", f"SELECT version, CASE WHEN version = 'v3' THEN 'active' WHEN status = 'active' THEN 'previous' ELSE status END AS status FROM {LEDGER}")
+@query("ledger_activate", f"SELECT version, CASE WHEN version = (SELECT max(c_custkey) FROM customer) THEN 'active' WHEN status = 'active' THEN 'previous' ELSE status END AS status FROM {LEDGER}")
 def ledger_activate(t):
-    return de.activate(ledger(t), "v3").select("version", "status")
+    own = ledger(t)
+    return de.activate(own, own.agg(F.max("version")).first()[0]).select("version", "status")
 
 
 @query("ledger_backfill", f"SELECT version, round(value * 2, 4) AS value, CASE WHEN ruler <> 'r2' THEN value END AS old_value FROM {LEDGER}")
@@ -51,13 +54,15 @@ def failover_answers(t):
 @query("task_outcomes", "WITH s AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type IN ('purchase', 'error')) AS checks, bool_or(event_type = 'purchase' AND value > 95) AS ok FROM events GROUP BY user_id) SELECT user_id, CASE WHEN ok THEN 'verified' WHEN checks > 0 THEN 'failed' ELSE 'open' END AS outcome FROM s")
 def task_outcomes(t):
     action = F.when(F.col("event_type") == "purchase", "test").when(F.col("event_type") == "error", "command").otherwise("read")
-    step = F.struct(action.alias("action"), ((F.col("event_type") == "purchase") & (F.col("value") > 95)).alias("ok"))
-    return t("events").groupBy("user_id").agg(F.collect_list(step).alias("s")).select("user_id", de.task_outcome(F.col("s")).alias("outcome"))
+    return de.task_outcomes(t("events").select("user_id", action.alias("action"), ((F.col("event_type") == "purchase") & (F.col("value") > 95)).alias("ok")), "user_id")
 
 
-@query("phase_machine", "SELECT * FROM (VALUES ('understand', true, 'plan'), ('analyze', true, 'review'), ('analyze', false, 'fix'), ('fix', true, 'test'), ('done', true, 'done')) AS v(phase, ok, following)")
+PHASE = "['understand', 'plan', 'implement', 'test', 'analyze', 'fix', 'review', 'done']"
+
+
+@query("phase_machine", f"SELECT event_id, phase, ok, CASE WHEN phase = 'analyze' AND ok THEN 'review' WHEN phase = 'fix' THEN 'test' ELSE {PHASE}[least(event_id % 8 + 2, 8)] END AS following FROM (SELECT event_id, {PHASE}[event_id % 8 + 1] AS phase, value > 50 AS ok FROM events)")
 def phase_machine(t):
-    rows = t("region").sparkSession.createDataFrame([("understand", True), ("analyze", True), ("analyze", False), ("fix", True), ("done", True)], "phase string, ok boolean")
+    rows = t("events").select("event_id", F.element_at(F.array(*map(F.lit, de.PHASES)), (F.col("event_id") % 8 + 1).cast("int")).alias("phase"), (F.col("value") > 50).alias("ok"))
     return rows.withColumn("following", de.next_phase(F.col("phase"), F.col("ok")))
 
 
@@ -67,10 +72,10 @@ def call_arguments(t):
     return t("pages").select("page_id", F.regexp_extract("html", r'\w+="([^"]*)"', 1).alias("first_value"), F.size(F.array_distinct(pairs)).cast("long").alias("keys"))
 
 
-@query("call_map", "SELECT * FROM (VALUES (1, 'a b', '2')) AS v(id, q, k)")
+@query("call_map", """SELECT page_id, len(list_distinct(regexp_extract_all(html, '(\\w+)="([^"]*)"', 1)))::BIGINT AS keys, regexp_extract_all(html, '\\bhref="([^"]*)"', 1)[-1] AS href FROM pages""")
 def call_map(t):
-    rows = t("region").sparkSession.createDataFrame([(1, 'SEARCH: web q="a b" k="2"')], "id int, c string")
-    return rows.select("id", de.arguments(F.col("c")).alias("m")).select("id", F.col("m")["q"].alias("q"), F.col("m")["k"].alias("k"))
+    """Arguments of all tags of a page as one map; a page names most keys more than once."""
+    return t("pages").select("page_id", de.arguments(F.col("html")).alias("m")).select("page_id", F.size("m").cast("long").alias("keys"), F.try_element_at("m", F.lit("href")).alias("href"))
 
 
 @query("progress_eta", "WITH p AS (SELECT user_id, event_id, ts, event_id - lag(event_id) OVER w AS ds, epoch_us(ts) / 1e6::DOUBLE - lag(epoch_us(ts) / 1e6::DOUBLE) OVER w AS dt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, round(ds / nullif(dt, 0), 6) AS rate, round((100000 - event_id) / nullif(ds / nullif(dt, 0), 0), 2) AS \"left\" FROM p")
@@ -85,9 +90,11 @@ def cache_eviction(t):
     return de.evict(t("events"), "user_id", "event_id", 2).select("user_id", "event_id")
 
 
-@query("growth_plan", "SELECT i::INT AS layer, (i * 7 // 12)::INT AS source FROM range(0, 12) r(i)")
+@query("growth_plan", "SELECT p_partkey, i::INT AS layer, (i * p_size // (p_size + 5))::INT AS source FROM part, (SELECT unnest(range(0, 100)) AS i) WHERE i < p_size + 5")
 def growth_plan(t):
-    return t("region").sparkSession.createDataFrame(list(enumerate(de.growth_plan(7, 12))), "layer int, source int")
+    """Models of p_size layers grow by five."""
+    own = t("part").select("p_partkey", de.growth(F.col("p_size"), F.col("p_size") + 5).alias("plan"))
+    return own.select("p_partkey", F.posexplode("plan").alias("layer", "source"))
 
 
 @query("soft_loss", "WITH x AS (SELECT l_orderkey, l_tax AS p, l_discount * 10 / 2.0::DOUBLE AS l FROM lineitem), z AS (SELECT *, max(l) OVER (PARTITION BY l_orderkey) + ln(sum(exp(l - m)) OVER (PARTITION BY l_orderkey)) AS z FROM (SELECT *, max(l) OVER (PARTITION BY l_orderkey) AS m FROM x)) SELECT l_orderkey, round(-sum(p * (l - z)) * 4, 6) AS loss FROM z GROUP BY l_orderkey")
@@ -96,16 +103,37 @@ def soft_loss(t):
     return own.select("l_orderkey", F.round("loss", 6).alias("loss"))
 
 
-@query("relative_due", "SELECT * FROM (VALUES ('call me in 15 minutes', '2026-09-27 13:20'), ('in 2 hours', '2026-09-27 15:05'), ('in 3 days', '2026-09-30 13:05'), ('tomorrow at 9', '2026-09-28 09:00'), ('whenever', NULL)) AS v(c, due)")
+@query("relative_due", """SELECT event_id, strftime(CASE event_id % 5 WHEN 0 THEN ts + to_minutes(event_id % 90 + 1) WHEN 1 THEN ts + to_hours(event_id % 30 + 1) WHEN 2 THEN ts + to_days((event_id % 20 + 1)::INT) WHEN 3 THEN date_trunc('day', ts) + INTERVAL 1 DAY + to_hours(event_id % 24) END, '%Y-%m-%d %H:%M') AS due FROM events""")
 def relative_due(t):
-    rows = t("region").sparkSession.createDataFrame([(x,) for x in ("call me in 15 minutes", "in 2 hours", "in 3 days", "tomorrow at 9", "whenever")], "c string")
-    return rows.select("c", F.date_format(de.relative_due(F.col("c"), F.lit("2026-09-27 13:05:00").cast("timestamp")), "yyyy-MM-dd HH:mm").alias("due"))
+    i = F.col("event_id")
+    said = [F.concat(F.lit("call me in "), i % 90 + 1, F.lit(" minutes")), F.concat(F.lit("in "), i % 30 + 1, F.lit(" hours")), F.concat(F.lit("in "), i % 20 + 1, F.lit(" days")), F.concat(F.lit("tomorrow at "), i % 24), F.lit("whenever")]
+    rows = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.element_at(F.array(*said), (i % 5 + 1).cast("int")).alias("c"))
+    return rows.select("event_id", F.date_format(de.relative_due(F.col("c"), F.col("ts")), "yyyy-MM-dd HH:mm").alias("due"))
 
 
-@query("list_edits", "SELECT n_nationkey, len(CASE WHEN n_name = 'x' THEN [] ELSE ['Milk', 'bread'] END)::BIGINT AS inserted, 1::BIGINT AS deleted FROM nation")
+@query("list_edits", "SELECT c_custkey, (2 + c_custkey % 2)::BIGINT AS inserted, (2 - (c_custkey % 3 = 0)::INT)::BIGINT AS deleted FROM customer")
 def list_edits(t):
-    items = F.array(F.lit("Milk"), F.lit("bread"))
-    return t("nation").select("n_nationkey", F.size(de.set_insert(items, F.lit(" MILK"), tx.normalize)).cast("long").alias("inserted"), F.size(de.set_delete(items, F.lit("Bread"), tx.normalize)).cast("long").alias("deleted"))
+    """Lists of two items by customer; an item with the same normal form is not added, and is deleted."""
+    k, items = F.col("c_custkey"), F.array("c_mktsegment", "c_name")
+    new = F.when(k % 2 == 0, F.concat(F.lit("  "), F.upper("c_mktsegment"))).otherwise("other")
+    old = F.when(k % 3 == 0, F.lower("c_name")).otherwise("another")
+    return t("customer").select("c_custkey", F.size(de.set_insert(items, new, tx.normalize)).cast("long").alias("inserted"), F.size(de.set_delete(items, old, tx.normalize)).cast("long").alias("deleted"))
+
+
+TAGS = "list_distinct(list_concat(list_filter(['discount', 'desconto', 'sketch', 'pytest', 'async', 'rag', 'permission'], lambda w: contains(lower(x), w)), list_transform(list_filter(f, lambda n: n LIKE '%.py' OR n LIKE '%.cs'), lambda n: CASE WHEN n LIKE '%.py' THEN 'python' ELSE 'csharp' END)))"
+
+
+@query("entry_tags", f"SELECT conv_id, turn, array_to_string(list_sort({TAGS}), ',') AS tags FROM (SELECT conv_id, turn, text || [' Discount', ' async sketch', '', ' rag'][conv_id % 4 + 1] AS x, [['a.py', 'b.cs', 'c.py'], ['d.txt'], ['e.cs'], []][turn % 4 + 1] AS f FROM conversations)")
+def entry_tags(t):
+    files = F.element_at(F.array(F.array(F.lit("a.py"), F.lit("b.cs"), F.lit("c.py")), F.array(F.lit("d.txt")), F.array(F.lit("e.cs")), F.array().cast("array<string>")), (F.col("turn") % 4 + 1).cast("int"))
+    more = F.element_at(F.array(*map(F.lit, [" Discount", " async sketch", "", " rag"])), (F.col("conv_id") % 4 + 1).cast("int"))
+    return t("conversations").select("conv_id", "turn", F.array_join(F.array_sort(de.tags(F.concat("text", more), files)), ",").alias("tags"))
+
+
+@query("usage_arrays", "SELECT source AS version, doc_id // 1000 AS block, list(doc_id ORDER BY doc_id) AS ids FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY ALL")
+def usage_arrays(t):
+    used = t("documents").select("doc_id", F.col("source").alias("version")).join(t("labels").where("quality = 1").select("doc_id"), "doc_id")
+    return de.usage(used, "version", "doc_id", 1000)
 
 
 @query("model_lines", "SELECT p_partkey, CASE WHEN p < 10000000 THEN 'nano' WHEN p < 100000000 THEN 'small' WHEN p < 1000000000 THEN 'base' ELSE 'large' END AS line, CASE WHEN p_size >= 40 THEN 64 WHEN p_size >= 20 THEN 32 WHEN p_size >= 10 THEN 16 ELSE 8 END AS batch FROM (SELECT p_partkey, p_size, p_partkey * 4000000 AS p FROM part)")

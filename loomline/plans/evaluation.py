@@ -79,13 +79,18 @@ def word_f1(t):
     return ev.word_f1(own(F.split_part("text", F.lit("."), F.lit(1))), own(F.col("text")), "id")
 
 
-LEDGER = [("v0.1", None, 0.09, 67, 0.042, 24, 75.4), ("v0.2", "v0.1", 0.15, 67, 0.042, 24, 40.2), ("v0.3", "v0.2", 0.269, 67, 0.042, 24, 4.57), ("v1.0", "v0.3", 0.254, 67, 0.083, 24, 6.1), ("v1.1", "v1.0", 0.269, 67, 0.167, 24, 6.2)]
-VALUES = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) + ("::DOUBLE" if isinstance(x, float) else "") for x in r) + ")" for r in LEDGER)
-LSQL = f"(VALUES {VALUES}) AS l(version, parent, accuracy, items, probe, probe_items, perplexity)"
+#: Customers as versions: major number by nation, minor number by key, each with the one before in its nation as parent.
+LSQL = """(SELECT 'v' || c_nationkey || '.' || c_custkey AS version, c_nationkey AS major, 'v' || c_nationkey || '.' || lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS parent,
+round((c_acctbal + 1000) / 11000, 3) AS accuracy, 67 AS items, ((c_custkey * 37) % 100) / 100.0::DOUBLE AS probe, 24 AS probe_items, 20.0::DOUBLE + c_custkey % 7 AS perplexity, c_custkey AS k FROM customer) AS l"""
 
 
 def ledger(t):
-    return t("region").sparkSession.createDataFrame(LEDGER, "version string, parent string, accuracy double, items int, probe double, probe_items int, perplexity double")
+    from pyspark.sql.window import Window
+
+    name = lambda k: F.concat(F.lit("v"), "c_nationkey", F.lit("."), k)
+    before = F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return t("customer").select(name(F.col("c_custkey")).alias("version"), name(before).alias("parent"), F.round((F.col("c_acctbal") + 1000) / 11000, 3).alias("accuracy"), F.lit(67).alias("items"),
+                                (F.col("c_custkey") * 37 % 100 / 100.0).alias("probe"), F.lit(24).alias("probe_items"), (F.lit(20.0) + F.col("c_custkey") % 7).alias("perplexity"))
 
 
 @query("promote_gate", f"WITH l AS (SELECT * FROM {LSQL}) SELECT a.version, a.parent, round_even((a.accuracy - b.accuracy) * a.items, 0)::BIGINT AS gain, round_even((a.probe - b.probe) * a.probe_items, 0)::BIGINT AS probe_gain, coalesce(round_even((a.accuracy - b.accuracy) * a.items, 0) > 0 AND round_even((a.probe - b.probe) * a.probe_items, 0) >= 0 AND a.perplexity <= 1.03::DOUBLE * b.perplexity, true) AS promote FROM l a LEFT JOIN l b ON a.parent = b.version")
@@ -98,12 +103,15 @@ def version_next(t):
     return ev.next_version(ledger(t), "version")
 
 
-@query("version_active", f"SELECT version, CASE WHEN version = 'v1.1' THEN 'active' ELSE 'previous' END AS status, coalesce(lag(version) OVER (ORDER BY version), '-') AS before FROM {LSQL}")
+@query("version_active", f"SELECT version, CASE WHEN k = max(k) OVER (PARTITION BY major) THEN 'active' ELSE 'previous' END AS status, coalesce(lag(version) OVER (PARTITION BY major ORDER BY k), '-') AS before FROM {LSQL}")
 def version_active(t):
+    """The last version of each line is active; before it was the one with the next lower number."""
     from pyspark.sql.window import Window
 
-    last = ledger(t).agg(F.max("version").alias("top"))  # one row
-    return ledger(t).join(F.broadcast(last), F.col("version") <= F.col("top")).select("version", F.when(F.col("version") == F.col("top"), "active").otherwise("previous").alias("status"), F.coalesce(F.lag("version").over(Window.orderBy("version")), F.lit("-")).alias("before"))
+    number = lambda i: F.regexp_extract("version", r"^v?(\d+)\.(\d+)$", i).cast("long")
+    line = Window.partitionBy("major")
+    own = ledger(t).select("version", number(1).alias("major"), number(2).alias("minor"))
+    return own.select("version", F.when(F.col("minor") == F.max("minor").over(line), "active").otherwise("previous").alias("status"), F.coalesce(F.lag("version").over(line.orderBy("minor")), F.lit("-")).alias("before"))
 
 
 @query("ledger_explode", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_extract_string(props, '$.absent') AS absent FROM events")

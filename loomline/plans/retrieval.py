@@ -92,16 +92,26 @@ STEM = "CASE " + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) > {len(s) + 3
 BANK = rf"list_distinct(list_transform(list_filter(regexp_extract_all(strip_accents(lower({{0}})), '[a-z0-9_]+(?:\(\))?|[#%*+/=<>-]+'), lambda w: w NOT IN ({STOP})), lambda w: {STEM}))"
 
 
+#: What users ask, and items in other words: with a word that the bank does not have, with one more, and cut short.
+QUESTIONS = """SELECT conv_id * 1000 + turn AS q, text FROM conversations WHERE role = 'user' UNION ALL
+SELECT 1000000000 + item_id, CASE item_id % 3 WHEN 0 THEN text || ' zzunknown' WHEN 1 THEN 'THE ' || text ELSE array_to_string(string_split(text, ' ')[1:12], ' ') END FROM benchmark"""
+
+
 @query("weighted_jaccard_lookup", f"""WITH b AS (SELECT item_id AS item, unnest({BANK.format('text')}) AS t FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark),
 wt AS (SELECT t, ln((n + 1) / (count(*) + 0.5::DOUBLE)) + 1 AS w FROM b, n GROUP BY t, n),
-q AS (SELECT q, x.t, coalesce(w, ln(n + 2) + 1) AS w FROM (SELECT item_id AS q, unnest({BANK.format('text')}) AS t FROM benchmark) x CROSS JOIN n LEFT JOIN wt ON x.t = wt.t),
+q AS (SELECT q, x.t, coalesce(w, ln(n + 2) + 1) AS w FROM (SELECT q, unnest({BANK.format('text')}) AS t FROM ({QUESTIONS})) x CROSS JOIN n LEFT JOIN wt ON x.t = wt.t),
 qs AS (SELECT q, sum(w) AS qsum, sum((w >= 3.0)::INT) AS heavy FROM q GROUP BY q), bs AS (SELECT item, sum(w) AS bsum FROM b JOIN wt USING (t) GROUP BY item),
 c AS (SELECT q, item, sum(w) AS shared, sum((w >= 3.0)::INT) AS held FROM q JOIN b USING (t) GROUP BY q, item),
 s AS (SELECT q, item, round(shared / (qsum + bsum - shared), 4) AS score FROM c JOIN qs USING (q) JOIN bs USING (item) WHERE held = heavy)
 SELECT q, item, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, item) AS r FROM s WHERE score >= 0.2) WHERE r = 1""")
 def weighted_jaccard_lookup(t):
+    """Questions looked up in the bank: a match must have the question's rare words, and enough weight in common."""
     bank = t("benchmark").select(F.col("item_id").alias("id"), "text")
-    return rt.weighted_jaccard(bank, bank, 0.2, 3.0)
+    asked = t("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    i = F.col("item_id")
+    other = F.when(i % 3 == 0, F.concat("text", F.lit(" zzunknown"))).when(i % 3 == 1, F.concat(F.lit("THE "), "text")).otherwise(F.array_join(F.slice(F.split("text", " "), 1, 12), " "))
+    asked = asked.unionByName(t("benchmark").select((i + 1_000_000_000).alias("id"), other.alias("text")))
+    return rt.weighted_jaccard(asked, bank, 0.2, 3.0)
 
 
 @query("fuse_sources", """WITH s AS (
@@ -126,6 +136,20 @@ def lsa_similarity(t):
     return rt.dense_topk(v.where("vec_id % 50 = 0"), v, 3)
 
 
+@query("index_search", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS q, e.vec_id, list_inner_product(q.v, e.v) AS score FROM q JOIN e ON q.vec_id <> e.vec_id)
+SELECT q, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def index_search(t):
+    """An index in 16 cells is saved, loaded and searched exactly: from the nearest cells on, as far as bounds ask for."""
+    from loomline.operators import cells
+
+    e = t("embeddings")
+    path = cluster.scratch_path(e.sparkSession, "index")
+    cells.save(e, path, 16)
+    found = cells.search(e.where("vec_id % 50 = 0"), path, 10, probes=4, exact=True)
+    return found.select("q", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("backend_search")
 def backend_search(t):
     from loomline.operators import backends

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from loomline.functions import scalars as sc
-from loomline.operators import similarity as si
 from loomline.plans.registry import query
 
 
@@ -13,13 +12,18 @@ def date_functions(t):
     return t("orders").select("o_orderkey", sc.weekday_name(d).alias("weekday"), F.datediff(F.lit("2000-01-01").cast("date"), d).alias("days_until"), F.date_format(F.date_add(d, 14), "yyyy-MM-dd").alias("in_two_weeks"), sc.month_name(d).alias("month"), F.date_format(F.add_months(d, 12), "yyyy-MM-dd").alias("next_year"))
 
 
-DAYTEXT = [("24/12", "2026-12-24"), ("1/2", "2027-02-01"), ("31/02/2026", None), ("7 march 2025", "2025-03-07"), ("15/08/27", "2027-08-15"), ("3 of june", "2027-06-03"), ("soon", None), ("no Natal", "2026-12-25"), ("Ano novo", "2027-01-01"), ("Réveillon", "2026-12-31"), ("dia das crianças", "2026-10-12")]
-
-
-@query("date_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in DAYTEXT) + ") AS v(text, day)")
+@query("date_parse", """WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, o_orderkey % 8 AS kind FROM orders),
+n AS (SELECT *, try_cast('2026-' || strftime(d, '%m-%d') AS DATE) AS this, try_cast('2027-' || strftime(d, '%m-%d') AS DATE) AS then_ FROM o)
+SELECT k AS o_orderkey, CASE kind WHEN 0 THEN strftime(CASE WHEN this < DATE '2026-09-27' THEN then_ ELSE this END, '%Y-%m-%d') WHEN 1 THEN '20' || strftime(d, '%y-%m-%d') WHEN 2 THEN strftime(d, '%Y-%m-%d') WHEN 3 THEN strftime(d, '%Y-%m-%d')
+WHEN 4 THEN strftime(CASE WHEN this < DATE '2026-09-27' THEN then_ ELSE this END, '%Y-%m-%d') WHEN 6 THEN ['2026-12-25', '2027-01-01', '2026-12-31', '2026-10-12'][k % 4 + 1] END AS day FROM n""")
 def date_parse(t):
-    d = t("region").sparkSession.createDataFrame([(a,) for a, _ in DAYTEXT], "text string")
-    return d.select("text", F.date_format(sc.parse_day(F.col("text"), F.lit("2026-09-27").cast("date")), "yyyy-MM-dd").alias("day"))
+    """Days written in several ways from the dates of orders; kinds 5 and 7 are none."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    holidays = F.element_at(F.array(*map(F.lit, ["no Natal", "Ano novo", "Réveillon", "dia das crianças"])), (k % 4 + 1).cast("int"))
+    day, named = F.dayofmonth(d).cast("string"), F.lower(sc.month_name(d))
+    shown = [F.date_format(d, "dd/MM"), F.date_format(d, "d/M/yy"), F.date_format(d, "dd/MM/yyyy"), F.concat_ws(" ", day, named, F.year(d).cast("string")), F.concat_ws(" of ", day, named), F.lit("soon"), holidays, F.lit("31/02/2026")]
+    o = t("orders").select("o_orderkey", F.element_at(F.array(*shown), (k % 8 + 1).cast("int")).alias("text"))
+    return o.select("o_orderkey", F.date_format(sc.parse_day(F.col("text"), F.lit("2026-09-27").cast("date")), "yyyy-MM-dd").alias("day"))
 
 
 @query("tz_convert", "SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Sao_Paulo', '%Y-%m-%d %H:%M') AS sp, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d %H:%M') AS tokyo, CASE WHEN hour(ts) >= 5 AND hour(ts) < 12 THEN 'morning' WHEN hour(ts) >= 12 AND hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS part FROM events")
@@ -64,39 +68,48 @@ def small_talk(t):
     return t("conversations").select("conv_id", "turn", sc.small_talk(said).alias("intent"))
 
 
-@query("lr_schedule", "SELECT s::BIGINT AS step, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 ELSE 0.001::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(3.141592653589793::DOUBLE * least(1.0::DOUBLE, (s - 100) / 900.0::DOUBLE)))) END, 9) AS cosine, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 WHEN s < 800 THEN 0.001::DOUBLE ELSE 0.001::DOUBLE * greatest(0::DOUBLE, (1000 - s) / 200.0::DOUBLE) END, 9) AS stable, CASE WHEN s / 1000.0::DOUBLE < 1.0::DOUBLE / 3 THEN 0 WHEN s / 1000.0::DOUBLE < 2.0::DOUBLE / 3 THEN 1 ELSE 2 END AS third FROM range(0, 1000) r(s)")
+@query("lr_schedule", "SELECT event_id, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 ELSE 0.001::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(3.141592653589793::DOUBLE * least(1.0::DOUBLE, (s - 100) / 900.0::DOUBLE)))) END, 9) AS cosine, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 WHEN s < 800 THEN 0.001::DOUBLE ELSE 0.001::DOUBLE * greatest(0::DOUBLE, (1000 - s) / 200.0::DOUBLE) END, 9) AS stable, CASE WHEN s / 1000.0::DOUBLE < 1.0::DOUBLE / 3 THEN 0 WHEN s / 1000.0::DOUBLE < 2.0::DOUBLE / 3 THEN 1 ELSE 2 END AS third FROM (SELECT event_id, event_id % 1000 AS s FROM events)")
 def lr_schedule(t):
-    r = t("region").sparkSession.range(1000).withColumnRenamed("id", "step")
-    s = F.col("step")
-    return r.select("step", F.round(sc.cosine_rate(s, 0.001, 100, 1000), 9).alias("cosine"), F.round(sc.stable_rate(s, 0.001, 100, 1000), 9).alias("stable"), sc.curriculum_step(s / 1000.0).alias("third"))
+    s = F.col("event_id") % 1000
+    return t("events").select("event_id", F.round(sc.cosine_rate(s, 0.001, 100, 1000), 9).alias("cosine"), F.round(sc.stable_rate(s, 0.001, 100, 1000), 9).alias("stable"), sc.curriculum_step(s / 1000.0).alias("third"))
 
 
-@query("exercise_gen", "WITH e AS (SELECT i::BIGINT AS id, (i * 7919 + 13) % 100 AS a, (i * 104729 + 7) % 50 + 1 AS b, i % 4 AS k FROM range(0, 2000) r(i)) SELECT id, a || ' ' || ['+', '-', '*', '/'][k + 1] || ' ' || b AS question, round(CASE k WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b ELSE a::DOUBLE / b END::DOUBLE, 6) AS answer FROM e")
+@query("exercise_gen", "WITH e AS (SELECT i::BIGINT AS id, (i * 7919 + 13) % 100 AS a, (i * 104729 + 7) % 50 + 1 AS b, i % 4 AS k FROM (SELECT p_partkey AS i FROM part)) SELECT id, a || ' ' || ['+', '-', '*', '/'][k + 1] || ' ' || b AS question, round(CASE k WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b ELSE a::DOUBLE / b END::DOUBLE, 6) AS answer FROM e")
 def exercise_gen(t):
     i = F.col("id")
-    e = t("region").sparkSession.range(2000).select("id", ((i * 7919 + 13) % 100).alias("a"), ((i * 104729 + 7) % 50 + 1).alias("b"), F.element_at(F.array(*map(F.lit, "+-*/")), (i % 4 + 1).cast("int")).alias("op"))
+    e = t("part").select(F.col("p_partkey").alias("id")).select("id", ((i * 7919 + 13) % 100).alias("a"), ((i * 104729 + 7) % 50 + 1).alias("b"), F.element_at(F.array(*map(F.lit, "+-*/")), (i % 4 + 1).cast("int")).alias("op"))
     return e.select("id", F.concat_ws(" ", F.col("a").cast("string"), "op", F.col("b").cast("string")).alias("question"), F.round(sc.result_of(F.col("op"), F.col("a"), F.col("b")), 6).alias("answer"))
 
 
-QUESTIONS = [(1, "what is 7x9?"), (2, "11 x 13"), (3, "Name the capital of France!"), (4, "How many days are in a leap year, please?"), (5, "colour of the sky"), (6, "quanto e 7 vezes 9")]
-FROZEN = [(1, "9 * 7"), (2, "name the capital of france"), (3, "how many days are in a leap year")]
+EXERCISES = """WITH p AS (SELECT p_partkey AS id, p_partkey * 7919 + 13 AS ra, p_partkey * 104729 + 7 AS rb, p_partkey * 15485863 + 3 AS rc FROM part),
+x AS (SELECT id, id % 12 AS k, ra % 998 + 2 AS a, rb % 998 + 2 AS b, ra, rb, rc FROM p)
+SELECT id, k::BIGINT AS kind, round(CASE k WHEN 0 THEN a + b WHEN 1 THEN abs(a - b) WHEN 2 THEN (ra % 98 + 2) * (rb % 98 + 2) WHEN 3 THEN (ra % 10 + 1) * (rb % 10 + 1) WHEN 4 THEN rc % 99 + 1 WHEN 5 THEN (a % 20 * 5) * b / 100.0::DOUBLE WHEN 6 THEN round(a / 25.4::DOUBLE, 2)
+  WHEN 7 THEN (a % 23 + 1) * 60 + b % 60 WHEN 8 THEN a * 1000 WHEN 9 THEN a % 50 + 1 WHEN 10 THEN a % 30 + 2 ELSE ((a % 89 + 2) * (b % 11 + 2) // 10 + 1) * 10 - (a % 89 + 2) * (b % 11 + 2) END::DOUBLE, 2) AS answer,
+CASE k WHEN 4 THEN rb % 29 + 2 WHEN 9 THEN b % 11 + 2 END::BIGINT AS divisor FROM x"""
+
+
+@query("exercises", EXERCISES)
+def exercises(t):
+    """Solved exercises of twelve kinds by part; the answer is read back from the text."""
+    i = F.col("p_partkey")
+    own = t("part").select(i.alias("id"), (i % 12).alias("kind"), sc.exercise(i % 12, i * 7919 + 13, i * 104729 + 7, i * 15485863 + 3).alias("e"))
+    shown = sc.parse_decimal_comma(F.regexp_extract("e.text", r"(-?[\d.]+(?:,\d+)?)\D*$", 1))
+    kept = F.when(F.round("e.answer", 2) == F.round(shown, 2), F.round("e.answer", 2))
+    return own.select("id", "kind", kept.alias("answer"), "e.divisor")
 
 
-@query("question_contamination", "SELECT * FROM (VALUES (1), (3), (4), (6)) AS v(id)")
-def question_contamination(t):
-    s = t("region").sparkSession
-    return si.contaminated(s.createDataFrame(QUESTIONS, "id int, text string"), s.createDataFrame(FROZEN, "id int, text string"), 0.6)
+RAW = ["1", " Yes ", "off", "maybe", "TRUE", "nao"]
 
 
-@query("env_flags", "SELECT * FROM (VALUES ('1', true), (' Yes ', true), ('off', false), ('maybe', false)) AS v(raw, flag)")
+@query("env_flags", "SELECT event_id, event_id % 6 IN (0, 1, 4) AS flag FROM events")
 def env_flags(t):
-    return t("region").sparkSession.createDataFrame([("1",), (" Yes ",), ("off",), ("maybe",)], "raw string").select("raw", sc.as_bool(F.col("raw")).alias("flag"))
+    return t("events").select("event_id", sc.as_bool(F.element_at(F.array(*map(F.lit, RAW)), (F.col("event_id") % 6 + 1).cast("int"))).alias("flag"))
 
 
-@query("ruler_gate", "SELECT * FROM (VALUES (20.0::DOUBLE, 20.5::DOUBLE, true, 0.025::DOUBLE), (20.0::DOUBLE, 20.7::DOUBLE, false, 0.035::DOUBLE)) AS v(before, after, ok, change)")
+@query("ruler_gate", "SELECT o_orderkey, after <= before * (1 + 0.03::DOUBLE) AS ok, round(after / before - 1, 4) AS change FROM (SELECT o_orderkey, o_totalprice AS before, o_totalprice * (1 + (o_orderkey % 70) / 1000.0::DOUBLE) AS after FROM orders)")
 def ruler_gate(t):
-    d = t("region").sparkSession.createDataFrame([(20.0, 20.5), (20.0, 20.7)], "before double, after double")
-    return d.select("before", "after", sc.gate(F.col("before"), F.col("after")).alias("g")).select("before", "after", "g.ok", F.round("g.change", 4).alias("change"))
+    after = F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 70) / 1000.0)
+    return t("orders").select("o_orderkey", sc.gate(F.col("o_totalprice"), after).alias("g")).select("o_orderkey", "g.ok", F.round("g.change", 4).alias("change"))
 
 
 @query("string_tasks", "SELECT p_partkey, reverse(p_name) AS backwards, array_to_string(list_sort(regexp_split_to_array(lower(p_name), '')), '') AS letters, len(regexp_extract_all(p_name, '[aeiou]'))::INT AS vowels, array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), '') AS initials FROM part")

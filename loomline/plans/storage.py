@@ -51,35 +51,47 @@ def log_by_month(t):
     return log.groupBy(F.substring("ts", 1, 7).alias("month"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("records_newest_files", "SELECT r_regionkey::VARCHAR AS id, r_name AS origin FROM region ORDER BY r_regionkey DESC LIMIT 3")
+def one_a_file(rows, order, path, kind, by=None):
+    """Each row of its own file, names in order."""
+    own = rows.repartitionByRange(8, order).sortWithinPartitions(order)
+    writer = own.drop(order).write.option("maxRecordsPerFile", 1)
+    (writer.partitionBy(by) if by else writer).format(kind).save(path)
+    return path
+
+
+@query("records_newest_files", "SELECT item_id::VARCHAR AS id, text AS origin FROM benchmark ORDER BY item_id DESC LIMIT 7")
 def records_newest_files(t):
-    r = t("region")  # one file a region
-    path = put_files(r.sparkSession, folder(r, "files"), [(f"{x.r_regionkey:04d}.json", f'{{"id": "{x.r_regionkey}",\n "origin": "{x.r_name}"}}') for x in r.toLocalIterator()])
-    return records.read_documents(r.sparkSession, path, records.EXAMPLE, newest=3).select("id", "origin")
+    d = t("benchmark").select("item_id", F.col("item_id").cast("string").alias("id"), F.col("text").alias("origin"))
+    path = one_a_file(d, "item_id", folder(d, "files"), "json")
+    return records.read_documents(d.sparkSession, path, records.EXAMPLE, newest=7).select("id", "origin")
 
 
-TREE = "(SELECT n_nationkey AS k, repeat(n_name || ' ', n_regionkey + 1) AS text FROM nation)"
+def tree(t):
+    """Items as text files in folders of ten; every fifth is blank but for a word."""
+    i = F.col("item_id")
+    d = t("benchmark").select("item_id", F.when(i % 5 == 0, "word").otherwise(F.col("text")).alias("text"), F.floor(i / 10).alias("d"))
+    return d.sparkSession, one_a_file(d, "item_id", folder(d, "tree"), "text", "d")
 
 
-@query("text_tree", f"SELECT k::INT AS k, text FROM {TREE} WHERE length(trim(text)) >= 20")
+@query("text_tree", "SELECT (item_id // 10)::INT AS d, text || chr(10) AS text FROM benchmark WHERE item_id % 5 > 0 AND length(trim(text)) >= 20")
 def text_tree(t):
-    n = t("nation")
-    path = put_files(n.sparkSession, folder(n, "tree"), [(f"{x.n_regionkey}/{x.n_nationkey}.{'md' if x.n_nationkey % 2 else 'txt'}", (x.n_name + " ") * (x.n_regionkey + 1)) for x in n.toLocalIterator()] + [("0/skip.pdf", "x" * 99)])
-    return records.read_texts(n.sparkSession, path).select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("int").alias("k"), "text")
+    return records.read_texts(*tree(t)).select(F.regexp_extract("path", r"/d=(\d+)/", 1).cast("int").alias("d"), "text")
 
 
-@query("file_listing", f"SELECT (k::VARCHAR || '.md') AS name, length(text)::BIGINT AS length FROM {TREE} WHERE k % 2 = 1")
+@query("file_listing", "SELECT (item_id // 10)::INT AS d, octet_length(encode(CASE WHEN item_id % 5 = 0 THEN 'word' ELSE text END)) + 1::BIGINT AS length FROM benchmark")
 def file_listing(t):
-    n = t("nation")
-    path = put_files(n.sparkSession, folder(n, "tree"), [(f"{x.n_regionkey}/{x.n_nationkey}.{'md' if x.n_nationkey % 2 else 'txt'}", (x.n_name + " ") * (x.n_regionkey + 1)) for x in n.toLocalIterator()])
-    return records.list_files(n.sparkSession, path, "*.md").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    return records.list_files(*tree(t), "*.txt").select(F.regexp_extract("path", r"/d=(\d+)/", 1).cast("int").alias("d"), "length")
 
 
-@query("question_list", "SELECT CASE WHEN n_regionkey = 0 THEN 'chat' ELSE 'r' || n_regionkey END AS category, 'what is ' || n_name || '|?' AS question FROM nation WHERE n_regionkey > 0 UNION ALL SELECT 'chat', 'what is ' || n_name FROM nation WHERE n_regionkey = 0")
+@query("question_list", "SELECT CASE WHEN item_id % 3 = 0 THEN 'chat' ELSE 'r' || (item_id % 3) END AS category, trim(regexp_replace(text, '[\\s|]+', ' ', 'g')) AS question FROM benchmark WHERE item_id % 7 > 0")
 def question_list(t):
-    n = t("nation")
-    lines = ["# comment", ""] + [f"what is {x.n_name}" if x.n_regionkey == 0 else f" r{x.n_regionkey} | what is {x.n_name}|?" for x in n.toLocalIterator()]
-    return records.read_questions(n.sparkSession, put_files(n.sparkSession, folder(n, "questions"), [("q.txt", "\n".join(lines))]))
+    """Lines of a question list: comments, blank lines, with and without a category."""
+    i, text = F.col("item_id"), F.regexp_replace("text", r"[\s|]+", " ")
+    line = F.when(i % 7 == 0, F.element_at(F.array(F.lit("# comment"), F.lit("")), (i % 2 + 1).cast("int"))).when(i % 3 == 0, text).otherwise(F.concat(F.lit(" r"), i % 3, F.lit(" | "), text))
+    d = t("benchmark").select(line.alias("value"))
+    path = folder(d, "questions")
+    d.write.text(path)
+    return records.read_questions(d.sparkSession, path)
 
 
 @query("settings_file", "SELECT 'KEY' || r_regionkey AS key, r_name || '=1' AS value FROM region")

@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline import cluster
 from loomline.cluster import table
+from loomline.operators import chains
 from loomline.plans.registry import ORACLES, QUERIES, query
+from loomline.streaming import stateful
 from loomline.streaming import streams as st
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -71,8 +74,8 @@ def stream_static_enrich(spark, sf_dir):
 
 @stream("stream_user_state", "SELECT user_id, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_user_state(spark, sf_dir):
-    out = st.drain(st.user_totals(st.event_stream(spark, sf_dir)), "update")
-    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+    out = st.drain(st.user_totals(st.event_stream(spark, sf_dir)), "update", ["user_id"])
+    return out.select("user_id", "n", F.round("total", 4).alias("total"))
 
 
 @stream("stream_reminders", "SELECT user_id, event_id AS id FROM events WHERE value < 10")
@@ -88,14 +91,68 @@ def due_reminders(t):
     return st.due(ev(t).where("event_type <> 'error'"), F.lit("2024-01-10 00:00:00").cast("timestamp"), deadline).select("event_id")
 
 
-@query("ttl_cache_hits", "SELECT user_id, count(*)::BIGINT AS n, sum(hit::INT)::BIGINT AS hits FROM (SELECT user_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR, false) AS hit FROM events) GROUP BY user_id")
+def greedy(gap: str, after: str, other: str = "") -> str:
+    """Rows (event_id) of events that are accepted one after the other, each only against the one before."""
+    return f"""WITH RECURSIVE r AS (SELECT user_id, min((ts, event_id, event_type)) AS x FROM events GROUP BY user_id
+UNION ALL SELECT r.user_id, min((e.ts, e.event_id, e.event_type)) FROM r JOIN events e ON e.user_id = r.user_id AND e.ts {after} r.x[1] + INTERVAL {gap} {other} GROUP BY r.user_id)
+SELECT x[2] AS event_id FROM r"""
+
+
+TTL = f"SELECT user_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE event_id NOT IN ({greedy('1 HOUR', '>')}))::BIGINT AS hits FROM events GROUP BY user_id"
+THROTTLE = greedy("12 HOUR", ">=", "AND e.event_type <> r.x[3]")
+
+
+@query("ttl_cache_hits", TTL)
 def ttl_cache_hits(t):
-    return st.ttl_hits(ev(t), "user_id", 3600).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("int")).alias("hits"))
+    return chains.ttl_hits(ev(t), "user_id", 3600).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("int")).alias("hits"))
 
 
-@query("throttle_runs", "SELECT event_id FROM (SELECT *, ts - lag(ts) OVER w AS age, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE age IS NULL OR (age >= INTERVAL 12 HOUR AND was <> event_type)")
+@query("throttle_runs", THROTTLE)
 def throttle_runs(t):
-    return st.throttled(ev(t), "user_id", 12, "event_type").select("event_id")
+    return chains.throttled(ev(t), "user_id", 12, "event_type").select("event_id")
+
+
+@stream("stream_cache_hits", TTL)
+def stream_cache_hits(spark, sf_dir):
+    s = st.event_stream(spark, sf_dir).withColumnRenamed("event_id", "id")
+    return st.drain(stateful.hits(s, "user_id", 3600, "1 hour")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("int")).alias("hits"))
+
+
+@stream("stream_throttle", THROTTLE)
+def stream_throttle(spark, sf_dir):
+    s = st.event_stream(spark, sf_dir).withColumnRenamed("event_id", "id")
+    return st.drain(stateful.runs(s, "user_id", 12, "event_type")).select(F.col("id").alias("event_id"))
+
+
+@stream("stream_timers", "SELECT user_id, event_id AS id FROM events WHERE ts + to_microseconds(CAST(round(value) AS BIGINT) * 60000000) <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
+def stream_timers(spark, sf_dir):
+    """Reminders some minutes after their event; they fire as the stream's time passes them."""
+    s = st.event_stream(spark, sf_dir).withColumn("due", F.timestamp_micros(F.unix_micros("ts") + F.round("value").cast("long") * 60_000_000))
+    return st.drain(stateful.reminders(s.withColumnRenamed("event_id", "id"), "user_id", "1 hour")).select("user_id", "id")
+
+
+@stream("stream_ingest", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def stream_ingest(spark, sf_dir):
+    """Batches of files until a sum is reached; one file is one batch, which is taken whole."""
+    path = cluster.scratch_path(spark, "ingest")
+    out = st.ingest(st.event_stream(spark, sf_dir), path, F.col("value"), 1000)
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@stream("stream_tasks")
+def stream_tasks(spark, sf_dir):
+    """Users as tasks: errors ask for permission, signups grant it, all else are steps."""
+    kind = F.when(F.col("event_type") == "error", "ask").when(F.col("event_type") == "signup", "grant").otherwise("step")
+    s = st.event_stream(spark, sf_dir).withColumn("kind", kind).withColumnRenamed("event_id", "id")
+    return st.drain(stateful.steps(s, "user_id"))
+
+
+@stream("stream_refreshed_side", "SELECT c_mktsegment, count(*)::BIGINT AS n, 'v1' AS side_version FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY c_mktsegment")
+def stream_refreshed_side(spark, sf_dir):
+    side = cluster.scratch_path(spark, "side")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment").write.parquet(f"{side}/v1")
+    out = stateful.enriched(st.event_stream(spark, sf_dir), side, "user_id", 20.0, cluster.scratch_path(spark, "enriched"))
+    return out.groupBy("c_mktsegment", "side_version").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("run_detect", "WITH g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, count(*)::BIGINT AS length, min(event_id) AS first_id FROM g GROUP BY user_id, event_type, g HAVING count(*) >= 3")

@@ -120,6 +120,52 @@ def html_text(t):
     return p.select("page_id", F.md5(F.col("x").cast("binary")).alias("h"), F.length("x").cast("long").alias("len"))
 
 
+@query("snippet_order", """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, CASE WHEN page_id % 3 > 0 THEN regexp_extract(html, '(?is)<p[^>]*>([^<]*)</p>', 1) ELSE '' END AS snippet FROM pages)
+SELECT host, rank::INTEGER AS rank, page_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY (snippet = '')::INT, length(snippet) DESC, page_id) AS rank FROM p) WHERE rank <= 5""")
+def snippet_order(t):
+    """Hits of a host: those with a snippet first, longer ones before."""
+    from loomline.operators import retrieval
+
+    snippet = F.when(F.col("page_id") % 3 > 0, F.regexp_extract("html", r"(?is)<p[^>]*>([^<]*)</p>", 1)).otherwise("")
+    hits = t("pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), snippet.alias("snippet"))
+    return retrieval.by_snippet(hits, "host", 5).select("host", "rank", "page_id")
+
+
+LINES = "(SELECT conv_id, turn, ['- ', '12. ', '  * \"', ''][conv_id % 4 + 1] || text AS line FROM conversations)"
+
+
+@query("bullet_lines", rf"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(line, '^\s*(?:[-*•]|\d+[.)])\s*', ''), '^["''\s]+|["''\s]+$', '', 'g')) AS h FROM {LINES}""")
+def bullet_lines(t):
+    begin = F.element_at(F.array(*map(F.lit, ["- ", "12. ", '  * "', ""])), (F.col("conv_id") % 4 + 1).cast("int"))
+    return t("conversations").select("conv_id", "turn", F.md5(tx.clean_bullet(F.concat(begin, "text")).cast("binary")).alias("h"))
+
+
+CODE = "(SELECT doc_id, text, ['', '    x = 1' || chr(10) || chr(10) || '    return x' || chr(10), 'def f(x):' || chr(10) || '    return x' || chr(10), '  y' || chr(10) || 'print(1)' || chr(10)][doc_id % 4 + 1] || text AS body FROM documents)"
+
+
+def coded(t):
+    """Documents behind a few lines of code, by doc_id."""
+    begin = F.element_at(F.array(*map(F.lit, ["", "    x = 1\n\n    return x\n", "def f(x):\n    return x\n", "  y\nprint(1)\n"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t("documents").select("doc_id", F.concat(begin, "text").alias("body"))
+
+
+@query("function_bodies", rf"""WITH l AS (SELECT doc_id, string_split(body, chr(10)) AS l FROM {CODE}), s AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(x, '^[^\t\n\x0B\f\r ]')), true) AS stop FROM l)
+SELECT doc_id, md5(array_to_string(CASE WHEN stop > 0 THEN l[1:stop - 1] ELSE l END, chr(10))) AS h FROM s""")
+def function_bodies(t):
+    return coded(t).select("doc_id", F.md5(tx.body_of(F.col("body")).cast("binary")).alias("h"))
+
+
+@query("code_blocks", r"""WITH l AS (SELECT doc_id, string_split(body, chr(10)) AS l FROM """ + CODE + r"""),
+c AS (SELECT doc_id, l, list_transform(l, lambda x: regexp_matches(x, '^(def |for |if |while |class |import |from |with |try:|print\(|[a-zA-Z_][a-zA-Z0-9_]*[\t\n\x0B\f\r ]*=[^=])')) AS code, list_transform(l, lambda x: regexp_matches(x, '^([ \t]|else|elif|except|finally)')) AS more FROM l),
+s AS (SELECT *, list_position(code, true) AS b FROM c), e AS (SELECT *, list_position(list_transform(range(b, len(l) + 1), lambda i: code[i] OR more[i]), false) AS e FROM s WHERE b > 0)
+SELECT doc_id, md5(array_to_string(l[b : CASE WHEN e > 0 THEN b + e - 2 ELSE len(l) END], chr(10))) AS h FROM e WHERE CASE WHEN e > 0 THEN e - 1 ELSE len(l) - b + 1 END >= 2""")
+def code_blocks(t):
+    from loomline.operators import pairs
+
+    own = coded(t).select("doc_id", pairs.code_block(F.col("body")).alias("x")).where("x is not null")
+    return own.select("doc_id", F.md5(F.col("x").cast("binary")).alias("h"))
+
+
 @query("html_links", r"""SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS label FROM pages""")
 def html_links(t):
     return t("pages").select("page_id", F.explode(tx.links(F.col("html"))).alias("x")).select("page_id", "x.href", "x.label")

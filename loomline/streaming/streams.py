@@ -23,18 +23,23 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
-def drain(stream: DataFrame, mode: str = "append", watermark: bool = True) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote. Complete mode goes through foreachBatch, where the
-    last batch is the result."""
-    spark = stream.sparkSession
-    out = cluster.scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+def drain(stream: DataFrame, mode: str = "append", key: list[str] | None = None, to: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote. A batch is a folder of its own, so one that is run again
+    replaces itself. In update mode a batch has only what changed: with a key, the latest batch's row of a key counts. In
+    complete mode the last batch is the result. With `to`, a stream goes on where an earlier one with that folder ended."""
+    spark, schema = stream.sparkSession, stream.schema
+    out = to or cluster.scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", out + "-state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if not datasets.children(spark, out):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    elif key:
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct(*schema.names), "batch").alias("_r")).select("_r.*")
+    return rows.select(*schema.names)
 
 
 def ingest(stream: DataFrame, path: str, size, most: int) -> DataFrame:
@@ -129,13 +134,6 @@ def fire_once(stream: DataFrame, keep: float | None = None) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(poll, FIRED, "fired array<long>, dues array<double>, latest double", "append", GroupStateTimeout.NoTimeout)
 
 
-def ttl_hits(log: DataFrame, key: str, seconds: int) -> DataFrame:
-    """hit: the entry before of the same key is at most so old."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    age = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
-    return log.withColumn("hit", F.coalesce(age <= F.lit(seconds * 1_000_000).cast("long"), F.lit(False)))
-
-
 def due(log: DataFrame, now, deadline) -> DataFrame:
     return log.where(deadline <= now)
 
@@ -147,14 +145,6 @@ def runs_of(log: DataFrame, by: str, order: list[str], value: str, least: int) -
     return own.groupBy(by, value, "_g").agg(F.count(F.lit(1)).alias("length"), F.min(order[-1]).alias("first_id")).where(F.col("length") >= least).drop("_g")
 
 
-def throttled(log: DataFrame, by: str, hours: int, signature: str) -> DataFrame:
-    """Rows that would run: the signature changed against the row before and that row is at least so many hours old."""
-    w = Window.partitionBy(by).orderBy("ts", "event_id")
-    age = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
-    own = log.withColumns({"_age": age, "_was": F.lag(signature).over(w)})
-    return own.where(F.col("_age").isNull() | ((F.col("_age") >= F.lit(hours * 3_600_000_000).cast("long")) & (F.col("_was") != F.col(signature)))).drop("_age", "_was")
-
-
 def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) -> DataFrame:
     """left with the value of the latest right row at or before its time, of the same key: one sort of the union, no
     range join."""
