@@ -9,7 +9,9 @@ Training reads whole texts of at most `train_bytes` bytes a language (plus one t
 Bytes are folded to lower case (ASCII and Latin-1) and to the 63 most frequent values and one for the rest.
 
 Defined cases: null text and text without a letter are `und` with score 0; without any learned language every row is
-`und`; a null doc_id is neither held out nor learned from; repeated rows get equal results; other columns are not read.
+`und`; of languages with equally short codes the first by name is chosen; a null doc_id is neither held out nor learned from;
+repeated rows get equal results; texts of any length are read whole; an empty table gives an empty result; other columns are
+not read by the query and kept by the stage.
 """
 
 from __future__ import annotations

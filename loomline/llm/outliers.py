@@ -23,7 +23,8 @@ their position (31 bits) into a long and sorted, neighbours with equal high bits
 as text.
 
 Defined cases: null text has no words (all 0, base_failed); null lang or source is a group of its own; repeated rows count
-each; empty tables give empty results; other columns are not read.
+each; texts of any length are read whole; distances equal to the cut are kept; empty tables give empty results; other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ segments decide; pack_examples has all three.
 Packing needs no shuffle: each partition packs its own rows, and sequence ids start with the partition's number.
 
 Defined cases: null and empty texts are one id (the end mark); repeated rows are packed each; an empty table gives an
-empty result; texts of any length are cut; only doc_id and text are read.
+empty result; texts of any length are cut; only doc_id and text are read, by the stage too, which also packs null texts. Of
+places that fit equally well the first counts.
 """
 
 from __future__ import annotations

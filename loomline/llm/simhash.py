@@ -16,7 +16,8 @@ candidates share a band of minima of the shingle hashes instead, and the similar
 Defined cases: null or empty text and text without a word have fingerprint 0, which links like any other, and
 are copies of each other in the stage; repeated rows
 stay repeated; a null doc_id is kept and never is a component_id unless a component has no other; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+empty result; texts of any length are read whole; columns other than doc_id and text are not read by the query and kept by the
+stage, where of rows equal in doc_id and text any one stays.
 """
 
 from __future__ import annotations
