@@ -10,19 +10,24 @@ from loomline import cluster
 
 ROLES = {"user": 257, "assistant": 258}
 END, IGNORE = 259, -100
+#: Ranges of an order, by key, whose sums are broadcast at most.
+BROADCAST_RANGES = 100_000
 
 
-def running(df: DataFrame, value: Column, order: str, out: str) -> DataFrame:
-    """Running sum in order, in two levels: within contiguous ranges of the order, plus the sums of the ranges before.
-    No task sorts all rows."""
-    spark = df.sparkSession
+def running(df: DataFrame, value: Column, order: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Running sum in order, of all rows or within each `by`, in two levels: within contiguous ranges of the order, plus the
+    sums of the ranges before. No task sorts all rows, nor all rows of a `by`."""
+    spark, by = df.sparkSession, by or []
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = cluster.materialize(df.withColumn("_v", value.cast("long")).repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()), "ranges")
-    sums = own.groupBy("_p").agg(F.sum("_v").alias("s"))
-    # one row a range
-    offsets = sums.select("_p", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    within = F.sum("_v").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("_w", within).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_w") + F.col("_o")).drop("_p", "_v", "_w", "_o")
+    ranged = df.withColumn("_v", value.cast("long")).repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
+    # structs are equal where their fields are both null
+    own = cluster.materialize(ranged.withColumn("_k", F.struct("_p", *by)), "ranges")
+    before = Window.partitionBy(*[F.col(f"_k.{c}") for c in by]).orderBy("_k._p").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a range and `by`
+    offsets = own.groupBy("_k").agg(F.sum("_v").alias("s")).select("_k", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_o"))
+    within = F.sum("_v").over(Window.partitionBy("_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    offsets = cluster.small(offsets, BROADCAST_RANGES) if by else F.broadcast(offsets)
+    return own.withColumn("_w", within).join(offsets, "_k").withColumn(out, F.col("_w") + F.col("_o")).drop("_p", "_k", "_v", "_w", "_o")
 
 
 def budget(docs: DataFrame, size: Column, order: str, limit: int) -> DataFrame:
@@ -45,8 +50,8 @@ def every_nth(docs: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def interleave(docs: DataFrame, by: str, order: str) -> DataFrame:
-    """pos: first rows of all sources, then second rows, and so on."""
-    return docs.withColumn("round", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    """round: first rows of all sources, then second rows, and so on. A source may hold most of the rows."""
+    return running(docs, F.lit(1), order, "round", [by])
 
 
 def mixture(sizes: DataFrame, fixed: Column) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline import cluster
+
+#: Series whose stopping places are broadcast at most.
+BROADCAST_SERIES = 100_000
+
 
 def accuracy(rows: DataFrame, right: Column, sets: list[list[str]], keys: list[str]) -> DataFrame:
     """items and accuracy by each grouping set, in one pass."""
@@ -58,18 +63,41 @@ def smoothed(rows: DataFrame, by: list[str], order: str, value: str, keep: float
     return placed.groupBy(*by).agg(F.round(F.sum(weight * F.col("_v")), 6).alias("smoothed"))
 
 
-def early_stop(rows: DataFrame, by: list[str], order: str, value: str, patience: int, tolerance: float = 1e-4) -> DataFrame:
-    """Best step and the step at which training stops: `patience` evaluations in a row without a gain."""
-    own = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("s"))
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
+def early_stop(rows: DataFrame, by: list[str], order: str, value: str, patience: int, tolerance: float = 1e-4, chunk: int = 10_000) -> DataFrame:
+    """Best step and the step at which training stops: `patience` (1 or more) evaluations in a row without a gain of more than
+    the tolerance. Rows of equal order go by value; rows without order come first, a missing value is no gain.
+
+    A gain is always a value below all before it. Such records, few in a noisy series, are found in chunks of the order (a
+    whole number) and the least values of the chunks before, so a long series is many tasks; only records are folded."""
+    if patience < 1:
+        raise ValueError("patience must be 1 or more")
+    key = F.struct(F.lit(0).alias("_one"), *by)
+    own = rows.select(*by, F.col(order).alias("_o"), F.col(value).alias("_v"), F.coalesce(F.floor(F.col(order) / chunk), F.lit(-(1 << 62))).alias("_c"))
+    own = own.withColumn("_k", key)
+    earlier = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = own.groupBy("_k", "_c").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_m"))
+    chunks = chunks.select("_k", "_c", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.min("_m").over(earlier).alias("_least"))
+    inside = Window.partitionBy("_k", "_c").orderBy("_o", "_v")
+    placed = own.withColumns({"_r": F.row_number().over(inside), "_m": F.min("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1))}).join(chunks, ["_k", "_c"])
+    record = F.col("_v") < F.least(F.lit(float("inf")), "_m", "_least")
+    placed = cluster.materialize(placed.select("_k", "_o", (F.col("_r") + F.col("_before")).alias("_at"), "_v", record.alias("_record")), "series")
+    rises = F.when(F.col("_record"), F.struct(F.col("_at").alias("at"), F.col("_o").cast("long").alias("o"), F.col("_v").cast("double").alias("v")))
+    groups = placed.groupBy("_k").agg(F.array_sort(F.collect_list(rises)).alias("s"), F.max("_at").alias("n"))
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(float("inf")).alias("best"), none.alias("o"), F.lit(0).cast("long").alias("at"), none.alias("stop"))
 
     def step(a, x):
-        better = x["v"] < a["best"] - tolerance
-        bad = F.when(better, 0).otherwise(a["bad"] + 1)
-        return F.when(a["stop"].isNotNull(), a).otherwise(F.struct(F.when(better, x["v"]).otherwise(a["best"]).alias("best"), F.when(better, x["o"].cast("long")).otherwise(a["at"]).alias("at"), bad.alias("bad"), F.when(bad >= patience, x["o"].cast("long")).alias("stop")))
-
-    done = F.aggregate("s", start, step)
-    return own.select(*by, done["at"].alias("best_step"), done["stop"].alias("stop_step"))
+        late = x["at"] - a["at"] > patience
+        gain = F.struct(x["v"].alias("best"), x["o"].alias("o"), x["at"].alias("at"), none.alias("stop"))
+        stop = F.struct(a["best"].alias("best"), a["o"].alias("o"), a["at"].alias("at"), (a["at"] + patience).alias("stop"))
+        return F.when(a["stop"].isNotNull() | ~(x["v"] < a["best"] - tolerance), a).when(late, stop).otherwise(gain)
+
+    done = groups.withColumn("d", F.aggregate("s", start, step))
+    end = F.when(F.col("n") - F.col("d.at") >= patience, F.col("d.at") + patience)
+    done = cluster.materialize(done.select("_k", F.col("d.o").alias("best_step"), F.struct("_k", F.coalesce("d.stop", end).alias("at")).alias("_stop")), "stops")
+    rows_at = placed.select(F.struct("_k", F.col("_at").alias("at")).alias("_stop"), F.col("_o").cast("long").alias("stop_step"))
+    stops = rows_at.join(cluster.small(done.where("_stop.at is not null").select("_stop"), BROADCAST_SERIES), "_stop")
+    return done.join(stops, "_stop", "left").select(*[F.col(f"_k.{c}").alias(c) for c in by], "best_step", "stop_step")
 
 
 def projected_targets(logits: DataFrame, by: list[str], k: int, temperature: float) -> DataFrame:

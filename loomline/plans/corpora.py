@@ -26,7 +26,7 @@ def corpus_batch_budget(t):
 
 @query("corpus_interleave", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS round FROM documents")
 def corpus_interleave(t):
-    return co.interleave(t("documents").select("source", "doc_id"), "source", "doc_id").orderBy("round", "source")
+    return co.interleave(t("documents").select("source", "doc_id"), "source", "doc_id").withColumn("round", F.col("round").cast("int")).orderBy("round", "source")
 
 
 @query("corpus_mixture", "WITH s AS (SELECT lang, sum(n_chars)::BIGINT AS size FROM documents GROUP BY lang), f AS (SELECT *, CASE WHEN lang = 'en' THEN 0.3::DOUBLE END AS f FROM s), w AS (SELECT lang, size, coalesce(f, (1 - 0.3::DOUBLE) * size / sum(CASE WHEN f IS NULL THEN size ELSE 0 END) OVER ()) AS w FROM f) SELECT lang, size, round(w / sum(w) OVER (), 6) AS weight FROM w")
