@@ -138,17 +138,46 @@ def due(log: DataFrame, now, deadline) -> DataFrame:
     return log.where(deadline <= now)
 
 
-def runs_of(log: DataFrame, by: str, order: list[str], value: str, least: int) -> DataFrame:
-    """Runs of at least `least` equal values in a row (gaps and islands)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    own = log.withColumn("_g", F.row_number().over(w) - F.row_number().over(Window.partitionBy(by, value).orderBy(*order)))
-    return own.groupBy(by, value, "_g").agg(F.count(F.lit(1)).alias("length"), F.min(order[-1]).alias("first_id")).where(F.col("length") >= least).drop("_g")
-
-
-def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) -> DataFrame:
-    """left with the value of the latest right row at or before its time, of the same key: one sort of the union, no
-    range join."""
-    both = left.select(by, ts, F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_o")).unionByName(
-        right.select(by, ts, F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.col(value).alias("_v"), F.lit(0).alias("_o")))
-    w = Window.partitionBy(by).orderBy(ts, "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_l is not null").select("_l.*", F.col("_last").alias(f"last_{value}"))
+def _blocked(log: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
+    """log with _k, the key and its block of time; blocks are ordered, and rows without time are in the first one. Windows over
+    _k hold a block of a key at most; structs are equal where their fields are both null."""
+    block = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+    return log.withColumn("_k", F.struct(F.col(by).alias("key"), F.coalesce(block, F.lit(-(1 << 62))).alias("block")))
+
+
+def runs_of(log: DataFrame, by: str, order: list[str], value: str, least: int, block: int = 3600) -> DataFrame:
+    """Runs of at least `least` equal values in a row (gaps and islands), and the least of the last order column in each. The
+    first order column is a time. Islands are found in blocks of so many seconds; only those at a block's ends, two a block
+    at most, can go on in another block and meet by key, so a key with many rows is many tasks."""
+    at = F.struct(*order)
+    inside = Window.partitionBy("_k").orderBy("_at")
+    own = _blocked(log.select(by, *order, value), by, order[0], block).select("_k", at.alias("_at"), F.col(value).alias("_v"), F.col(order[-1]).alias("_id"))
+    own = own.withColumn("_g", F.row_number().over(inside) - F.row_number().over(Window.partitionBy("_k", "_v").orderBy("_at")))
+    islands = own.groupBy("_k", "_v", "_g").agg(F.count(F.lit(1)).alias("length"), F.min("_id").alias("first_id"), F.min("_at").alias("_a"), F.max("_at").alias("_b"))
+    whole = Window.partitionBy("_k")
+    islands = islands.withColumns({"_first": F.col("_a") == F.min("_a").over(whole), "_last": F.col("_b") == F.max("_b").over(whole)})
+    islands = islands.where(F.col("_first") | F.col("_last") | (F.col("length") >= least))
+    edge = F.col("_first") | F.col("_last")
+    done = islands.where(~edge).select("_k.key", "_v", "length", "first_id")
+    line = Window.partitionBy("_k.key").orderBy("_k.block", "_a")
+    before = F.lag(F.struct("_v")).over(line)
+    begins = ~F.col("_first") | before.isNull() | ~before["_v"].eqNullSafe(F.col("_v"))
+    met = islands.where(edge).withColumn("_new", begins).withColumn("_run", F.sum(F.col("_new").cast("int")).over(line))
+    met = met.groupBy("_k.key", "_v", "_run").agg(F.sum("length").alias("length"), F.min("first_id").alias("first_id")).where(F.col("length") >= least)
+    return done.unionByName(met.select("key", "_v", "length", "first_id")).select(F.col("key").alias(by), F.col("_v").alias(value), "length", "first_id")
+
+
+def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, block: int = 86_400) -> DataFrame:
+    """left with the value of the latest right row at or before its time, of the same key; of right rows of one time, the
+    greatest value. No range join: the union is sorted in blocks of so many seconds, and what a block ends with is handed on
+    over one row a block and key, so a key with many rows is many tasks."""
+    kind = right.schema[value].dataType
+    asked = _blocked(left.select(by, ts, F.struct(*left.columns).alias("_l")), by, ts, block).select("_k", ts, "_l", F.lit(None).cast(kind).alias("_v"), F.lit(1).alias("_o"))
+    known = _blocked(right.select(by, ts, value).where(F.col(value).isNotNull()), by, ts, block).select("_k", ts, F.lit(None).cast(asked.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"), F.lit(0).alias("_o"))
+    # blocks in which something is asked or known; a row each
+    ends = asked.select("_k", F.lit(None).cast(known.select(F.struct(ts, "_v").alias("e")).schema["e"].dataType).alias("e")).unionByName(known.select("_k", F.struct(ts, "_v").alias("e"))).groupBy("_k").agg(F.max("e").alias("e"))
+    earlier = Window.partitionBy("_k.key").orderBy("_k.block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_k", F.last("e", ignorenulls=True).over(earlier)["_v"].alias("_before"))
+    inside = Window.partitionBy("_k").orderBy(ts, "_o", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(known).withColumn("_last", F.last("_v", ignorenulls=True).over(inside)).where("_l is not null")
+    return both.join(ends, "_k").select("_l.*", F.coalesce("_last", "_before").alias(f"last_{value}"))

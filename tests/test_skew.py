@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as tx
 from loomline.operators import corpus, evaluation, retrieval
+from loomline.streaming import streams
 
 
 def stops(values, patience, tolerance=1e-4):
@@ -89,3 +90,30 @@ def test_frequent_terms_are_weighed_like_rare_ones(spark):
         norm = math.sqrt(sum(v * v for v in own.values()) + 1e-12)
         assert all(abs(got.pop((i, t)) - v / norm) < 1e-9 for t, v in own.items())
     assert not got
+
+
+@pytest.mark.parametrize("block", [7, 60, 1_000_000])
+def test_runs_and_asof_cross_blocks(spark, block):
+    r = random.Random(block)
+    log = [(r.choice(["hot", "hot", "hot", "b", None]), r.randint(0, 900), i, r.choice(["x", "x", "x", "y", None])) for i in range(1200)]
+    df = spark.createDataFrame(log, "k string, s long, id long, v string").withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(6)
+    want = []
+    for k in ("hot", "b", None):
+        run = []
+        for row in sorted((x for x in log if x[0] == k), key=lambda x: x[1:3]) + [(k, 0, 0, "end")]:
+            if run and run[-1][3] != row[3]:
+                if len(run) >= 3:
+                    want.append((k, run[0][3], len(run), min(x[2] for x in run)))
+                run = []
+            run.append(row)
+    got = [tuple(x) for x in streams.runs_of(df, "k", ["ts", "id"], "v", 3, block).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+    right = [(r.choice(["hot", "b", "other"]), r.randint(0, 900), r.choice([None, r.randint(0, 9), r.randint(0, 9)])) for _ in range(90)]
+    known = spark.createDataFrame(right, "k string, s long, value int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = {x.id: x.last_value for x in streams.asof(df, known, "k", "ts", "value", block).collect()}
+    assert len(got) == len(log)
+    for k, s, i, _ in log:
+        best = max(((t, v) for kk, t, v in right if kk == k and t <= s and v is not None), default=(0, None))
+        assert got[i] == best[1]
+    assert all(x.last_value is None for x in streams.asof(df, known.limit(0), "k", "ts", "value", block).collect())
