@@ -19,6 +19,8 @@ STOPWORDS = {
 }
 #: Markers of a chat template left in a text.
 ARTEFACTS = r"<\||\[/?INST\]|</?s>|###\s*(Instruction|Response)"
+#: Unicode's space separators, as SQL's trim removes them.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"
 #: Suffixes of the light stemmer, longest families first.
 SUFFIXES = ["mente", "coes", "cao", "oes", "aes", "ais", "eis", "es", "s"]
@@ -104,7 +106,8 @@ def clean_lines(c: Column, least: int = 120) -> Column:
 
 def chunks(c: Column, limit: int = 900, sep: str = "\n\n") -> Column:
     """Paragraphs packed greedily up to `limit` characters; longer ones are cut into slices. An array of texts."""
-    parts = F.filter(F.transform(F.split(c, sep), F.trim), lambda p: p != "")
+    # not F.trim alone: it has a second parameter, which transform would fill with the paragraph's index
+    parts = F.filter(F.transform(F.split(c, sep), lambda p: F.trim(p, F.lit(SPACES))), lambda p: p != "")
     pieces = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / limit).cast("int")), lambda i: F.struct(F.substring(p, i * limit + 1, F.lit(limit)).alias("t"), (F.length(p) > limit).alias("cut")))))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 

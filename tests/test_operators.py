@@ -57,6 +57,12 @@ def test_chunks(spark):
     assert out(df, tx.chunks(F.col("c"), 10)) == [["aaa\n\nbbb", "c" * 10, "c" * 10, "ccccc"], [], ["one"]]
 
 
+def test_chunks_keep_digits_at_the_ends_of_lines(spark):
+    """Line 0 must not lose a 0, nor line 1 a 1; spaces of any kind at a line's ends go."""
+    df = col(spark, "string", ["0 call 4572244787104690\n16.155.205.171\n2 of 2", " a\u00a0 \n\u3000b\n\u2003\nc "])
+    assert out(df, tx.chunks(F.col("c"), 900, "\n")) == [["0 call 4572244787104690\n16.155.205.171\n2 of 2"], ["a\nb\nc"]]
+
+
 def test_split_is_the_number_modulo_ten(spark):
     df = col(spark, "string", ["f784ca375938f8e5", "0000000000000014", "ffffffffffffffff"])
     assert out(df, hashing.is_validation(F.col("c"))) == [int(x, 16) % 10 == 0 for x in ("f784ca375938f8e5", "14", "f" * 16)]
