@@ -9,6 +9,7 @@ import operator
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomline.operators import calculations, cells, chains, decisions, latent, ordering, similarity
@@ -183,6 +184,43 @@ def test_alignment_of_two_vocabularies(spark):
     assert len(got[0].pairs) > 3
 
 
+def test_alignment_takes_few_texts_at_once(spark):
+    """A worker must hold the tokens of few texts: texts of 0.8 MB together are never tokenised in one call."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomline.functions import tokenizers
+
+    seen = []
+    texts = ["word " * 4000, None, "", *["naïve 日本 " * 700] * 80]
+    assert sum(len((t or "").encode()) for t in texts) > 2 * tokenizers.GROUP
+    parts = list(tokenizers._groups([pa.array(texts), pa.array([], pa.string()), pa.array(texts[:3])]))
+    for part, _ in parts:
+        seen.append(sum(len((t or "").encode()) for t in part))
+    assert max(seen) <= tokenizers.GROUP and [t for p, _ in parts for t in p] == texts + texts[:3] and sum(last for _, last in parts) == 3
+    files = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")]
+    got = tokenizers.aligned(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(1), "text", *files, 16).collect()
+    a = Tokenizer.from_file(files[0])
+    for x in got:
+        t = texts[x.id]
+        assert x.left_ids == (None if t is None else a.encode(t[: a.encode(t).offsets[14][1]] if t else "").ids)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= tokenizers.BATCH_ROWS
+
+
+def test_cut_by_a_beginning_equals_cut_by_the_whole():
+    import public_tokenizers
+
+    from loomline.functions import tokenizers
+
+    t = tokenizers._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(3)
+    parts = ["we're ", "they'll", "'", "'v", "e", "   ", "\n\n ", "x" * 50, "12345", "日本", "🙂", " the", "--", "\u00a0", "é"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 120))) for _ in range(1500)] + [None, "", "y" * 5000, " " * 5000, "'re" * 900]
+    assert tokenizers._local(t) and not tokenizers._local(tokenizers._tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    for most in (2, 3, 5, 9):
+        assert tokenizers._cut(t, texts, most, True) == tokenizers._cut(t, texts, most, False)
+
+
 @pytest.mark.parametrize("n_docs, n_terms, k", [(30, 50, 4), (200, 120, 6), (60, 20, 30)])
 def test_latent_vectors_equal_numpy(spark, n_docs, n_terms, k):
     r = np.random.default_rng(n_docs)
