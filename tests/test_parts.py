@@ -1,5 +1,7 @@
 """Pairs, checkpoints, backends, tools, ingest and reminders on small fixtures."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,32 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, similarity.containment_pairs(docs, items).collect())) == [(1, 1), (1, 3), (2, 0)]
 
 
+def test_dense_topk_multiplies_matrices_exactly(spark, monkeypatch):
+    """Ties, copies, nulls, other lengths, NaN: equal to plain sums; and no product is made by a join of rows."""
+    r = np.random.default_rng(5)
+    own = [[float(x) for x in r.integers(-3, 4, 4)] for _ in range(150)] + [[0.25, 0.5, 0.5, 0.5]] * 60 + [list(map(float, r.normal(0, 1, 4))) for _ in range(60)]
+    own += [None, [1.0, None, 0.0, 0.0], [1.0, 2.0], [], [float("nan"), 0.0, 1.0, 0.0], [float("inf"), 1.0, 1.0, 1.0], [1e-5, 0.0, 0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(own)), "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "PRODUCTS", 64)
+    asked = df.where("vec_id % 6 = 0 or vec_id >= 270")
+    for k in (1, 4, 200):
+        got = collections.defaultdict(list)
+        for x in retrieval.dense_topk(asked, df, k).orderBy("q", "rank").collect():
+            got[x.q].append((x.vec_id, None if x.score is None else f"{x.score:.4f}"))
+        for q in (i for i in range(len(own)) if i % 6 == 0 or i >= 270):
+            want = []
+            for v in range(len(own)):
+                a, b = own[q], own[v]
+                if v != q:
+                    ok = a is not None and b is not None and None not in a + b and len(a) == len(b)
+                    want.append((v, sum((x * y for x, y in zip(a, b)), 0.0) if ok else None))
+            want = [(v, None if s is None else round(s, 4) + 0.0) for v, s in want]
+            want.sort(key=lambda x: (x[1] is None, x[1] == x[1], -(x[1] or 0.0), x[0]))
+            assert got[q] == [(v, None if s is None else f"{s:.4f}") for v, s in want[:k]], (q, k)
+    clean = df.where("vec_id < 270")
+    assert "NestedLoop" not in retrieval.dense_topk(clean.where("vec_id % 6 = 0"), clean, 3)._jdf.queryExecution().toString()
+
+
 def test_tools_and_scorers(spark):
     own, other = backends.Tools(), backends.Tools()
     other.add("half", lambda n: 1 / n, {"n": {"type": "number"}}, ["n"])
