@@ -196,3 +196,12 @@ def test_backend_query_equals_brute_force(spark):
     got = catalog.QUERIES["backend_search"](spark, f"{harness.DATA}/sf0.001").collect()
     assert {(r.q, r["rank"]) for r in got} == set(want)
     assert all(abs(r.score - want[r.q, r["rank"]]) < 2e-4 and abs(r.score - scores[qs.index(r.q), ds.index(r.doc_id)]) < 2e-4 for r in got)
+
+
+def test_knn_label_vote_joins_no_queries_with_vectors(spark):
+    import harness
+
+    from loomline.plans import catalog
+
+    plan = catalog.QUERIES["knn_label_vote"](spark, f"{harness.DATA}/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan
