@@ -287,3 +287,24 @@ def test_sparse_topk_equals_plain_cosines(spark):
     got = {(r.q, r.doc_id): r.score for r in retrieval.sparse_topk(frame(asked), frame(texts), 9).collect()}
     want = {(q, d): sum(x * vector(t).get(w, 0) for w, x in vector(a).items()) for q, a in asked.items() for d, t in texts.items()}
     assert {k: v for k, v in got.items()} == pytest.approx({k: round(v, 4) for k, v in want.items() if v > 0}, abs=2e-4)
+
+
+def test_sparse_topk_shuffles_no_terms_of_documents(spark, monkeypatch):
+    """Equal to the joins, with ties, copies, empty texts and blocks of queries; the documents' terms stay where they are read."""
+    words = ["ab", "cd", "é_1", "the", "zz9", "q", "aa", "bb", "cc"]
+    texts = [(i, None if i == 5 else " ".join(words[(i * j + j * j) % 9] for j in range(i % 13)) + (f" only{i}" if i % 4 else "")) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "The AB ab"), (2, "zz9 only7"), (3, "nothing here"), (4, ""), (5, "é_1 cc bb"), (6, "the"), (7, "aa cd")], "doc_id long, text string")
+    rows = lambda d: sorted((r.q, r.rank, r.doc_id, round(r.score, 4)) for r in d.collect())
+    want = rows(retrieval._sparse_joined(asked, docs, 4))
+    made = []
+    joined, keep = retrieval._sparse_joined, cluster.materialize
+    monkeypatch.setattr(retrieval, "_sparse_joined", lambda *a: made.append("joined") or joined(*a))
+    monkeypatch.setattr(cluster, "materialize", lambda d, tag: made.append(tag) or keep(d, tag))
+    found = retrieval.sparse_topk(asked, docs, 4)
+    assert rows(found) == want and len(want) > 15 and "terms" not in made and "joined" not in made
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 4)
+    assert rows(retrieval.sparse_topk(asked, docs, 4)) == want
+    assert "joined" not in made
+    retrieval.sparse_topk(asked, docs.union(docs), 4)
+    assert "joined" in made
