@@ -5,9 +5,8 @@ corpus have ids of their own; the others share one id and are told apart by thei
 its class and its share of the class cost. A network trained in numpy predicts each token from two tokens on its left and
 two on its right: embeddings by position, a tanh layer, a softmax.
 
-The network is of fixed size; what grows with the corpus is the memory. A word is a cell of it if the hash of the two words
-on each side says so (one window in MEMORY_SHARE), and the corpus gives how often each such window and each word in it
-occur. A cell's word is predicted as a whole by the counts without its own occurrence, with the network as the prior of
+The network is of fixed size; what grows with the corpus is the memory. Each word with a word on both sides is a cell of it,
+and the corpus gives how often each window (the two words on each side) and each word in it occur. A cell's word is predicted as a whole by the counts without its own occurrence, with the network as the prior of
 weight PRIOR: (n(word, window) - 1 + PRIOR p) / (n(window) - 1 + PRIOR). A window that occurs once leaves the network's
 probability as it is; a text that the corpus holds twice is recalled. A document's score is the sum of the conditional
 log-probabilities of all its tokens, each given both sides.
@@ -16,7 +15,8 @@ Training sees the whole corpus: every (context, token) pair is counted over all
 context, are dealt to a fixed number of shards. In each round every shard runs minibatch Adam over all its contexts,
 starting from the same weights, and the driver averages the weights by token mass. Shards and weights have a fixed size;
 the counts stay in the shared folder. A context occurs once however often the corpus repeats it, so a round costs no more
-than the number of different contexts. Cells are counted in Spark and looked up by hash, so none of the memory is in one place.
+than the number of different contexts. Cells are dealt by the hash of their window and counted there, each shuffled once, so
+none of the memory is in one place; a window that holds a share HOT_SHARE of all cells is counted in two levels instead.
 
 Defined cases: null and empty texts have 0 tokens, score 0 and a null mean; repeated rows get equal scores (and are each
 other's memory); texts without cells have a null recall; texts over 1 MiB are scored in pieces that end at white space, which
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomline import cluster
 from loomline.llm import _scan
@@ -40,8 +41,10 @@ SHARDS = 12
 ROUNDS = 4
 EPOCHS = 3
 BATCH = 2048
-#: One word window in so many is a memory cell; weight of the network in a cell.
-MEMORY_SHARE, PRIOR = 8, 1.0
+#: One word window in so many is a memory cell: all of them; weight of the network in a cell.
+MEMORY_SHARE, PRIOR = 1, 1.0
+#: A window with this share of the cells is counted in two levels; windows that are counted at once when a task looks for such.
+HOT_SHARE, COUNTED = cluster.HOT_SHARE, 1 << 20
 PIECE = 1 << 20
 
 
@@ -328,7 +331,8 @@ class Scorer:
             window = _scan.mix(window)
             sel = np.zeros(len(ws), bool)
             sel[1:-1] = (piece[1:-1] == piece[:-2]) & (piece[1:-1] == piece[2:])  # with a word on each side
-            sel &= (window >> np.uint64(20)) % np.uint64(MEMORY_SHARE) == 0
+            if MEMORY_SHARE > 1:
+                sel &= (window >> np.uint64(20)) % np.uint64(MEMORY_SHARE) == 0
             return ws[sel], we[sel], window[sel], _scan.mix(window[sel] + h[sel] * np.uint64(0xD1342543DE82EF95))
 
 
@@ -341,9 +345,8 @@ def model_of(docs: DataFrame):
 SCORED = "rid long, doc_id long, n_tokens long, net double, n_cells long, windows array<long>, words array<long>, lps array<float>"
 
 
-def by_network(docs: DataFrame) -> DataFrame:
-    """SCORED: the network's score and the memory cells of each row; rid is a number of the row."""
-    model = docs.sparkSession.sparkContext.broadcast(model_of(docs))
+def _scored_batches(model, make):
+    """From batches of (doc_id, text) to make(rid, doc_id, lengths, net, number of the text, window, word, lp) by batch."""
 
     def run(batches):
         import numpy as np
@@ -354,14 +357,98 @@ def by_network(docs: DataFrame) -> DataFrame:
         for b in _scan.slices(batches):
             raws = [r or b"" for r in b.column(1).cast(pa.binary()).to_pylist()]
             net, (number, win, word, lp) = scorer.score(raws)
-            upto = np.searchsorted(number, np.arange(len(raws) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(v)) for v in (win.view(np.int64), word.view(np.int64), lp.astype(np.float32))]
-            first = pa.array(rid + np.arange(len(raws), dtype=np.int64))
+            first = rid + np.arange(len(raws), dtype=np.int64)
             rid += len(raws)
-            yield pa.RecordBatch.from_arrays([first, b.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(net), pa.array(np.diff(upto).astype(np.int64)), *lists], names=["rid", "doc_id", "n_tokens", "net", "n_cells", "windows", "words", "lps"])
+            yield make(first, b.column(0), np.array([len(r) for r in raws], np.int64), net, number, win.view(np.int64), word.view(np.int64), lp.astype(np.float32))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _scan.over(rows, run, SCORED)
+    return run
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def by_network(docs: DataFrame, model=None, only=None) -> DataFrame:
+    """SCORED: the network's score and the memory cells of each row, or those of the windows `only`; rid is a number of the row."""
+    model = model or docs.sparkSession.sparkContext.broadcast(model_of(docs))
+
+    def make(rid, ids, lens, net, number, win, word, lp):
+        import numpy as np
+        import pyarrow as pa
+
+        if only is not None:
+            number, win, word, lp = (x[at] for at in (np.isin(win, only),) for x in (number, win, word, lp))
+        upto = np.searchsorted(number, np.arange(len(rid) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(v)) for v in (win, word, lp)]
+        return pa.RecordBatch.from_arrays([pa.array(rid), ids, pa.array(lens), pa.array(net), pa.array(np.diff(upto).astype(np.int64)), *lists], names=["rid", "doc_id", "n_tokens", "net", "n_cells", "windows", "words", "lps"])
+
+    return _scan.over(_rows(docs), _scored_batches(model, make), SCORED)
+
+
+def cells_of_rows(docs: DataFrame, model, without) -> DataFrame:
+    """rid, w, k, lp: a row for each cell but those of the windows `without`; and one for each row of docs, with doc_id, n_tokens,
+    net and n_cells (all cells) and a w of its own, so that one pass over the texts gives both."""
+
+    def make(rid, ids, lens, net, number, win, word, lp):
+        import numpy as np
+        import pyarrow as pa
+
+        n = np.bincount(number, minlength=len(rid)).astype(np.int64)
+        if len(without):
+            number, win, word, lp = (x[at] for at in (~np.isin(win, without),) for x in (number, win, word, lp))
+        after = lambda cells, own: pa.concat_arrays([cells, own])
+        none = lambda kind: pa.nulls(len(number), kind)
+        own = pa.array(_scan.mix(rid.view(np.uint64) + np.uint64(_scan.BASE)).view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [after(pa.array(rid[number]), pa.array(rid)), after(pa.array(win), own), after(pa.array(word), own), after(pa.array(lp), pa.nulls(len(rid), pa.float32())),
+             after(none(pa.int64()), ids), after(none(pa.int64()), pa.array(lens)), after(none(pa.float64()), pa.array(net)), after(none(pa.int64()), pa.array(n))],
+            names=["rid", "w", "k", "lp", "doc_id", "n_tokens", "net", "n_cells"])
+
+    return _scan.over(_rows(docs), _scored_batches(model, make), "rid long, w long, k long, lp float, doc_id long, n_tokens long, net double, n_cells long")
+
+
+def _frequent_batches(batches):
+    """Windows with a share HOT_SHARE of COUNTED cells of a task, or of its last ones; a null window has the number of all."""
+    import numpy as np
+    import pyarrow as pa
+
+    scorer, held, size = Scorer([1] * 256, [0.0] * 256, None), [], 0
+
+    def found():
+        windows, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= max(2, int(size * HOT_SHARE))
+        return pa.RecordBatch.from_arrays([pa.array([None, *windows[often].view(np.int64).tolist()], pa.int64()), pa.array([size, *n[often].tolist()], pa.int64())], names=["w", "n"])
+
+    for b in _scan.slices(batches):
+        pieces = [p for _, p in _pieces([r or b"" for r in b.column(0).cast(pa.binary()).to_pylist()])]
+        for at in _scan.groups(pieces, 1 << 20):
+            own = [pieces[i] for i in at]
+            _, starts, _, real = _tokens(own, scorer.ids)
+            raw = _scan.lower(np.frombuffer(b"\0\0" + b"".join(r + b"\0\0" for r in own), np.uint8))
+            held.append(scorer.memory(raw, real, starts)[2])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield found()
+                held, size = [], 0
+    if size:
+        yield found()
+
+
+def frequent_windows(docs: DataFrame):
+    """The windows that hold a share HOT_SHARE of all cells, at most 1 / HOT_SHARE: with twice that share none is missed, as a
+    window is left out only where it has less than the share."""
+    import numpy as np
+
+    counts = cluster.materialize(_scan.over(docs.select("text"), _frequent_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
+    total = (counts.where("w is null").select("n").first() or [0])[0]
+    hot = counts.where(F.col("w").isNotNull() & (F.col("n") >= max(2, total * HOT_SHARE))).select("w").collect()
+    return np.array(sorted(r.w for r in hot), np.int64)
+
+
+def _gain(n, all, lp):
+    """What the memory adds to a cell's log-probability."""
+    own = F.when(n > 1, F.log(n - 1 + PRIOR * F.exp(lp))).otherwise(F.lit(_log(PRIOR)) + lp)
+    return own - F.log(all - 1 + PRIOR) - lp
 
 
 def recalled(scored: DataFrame) -> DataFrame:
@@ -374,9 +461,7 @@ def recalled(scored: DataFrame) -> DataFrame:
     repeated = cluster.materialize(words.join(windows, "w").select("k", "n", F.col("n").alias("uses"), "all"), "repeated")
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = cluster.lookup(cells.select("rid", "k", "lp"), repeated, "k", "uses", max(total, 1), F.col("rid")).where("n is not null")
-    own = F.when(F.col("n") > 1, F.log(F.col("n") - 1 + PRIOR * F.exp("lp"))).otherwise(F.lit(_log(PRIOR)) + F.col("lp"))
-    gain = own - F.log(F.col("all") - 1 + PRIOR) - F.col("lp")
-    return met.groupBy("rid").agg(F.sum(gain).alias("gain"), F.sum((F.col("n") > 1).cast("long")).alias("known"))
+    return met.groupBy("rid").agg(F.sum(_gain(F.col("n"), F.col("all"), F.col("lp"))).alias("gain"), F.sum((F.col("n") > 1).cast("long")).alias("known"))
 
 
 def _log(x: float) -> float:
@@ -388,9 +473,17 @@ def _log(x: float) -> float:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pll (summed conditional log-probabilities, natural log), pll_per_token, net_per_token (by the
     network alone) and recall (share of the memory cells that the rest of the corpus has) of each row."""
-    scored = cluster.materialize(by_network(docs), "scored")
-    gains = recalled(scored)
-    own = scored.select("rid", "doc_id", "n_tokens", "net", "n_cells").join(gains, "rid", "left")
+    model, hot = docs.sparkSession.sparkContext.broadcast(model_of(docs)), frequent_windows(docs)
+    cells = cells_of_rows(docs, model, hot).repartition("w")
+    met = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("w", "k"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("w")))
+    of_row = ["doc_id", "n_tokens", "net", "n_cells"]
+    met = met.where(F.col("n_tokens").isNotNull() | (F.col("all") > 1))
+    gain, known = F.when(F.col("lp").isNotNull(), _gain(F.col("n"), F.col("all"), F.col("lp"))), F.when(F.col("lp").isNotNull(), (F.col("n") > 1).cast("long"))
+    own = met.select("rid", gain.alias("gain"), known.alias("known"), *of_row).groupBy("rid").agg(F.sum("gain").alias("gain"), F.sum("known").alias("known"), *[F.max(c).alias(c) for c in of_row])
+    if len(hot):  # their cells are counted apart, in two levels
+        more = recalled(cluster.materialize(by_network(docs, model, hot), "scored")).select("rid", F.col("gain").alias("hot_gain"), F.col("known").alias("hot_known"))
+        both = lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+        own = own.join(more, "rid", "left").withColumns({"gain": both(F.col("gain"), F.col("hot_gain")), "known": both(F.col("known"), F.col("hot_known"))})
     pll = F.col("net") + F.coalesce("gain", F.lit(0.0))
     per = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
     recall = F.when(F.col("n_cells") > 0, F.coalesce("known", F.lit(0)) / F.col("n_cells"))

@@ -86,6 +86,31 @@ def test_op1_memory_equals_brute_force(spark, monkeypatch):
         assert abs((got.gain if got else 0) - want) < 1e-3 * max(1, abs(want)) and (got.known if got else 0) == known
 
 
+def test_op1_memory_looks_at_every_window(spark, monkeypatch):
+    """recall and score from the windows of all words, also of windows that many rows hold."""
+    import math
+    import random
+
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice("one two three four five".split()) for _ in range(r.randint(0, 12)))) for i in range(150)] + [(500 + i, "always the same very common line") for i in range(80)] + [(None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    cells = [(d, cells_of(t or "")) for d, t in docs]
+    both, windows = collections.Counter(c for _, v in cells for c in v), collections.Counter(c[0] for _, v in cells for c in v)
+    model = lmscore.model_of(df)
+    monkeypatch.setattr(lmscore, "model_of", lambda docs: model)
+    lps = {x.doc_id: (x.net, x.lps) for x in lmscore.by_network(df).collect()}
+    for share in (1 / 1000, 1 / 20, 1.0):  # all windows counted in two levels, some, none
+        monkeypatch.setattr(lmscore, "HOT_SHARE", share)
+        got = {x.doc_id: x for x in lmscore.score(df).collect()}
+        assert len(got) == len(docs)
+        for d, own in cells:
+            net, lp = lps[d]
+            known = sum(both[c] > 1 for c in own)
+            assert len(lp) == len(own) and got[d].recall == (known / len(own) if own else None)
+            want = net + sum(math.log(both[c] - 1 + lmscore.PRIOR * math.exp(p)) - math.log(windows[c[0]] - 1 + lmscore.PRIOR) - p for c, p in zip(own, lp) if windows[c[0]] > 1)
+            assert abs(got[d].pll - want) < 1e-3 * max(1, abs(want))
+
+
 def test_op1_scores_documents_that_occur_twice_apart(spark):
     import random
 
