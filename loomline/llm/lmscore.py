@@ -16,7 +16,9 @@ context, are dealt to a fixed number of shards. In each round every shard runs m
 starting from the same weights, and the driver averages the weights by token mass. Shards and weights have a fixed size;
 the counts stay in the shared folder. A context occurs once however often the corpus repeats it, so a round costs no more
 than the number of different contexts. Cells are dealt by the hash of their window and counted there, each shuffled once, so
-none of the memory is in one place; a window that holds a share HOT_SHARE of all cells is counted in two levels instead.
+none of the memory is in one place; a window that holds a share HOT_SHARE of all cells is counted in two levels instead. The
+windows come in PASSES parts by their hash, a pass over the texts each, and a part's shuffle files go before the next part
+is dealt: all cells are counted, but never lie on disk at once.
 
 Defined cases: null and empty texts have 0 tokens, score 0 and a null mean; repeated rows get equal scores (and are each
 other's memory); texts without cells have a null recall; texts over 1 MiB are scored in pieces that end at white space, which
@@ -25,6 +27,8 @@ do not see each other; an empty table gives an empty result; only doc_id and tex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +47,8 @@ EPOCHS = 3
 BATCH = 2048
 #: One word window in so many is a memory cell: all of them; weight of the network in a cell.
 MEMORY_SHARE, PRIOR = 1, 1.0
+#: Passes over the texts, each with the cells of one part of the windows.
+PASSES = 2
 #: A window with this share of the cells is counted in two levels; windows that are counted at once when a task looks for such.
 HOT_SHARE, COUNTED = cluster.HOT_SHARE, 1 << 20
 PIECE = 1 << 20
@@ -281,9 +287,10 @@ class Scorer:
             self.slot[part] = np.arange(self.used, self.used + len(part), dtype=np.int32)
             self.used += len(part)
 
-    def score(self, raws: list[bytes]):
+    def score(self, raws: list[bytes], part: int = 0, parts: int = 1):
         """Summed log-probabilities by the network of all tokens of each text; memory cells in order: number of the text,
-        hash of the window, hash of window and word, log-probability of the word."""
+        hash of the window, hash of window and word, log-probability of the word. With parts, the cells of a part of the
+        windows; the network then looks at all tokens for part 0, for the others only at the tokens of their cells."""
         import numpy as np
 
         out, cells = np.zeros(len(raws)), [[] for _ in range(4)]
@@ -292,19 +299,28 @@ class Scorer:
             own = [pieces[i][1] for i in at]
             number = np.array([pieces[i][0] for i in at])
             x, starts, lens, real = _tokens(own, self.ids)
-            ctx = _codes(x)
+            raw = _scan.lower(np.frombuffer(b"\0\0" + b"".join(r + b"\0\0" for r in own), np.uint8))
+            ws, we, win, word = self.memory(raw, real, starts)
+            looked = real[2:-2]
+            if parts > 1:
+                mine = (win >> np.uint64(20)) % np.uint64(parts) == part
+                ws, we, win, word = ws[mine], we[mine], win[mine], word[mine]
+            if part:
+                looked = np.zeros(len(looked) + 1, np.int8)
+                looked[ws - 2] = 1
+                looked[we - 2] -= 1
+                looked = np.cumsum(looked[:-1], dtype=np.int8) > 0
+            ctx, tok = _codes(x), x[2:-2]
             got = np.zeros(len(ctx), np.float32)
             for s in range(0, len(ctx), 1 << 20):
-                part = ctx[s : s + (1 << 20)]
-                if (self.slot[part] < 0).any():
-                    self._learn(np.unique(part[self.slot[part] < 0]))
-                    if (self.slot[part] < 0).any():
-                        self._learn(np.unique(part))  # the table was cleared
-                got[s : s + len(part)] = self.rows[self.slot[part], x[2:-2][s : s + len(part)]]
-            raw = _scan.lower(np.frombuffer(b"\0\0" + b"".join(r + b"\0\0" for r in own), np.uint8))
-            got = np.where(real[2:-2], got + self.within[raw[2:-2]], 0)
+                at = s + np.flatnonzero(looked[s : s + (1 << 20)])
+                now = ctx[at]
+                if (self.slot[now] < 0).any():
+                    self._learn(np.unique(now[self.slot[now] < 0]))
+                    if (self.slot[now] < 0).any():
+                        self._learn(np.unique(now))  # the table was cleared
+                got[at] = self.rows[self.slot[now], tok[at]] + self.within[raw[2:-2][at]]
             out += np.bincount(number, np.add.reduceat(got, starts - 2, dtype=np.float64), len(raws))
-            ws, we, win, word = self.memory(raw, real, starts)
             if len(ws):
                 edges = np.stack([ws - 2, we - 2], axis=1).ravel()
                 sums = np.add.reduceat(np.append(got, 0), edges, dtype=np.float64)[::2]
@@ -345,7 +361,7 @@ def model_of(docs: DataFrame):
 SCORED = "rid long, doc_id long, n_tokens long, net double, n_cells long, windows array<long>, words array<long>, lps array<float>"
 
 
-def _scored_batches(model, make):
+def _scored_batches(model, make, part: int = 0, parts: int = 1):
     """From batches of (doc_id, text) to make(rid, doc_id, lengths, net, number of the text, window, word, lp) by batch."""
 
     def run(batches):
@@ -356,7 +372,7 @@ def _scored_batches(model, make):
         scorer, rid = Scorer(*model.value), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for b in _scan.slices(batches):
             raws = [r or b"" for r in b.column(1).cast(pa.binary()).to_pylist()]
-            net, (number, win, word, lp) = scorer.score(raws)
+            net, (number, win, word, lp) = scorer.score(raws, part, parts)
             first = rid + np.arange(len(raws), dtype=np.int64)
             rid += len(raws)
             yield make(first, b.column(0), np.array([len(r) for r in raws], np.int64), net, number, win.view(np.int64), word.view(np.int64), lp.astype(np.float32))
@@ -385,9 +401,10 @@ def by_network(docs: DataFrame, model=None, only=None) -> DataFrame:
     return _scan.over(_rows(docs), _scored_batches(model, make), SCORED)
 
 
-def cells_of_rows(docs: DataFrame, model, without) -> DataFrame:
-    """rid, w, k, lp: a row for each cell but those of the windows `without`; and one for each row of docs, with doc_id, n_tokens,
-    net and n_cells (all cells) and a w of its own, so that one pass over the texts gives both."""
+def cells_of_rows(docs: DataFrame, model, without, part: int = 0, parts: int = 1) -> DataFrame:
+    """rid, w, k (32 bits, apart within a window), lp: a row for each cell of a part of the windows, but those of the windows
+    `without`; with part 0 also one for each row of docs, with a w of its own and doc_id, n_tokens and net in `own`, so that a
+    pass gives both. Each part has in `n_cells`, once a row of docs that has any, how many of its cells are of the part."""
 
     def make(rid, ids, lens, net, number, win, word, lp):
         import numpy as np
@@ -397,14 +414,18 @@ def cells_of_rows(docs: DataFrame, model, without) -> DataFrame:
         if len(without):
             number, win, word, lp = (x[at] for at in (~np.isin(win, without),) for x in (number, win, word, lp))
         after = lambda cells, own: pa.concat_arrays([cells, own])
-        none = lambda kind: pa.nulls(len(number), kind)
-        own = pa.array(_scan.mix(rid.view(np.uint64) + np.uint64(_scan.BASE)).view(np.int64))
+        some = np.flatnonzero(n) if part else np.arange(len(rid))
+        w = _scan.mix(rid[some].view(np.uint64) + np.uint64(_scan.BASE)).view(np.int64)
+        row = pa.StructArray.from_arrays([ids.take(pa.array(some)), pa.array(lens[some]), pa.array(net[some]), pa.array(n[some])], fields=list(kind))
         return pa.RecordBatch.from_arrays(
-            [after(pa.array(rid[number]), pa.array(rid)), after(pa.array(win), own), after(pa.array(word), own), after(pa.array(lp), pa.nulls(len(rid), pa.float32())),
-             after(none(pa.int64()), ids), after(none(pa.int64()), pa.array(lens)), after(none(pa.float64()), pa.array(net)), after(none(pa.int64()), pa.array(n))],
-            names=["rid", "w", "k", "lp", "doc_id", "n_tokens", "net", "n_cells"])
+            [after(pa.array(rid[number]), pa.array(rid[some])), after(pa.array(win), pa.array(w)), after(pa.array((word >> 32).astype(np.int32)), pa.array(np.zeros(len(w), np.int32))),
+             after(pa.array(lp), pa.nulls(len(w), pa.float32())), after(pa.nulls(len(number), kind), row)],
+            names=["rid", "w", "k", "lp", "own"])
 
-    return _scan.over(_rows(docs), _scored_batches(model, make), "rid long, w long, k long, lp float, doc_id long, n_tokens long, net double, n_cells long")
+    import pyarrow as pa
+
+    kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("net", pa.float64()), ("n_cells", pa.int64())])
+    return _scan.over(_rows(docs), _scored_batches(model, make, part, parts), "rid long, w long, k int, lp float, own struct<doc_id: long, n_tokens: long, net: double, n_cells: long>")
 
 
 def _frequent_batches(batches):
@@ -470,16 +491,25 @@ def _log(x: float) -> float:
     return math.log(x)
 
 
+def _by_row(met: DataFrame) -> DataFrame:
+    return met.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("gain", "known", "n_cells")], *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "net")])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pll (summed conditional log-probabilities, natural log), pll_per_token, net_per_token (by the
     network alone) and recall (share of the memory cells that the rest of the corpus has) of each row."""
     model, hot = docs.sparkSession.sparkContext.broadcast(model_of(docs)), frequent_windows(docs)
-    cells = cells_of_rows(docs, model, hot).repartition("w")
-    met = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("w", "k"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("w")))
-    of_row = ["doc_id", "n_tokens", "net", "n_cells"]
-    met = met.where(F.col("n_tokens").isNotNull() | (F.col("all") > 1))
-    gain, known = F.when(F.col("lp").isNotNull(), _gain(F.col("n"), F.col("all"), F.col("lp"))), F.when(F.col("lp").isNotNull(), (F.col("n") > 1).cast("long"))
-    own = met.select("rid", gain.alias("gain"), known.alias("known"), *of_row).groupBy("rid").agg(F.sum("gain").alias("gain"), F.sum("known").alias("known"), *[F.max(c).alias(c) for c in of_row])
+    parts = []
+    for part in range(PASSES):
+        cells = cells_of_rows(docs, model, hot, part, PASSES).repartition("w")
+        met = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("w", "k"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("w")))
+        met = met.where(F.col("own").isNotNull() | (F.col("all") > 1))
+        gain, known = F.when(F.col("lp").isNotNull(), _gain(F.col("n"), F.col("all"), F.col("lp"))), F.when(F.col("lp").isNotNull(), (F.col("n") > 1).cast("long"))
+        # what a row itself has comes with part 0; its cells are counted in each part
+        of_row = [(F.col(f"own.{c}") if not part else F.lit(None).cast(t)).alias(c) for c, t in (("doc_id", "long"), ("n_tokens", "long"), ("net", "double"))]
+        met = met.select("rid", gain.alias("gain"), known.alias("known"), F.col("own.n_cells").alias("n_cells"), *of_row)
+        parts.append(cluster.materialize(_by_row(met), "part", free=True))
+    own = _by_row(reduce(DataFrame.unionByName, parts))
     if len(hot):  # their cells are counted apart, in two levels
         more = recalled(cluster.materialize(by_network(docs, model, hot), "scored")).select("rid", F.col("gain").alias("hot_gain"), F.col("known").alias("hot_known"))
         both = lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))

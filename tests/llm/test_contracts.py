@@ -111,6 +111,30 @@ def test_op1_memory_looks_at_every_window(spark, monkeypatch):
             assert abs(got[d].pll - want) < 1e-3 * max(1, abs(want))
 
 
+def test_op1_cells_come_in_parts_and_leave_no_shuffle_files(spark):
+    """The parts hold each cell once, each about as many; a part's shuffle files go when it is written."""
+    import random
+    import time
+
+    from loomline import cluster
+
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 300)}" for _ in range(40))) for i in range(200)], "doc_id long, text string")
+    model = spark.sparkContext.broadcast(lmscore.model_of(df))
+    take = lambda k, n: collections.Counter((x.rid, x.w, x.k) for x in lmscore.cells_of_rows(df, model, np.zeros(0, np.int64), k, n).where("own is null").collect())
+    parts = [take(k, lmscore.PASSES) for k in range(lmscore.PASSES)]
+    assert sum(parts, collections.Counter()) == take(0, 1)
+    assert len(parts) > 1 and all(0.8 < len(parts) * p.total() / (200 * 38) < 1.2 for p in parts)
+
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",") if "shuffle_" in f}
+    old, was = files(), spark.conf.get(cluster.FREE, None)
+    freed = cluster.materialize(spark.range(9999).repartition(3, "id"), "freed", free=True)
+    until = time.time() + 20
+    while files() - old and time.time() < until:  # they go soon after
+        time.sleep(0.1)
+    assert not files() - old and freed.count() == 9999 and spark.conf.get(cluster.FREE, None) == was
+
+
 def test_op1_scores_documents_that_occur_twice_apart(spark):
     import random
 
