@@ -9,9 +9,10 @@ A grid cell with more than CELL fingerprints is not expanded into pairs. Its mem
 each fingerprint names the 65 values within one bit of it, and two fingerprints share such a value if and only if they
 differ in 2 bits or fewer. A value has at most 65 fingerprints, so the work stays proportional to the fingerprints.
 
-The pipeline stage looks wider: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more differ in
-9.7 bits of 64 on average, in up to 18 (one in 200), and no grid of fingerprints is selective at such a radius. Its
-candidates share a band of minima of the shingle hashes instead, and the similarity of each pair is counted from the sets.
+The pipeline stage takes its first candidates from the same fingerprints, grid and links, checks each by the sets of five-word
+shingles and keeps one text of each group. It then looks wider: texts whose sets have a Jaccard similarity of 0.8 or more
+differ in 9.7 bits of 64 on average, in up to 18 (one in 200), and no grid of fingerprints is selective at such a radius. So
+texts that stay and share a band of minima of the shingle hashes are candidates too, and checked in the same way.
 
 Defined cases: null or empty text and text without a word have fingerprint 0, which links like any other, and
 are copies of each other in the stage; repeated rows
@@ -261,11 +262,13 @@ def _sketch_batches(batches):
     import numpy as np
     import pyarrow as pa
 
-    shingler, names = Shingler(), ["doc_id", "tk", "key", "full", *[f"b{i}" for i in range(BANDS)]]
+    shingler, names = Shingler(), ["doc_id", "tk", "key", "full", "fp", *[f"b{i}" for i in range(BANDS)]]
     for b in _scan.slices(batches):
-        keys, shingles, bounds = shingler([r or b"" for r in b.column(2).cast(pa.binary()).to_pylist()])
+        raws = [r or b"" for r in b.column(2).cast(pa.binary()).to_pylist()]
+        keys, shingles, bounds = shingler(raws)
+        fps = np.fromiter((fingerprint(r) for r in raws), np.uint64, len(raws)).view(np.int64)
         bands = band_keys(shingles, bounds).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), pa.array(np.diff(bounds) > 0), *[pa.array(bands[:, i]) for i in range(BANDS)]], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), pa.array(np.diff(bounds) > 0), pa.array(fps), *[pa.array(bands[:, i]) for i in range(BANDS)]], names=names)
 
 
 def _set_batches(batches):
@@ -295,12 +298,33 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return close.where(both >= SIMILARITY * (most + least - both)).select("u", "v")
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """Candidates u, v among the keys of distinct (key, rep, fp): the first key of a fingerprint with its other keys and with the
+    first keys of the fingerprints that links() names."""
+    first = distinct.groupBy("fp").agg(F.min(F.struct("rep", "key")).alias("o"), F.count(F.lit(1)).alias("uses"))
+    first = cluster.materialize(first.select("fp", F.col("o.key").alias("u"), "uses"), "prints")
+    n = first.count()
+    shared = first.where("uses > 1")
+    own = cluster.lookup(distinct.select("key", "fp"), shared, "fp", "uses", distinct.count(), F.col("key")).where("u <> key").select("u", F.col("key").alias("v"))
+    near = links(first.select("fp"), n).select(F.col("u").alias("fu"), F.col("v").alias("fv"))
+    near = near.join(first.select(F.col("fp").alias("fu"), "u"), "fu").join(first.select(F.col("fp").alias("fv"), F.col("u").alias("v")), "fv")
+    return own.unionByName(near.select("u", "v"))
+
+
+def followers(labels: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The keys of labels that are not the first of their group."""
+    reps = labels.join(distinct.select("key", "rep"), labels.node == F.col("key")).select("label", F.struct("rep", "key").alias("o"))
+    heads = reps.groupBy("label").agg(F.min("o").alias("o"))
+    return labels.select(F.col("node").alias("key")).join(heads.select(F.col("o.key").alias("key")), "key", "left_anti")
+
+
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and groups by Jaccard similarity of WORDS-word shingles. rows: doc_id, tk (hash of the text), key (hash of the
     words) and copies, one for each distinct (doc_id, tk). groups: key and label, one key of the group, for the keys that
     are similar to another one.
 
-    Keys that share a band are candidates, and each pair is checked by its sets. In each round the first keys of a band's
+    Keys whose fingerprints are within RADIUS are candidates first, then those that share a band; each pair is checked by its
+    sets. Of the groups that fingerprints give only the first key goes on to the bands. There, in each round the first keys of a band's
     cell (by least doc_id) are compared with all others in it and then leave the cell; of each group only the first key
     goes on, with four times as many leaders. Before each further round the keys that have too few shingles in common with
     all others together go, and pairs that could not have enough are not formed. Rounds end when no pair is left: then all
@@ -308,22 +332,29 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     similar, and each that goes is similar to another one; a group that only later keys hold together may stay as several."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
     bands = [f"b{i}" for i in range(BANDS)]
-    sketches = cluster.materialize(_scan.over(texts, _sketch_batches, "doc_id long, tk long, key long, full boolean, " + ", ".join(f"{b} long" for b in bands)), "sketches")
+    sketches = cluster.materialize(_scan.over(texts, _sketch_batches, "doc_id long, tk long, key long, full boolean, fp long, " + ", ".join(f"{b} long" for b in bands)), "sketches")
     rows = cluster.materialize(sketches.groupBy("doc_id", "tk", "key").agg(F.count(F.lit(1)).alias("copies")), "identities")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    distinct = cluster.materialize(sketches.where("full").groupBy("key").agg(F.min(order).alias("rep"), *[F.min(b).alias(b) for b in bands]), "distinct")
+    distinct = cluster.materialize(sketches.where("full").groupBy("key").agg(F.min(order).alias("rep"), F.min("fp").alias("fp"), *[F.min(b).alias(b) for b in bands]), "distinct")
     n_keys = distinct.count()
     cells = distinct.select("key", F.explode(F.array(*bands)).alias("cell"))
     shared = cluster.materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("cell"), "shared")
     full = distinct.select("key", "rep", F.explode(F.array(*bands)).alias("cell"))
     cells = cluster.materialize(full.join(cluster.small(shared, BROADCAST_KEYS), "cell", "left_semi"), "cells")
-    # one text of each key in a shared cell
-    wanted = rows.groupBy("key").agg(F.min(F.struct("tk", "doc_id")).alias("one")).join(cells.select("key").distinct(), "key", "left_semi")
+    close = cluster.materialize(fingerprint_pairs(distinct.select("key", "rep", "fp")), "close")
+    # one text of each key in a shared cell or with a candidate by fingerprints
+    asked = cells.select("key").union(close.select("u")).union(close.select("v")).distinct()
+    wanted = rows.groupBy("key").agg(F.min(F.struct("tk", "doc_id")).alias("one")).join(asked, "key", "left_semi")
     wanted = cluster.materialize(wanted.select(F.col("one.tk").alias("wtk"), F.col("one.doc_id").alias("wid")), "wanted")
     chosen = texts.join(cluster.small(wanted, BROADCAST_KEYS), (F.col("tk") == F.col("wtk")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
     sets = cluster.materialize(_scan.over(chosen.select("text"), _set_batches, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
     cluster.drop(sketches, shared, wanted)
     edges, labels, leaders = None, None, 1
+    alike = cluster.materialize(similar(close, sets), "alike")
+    if alike.limit(1).count():
+        edges, labels = alike, components(alike, n_keys)
+        cells = cluster.materialize(cells.join(followers(labels, distinct), "key", "left_anti"), "cells")
+    cluster.drop(close)
     cells = cells.select("cell", "key", F.struct("rep", "key").alias("o"), F.lit(0).alias("n"), F.lit(0).alias("m"))
     while True:
         sizes = cluster.materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
@@ -348,10 +379,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # what goes on: the first key of each group, in the cells where it has led no comparison
         left = cells.select("cell", "key", "o")
         if found:
-            reps = labels.join(distinct.select("key", "rep"), labels.node == F.col("key")).select("label", F.struct("rep", "key").alias("o"))
-            heads = reps.groupBy("label").agg(F.min("o").alias("o"))
-            gone = labels.select(F.col("node").alias("key")).join(heads.select(F.col("o.key").alias("key")), "key", "left_anti")
-            left = left.join(gone, "key", "left_anti")
+            left = left.join(followers(labels, distinct), "key", "left_anti")
         led = first.select("cell", F.explode("first.o.key").alias("key"))
         left = left.join(led, ["cell", "key"], "left_anti")
         left = cluster.materialize(left, "left")

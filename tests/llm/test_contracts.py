@@ -845,6 +845,29 @@ def test_near_dedup_of_a_family_of_texts_in_between(spark):
     assert all(any(alike(a, b) for b in sets if b != a) for a in set(sets) - kept)
 
 
+def test_near_dedup_finds_what_fingerprints_link_and_checks_it(spark, monkeypatch):
+    """With bands that no two texts share, copies with close fingerprints are found; close fingerprints alone are not enough."""
+    import random
+
+    def apart(shingles, bounds):
+        return np.random.default_rng().integers(1, 1 << 63, (len(bounds) - 1, 24), np.uint64)
+
+    monkeypatch.setattr(simhash, "band_keys", apart)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(4))
+    rows, links = [], 0
+    for i in range(40):
+        w = [word() for _ in range(600)]
+        copy = [*w[:-1], word()]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+        links += bin(simhash.fingerprint(rows[-1][1].encode()) ^ simhash.fingerprint(rows[-2][1].encode())).count("1") <= simhash.RADIUS
+    same = "one two three " * 100
+    other = [(500 + i, same + " ".join(word() for _ in range(30))) for i in range(2)]
+    assert links > 20 and len({simhash.fingerprint(t.encode()) for _, t in other}) == 1
+    left = {x.doc_id for x in simhash.stage(spark, spark.createDataFrame(rows + other, "doc_id long, text string"), "").select("doc_id").collect()}
+    assert {2 * i for i in range(40)} | {500, 501} <= left and len(left) == 82 - links
+
+
 def test_near_dedup_keeps_texts_that_share_or_lack_an_id(spark):
     texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in ("x", "y", "z", "n", "m", "o")}
     rows = [(3, texts["x"]), (5, texts["x"]), (5, texts["y"]), (8, texts["z"]), (None, texts["n"]), (None, texts["m"]), (None, texts["o"]), (8, texts["z"])]
