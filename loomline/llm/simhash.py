@@ -43,6 +43,8 @@ SEED = 42
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Cells, candidates or decisions (under 50 bytes each) that are broadcast at most.
 BROADCAST_KEYS = 300_000
+#: Nodes with their labels, fingerprints with their keys or heads of groups (about 100 bytes each) that are broadcast at most.
+BROADCAST_NODES = 100_000
 
 
 def fingerprint(raw: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
@@ -128,19 +130,31 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 
 def components(edges: DataFrame, total: int) -> DataFrame:
     """node and label, its component's smallest node, for the nodes of the links u, v. Each round takes the least label of
-    the neighbours and then the label's own label; rounds end when nothing changes."""
+    the neighbours and, if any changed, then the label's own label; a round in which no neighbour has a smaller one is the
+    last. Few nodes are broadcast, so that a round is one shuffle."""
     both = cluster.materialize(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
-    state = cluster.materialize(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    state = last = cluster.materialize(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    few = state.count() <= BROADCAST_NODES
     while True:
-        least = both.join(state, both.u == state.node).groupBy(F.col("v").alias("dst")).agg(F.min("label").alias("m"))
-        hooked = cluster.materialize(state.join(least, state.node == least.dst).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label")), "hooked")
-        uses = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("uses"))
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("up")).join(uses, "label")
-        jumped = cluster.lookup(hooked, jump, "label", "uses", total, F.col("node"))
-        new = cluster.materialize(jumped.select("node", "was", F.least("label", "up").alias("label")), "labels")
-        if not new.where("label < was").limit(1).count():
-            return new.select("node", "label")
-        state = new.select("node", "label")
+        known = F.broadcast(state) if few else state
+        least = both.join(known, F.col("u") == F.col("node")).groupBy(F.col("v").alias("dst")).agg(F.min("label").alias("m"))
+        hooked = cluster.materialize(least.join(known, F.col("dst") == F.col("node")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label")), "hooked")
+        cluster.drop(last)
+        if not hooked.where("label < was").limit(1).count():
+            cluster.drop(both)
+            return hooked.select("node", "label")
+        # labels that have a smaller one themselves
+        jump = hooked.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("up"))
+        if few:
+            jumped = hooked.join(F.broadcast(jump), "label", "left")
+        else:
+            uses = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("uses"))
+            jumped = cluster.lookup(hooked, jump.join(uses, "label"), "label", "uses", total, F.col("node"))
+        state = jumped.select("node", F.coalesce("up", "label").alias("label"))
+        last = hooked
+        if not few:
+            state = last = cluster.materialize(state, "labels")
+            cluster.drop(hooked)
 
 
 def _named(own: DataFrame, distinct: DataFrame, labels: DataFrame, n: int, key: str) -> DataFrame:
@@ -286,12 +300,15 @@ def _set_batches(batches):
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs u, v of keys whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    """The pairs u, v of (rep, key) whose keys' shingle sets have a Jaccard similarity of SIMILARITY or more. A set is shuffled
+    once for both sides."""
     total = pairs.count()
+    uses = pairs.select(F.explode(F.array("u.key", "v.key")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    uses = cluster.materialize(uses, "uses")
+    dim = sets.join(cluster.small(uses, BROADCAST_KEYS), "key").select("key", "uses", "shingles")
     for side in ("u", "v"):
-        uses = pairs.groupBy(F.col(side).alias("key")).agg(F.count(F.lit(1)).alias("uses"))
-        dim = sets.join(uses, "key").select(F.col("key").alias(side), "uses", F.col("shingles").alias(f"s{side}"))
-        pairs = cluster.lookup(pairs, dim, side, "uses", total, F.col("v" if side == "u" else "u"))
+        pairs = cluster.lookup(pairs.withColumn("key", F.col(f"{side}.key")), dim, "key", "uses", total, F.col("v" if side == "u" else "u"))
+        pairs = pairs.drop("key").withColumnRenamed("shingles", f"s{side}")
     both = F.size(F.array_intersect("su", "sv"))
     most, least = F.greatest(F.size("su"), F.size("sv")), F.least(F.size("su"), F.size("sv"))
     close = pairs.where(least >= SIMILARITY * most)
@@ -299,23 +316,26 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
-    """Candidates u, v among the keys of distinct (key, rep, fp): the first key of a fingerprint with its other keys and with the
-    first keys of the fingerprints that links() names."""
-    first = distinct.groupBy("fp").agg(F.min(F.struct("rep", "key")).alias("o"), F.count(F.lit(1)).alias("uses"))
-    first = cluster.materialize(first.select("fp", F.col("o.key").alias("u"), "uses"), "prints")
-    n = first.count()
+    """Candidates u < v among the (rep, key) of distinct (key, rep, fp): the first of a fingerprint with its others and with the
+    first of the fingerprints that links() names."""
+    all = distinct.select("fp", F.struct("rep", "key").alias("v"))
+    first = cluster.materialize(all.groupBy("fp").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("uses")), "prints")
+    n, several = first.agg(F.count(F.lit(1)), F.count_if(F.col("uses") > 1)).first()
     shared = first.where("uses > 1")
-    own = cluster.lookup(distinct.select("key", "fp"), shared, "fp", "uses", distinct.count(), F.col("key")).where("u <> key").select("u", F.col("key").alias("v"))
-    near = links(first.select("fp"), n).select(F.col("u").alias("fu"), F.col("v").alias("fv"))
-    near = near.join(first.select(F.col("fp").alias("fu"), "u"), "fu").join(first.select(F.col("fp").alias("fv"), F.col("u").alias("v")), "fv")
-    return own.unionByName(near.select("u", "v"))
-
-
-def followers(labels: DataFrame, distinct: DataFrame) -> DataFrame:
+    if several <= BROADCAST_NODES:
+        own = all.join(F.broadcast(shared.select("fp", "u")), "fp")
+    else:
+        own = cluster.lookup(all, shared, "fp", "uses", distinct.count(), F.col("v"))
+    near = cluster.materialize(links(first.select("fp"), n).select(F.col("u").alias("fu"), F.col("v").alias("fv")), "near")
+    sent = F.broadcast if near.count() <= BROADCAST_NODES else lambda d: d
+    near = first.select(F.col("fp").alias("fu"), F.col("u").alias("a")).join(sent(near), "fu")
+    near = first.select(F.col("fp").alias("fv"), F.col("u").alias("b")).join(sent(near), "fv")
+    return own.where("u < v").select("u", "v").unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def followers(labels: DataFrame) -> DataFrame:
     """The keys of labels that are not the first of their group."""
-    reps = labels.join(distinct.select("key", "rep"), labels.node == F.col("key")).select("label", F.struct("rep", "key").alias("o"))
-    heads = reps.groupBy("label").agg(F.min("o").alias("o"))
-    return labels.select(F.col("node").alias("key")).join(heads.select(F.col("o.key").alias("key")), "key", "left_anti")
+    return cluster.small(labels.where("label < node").select("node.key"), BROADCAST_KEYS)
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -343,17 +363,17 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = cluster.materialize(full.join(cluster.small(shared, BROADCAST_KEYS), "cell", "left_semi"), "cells")
     close = cluster.materialize(fingerprint_pairs(distinct.select("key", "rep", "fp")), "close")
     # one text of each key in a shared cell or with a candidate by fingerprints
-    asked = cells.select("key").union(close.select("u")).union(close.select("v")).distinct()
+    asked = cells.select("key").union(close.select("u.key")).union(close.select("v.key")).distinct()
     wanted = rows.groupBy("key").agg(F.min(F.struct("tk", "doc_id")).alias("one")).join(asked, "key", "left_semi")
     wanted = cluster.materialize(wanted.select(F.col("one.tk").alias("wtk"), F.col("one.doc_id").alias("wid")), "wanted")
     chosen = texts.join(cluster.small(wanted, BROADCAST_KEYS), (F.col("tk") == F.col("wtk")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
     sets = cluster.materialize(_scan.over(chosen.select("text"), _set_batches, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
     cluster.drop(sketches, shared, wanted)
-    edges, labels, leaders = None, None, 1
+    labels, leaders = None, 1
     alike = cluster.materialize(similar(close, sets), "alike")
     if alike.limit(1).count():
-        edges, labels = alike, components(alike, n_keys)
-        cells = cluster.materialize(cells.join(followers(labels, distinct), "key", "left_anti"), "cells")
+        labels = components(alike, n_keys)
+        cells = cluster.materialize(cells.join(followers(labels), "key", "left_anti"), "cells")
     cluster.drop(close)
     cells = cells.select("cell", "key", F.struct("rep", "key").alias("o"), F.lit(0).alias("n"), F.lit(0).alias("m"))
     while True:
@@ -365,13 +385,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         first = cluster.materialize(first.groupBy("cell").agg(F.collect_list(F.struct("o", "n", "m")).alias("first")).join(sizes, "cell"), "leaders")
         found = cluster.lookup(cells, first, "cell", "size", total, F.col("key"))
         fit = F.filter("first", lambda x: (x["o"] < F.col("o")) & ((F.col("n") == 0) | (F.least(F.col("m"), x["m"]) * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + x["n"]))))
-        found = found.select("key", F.explode(fit).alias("l"))
-        pairs = cluster.materialize(found.select(F.col("l.o.key").alias("u"), F.col("key").alias("v")).distinct(), "pairs")
+        found = found.select("o", F.explode(fit).alias("l"))
+        pairs = cluster.materialize(found.select(F.col("l.o").alias("u"), F.col("o").alias("v")).distinct(), "pairs")
         new = cluster.materialize(similar(pairs, sets), "similar")
         found = new.limit(1).count() > 0
         if found:
-            edges = new if edges is None else edges.unionByName(new)
-            cluster.drop(labels)
+            # the groups so far are links of their first keys with the others
+            edges = new if labels is None else new.unionByName(labels.where("label < node").select(F.col("label").alias("u"), F.col("node").alias("v")))
             labels = components(edges, n_keys)
         cluster.drop(pairs)
         if top <= leaders + 1:
@@ -379,19 +399,20 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # what goes on: the first key of each group, in the cells where it has led no comparison
         left = cells.select("cell", "key", "o")
         if found:
-            left = left.join(followers(labels, distinct), "key", "left_anti")
+            left = left.join(followers(labels), "key", "left_anti")
         led = first.select("cell", F.explode("first.o.key").alias("key"))
         left = left.join(led, ["cell", "key"], "left_anti")
         left = cluster.materialize(left, "left")
         again = left.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("cell")
         left = left.join(again, "cell", "left_semi")
-        left = cluster.materialize(left.join(shared_parts(left.select("key").distinct(), sets), "key").select("cell", "key", "o", "n", "m"), "cells")
+        asked = cluster.materialize(left.select("key").distinct(), "keys")
+        left = cluster.materialize(left.join(shared_parts(cluster.small(asked, BROADCAST_KEYS), sets), "key").select("cell", "key", "o", "n", "m"), "cells")
         cluster.drop(cells, sizes, first)
         cells, leaders = left, leaders * 4
     cluster.drop(cells, sets)
     if labels is None:
-        labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    return rows, labels.select(F.col("node").alias("key"), "label")
+        return rows, docs.sparkSession.createDataFrame([], "key long, label long")
+    return rows, labels.select("node.key", F.col("label.key").alias("label"))
 
 
 def shared_parts(keys: DataFrame, sets: DataFrame) -> DataFrame:
@@ -415,13 +436,19 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     in both, one. Decided on narrow rows; texts move only if more rows go than can be broadcast, and then once."""
     rows, groups = near_duplicates(docs)
     n = rows.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    uses = rows.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-    label = cluster.lookup(rows, groups.join(uses, "key"), "key", "uses", n, F.col("tk")).select("doc_id", "tk", "copies", F.coalesce("label", "key").alias("label"))
-    label = cluster.materialize(label, "rows")
+    if groups.count() <= BROADCAST_KEYS:
+        label = rows.join(F.broadcast(groups), "key", "left")
+    else:
+        uses = rows.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+        label = cluster.lookup(rows, groups.join(uses, "key"), "key", "uses", n, F.col("tk"))
+    label = cluster.materialize(label.select("doc_id", "tk", "copies", F.coalesce("label", "key").alias("label")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
     heads = label.groupBy("label").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("uses"))
     alike = cluster.materialize(heads.where("uses > 1"), "heads")
-    marked = cluster.lookup(label, alike, "label", "uses", n, F.col("tk"))
+    if alike.count() <= BROADCAST_NODES:
+        marked = label.join(F.broadcast(alike.select("label", "head")), "label", "left")
+    else:
+        marked = cluster.lookup(label, alike, "label", "uses", n, F.col("tk"))
     gone = F.coalesce(order != F.col("head"), F.lit(False))
     di, tk, state = cluster.fresh(docs.columns, "doc", "text_hash", "state")
     marked = marked.select(F.col("doc_id").alias(di), F.col("tk").alias(tk), F.when(gone, 1).when(F.col("copies") > 1, 2).alias(state)).where(F.col(state).isNotNull())

@@ -868,6 +868,18 @@ def test_near_dedup_finds_what_fingerprints_link_and_checks_it(spark, monkeypatc
     assert {2 * i for i in range(40)} | {500, 501} <= left and len(left) == 82 - links
 
 
+def test_components_of_stars_end_after_one_round_of_few_jobs(spark):
+    links = spark.createDataFrame([(c, c + i) for c in range(0, 3000, 10) for i in range(1, 10)], "u long, v long")
+    sc = spark.sparkContext
+    sc.setJobGroup("stars", "stars")
+    try:
+        got = {x.node: x.label for x in simhash.components(links, 3000).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: i // 10 * 10 for i in range(3000)}
+    assert len(sc.statusTracker().getJobIdsForGroup("stars")) <= 14
+
+
 def test_near_dedup_keeps_texts_that_share_or_lack_an_id(spark):
     texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in ("x", "y", "z", "n", "m", "o")}
     rows = [(3, texts["x"]), (5, texts["x"]), (5, texts["y"]), (8, texts["z"]), (None, texts["n"]), (None, texts["m"]), (None, texts["o"]), (8, texts["z"])]
