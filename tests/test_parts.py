@@ -205,3 +205,29 @@ def test_knn_label_vote_joins_no_queries_with_vectors(spark):
 
     plan = catalog.QUERIES["knn_label_vote"](spark, f"{harness.DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan
+
+
+def test_products_go_by_single_precision_where_its_rounding_is_below_the_margin(monkeypatch):
+    from loomline.operators import retrieval as rt
+
+    seen, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda p, *a, **b: seen.append(p.dtype) or partition(p, *a, **b))
+    m = np.random.default_rng(5).normal(size=(3000, 64))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[500:520], m[40] = m[400:420], 0.0
+    ids = np.arange(3000)
+    for scale, kind in ((1.0, np.float32), (1e6, np.float64), (1e100, np.float64)):
+        x = m * scale
+        asked, best = ids[::50], rt._Best(60, 7)
+        for a in range(0, 3000, 1000):
+            rt._products(best, asked, x[asked], np.sqrt((x[asked] ** 2).sum(1)), ids[a : a + 1000], x[a : a + 1000])
+        best.prune()
+        q, v, s = best.parts[0]
+        for i, e in enumerate(x[asked]):
+            want = np.zeros(3000)
+            for d in range(64):
+                want += e[d] * x[:, d]
+            want = sorted((w, j) for j, w in enumerate((-np.round(want, 4)).tolist()) if j != asked[i])[:7]
+            assert sorted(zip((-np.round(s[q == i], 4)).tolist(), v[q == i].tolist()))[:7] == want
+        assert set(seen) == {np.dtype(kind)}
+        seen.clear()
