@@ -880,6 +880,14 @@ def test_components_of_stars_end_after_one_round_of_few_jobs(spark):
     assert len(sc.statusTracker().getJobIdsForGroup("stars")) <= 14
 
 
+def test_components_of_many_nodes_go_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_NODES", 3)
+    chain = [5, 2, 9, 1, 7, 4, 8]
+    links = spark.createDataFrame([*zip(chain, chain[1:]), (20, 25), (20, 26)], "u long, v long")
+    got = {x.node: x.label for x in simhash.components(links, 10).collect()}
+    assert got == {**{x: 1 for x in chain}, 20: 20, 25: 20, 26: 20}
+
+
 def test_near_dedup_keeps_texts_that_share_or_lack_an_id(spark):
     texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in ("x", "y", "z", "n", "m", "o")}
     rows = [(3, texts["x"]), (5, texts["x"]), (5, texts["y"]), (8, texts["z"]), (None, texts["n"]), (None, texts["m"]), (None, texts["o"]), (8, texts["z"])]
