@@ -300,8 +300,8 @@ def _set_batches(batches):
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs u, v of (rep, key) whose keys' shingle sets have a Jaccard similarity of SIMILARITY or more. A set is shuffled
-    once for both sides."""
+    """The pairs u, v of (rep, key) whose keys' shingle sets have a Jaccard similarity of SIMILARITY or more. Uses
+    are counted once for both sides."""
     total = pairs.count()
     uses = pairs.select(F.explode(F.array("u.key", "v.key")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
     uses = cluster.materialize(uses, "uses")
