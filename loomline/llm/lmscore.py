@@ -15,10 +15,11 @@ Training sees the whole corpus: every (context, token) pair is counted over all
 context, are dealt to a fixed number of shards. In each round every shard runs minibatch Adam over all its contexts,
 starting from the same weights, and the driver averages the weights by token mass. Shards and weights have a fixed size;
 the counts stay in the shared folder. A context occurs once however often the corpus repeats it, so a round costs no more
-than the number of different contexts. Cells are dealt by the hash of their window and counted there, each shuffled once, so
-none of the memory is in one place; a window that holds a share HOT_SHARE of all cells is counted in two levels instead. The
-windows come in PASSES parts by their hash, a pass over the texts each, and a part's shuffle files go before the next part
-is dealt: all cells are counted, but never lie on disk at once.
+than the number of different contexts. Cells are dealt to buckets by the hash of their window, as many as the number of all
+cells asks for, and counted there, each shuffled once, many in a row; so none of the memory is in one place. A window that
+holds a share HOT_SHARE of all cells is counted in two levels instead. The windows come in PASSES parts by their hash, a pass
+over the texts each, and a part's shuffle files go before the next part is dealt: all cells are counted, but never lie on disk
+at once.
 
 Defined cases: null and empty texts have 0 tokens, score 0 and a null mean; repeated rows get equal scores (and are each
 other's memory); texts without cells have a null recall; texts over 1 MiB are scored in pieces that end at white space, which
@@ -31,7 +32,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomline import cluster
 from loomline.llm import _scan
@@ -49,6 +49,8 @@ BATCH = 2048
 MEMORY_SHARE, PRIOR = 1, 1.0
 #: Passes over the texts, each with the cells of one part of the windows.
 PASSES = 2
+#: Cells in a bucket, about; cells that a task deals at once.
+BUCKET, DEALT_AT_ONCE = 1 << 19, 1 << 20
 #: A window with this share of the cells is counted in two levels; windows that are counted at once when a task looks for such.
 HOT_SHARE, COUNTED = cluster.HOT_SHARE, 1 << 20
 PIECE = 1 << 20
@@ -98,19 +100,18 @@ def _pieces(raws: list[bytes]) -> list[tuple[int, bytes]]:
 
 
 def _tokens(raws, ids):
-    """Token ids of the texts with two zeros before, between and after; the first position of each and its length."""
+    """Token ids and lower-case bytes of the texts with two zeros before, between and after; the first position of each, its
+    length, and which positions are of a text."""
     import numpy as np
 
     lens = np.array([len(r) for r in raws])
     starts = 2 + np.concatenate([[0], np.cumsum(lens + 2)[:-1]])
     raw = _scan.lower(np.frombuffer(b"\0\0" + b"".join(r + b"\0\0" for r in raws), np.uint8))
-    x = ids[raw].astype(np.int32)
-    pad = np.ones(len(x), bool)
-    pad[:2] = False
-    for k in (0, 1):
-        pad[starts + lens + k] = False
-    x[~pad] = 0
-    return x, starts, lens, pad
+    x = ids[raw]
+    real = np.ones(len(x), bool)
+    for out in (np.arange(2), starts + lens, starts + lens + 1):
+        x[out], real[out] = 0, False
+    return x, raw, starts, lens, real
 
 
 def _codes(x):
@@ -124,7 +125,7 @@ def _count_batches(ids):
         import numpy as np
         import pyarrow as pa
 
-        own, lut = [], np.array(ids)
+        own, lut = [], np.array(ids, np.int32)
 
         def merged(parts):
             keys = np.concatenate([k for k, _ in parts])
@@ -134,7 +135,7 @@ def _count_batches(ids):
         for b in _scan.slices(batches):
             raws = [r for _, r in _pieces([r or b"" for r in b.column(0).cast(pa.binary()).to_pylist()])]
             for at in _scan.groups(raws, 1 << 20):
-                x, _, _, real = _tokens([raws[i] for i in at], lut)
+                x, *_, real = _tokens([raws[i] for i in at], lut)
                 code = (_codes(x) * TOKENS + x[2:-2])[real[2:-2]]
                 own.append(np.unique(code, return_counts=True))
                 if len(own) >= 8:
@@ -265,7 +266,7 @@ class Scorer:
     def __init__(self, ids, within, weights):
         import numpy as np
 
-        self.ids, self.within, self.weights = np.array(ids), np.array(within, np.float32), weights
+        self.ids, self.within, self.weights = np.array(ids, np.int32), np.array(within, np.float32), weights
         self.hasher, self.cls = _scan.Hasher(), _scan.byte_classes()
         self.clear()
 
@@ -298,8 +299,7 @@ class Scorer:
         for at in _scan.groups([p for _, p in pieces], 1 << 20):
             own = [pieces[i][1] for i in at]
             number = np.array([pieces[i][0] for i in at])
-            x, starts, lens, real = _tokens(own, self.ids)
-            raw = _scan.lower(np.frombuffer(b"\0\0" + b"".join(r + b"\0\0" for r in own), np.uint8))
+            x, raw, starts, lens, real = _tokens(own, self.ids)
             ws, we, win, word = self.memory(raw, real, starts)
             looked = real[2:-2]
             if parts > 1:
@@ -315,11 +315,14 @@ class Scorer:
             for s in range(0, len(ctx), 1 << 20):
                 at = s + np.flatnonzero(looked[s : s + (1 << 20)])
                 now = ctx[at]
-                if (self.slot[now] < 0).any():
-                    self._learn(np.unique(now[self.slot[now] < 0]))
-                    if (self.slot[now] < 0).any():
+                slot = self.slot[now]
+                if (slot < 0).any():
+                    self._learn(np.unique(now[slot < 0]))
+                    slot = self.slot[now]
+                    if (slot < 0).any():
                         self._learn(np.unique(now))  # the table was cleared
-                got[at] = self.rows[self.slot[now], tok[at]] + self.within[raw[2:-2][at]]
+                        slot = self.slot[now]
+                got[at] = self.rows.ravel()[slot * np.int32(TOKENS) + tok[at]] + self.within[raw[2:-2][at]]
             out += np.bincount(number, np.add.reduceat(got, starts - 2, dtype=np.float64), len(raws))
             if len(ws):
                 edges = np.stack([ws - 2, we - 2], axis=1).ravel()
@@ -333,7 +336,9 @@ class Scorer:
         """Bounds of the words that are cells, hash of the window, hash of window and word. Pieces begin at starts."""
         import numpy as np
 
-        ws, we, _ = _scan.runs((self.cls[raw] == _scan.SPACE) | ~real, [False])
+        inside = (self.cls[raw] != _scan.SPACE) & real
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # no word at either end
+        ws, we = edges[::2], edges[1::2]
         if len(ws) < 3:
             return ws[:0], we[:0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         h, piece = self.hasher.spans(raw, ws, we), np.searchsorted(starts, ws, "right")
@@ -401,31 +406,87 @@ def by_network(docs: DataFrame, model=None, only=None) -> DataFrame:
     return _scan.over(_rows(docs), _scored_batches(model, make), SCORED)
 
 
-def cells_of_rows(docs: DataFrame, model, without, part: int = 0, parts: int = 1) -> DataFrame:
-    """rid, w, k (32 bits, apart within a window), lp: a row for each cell of a part of the windows, but those of the windows
-    `without`; with part 0 also one for each row of docs, with a w of its own and doc_id, n_tokens and net in `own`, so that a
-    pass gives both. Each part has in `n_cells`, once a row of docs that has any, how many of its cells are of the part."""
+OWN = "doc_id long, n_tokens long, net double, n_cells long"
+DEALT = f"bucket int, first long, row array<int>, w array<long>, k array<int>, lp array<float>, own array<struct<rid long, {OWN}>>"
 
-    def make(rid, ids, lens, net, number, win, word, lp):
+
+def _dealt_batches(model, without, buckets: int, part: int, parts: int):
+    def dealt(held):
         import numpy as np
         import pyarrow as pa
 
-        n = np.bincount(number, minlength=len(rid)).astype(np.int64)
+        rid, lens, net, win, word, lp = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 5, 6, 7))
+        ids, row = pa.concat_arrays([h[1] for h in held]), np.concatenate([h[0][h[4]] for h in held]) - rid[0]
+        n = np.bincount(row, minlength=len(rid)).astype(np.int64)
         if len(without):
-            number, win, word, lp = (x[at] for at in (~np.isin(win, without),) for x in (number, win, word, lp))
-        after = lambda cells, own: pa.concat_arrays([cells, own])
+            row, win, word, lp = (x[at] for at in (~np.isin(win, without),) for x in (row, win, word, lp))
+        bucket = ((win.view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order, upto = np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+        met = np.flatnonzero(np.diff(upto))
         some = np.flatnonzero(n) if part else np.arange(len(rid))
-        w = _scan.mix(rid[some].view(np.uint64) + np.uint64(_scan.BASE)).view(np.int64)
-        row = pa.StructArray.from_arrays([ids.take(pa.array(some)), pa.array(lens[some]), pa.array(net[some]), pa.array(n[some])], fields=list(kind))
-        return pa.RecordBatch.from_arrays(
-            [after(pa.array(rid[number]), pa.array(rid[some])), after(pa.array(win), pa.array(w)), after(pa.array((word >> 32).astype(np.int32)), pa.array(np.zeros(len(w), np.int32))),
-             after(pa.array(lp), pa.nulls(len(w), pa.float32())), after(pa.nulls(len(number), kind), row)],
-            names=["rid", "w", "k", "lp", "own"])
+        own = pa.StructArray.from_arrays([pa.array(rid[some]), ids.take(pa.array(some)), pa.array(lens[some]), pa.array(net[some]), pa.array(n[some])], names=["rid", "doc_id", "n_tokens", "net", "n_cells"])
+        # a row for each bucket with cells, and one for the rows of docs
+        at = pa.array(np.append(upto[met], [len(order)] * 2).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (row.astype(np.int32), win, (word >> 32).astype(np.int32), lp)]
+        of_own = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(len(met) + 1), len(some)).astype(np.int32)), own)
+        to = np.append(met, _scan.mix(rid[:1].view(np.uint64) + np.uint64(_scan.BASE)) % np.uint64(buckets)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), rid[0])), *lists, of_own], names=["bucket", "first", "row", "w", "k", "lp", "own"])
 
-    import pyarrow as pa
+    def run(batches):
+        held, size = [], 0
+        for got in _scored_batches(model, lambda *of_batch: of_batch, part, parts)(batches):
+            held.append(got)
+            size += len(got[0]) + len(got[4])
+            if size >= DEALT_AT_ONCE:
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    return run
+
+
+def dealt_cells(docs: DataFrame, model, without, buckets: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """DEALT: the cells of a part of the windows, but those of the windows `without`, many of a bucket in a row: number of the
+    row of docs less `first`, window, word (32 bits, apart within a window), log-probability by the network. With part 0, `own`
+    has each row of docs, so that a pass gives both; with the others those with cells of the part. n_cells counts them."""
+    return _scan.over(_rows(docs), _dealt_batches(model, without, buckets, part, parts), DEALT)
 
-    kind = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("net", pa.float64()), ("n_cells", pa.int64())])
-    return _scan.over(_rows(docs), _scored_batches(model, make, part, parts), "rid long, w long, k int, lp float, own struct<doc_id: long, n_tokens: long, net: double, n_cells: long>")
+
+def cells_of_rows(docs: DataFrame, model, without, part: int = 0, parts: int = 1) -> DataFrame:
+    """What dealt_cells gives, a row for each cell, and in `own` for each row of docs."""
+    dealt = dealt_cells(docs, model, without, 1, part, parts)
+    cells = dealt.select("first", F.explode(F.arrays_zip("row", "w", "k", "lp")).alias("x")).select((F.col("first") + F.col("x.row")).alias("rid"), "x.w", "x.k", "x.lp")
+    own = dealt.select(F.explode("own").alias("own")).select("own.rid", "own")
+    return cells.unionByName(own, allowMissingColumns=True)
+
+
+MET = f"rid long, lp float, n long, all long, {OWN}"
+
+
+def _met_cells(bucket):
+    """The cells of a bucket whose window occurs twice or more, with the numbers of their word in the window (n) and of the
+    window (all); and the rows of docs of the bucket."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat = lambda c: pc.list_flatten(bucket.column(c).combine_chunks())
+    w, k, lp, row = (flat(c).to_numpy() for c in ("w", "k", "lp", "row"))
+    rid = np.repeat(bucket.column("first").to_numpy(), pc.list_value_length(bucket.column("row")).to_numpy()) + row
+    order = np.argsort(w)
+    same = np.diff(w[order]) == 0
+    at = order[np.append(same, False) | np.append(False, same)] if len(w) else order
+    at = at[np.lexsort((k[at], w[at]))]
+
+    def counts(*keys):
+        new = np.append(True, np.any([x[1:] != x[:-1] for x in keys], axis=0))[: len(at)]
+        return np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(at) else np.zeros(0, np.int64)
+
+    cells = pa.table({"rid": rid[at], "lp": lp[at], "n": counts(w[at], k[at]), "all": counts(w[at])})
+    out = pa.concat_tables([cells, pa.Table.from_struct_array(flat("own"))], promote_options="default")
+    _scan.release()
+    return out
 
 
 def _frequent_batches(batches):
@@ -444,8 +505,7 @@ def _frequent_batches(batches):
         pieces = [p for _, p in _pieces([r or b"" for r in b.column(0).cast(pa.binary()).to_pylist()])]
         for at in _scan.groups(pieces, 1 << 20):
             own = [pieces[i] for i in at]
-            _, starts, _, real = _tokens(own, scorer.ids)
-            raw = _scan.lower(np.frombuffer(b"\0\0" + b"".join(r + b"\0\0" for r in own), np.uint8))
+            _, raw, starts, _, real = _tokens(own, scorer.ids)
             held.append(scorer.memory(raw, real, starts)[2])
             size += len(held[-1])
             if size >= COUNTED:
@@ -457,13 +517,13 @@ def _frequent_batches(batches):
 
 def frequent_windows(docs: DataFrame):
     """The windows that hold a share HOT_SHARE of all cells, at most 1 / HOT_SHARE: with twice that share none is missed, as a
-    window is left out only where it has less than the share."""
+    window is left out only where it has less than the share. And the number of all cells."""
     import numpy as np
 
     counts = cluster.materialize(_scan.over(docs.select("text"), _frequent_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
     total = (counts.where("w is null").select("n").first() or [0])[0]
     hot = counts.where(F.col("w").isNotNull() & (F.col("n") >= max(2, total * HOT_SHARE))).select("w").collect()
-    return np.array(sorted(r.w for r in hot), np.int64)
+    return np.array(sorted(r.w for r in hot), np.int64), total
 
 
 def _gain(n, all, lp):
@@ -498,16 +558,14 @@ def _by_row(met: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pll (summed conditional log-probabilities, natural log), pll_per_token, net_per_token (by the
     network alone) and recall (share of the memory cells that the rest of the corpus has) of each row."""
-    model, hot = docs.sparkSession.sparkContext.broadcast(model_of(docs)), frequent_windows(docs)
-    parts = []
+    model, (hot, total) = docs.sparkSession.sparkContext.broadcast(model_of(docs)), frequent_windows(docs)
+    buckets, parts = max(1, -(-total // (PASSES * BUCKET))), []
     for part in range(PASSES):
-        cells = cells_of_rows(docs, model, hot, part, PASSES).repartition("w")
-        met = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("w", "k"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("w")))
-        met = met.where(F.col("own").isNotNull() | (F.col("all") > 1))
+        met = dealt_cells(docs, model, hot, buckets, part, PASSES).groupBy("bucket").applyInArrow(_met_cells, MET)
         gain, known = F.when(F.col("lp").isNotNull(), _gain(F.col("n"), F.col("all"), F.col("lp"))), F.when(F.col("lp").isNotNull(), (F.col("n") > 1).cast("long"))
         # what a row itself has comes with part 0; its cells are counted in each part
-        of_row = [(F.col(f"own.{c}") if not part else F.lit(None).cast(t)).alias(c) for c, t in (("doc_id", "long"), ("n_tokens", "long"), ("net", "double"))]
-        met = met.select("rid", gain.alias("gain"), known.alias("known"), F.col("own.n_cells").alias("n_cells"), *of_row)
+        of_row = [(F.col(c) if not part else F.lit(None).cast(t)).alias(c) for c, t in (("doc_id", "long"), ("n_tokens", "long"), ("net", "double"))]
+        met = met.select("rid", gain.alias("gain"), known.alias("known"), "n_cells", *of_row)
         parts.append(cluster.materialize(_by_row(met), "part", free=True))
     own = _by_row(reduce(DataFrame.unionByName, parts))
     if len(hot):  # their cells are counted apart, in two levels

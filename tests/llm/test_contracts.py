@@ -135,6 +135,55 @@ def test_op1_cells_come_in_parts_and_leave_no_shuffle_files(spark):
     assert not files() - old and freed.count() == 9999 and spark.conf.get(cluster.FREE, None) == was
 
 
+def shuffled_records(spark, run):
+    """Rows that the stages of run() write for shuffles."""
+    import time
+
+    store, jvm = spark._jsc.sc().statusStore(), spark._jvm
+
+    def stages():
+        time.sleep(1)  # the listener is behind by as much
+        none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+        found = store.stageList(None, False, False, none, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_op1_cells_are_shuffled_many_in_a_row(spark):
+    """30,000 cells: before, each was a row of the shuffle and of its sort."""
+    import random
+
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randint(10, 99)}" for _ in range(102))) for i in range(300)], "doc_id long, text string").coalesce(2)
+    assert shuffled_records(spark, lambda: lmscore.score(df).count()) < 15_000
+
+
+def test_op1_does_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    """Buckets of few cells, some without a row of docs, dealt a slice at a time or all at once."""
+    import random
+
+    r = random.Random(10)
+    docs = [(i, " ".join(r.choice("red green blue white black".split()) for _ in range(r.randint(0, 40)))) for i in range(200)] + [(300, None), (None, "red green blue white black"), (301, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = lmscore.model_of(df)
+    monkeypatch.setattr(lmscore, "model_of", lambda docs: model)
+    monkeypatch.setattr(lmscore, "HOT_SHARE", 1 / 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = []
+        for bucket, at_once in ((1 << 19, 1 << 20), (50, 1 << 20), (50, 1)):
+            monkeypatch.setattr(lmscore, "BUCKET", bucket)
+            monkeypatch.setattr(lmscore, "DEALT_AT_ONCE", at_once)
+            got.append(sorted(((x.doc_id if x.doc_id is not None else -1, x.n_tokens, round(x.pll, 6), x.recall) for x in lmscore.score(df).collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    assert len(got[0]) == len(docs) and got[0] == got[1] == got[2]
+    assert sum(x[3] or 0 for x in got[0]) > 10
+
+
 def test_op1_scores_documents_that_occur_twice_apart(spark):
     import random
 
